@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from landmesh.llm.bpe import op2_bpe
+from landmesh.llm.chat import OP4_SQL, op4_chat
 from landmesh.llm.decontaminate import op5_decontaminate
+from landmesh.llm.quality import op3_quality
+from landmesh.llm.token_store import op10_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
+    "op4_chat": op4_chat,
     "op5_decontaminate": op5_decontaminate,
+    "op10_token_store": op10_token_store,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL}
