@@ -21,14 +21,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
 
 from landmesh.llm.common import table
 
 #: The pre-tokenizer's pattern of the byte-level vocabulary (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks and pieces held by a worker; beyond, those not used again go.
-CACHE = 350_000
+CACHE = 120_000
+#: Rows that a worker takes at a time.
+ROWS = 128
 #: White space other than single spaces and line ends (fixed values).
 _UNUSUAL_SPACE = ["  ", "\n\n", " \n", "\n ", *map(chr, [9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 
@@ -257,13 +259,29 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    kept = [i for i, f in enumerate(batch.schema) if f.name != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], [*(batch.schema.field(i).name for i in kept), name])
+def _mapped(df: DataFrame, source: str, path: str | None, added: dict[str, DataType], make) -> DataFrame:
+    """df with the columns that make(bpe, values of source) gives; columns of those names go."""
+    path = path or vocabulary_path()
+    kept = [f for f in df.schema.fields if f.name not in added]
+    schema = StructType([*kept, *(StructField(k, v) for k, v in added.items())])
+
+    def run(batches):
+        bpe = load(path)
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                new = make(bpe, part.column(part.schema.get_field_index(source)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), *new], schema.names)
 
+    return df.mapInArrow(run, schema)
 
-def _schema(df: DataFrame, field: StructField) -> StructType:
-    return StructType([*(f for f in df.schema.fields if f.name != field.name), field])
+
+def _ids(bpe: Bpe, texts) -> list[bytes]:
+    return [bpe.encode(t) for t in texts]
+
+
+def _texts(bpe: Bpe, packed) -> list[str]:
+    return [bpe.decode(np.frombuffer(x or b"", dtype="<u4").astype(np.int64)).decode("utf-8", "replace") for x in packed]
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -272,35 +290,27 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     Strings of special tokens in a text get the special ids, as the tokenizers library does it.
     An existing column of that name is replaced.
     """
-    path = path or vocabulary_path()
-
-    def run(batches):
-        bpe = load(path)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            yield _with_column(batch, ids, pa.array(map(bpe.encode, texts), pa.binary()))
-
-    return df.mapInArrow(run, _schema(df, StructField(ids, BinaryType())))
+    return _mapped(df, text, path, {ids: BinaryType()}, lambda bpe, texts: [pa.array(_ids(bpe, texts), pa.binary())])
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
     """df with the text of a column of ids as `encode` makes it; bytes that are no UTF-8 become U+FFFD."""
-    path = path or vocabulary_path()
+    return _mapped(df, ids, path, {text: StringType()}, lambda bpe, packed: [pa.array(_texts(bpe, packed), pa.string())])
 
-    def run(batches):
-        bpe = load(path)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            texts = [bpe.decode(np.frombuffer(x or b"", dtype="<u4").astype(np.int64)).decode("utf-8", "replace") for x in column.to_pylist()]
-            yield _with_column(batch, text, pa.array(texts, pa.string()))
 
-    return df.mapInArrow(run, _schema(df, StructField(text, StringType())))
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
+    """Both of `encode` and `decode` with one pass through Python workers."""
+
+    def make(bpe: Bpe, texts):
+        packed = _ids(bpe, texts)
+        return [pa.array(packed, pa.binary()), pa.array(_texts(bpe, packed), pa.string())]
+
+    return _mapped(df, text, path, {ids: BinaryType(), decoded: StringType()}, make)
 
 
 def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: number of tokens and digests of the ids and of the decoded text."""
-    coded = encode(documents.select("doc_id", "text"), path=path).drop("text")
-    return decode(coded, path=path).select(
+    return round_trip(documents.select("doc_id", "text"), path=path).select(
         "doc_id",
         F.expr("length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
