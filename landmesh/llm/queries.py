@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from landmesh.llm.bpe import op2_bpe
 from landmesh.llm.chat import OP4_SQL, op4_chat
 from landmesh.llm.decontaminate import op5_decontaminate
+from landmesh.llm.html_text import op7_html
 from landmesh.llm.quality import op3_quality
 from landmesh.llm.token_store import op10_token_store
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
     "op5_decontaminate": op5_decontaminate,
+    "op7_html": op7_html,
     "op10_token_store": op10_token_store,
 }
 
