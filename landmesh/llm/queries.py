@@ -12,6 +12,7 @@ from landmesh.llm.decontaminate import op5_decontaminate
 from landmesh.llm.html_text import op7_html
 from landmesh.llm.lm_score import op6_lm_score
 from landmesh.llm.quality import op3_quality
+from landmesh.llm.substring_dedup import op9_substring_dedup
 from landmesh.llm.token_store import op10_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_lm_score": op6_lm_score,
     "op7_html": op7_html,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_token_store": op10_token_store,
 }
 
