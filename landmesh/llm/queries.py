@@ -13,9 +13,11 @@ from landmesh.llm.html_text import op7_html
 from landmesh.llm.lm_score import op6_lm_score
 from landmesh.llm.quality import op3_quality
 from landmesh.llm.substring_dedup import op9_substring_dedup
+from landmesh.llm.suffix_dedup import op1_suffix_dedup
 from landmesh.llm.token_store import op10_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,

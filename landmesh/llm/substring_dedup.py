@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from landmesh.llm.anchors import Spec, covered, with_windows
-from landmesh.llm.common import Words, number, table, text_runs
+from landmesh.llm.common import Words, table, text_runs
 
 WINDOW = 50
 #: Queries that go through the index together.
