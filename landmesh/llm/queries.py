@@ -10,6 +10,7 @@ from landmesh.llm.bpe import op2_bpe
 from landmesh.llm.chat import OP4_SQL, op4_chat
 from landmesh.llm.decontaminate import op5_decontaminate
 from landmesh.llm.html_text import op7_html
+from landmesh.llm.jaccard_join import op8_jaccard_join
 from landmesh.llm.lm_score import op6_lm_score
 from landmesh.llm.quality import op3_quality
 from landmesh.llm.substring_dedup import op9_substring_dedup
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_lm_score": op6_lm_score,
     "op7_html": op7_html,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_store": op10_token_store,
 }
