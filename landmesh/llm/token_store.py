@@ -20,6 +20,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ SHARD_BYTES = 32 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Chunks of text whose ids a worker keeps.
 CACHE = 500_000
+#: Documents encoded together.
+ROWS = 512
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -188,42 +191,67 @@ def open_shard(path: str) -> Shard:
     return Shard(fs.open_input_file(inner))
 
 
-_ENCODERS: dict[str, tuple] = {}
+class Encoder:
+    """The tokenizers library's encoder with the packed ids of chunks met so far."""
 
-
-def _encoder(path: str):
-    if path not in _ENCODERS:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _ENCODERS[path] = (tokenizer, {"": b""}, 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = 2 if self.kind == "H" else 4
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark = special[0] if special else None
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        """Packed ids of each text with end_id after them.
+
+        No token of this vocabulary holds white space, so that what stands between spaces, tabs
+        and line ends can be encoded by itself; each distinct one goes to the library once.
+        """
+        if len(self.known) > CACHE:
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
+        chunks = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        new = list(set().union(*chunks).difference(known))
+        again = [c for c in new if c in older]
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        if again:
+            new = [c for c in new if c not in older]
+        known.update(zip(new, self._encode_chunks(new), strict=True))
+        end = array(self.kind, [end_id]).tobytes()
+        out = [b"".join(map(known.__getitem__, doc)) + end for doc in chunks]
+        for chunk in new:
+            if len(chunk) > 64:
+                del known[chunk]
+        return out
+
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """One call for all, with a special token between them that tells their ids apart."""
+        mark = self.mark
+        if mark is None or any(mark in c for c in chunks):
+            return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(chunks)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+        data, width = ids.tobytes(), self.width
+        cut = np.flatnonzero(ids == self.tokenizer.token_to_id(mark)) * width
+        return [data[a:b] for a, b in zip([0, *(cut + width).tolist()], [*cut.tolist(), len(data)], strict=True)] if chunks else []
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
-def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
-    """Packed ids of each text with end_id after them.
-
-    No token of this vocabulary holds white space, so that what stands between spaces, tabs and
-    line ends can be encoded by itself; each distinct one goes to the library once.
-    """
-    tokenizer, known, width = _encoder(path)
-    if len(known) > CACHE:
-        known.clear()
-        known[""] = b""
-    chunks = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    new = list({c for doc in chunks for c in doc if c not in known})
-    extra = {}
-    for chunk, encoding in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-        (known if len(chunk) <= 64 else extra)[chunk] = np.array(encoding.ids, dtype=f"<u{width}").tobytes()
-    end = np.array([end_id], dtype=f"<u{width}").tobytes()
-    if extra:
-        known = known | extra
-    return [b"".join(map(known.__getitem__, doc)) + end for doc in chunks]
-
-
 def shard_bounds(documents: DataFrame, shards: int) -> np.ndarray:
     """The largest id of each shard but the last; only ids are read and sampled."""
     ids = documents.select(F.col("doc_id").cast("long")).filter("doc_id is not null").repartitionByRange(shards, "doc_id")
@@ -241,15 +269,15 @@ def write(documents: DataFrame, folder: str, path: str | None = None, end_id: in
     spark = documents.sparkSession
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bounds = shard_bounds(documents, max(1, -(-total // shard_bytes)))
-    width = _encoder(path)[2]
+    width = encoder(path).width
 
     def encode(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
                 ids = part.column(0)
                 at = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
-                values = encode_texts(part.column(1).to_pylist(), path, end_id)
+                values = encoder(path).encode(part.column(1).to_pylist(), end_id)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), ids, pa.array(values, pa.binary())], ["shard", "doc_id", "ids"])
 
     def store(batches):
