@@ -149,6 +149,8 @@ RECORDS = "bucket int, doc_id long, a binary, b binary, c binary, d binary, e bi
 WINDOWS = "doc_id long, kind int, at binary, n binary"
 _WINDOWS = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
 DECIDED, OPEN, OPEN_HOT = 0, 1, 2
+#: Column of a document's windows.
+WINDOWS_OF = "__windows"
 
 
 def _emit_records(spec: Spec, parts: int):
@@ -305,8 +307,9 @@ def repeated_windows(documents: DataFrame, spec: Spec, shard: Callable) -> DataF
 
 
 def with_windows(documents: DataFrame, spec: Spec, shard: Callable) -> DataFrame:
-    """documents (doc_id, text) with their windows that occur earlier, null if there are none."""
-    return documents.join(repeated_windows(documents, spec, shard).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "windows")
+    """documents (doc_id, text and more) with their windows that occur earlier, null if there are none."""
+    found = repeated_windows(documents.select("doc_id", "text"), spec, shard).withColumnRenamed("windows", WINDOWS_OF)
+    return documents.join(found.hint("shuffle_hash"), "doc_id", "left").select(*documents.columns, WINDOWS_OF)
 
 
 def covered(spec: Spec, windows, count: int) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from landmesh.llm.anchors import Spec, covered, with_windows
+from landmesh.llm.anchors import WINDOWS_OF, Spec, covered, with_windows
 from landmesh.llm.common import Words, table, text_runs
 
 WINDOW = 50
@@ -124,8 +124,9 @@ def earlier_windows(spec: Spec, doc: np.ndarray, at: np.ndarray, n: np.ndarray,
     return np.concatenate([none, *owners]), np.concatenate([none, *places])
 
 
-def removal(documents: DataFrame, window: int = WINDOW, gram: int = 10) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed and kept (the kept words joined by one space).
+def removal(documents: DataFrame, window: int = WINDOW, gram: int = 10, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, the extra columns, n_words, n_removed and kept (the kept words joined
+    by one space).
 
     A word is removed if a window of words covers it that also starts in a document of smaller id,
     judged on the whole input. Null text has no words; texts of fewer words than a window lose
@@ -134,12 +135,13 @@ def removal(documents: DataFrame, window: int = WINDOW, gram: int = 10) -> DataF
     """
     spec = Spec(window, gram, words=True, within=False)
     null = -(1 << 63)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null)).alias("doc_id"), "text")
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null)).alias("doc_id"), "text", *(c for c in extra if c != "text"))
+    through = ["doc_id", *extra]
 
     def run(batches):
         for batch, data, offsets in text_runs(batches):
             words, raw = Words(data, offsets, lower=False), data.tobytes()
-            windows = batch.column(2).to_pylist()
+            windows = batch.column(batch.schema.get_field_index(WINDOWS_OF)).to_pylist()
             n_removed, kept = [], []
             for i, w in enumerate(windows):
                 a, b = words.first[i], words.first[i + 1]
@@ -152,9 +154,9 @@ def removal(documents: DataFrame, window: int = WINDOW, gram: int = 10) -> DataF
                 else:
                     n_removed.append(0)
                     kept.append(b" ".join(raw[offsets[i] : offsets[i + 1]].split()).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.count, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in through), pa.array(words.count, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*through, "n_words", "n_removed", "kept"])
 
-    schema = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
+    schema = StructType([*(docs.schema[c] for c in through), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
     out = with_windows(docs, spec, earlier_windows).mapInArrow(run, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != null, F.col("doc_id")))
 

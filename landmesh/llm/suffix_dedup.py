@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from landmesh.llm.anchors import Spec, covered, with_windows
+from landmesh.llm.anchors import WINDOWS_OF, Spec, covered, with_windows
 from landmesh.llm.common import table, text_runs
 
 LENGTH = 100
@@ -167,7 +167,7 @@ def removal(documents: DataFrame, length: int = LENGTH, gram: int = 32) -> DataF
     def run(batches):
         for batch, data, offsets in text_runs(batches):
             n_removed, n_spans, kept = [], [], []
-            for i, w in enumerate(batch.column(2).to_pylist()):
+            for i, w in enumerate(batch.column(batch.schema.get_field_index(WINDOWS_OF)).to_pylist()):
                 text = data[offsets[i] : offsets[i + 1]]
                 if w:
                     gone = covered(spec, w, len(text))
