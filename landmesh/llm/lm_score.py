@@ -35,6 +35,8 @@ END = ""
 RANK_OFFSET = 100.0
 #: Rounds of expectation maximisation, and how many words the public scores count for in them.
 ROUNDS, PRIOR = 3, 1000.0
+#: Bytes of text whose equal words share a row.
+RUN = 10 << 20
 #: Words whose lattices are computed together.
 WORDS = 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -191,7 +193,7 @@ def postings(documents: DataFrame) -> DataFrame:
     word of a few megabytes of text."""
 
     def run(batches):
-        for batch, data, offsets in text_runs(batches):
+        for batch, data, offsets in text_runs(batches, most=RUN):
             ids, out = number(batch, "doc_id"), batch.column(2).to_pylist()
             raw = data.tobytes().translate(_LOWER)
             docs: dict[bytes, list[int]] = {}
