@@ -45,6 +45,8 @@ class Spec:
     words: bool
     #: Equal windows of one document count too, by their place; else only those of another document.
     within: bool
+    #: Contexts of one k-gram above which they are dealt by window.
+    hot: int = HOT
 
     @property
     def reach(self) -> int:
@@ -212,7 +214,7 @@ def _decide(spec: Spec):
         new = _starts(h)
         gram = np.cumsum(new) - 1
         contexts = np.bincount(gram[head], minlength=int(gram[-1]) + 1)[gram]
-        for kind, some in ((DECIDED, later), (OPEN, ~later & (contexts > 1) & (contexts <= HOT)), (OPEN_HOT, ~later & (contexts > HOT))):
+        for kind, some in ((DECIDED, later), (OPEN, ~later & (contexts > 1) & (contexts <= spec.hot)), (OPEN_HOT, ~later & (contexts > spec.hot))):
             ids, (places, counts) = _by_doc(doc[some], at[some].astype("<i4"), n[some].astype("<i4"))
             for i in range(0, len(ids), 5000):
                 j = slice(i, i + 5000)

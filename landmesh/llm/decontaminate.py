@@ -97,31 +97,34 @@ def word_offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
 _BUILT: dict[int, Windows] = {}
 
 
-def _scan_batches(shared, text_col: str, window: int):
+def _scan_batches(shared, text_col: str, window: int, before: bool):
+    """before: the batches have spans and items of earlier blocks, which the new ones join."""
+
     def run(batches):
         key = hash(tuple(shared.value))
         machine = _BUILT.get(key)
         if machine is None:
             _BUILT.clear()
             machine = _BUILT[key] = Windows(shared.value, window)
+        names = [f.name for f in ADDED]
         for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
+            earlier = [batch.column(batch.schema.get_field_index(c)).to_pylist() if before else [[]] * batch.num_rows for c in ("items", "spans")]
+            made: list[list] = [[], [], [], []]
+            for text, items, spans in zip(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), *earlier, strict=True):
                 n, hit, found = machine.scan(text)
-                n_words.append(n)
-                n_hit.append(int(hit.sum()))
-                items.append(sorted(found))
-                where = []
-                if n_hit[-1]:
+                if spans or hit.any():
                     start, end = word_offsets(text)
+                    if spans:
+                        hit = hit if len(hit) else np.zeros(n, dtype=bool)
+                        for s in spans:
+                            hit[np.searchsorted(start, s["start"]) : np.searchsorted(start, s["end"])] = True
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    where = [{"start": int(start[a]), "end": int(end[b - 1])} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                spans.append(where)
-            keep = [i for i, f in enumerate(batch.schema) if f.name not in ("n_words", "n_hit", "items", "spans")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                [*(batch.schema.field(i).name for i in keep), "n_words", "n_hit", "items", "spans"],
-            )
+                    spans = [{"start": int(start[a]), "end": int(end[b - 1])} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+                for column, v in zip(made, (n, int(hit.sum()), sorted({*items, *found}), spans), strict=True):
+                    column.append(v)
+            keep = [i for i, f in enumerate(batch.schema) if f.name not in names]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *(pa.array(m, k) for m, k in zip(made, kinds, strict=True))], [*(batch.schema.field(i).name for i in keep), *names])
 
     return run
 
@@ -146,41 +149,18 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
     equal items are all reported. Columns of those names are replaced. A benchmark beyond
     block_bytes is scanned in blocks and each row's spans are merged.
     """
-    spark = documents.sparkSession
     blocks = item_blocks(benchmark, block_bytes)
-    out = _with_block(spark, documents, next(blocks), window, text)
+    out = _with_block(documents, next(blocks), window, text, False)
     for block in blocks:
-        # The earlier results ride along; only the automaton changes.
-        held = out.withColumnsRenamed({"n_words": "_n", "n_hit": "_h", "items": "_i", "spans": "_s"})
-        more = _with_block(spark, held, block, window, text)
-        both = F.concat("_s", "spans")
-        merged = F.aggregate(
-            F.array_sort(both),
-            F.array().cast("array<struct<start:int,end:int>>"),
-            lambda acc, x: F.when(
-                (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-                F.concat(
-                    F.slice(acc, 1, F.size(acc) - 1),
-                    F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))),
-                ),
-            ).otherwise(F.concat(acc, F.array(x))),
-        )
-        more = more.withColumn("items", F.array_sort(F.array_union("_i", "items"))).withColumn("spans", merged)
-        count = F.udf(_count_hits, "long")(F.col(text), F.col("spans"))
-        out = more.withColumn("n_hit", F.when((F.col("_h") > 0) & (F.col("n_hit") > 0), count).otherwise(F.col("_h") + F.col("n_hit"))).drop("_n", "_h", "_i", "_s")
+        out = _with_block(out, block, window, text, True)
     return out
 
 
-def _count_hits(text: str, spans) -> int:
-    start, _ = word_offsets(text)
-    return int(sum(np.searchsorted(start, s.end) - np.searchsorted(start, s.start) for s in spans))
-
-
-def _with_block(spark: SparkSession, documents: DataFrame, block, window: int, text: str) -> DataFrame:
+def _with_block(documents: DataFrame, block, window: int, text: str, before: bool) -> DataFrame:
     names = [f.name for f in ADDED]
     schema = StructType([*(f for f in documents.schema.fields if f.name not in names), *ADDED])
-    shared = spark.sparkContext.broadcast(block)
-    return documents.mapInArrow(_scan_batches(shared, text, window), schema)
+    shared = documents.sparkSession.sparkContext.broadcast(block)
+    return documents.mapInArrow(_scan_batches(shared, text, window, before), schema)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from landmesh.llm.anchors import WINDOWS_OF, Spec, covered, with_windows
+from landmesh.llm.anchors import HOT, WINDOWS_OF, Spec, covered, with_windows
 from landmesh.llm.common import Words, table, text_runs
 
 WINDOW = 50
@@ -124,7 +124,7 @@ def earlier_windows(spec: Spec, doc: np.ndarray, at: np.ndarray, n: np.ndarray,
     return np.concatenate([none, *owners]), np.concatenate([none, *places])
 
 
-def removal(documents: DataFrame, window: int = WINDOW, gram: int = 10, extra: tuple[str, ...] = ()) -> DataFrame:
+def removal(documents: DataFrame, window: int = WINDOW, gram: int = 10, extra: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """Per document: doc_id, the extra columns, n_words, n_removed and kept (the kept words joined
     by one space).
 
@@ -133,7 +133,7 @@ def removal(documents: DataFrame, window: int = WINDOW, gram: int = 10, extra: t
     none; repeats inside one document stay. Rows of equal id don't count against each other; a
     null id counts as the smallest.
     """
-    spec = Spec(window, gram, words=True, within=False)
+    spec = Spec(window, gram, words=True, within=False, hot=hot)
     null = -(1 << 63)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null)).alias("doc_id"), "text", *(c for c in extra if c != "text"))
     through = ["doc_id", *extra]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from landmesh.llm.anchors import WINDOWS_OF, Spec, covered, with_windows
+from landmesh.llm.anchors import HOT, WINDOWS_OF, Spec, covered, with_windows
 from landmesh.llm.common import table, text_runs
 
 LENGTH = 100
@@ -152,7 +152,7 @@ def _first(group: np.ndarray) -> np.ndarray:
     return out
 
 
-def removal(documents: DataFrame, length: int = LENGTH, gram: int = 32) -> DataFrame:
+def removal(documents: DataFrame, length: int = LENGTH, gram: int = 32, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (runs of removed bytes) and kept, binary.
 
     A byte is removed if a string of `length` bytes covers it that also starts earlier: in a
@@ -160,7 +160,7 @@ def removal(documents: DataFrame, length: int = LENGTH, gram: int = 32) -> DataF
     and are judged on the input. Null text is empty; shorter texts lose nothing. Rows of equal id
     count as one place: of equal strings at one offset none is removed. A null id comes first.
     """
-    spec = Spec(length, gram, words=False, within=True)
+    spec = Spec(length, gram, words=False, within=True, hot=hot)
     null = -(1 << 63)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null)).alias("doc_id"), "text")
 
