@@ -233,14 +233,18 @@ def to_wkt_text(g: dict | None) -> str | None:
     return f"POLYGON ({', '.join(map(part, rings))})" if g["dim"] == 2 else f"LINESTRING {part(rings[0])}"
 
 
+def _frame(rows: list[dict | None]) -> pd.DataFrame:
+    return pd.DataFrame({f.name: pd.Series([r and r[f.name] for r in rows], dtype=object) for f in GEOM.fields})
+
+
 @F.pandas_udf(GEOM)
 def from_geojson(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([from_geojson_text(t) or {} for t in text], columns=["dim", "xs", "ys", "offs", "xmin", "ymin", "xmax", "ymax"])
+    return _frame([from_geojson_text(t) for t in text])
 
 
 @F.pandas_udf(GEOM)
 def from_wkt(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([from_wkt_text(t) or {} for t in text], columns=["dim", "xs", "ys", "offs", "xmin", "ymin", "xmax", "ymax"])
+    return _frame([from_wkt_text(t) for t in text])
 
 
 # Ellipsoids (a, 1/f) and projections of the supported codes (fixed values).
