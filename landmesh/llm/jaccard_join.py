@@ -72,24 +72,28 @@ def _width(span: int) -> int:
     return max(1, (int(span).bit_length() + 7) // 8)
 
 
-_ENTRIES = pa.schema([("bucket", pa.int32()), ("pass", pa.int32()), ("base", pa.int64()), ("width", pa.int32()), ("size", pa.int32()), ("tokens", pa.binary()), ("docs", pa.binary())])
-ENTRIES = "bucket int, pass int, base long, width int, size int, tokens binary, docs binary"
+_ENTRIES = pa.schema([("bucket", pa.int32()), ("base", pa.int64()), ("width", pa.int32()), ("size", pa.int32()), ("passes", pa.binary()), ("tokens", pa.binary()), ("docs", pa.binary())])
+ENTRIES = "bucket int, base long, width int, size int, passes binary, tokens binary, docs binary"
 
 
 def _deal(doc: np.ndarray, token: np.ndarray, parts: int, size: int) -> pa.RecordBatch:
-    """Entries by bucket and pass of the shingle, its tokens sorted and as differences."""
+    """One row of entries for each bucket: by pass, tokens sorted and as differences."""
     base = int(doc.min(initial=0))
     width = _width(int(doc.max(initial=0)) - base)
     cell = (token % np.uint64(parts * PASSES)).astype(np.int64)
+    cell = cell % parts * PASSES + cell // parts
     value = token >> np.uint64(64 - 8 * size)
     order = np.lexsort((value, cell))
     edge = np.searchsorted(cell[order], np.arange(parts * PASSES + 1))
+    steps = np.diff(value[order], prepend=np.uint64(0))
+    heads = edge[:-1][edge[:-1] < edge[1:]]
+    steps[heads] = value[order][heads]  # each pass begins anew
     rows: list[list] = [[] for _ in _ENTRIES]
-    for c in range(parts * PASSES):
-        i = order[edge[c] : edge[c + 1]]
-        if len(i):
-            steps = np.diff(value[i], prepend=np.uint64(0))
-            for column, v in zip(rows, (c % parts, c // parts, base, width, size, pack(steps, size), pack((doc[i] - base).astype(np.uint64), width)), strict=True):
+    for b in range(parts):
+        ends = edge[b * PASSES : (b + 1) * PASSES + 1]
+        i = slice(ends[0], ends[-1])
+        if ends[0] < ends[-1]:
+            for column, v in zip(rows, (b, base, width, size, np.diff(ends).astype("<i4").tobytes(), pack(steps[i], size), pack((doc[order[i]] - base).astype(np.uint64), width)), strict=True):
                 column.append(v)
     return pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _ENTRIES, strict=True)], schema=_ENTRIES)
 
@@ -127,17 +131,37 @@ def _emit(parts: int, size: int, distinct: bool):
 
 def _passes(batches):
     """(doc, token) arrays of one pass after the other of a partition's entries."""
-    held: dict[tuple[int, int], list] = {}
+    held: dict[int, list] = {}
     for batch in batches:
-        rows = batch.to_pydict()
-        for i in range(batch.num_rows):
-            held.setdefault((rows["bucket"][i], rows["pass"][i]), []).append([rows[k][i] for k in ("base", "width", "size", "tokens", "docs")])
-    for key in sorted(held):
-        some = held.pop(key)
-        yield (
-            np.concatenate([unpack(docs, width).astype(np.int64) + base for base, width, _, _, docs in some]),
-            np.concatenate([np.cumsum(unpack(tokens, size)) for _, _, size, tokens, _ in some]),
-        )
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.setdefault(bucket, []).append([*row, np.concatenate([[0], np.cumsum(np.frombuffer(row[3], dtype="<i4"))])])
+    for bucket in sorted(held):
+        rows = held.pop(bucket)
+        for k in range(PASSES):
+            docs, tokens = [], []
+            for base, width, size, _, token, doc, ends in rows:
+                tokens.append(np.cumsum(unpack(token[ends[k] * size : ends[k + 1] * size], size)))
+                docs.append(unpack(doc[ends[k] * width : ends[k + 1] * width], width).astype(np.int64) + base)
+            yield np.concatenate(docs), np.concatenate(tokens)
+
+
+def _by_doc_bucket(parts: int, doc: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket of documents: the documents and the columns, as bytes."""
+    bucket = (mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(parts + 1))
+    used = np.flatnonzero(edge[:-1] < edge[1:])
+    cut = lambda c: pa.array([c[order[edge[b] : edge[b + 1]]].tobytes() for b in used], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *map(cut, (doc, *columns))], ["bucket", "docs", *"abc"[: len(columns)]])
+
+
+def _gathered(batches, *kinds: str) -> list[np.ndarray]:
+    """The columns of a partition's rows, each as one array."""
+    held: list[list] = [[] for _ in kinds]
+    for batch in batches:
+        for i, kind in enumerate(kinds):
+            held[i] += [np.frombuffer(x, dtype=kind) for x in batch.column(i + 1).to_pylist()]
+    return [np.concatenate([np.zeros(0, dtype=kind), *h]) for kind, h in zip(kinds, held, strict=True)]
 
 
 def _frequency(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,27 +173,38 @@ def _frequency(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.bincount(group)[group] if len(group) else group
 
 
-def _count_shared(batches):
-    """doc_id and how many of its shingles have other entries."""
-    for doc, token in _passes(batches):
-        order, often = _frequency(token)
-        ids, counts = np.unique(doc[order][often > 1], return_counts=True)
-        for i in range(0, len(ids), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(counts[i : i + 100_000], pa.int64())], ["doc_id", "shared"])
+def _count_shared(parts: int):
+    """By bucket of documents: how many of each one's shingles have other entries."""
+
+    def run(batches):
+        ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for doc, token in _passes(batches):
+            order, often = _frequency(token)
+            some, n = np.unique(doc[order][often > 1], return_counts=True)
+            ids.append(some)
+            counts.append(n)
+        yield _by_doc_bucket(parts, np.concatenate(ids), np.concatenate(counts))
+
+    return run
+
+
+def _sum_shared(batches):
+    doc, n = _gathered(batches, "<i8", "<i8")
+    ids, at = np.unique(doc, return_inverse=True)
+    total = np.bincount(at, n, minlength=len(ids)).astype(np.int64)
+    for i in range(0, len(ids), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(total[i : i + 100_000])], ["doc_id", "shared"])
 
 
-def _reply(batches):
-    """doc_id with its tokens and their frequencies."""
-    for doc, token in _passes(batches):
-        order, often = _frequency(token)
-        doc, token = doc[order], token[order]
-        by = np.argsort(doc, kind="stable")
-        doc, token, often = doc[by], token[by], often[by]
-        head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-        tail = np.append(head[1:], len(doc))
-        for i in range(0, len(head), 5000):
-            some = list(zip(head[i : i + 5000].tolist(), tail[i : i + 5000].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[head[i : i + 5000]]), pa.array([pack(token[a:b], TOKEN) for a, b in some]), pa.array([often[a:b].astype("<u4").tobytes() for a, b in some])], ["doc_id", "tokens", "often"])
+def _reply(parts: int):
+    """By bucket of documents: their tokens and the tokens' frequencies."""
+
+    def run(batches):
+        for doc, token in _passes(batches):
+            order, often = _frequency(token)
+            yield _by_doc_bucket(parts, doc[order], token[order], often.astype("<u4"))
+
+    return run
 
 
 def needed(n) -> np.ndarray:
@@ -179,24 +214,23 @@ def needed(n) -> np.ndarray:
 
 def _sets(batches):
     """Tokens of each document, rare ones first, if enough are shared; and the matches to ask for."""
-    for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for doc_id, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            token = np.concatenate([unpack(p["tokens"], TOKEN) for p in parts])
-            often = np.concatenate([np.frombuffer(p["often"], dtype="<u4") for p in parts])
-            n = len(token)
-            least = int(needed(n))
-            if int((often > 1).sum()) < least:
-                continue
-            order = np.lexsort((token, often))
-            token, often = token[order], often[order]
-            cost = np.cumsum(often - 1)
-            matches = range(1, min(MOST_MATCHES, least) + 1)
-            ends = [n - least + m for m in matches]
-            best = min(matches, key=lambda m, ends=ends, cost=cost: cost[ends[m - 1] - 1] * (1 + VERIFY / m**2))
-            for column, v in zip(out, (doc_id, n, best, pack(token, TOKEN)), strict=True):
-                column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["doc_id", "n", "matches", "tokens"])
+    docs, tokens, oftens = _gathered(batches, "<i8", "<u8", "<u4")
+    order = np.lexsort((tokens, oftens, docs))
+    docs, tokens, oftens = docs[order], tokens[order], oftens[order].astype(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, int)
+    out: list[list] = [[], [], [], []]
+    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(docs)], strict=False):
+        n = b - a
+        least = int(needed(n))
+        if int((oftens[a:b] > 1).sum()) < least:
+            continue
+        cost = np.cumsum(oftens[a:b] - 1)
+        matches = range(1, min(MOST_MATCHES, least) + 1)
+        best = min(matches, key=lambda m: cost[n - least + m - 1] * (1 + VERIFY / m**2))
+        for column, v in zip(out, (docs[a], n, best, pack(tokens[a:b], TOKEN)), strict=True):
+            column.append(v)
+    for i in range(0, len(out[0]), 2000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 2000], k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "n", "matches", "tokens"])
 
 
 def _emit_prefixes(parts: int):
@@ -338,12 +372,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     heads = classes.select(F.col("class_id").alias("doc_id"), "n")
     entries = docs.mapInArrow(_emit(parts, 4, True), ENTRIES).repartition(parts, "bucket")
-    shared = entries.mapInArrow(_count_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    counts = entries.mapInArrow(_count_shared(parts), "bucket int, docs binary, a binary").repartition(parts, "bucket")
+    shared = counts.mapInArrow(_sum_shared, "doc_id long, shared long")
     go_on = materialize(shared.join(heads, "doc_id").filter(100 * F.col("shared") >= PERCENT * F.col("n")).select("doc_id"), "heads")
     some = docs.join(go_on.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
-    reply = some.mapInArrow(_emit(parts, TOKEN, False), ENTRIES).repartition(parts, "bucket").mapInArrow(_reply, "doc_id long, tokens binary, often binary")
-    ordered = reply.groupBy("doc_id").agg(F.collect_list(F.struct("tokens", "often")).alias("parts"))
-    ordered = materialize(ordered.mapInArrow(_sets, "doc_id long, n int, matches int, tokens binary"), "ordered")
+    reply = some.mapInArrow(_emit(parts, TOKEN, False), ENTRIES).repartition(parts, "bucket").mapInArrow(_reply(parts), "bucket int, docs binary, a binary, b binary")
+    ordered = materialize(reply.repartition(parts, "bucket").mapInArrow(_sets, "doc_id long, n int, matches int, tokens binary"), "ordered")
     lists = ordered.mapInArrow(_emit_prefixes(parts), "bucket int, tokens binary, docs binary, n binary, matches binary").repartition(parts, "bucket")
     pairs = lists.mapInArrow(_candidates, "a long, b long, met long, need long, sure boolean")
     pairs = pairs.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need"), F.max("sure").alias("sure")).filter("sure or met >= need")
