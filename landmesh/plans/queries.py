@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landmesh.functions import scoring as sc
 from landmesh.functions.geometry import from_wkt, measures
-from landmesh.operators import changes, matching, pixels, quality, spatial, stats
+from landmesh.operators import changes, georef, matching, model, pixels, quality, spatial, stats, topology
 from landmesh.plans.fixtures import ctes, fixture, properties
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -385,3 +385,71 @@ def l3_clean_mask(spark, sf_dir):
     p = pixels.cleaned(pixels.height_mask(_pixels(spark, sf_dir)), 3)
     g = pixels.opened(_pixels(spark, sf_dir), "dsm", 41).groupBy("raster_id").agg(F.max("dsm").alias("ground"))
     return p.groupBy("raster_id").agg(F.count_if("mask").alias("n_mask")).join(g, "raster_id")
+
+
+# Georeferencing, topology and learned matching
+
+
+def _gcps(spark, sf_dir):
+    k = F.col("k")
+    p = fixture(spark, sf_dir, "parcels").select((k / 7).cast("long").alias("sheet_id"), F.pmod(k * 37, F.lit(101)).cast("double").alias("px"), F.pmod(k * k, F.lit(89)).cast("double").alias("py"))
+    return p.withColumn("x", 83.0 + 0.5 * F.col("px") * (1 + F.col("sheet_id") % 3)).withColumn("y", 17.0 - 0.25 * F.col("py"))
+
+
+@query(f"{ctes('parcels')} SELECT sheet_id, px, py, 83 + 0.5e0 * px * (1 + sheet_id % 3) AS x, 17 - 0.25e0 * py AS y FROM (SELECT k // 7 AS sheet_id, ((k * 37) % 101)::DOUBLE AS px, ((k * k) % 89)::DOUBLE AS py FROM parcels) WHERE sheet_id < (SELECT max(k) // 7 FROM parcels)")
+def b12_georeference(spark, sf_dir):
+    points = _gcps(spark, sf_dir)
+    last = points.agg(F.max("sheet_id").alias("last"))
+    out = georef.apply(points.select("sheet_id", "px", "py"), georef.fit(points))
+    return out.join(F.broadcast(last)).filter("sheet_id < last").select("sheet_id", "px", "py", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def _fabric(spark, sf_dir):
+    kind = F.col("k") % 200
+    grow, shrink = F.when(kind == 7, 1.25).otherwise(0.0), F.when(kind == 57, 0.375).when(kind == 107, 0.75).otherwise(0.0)
+    return fixture(spark, sf_dir, "parcels").select("ward", F.concat(F.lit("C"), "k").alias("feature_id"), "k", (F.col("x0") - grow + shrink).alias("x0"), (F.col("y0") + shrink).alias("y0"), (F.col("x1") + grow - shrink).alias("x1"), (F.col("y1") - shrink).alias("y1"))
+
+
+@query(f"""{ctes('parcels')}, f AS (SELECT ward, 'C' || k AS id, x0 - CASE WHEN k % 200 = 7 THEN 1.25e0 WHEN k % 200 = 57 THEN -0.375e0 WHEN k % 200 = 107 THEN -0.75e0 ELSE 0 END AS x0, y0 + CASE k % 200 WHEN 57 THEN 0.375e0 WHEN 107 THEN 0.75e0 ELSE 0 END AS y0,
+  x1 + CASE WHEN k % 200 = 7 THEN 1.25e0 WHEN k % 200 = 57 THEN -0.375e0 WHEN k % 200 = 107 THEN -0.75e0 ELSE 0 END AS x1, y1 - CASE k % 200 WHEN 57 THEN 0.375e0 WHEN 107 THEN 0.75e0 ELSE 0 END AS y1 FROM parcels),
+  s AS (SELECT a.ward, least(a.id, b.id) AS a_id, greatest(a.id, b.id) AS b_id, b.x0 - a.x1 AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS l FROM f a JOIN f b ON a.ward = b.ward AND a.id <> b.id UNION ALL SELECT a.ward, least(a.id, b.id), greatest(a.id, b.id), b.y0 - a.y1, least(a.x1, b.x1) - greatest(a.x0, b.x0) FROM f a JOIN f b ON a.ward = b.ward AND a.id <> b.id)
+  SELECT ward, CASE WHEN w * l / (w + l) <= 0.5e0 THEN 'sliver' ELSE 'gap' END AS issue_type, a_id, b_id, w * l AS area FROM s WHERE w > 0.05e0 AND w <= 1 AND l > w AND w * l > 0.05e0""")
+def k3_gaps(spark, sf_dir):
+    return topology.gaps(_fabric(spark, sf_dir)).select("ward", "issue_type", F.col("feature_ids")[0].alias("a_id"), F.col("feature_ids")[1].alias("b_id"), F.col("measure").alias("area"))
+
+
+@query(f"{ctes('parcels')} SELECT CASE k % 200 WHEN 7 THEN 'overlap' WHEN 57 THEN 'sliver' ELSE 'gap' END AS defect, count(*) AS n FROM parcels WHERE k % 200 IN (7, 57, 107) GROUP BY ROLLUP (1)")
+def e16_recall(spark, sf_dir):
+    f = _fabric(spark, sf_dir)
+    kind = F.col("k") % 200
+    truth = f.filter(kind.isin(7, 57, 107)).select("feature_id", F.when(kind == 7, "overlap").when(kind == 57, "sliver").otherwise("gap").alias("defect"))
+    return topology.recall(topology.findings(f), truth).select("defect", "n")
+
+
+@query()
+def k2_topology(spark, sf_dir):
+    return topology.findings(_fabric(spark, sf_dir)).select("ward", "issue_type", "feature_ids", "measure", "status")
+
+
+def _labelled(spark, sf_dir):
+    bag = properties(_features(spark, sf_dir))
+    pairs = spatial.candidate_pairs(_features(spark, sf_dir))
+    side = lambda p: bag.select(F.col("feature_id").alias(f"{p}_id"), F.col("properties").alias(f"{p}_properties"), F.col("captured_at").alias(f"{p}_captured"), F.col("k").alias(f"{p}_k"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias(f"{p}_area"), (2 * (F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0"))).alias(f"{p}_perimeter"))
+    rows = pairs.join(side("a"), "a_id").join(side("b"), "b_id").withColumn("label", (F.col("a_k") == F.col("b_k")).cast("int"))
+    return model.pair_features(rows, F.lit("2024-01-31").cast("date")).withColumn("group", F.concat(F.lit("ward-"), "ward")).withColumn("weight", F.lit(1.0)).withColumn("baseline", F.col("match_score") / 100)
+
+
+@query()
+def i5_pair_features(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("a_id", "b_id", "label", *model.FEATURES)
+
+
+@query()
+def k6_train_matcher(spark, sf_dir):
+    return model.train(matching.stored(_labelled(spark, sf_dir), "labelled"), trees=10)[1]
+
+
+@query()
+def k9_zones(spark, sf_dir):
+    points = fixture(spark, sf_dir, "parcels").select("k", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    return model.zones(points, 25).groupBy("zone").agg(F.count("*").alias("n"))
