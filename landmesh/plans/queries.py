@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from landmesh.functions import scoring as sc
 from landmesh.functions.geometry import from_wkt, measures
-from landmesh.operators import changes, georef, matching, model, pixels, quality, spatial, stats, topology
+from landmesh.operators import changes, georef, matching, model, pixels, quality, records, spatial, stats, topology
 from landmesh.plans.fixtures import ctes, fixture, properties
+from landmesh.sources import sinks
+from landmesh.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -453,3 +455,76 @@ def k6_train_matcher(spark, sf_dir):
 def k9_zones(spark, sf_dir):
     points = fixture(spark, sf_dir, "parcels").select("k", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     return model.zones(points, 25).groupBy("zone").agg(F.count("*").alias("n"))
+
+
+# Records around matches
+
+
+@query(f"{ctes('matches')} SELECT a_id, b_id, 100 * (match_score >= 60)::INT AS kept FROM matches WHERE match_score < 60")
+def d14_displaced(spark, sf_dir):
+    m = fixture(spark, sf_dir, "matches").withColumn("locked", F.lit(False))
+    again = m.filter("match_score >= 60").select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))
+    return records.displaced(m, again).select("a_id", "b_id", F.lit(0).alias("kept"))
+
+
+@query(f"{ctes('features')} SELECT a_id, b_id, (substr(a_id, 2) = substr(b_id, 2))::INT AS label FROM ({_PAIRS}) WHERE CASE WHEN iou IS NULL THEN d <= 25 ELSE iou >= 0.3e0 END")
+def d16_labelled_pairs(spark, sf_dir):
+    truth = _features(spark, sf_dir).select("feature_id", F.col("k").alias("parcel"))
+    return records.labelled_by_key(spatial.candidate_pairs(_features(spark, sf_dir)).select("a_id", "b_id"), truth).select("a_id", "b_id", "label")
+
+
+@query(f"{ctes('matches')} SELECT a_id, b_id, match_score FROM matches WHERE substr(a_id, 2)::BIGINT % 10 <> 0")
+def d17_decisions(spark, sf_dir):
+    m = fixture(spark, sf_dir, "matches").select("a_id", "b_id", "match_score")
+    n = F.substring("a_id", 2, 20).cast("long") % 10
+    first = m.filter(n.isin(0, 1)).select("a_id", "b_id", F.lit(True).alias("label"), F.lit(1).alias("at"))
+    second = m.filter(n == 0).select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), F.lit(False).alias("label"), F.lit(2).alias("at"))
+    return records.decide(m, m.limit(0).withColumn("label", F.lit(True)), first.unionByName(second))[1]
+
+
+@query(f"{ctes('wards', 'detections')} SELECT w.ward, w.name, count(d.id) AS n FROM wards w LEFT JOIN detections d ON d.ward = w.ward GROUP BY w.ward, w.name")
+def e3_ward_counts(spark, sf_dir):
+    return records.ward_counts(fixture(spark, sf_dir, "wards").select("ward", "name"), fixture(spark, sf_dir, "detections"))
+
+
+@query("SELECT left(event_type || ' ' || (user_id % 3), 160) AS message, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, message LIMIT 15")
+def e15_failures(spark, sf_dir):
+    e = fixture(spark, sf_dir, "events")
+    jobs = e.select(F.col("event_type").alias("job_type"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), F.concat_ws(" ", "event_type", F.col("user_id") % 3).alias("error"))
+    return records.pipeline_status(jobs)[1]
+
+
+@query(f"{ctes('parcels')} SELECT ward AS source_id, k AS page, CASE WHEN k % 4 = 3 THEN 0e0 ELSE (k % 50) * 1e0 END AS confidence FROM parcels")
+def e20_page_confidence(spark, sf_dir):
+    words = fixture(spark, sf_dir, "parcels").select(F.col("ward").alias("source_id"), F.col("k").alias("page"), F.explode(F.array(F.when(F.col("k") % 4 == 3, -1).otherwise(F.col("k") % 50), F.lit(-1))).alias("confidence"))
+    return records.page_confidence(words)
+
+
+@query(f"{ctes('parcels')} SELECT ward AS source_id, min(k) AS page, cast(min(k) AS VARCHAR) AS value FROM parcels GROUP BY ward")
+def f7_first_fields(spark, sf_dir):
+    pages = fixture(spark, sf_dir, "parcels").select(F.col("ward").alias("source_id"), F.col("k").alias("page"), F.concat(F.lit("Khata No: "), "k").alias("text"))
+    return records.scanned_fields(pages).filter("field = 'khata_no'").select("source_id", "page", "value")
+
+
+@query(f"{ctes('wards')} SELECT a.ward AS source_a_id, b.ward AS source_b_id, 'Survey_No' AS field_a, 'survey-no' AS field_b, 0.5e0 AS confidence FROM wards a JOIN wards b ON b.ward = a.ward + 1 WHERE a.ward % 2 = 0")
+def i15_mappings(spark, sf_dir):
+    w = fixture(spark, sf_dir, "wards")
+    s = w.select(F.col("ward").alias("source_id"), F.when(F.col("ward") % 2 == 0, F.array(F.lit("Survey_No"), F.lit("area"))).otherwise(F.array(F.lit("SURVEY NO"), F.lit("owner"), F.lit("survey-no"))).alias("fields"))
+    pairs = w.filter("ward % 2 = 0 and ward < 24").select(F.col("ward").alias("source_a_id"), (F.col("ward") + 1).alias("source_b_id"))
+    return records.proposed_mappings(s, pairs)
+
+
+@query(f"{ctes('wards')} SELECT a.ward, b.ward AS village_id FROM wards a JOIN wards b ON a.west <= b.east + 300 AND b.west <= a.east AND a.south <= b.north AND b.south <= a.north")
+def d9_touching(spark, sf_dir):
+    w = fixture(spark, sf_dir, "wards").select("ward", F.col("west").alias("x0"), F.col("south").alias("y0"), F.col("east").alias("x1"), F.col("north").alias("y1"))
+    return records.touching(w, w.select(F.col("ward").alias("village_id"), "x0", "y0", (F.col("x1") + 300).alias("x1"), "y1"))
+
+
+@query(f"{ctes('wards', 'detections')} SELECT d.id, w.name AS ward_name, coalesce(d.status, 'pending') AS status, d.confidence FROM detections d LEFT JOIN wards w ON w.ward = d.ward")
+def a12_detections_table(spark, sf_dir):
+    return sinks.detections_table(fixture(spark, sf_dir, "detections"), fixture(spark, sf_dir, "wards")).select("id", "ward_name", "status", "confidence")
+
+
+@query(f"{ctes('detections')} SELECT s AS \"start\", ward, count(*) AS n, avg(confidence) AS mean_confidence FROM (SELECT ward, confidence, unnest([date_trunc('day', detected_at) - to_days(i::INT) FOR i IN range(7)]) AS s FROM detections) GROUP BY 1, 2")
+def j1_rolling_detections(spark, sf_dir):
+    return feeds.rolling_detections(fixture(spark, sf_dir, "detections")).select("start", "ward", "n", "mean_confidence")
