@@ -200,9 +200,13 @@ def _reply(parts: int):
     """By bucket of documents: their tokens and the tokens' frequencies."""
 
     def run(batches):
+        docs, tokens, oftens = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for doc, token in _passes(batches):
             order, often = _frequency(token)
-            yield _by_doc_bucket(parts, doc[order], token[order], often.astype("<u4"))
+            docs.append(doc[order])
+            tokens.append(token[order])
+            oftens.append(often)
+        yield _by_doc_bucket(parts, np.concatenate(docs), np.concatenate(tokens), np.concatenate(oftens).astype("<u4"))
 
     return run
 
