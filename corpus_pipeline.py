@@ -13,14 +13,14 @@ from landmesh.llm.bpe import digests
 from landmesh.llm.common import materialize, table
 from landmesh.llm.decontaminate import clean
 from landmesh.llm.jaccard_join import near_duplicates
-from landmesh.llm.quality import judge, learn_from
+from landmesh.llm.quality import keep, learn_from
 from landmesh.llm.substring_dedup import removal
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned decision list reject."""
     rules = learn_from(docs, table(spark, sf_dir, "labels"))
-    return judge(docs, rules).filter("kept").select(*docs.columns)
+    return keep(docs, rules)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

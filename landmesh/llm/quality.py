@@ -204,6 +204,16 @@ def judge(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def keep(documents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The documents that are kept, with their own columns.
+
+    The row number keeps the filter above the counts: pushed below, it would hold the counts'
+    expressions many times over.
+    """
+    judged = judge(documents, rules).withColumn("__at", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("__at") >= 0)).select(*documents.columns)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = learn_from(docs, table(spark, sf_dir, "labels"))
