@@ -54,17 +54,22 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.
     return doc[new], token[new]
 
 
+def _signatures(doc: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """n and the two halves of a 128-bit signature of each row's set."""
+    n = np.bincount(doc, minlength=rows)
+    ends = np.cumsum(n)
+    sums = []
+    for values in (token, mix(token ^ np.uint64(0x5851F42D4C957F2D))):
+        total = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values, out=total[1:])
+        sums.append((total[ends] - total[ends - n]).view(np.int64))
+    return n, sums
+
+
 def _set_rows(batches):
     """doc_id, n and a 128-bit signature of each document's set."""
     for batch, data, offsets in text_runs(batches):
-        doc, token = shingles(data, offsets)
-        n = np.bincount(doc, minlength=batch.num_rows)
-        sums = []
-        for values in (token, mix(token ^ np.uint64(0x5851F42D4C957F2D))):
-            total = np.zeros(len(values) + 1, dtype=np.uint64)
-            np.cumsum(values, out=total[1:])
-            ends = np.cumsum(n)
-            sums.append((total[ends] - total[ends - n]).view(np.int64))
+        n, sums = _signatures(*shingles(data, offsets), batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *map(pa.array, sums)], ["doc_id", "n", "s1", "s2"])
 
 
@@ -102,27 +107,27 @@ def _emit(parts: int, size: int, distinct: bool):
     """Entries of chunks of texts; distinct: of equal sets in a chunk, the smallest id's alone."""
 
     def flush(held):
-        doc, token = (np.concatenate(x) for x in zip(*held, strict=True))
-        return _deal(doc, token, parts, size)
+        ids, n, s1, s2, token = (np.concatenate(x) for x in zip(*held, strict=True))
+        if distinct and len(ids):
+            order = np.lexsort((ids, s2, s1, n))
+            new = np.ones(len(ids), dtype=bool)
+            new[1:] = np.any([c[order][1:] != c[order][:-1] for c in (n, s1, s2)], axis=0)
+            keep = np.zeros(len(ids), dtype=bool)
+            keep[order[new]] = True
+            token = token[np.repeat(keep, n)]
+            ids, n = ids[keep], n[keep]
+        return _deal(np.repeat(ids, n), token, parts, size)
 
     def run(batches):
-        held, total, seen = [], 0, set()
+        held, total = [], 0
         for batch, data, offsets in text_runs(batches):
-            ids = number(batch, "doc_id")
             doc, token = shingles(data, offsets)
-            if distinct and len(doc):
-                n = np.bincount(doc, minlength=len(ids))
-                ends = np.cumsum(n)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(token)])
-                sign = list(zip(n.tolist(), (sums[ends] - sums[ends - n]).tolist(), strict=True))
-                keep = np.array([not (s in seen or seen.add(s)) for s in sign])
-                doc, token = doc[keep[doc]], token[keep[doc]]
-            held.append((ids[doc], token))
+            n, sums = _signatures(doc, token, batch.num_rows)
+            held.append((number(batch, "doc_id"), n, *sums, token))
             total += len(data)
             if total >= CHUNK:
                 yield flush(held)
                 held, total = [], 0
-                seen.clear()
         if held:
             yield flush(held)
 

@@ -151,6 +151,15 @@ def test_jaccard_join(docs, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_join_of_copies_read_in_descending_order(spark):
+    words = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words), " ".join([*words, "more"]), " ".join(other), " ".join([*other, "x"]), " ".join(other)]
+    rows = [(len(texts) - i, t) for i, t in enumerate(texts)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: (r.class_id, r.component_id) for r in got} == {6: (5, 4), 5: (5, 4), 4: (4, 4), 3: (1, 1), 2: (2, 1), 1: (1, 1)}
+
+
 def test_bpe_is_the_library_and_decodes(docs, empty):
     from tokenizers import Tokenizer
 
