@@ -13,13 +13,16 @@ Documents of equal sets are one class, which its smallest id stands for.
    pairs; it keeps them together, and the verification does not trust it.
 4. Candidates' connected groups are verified by the whole sets: from each document on, all not yet
    reached ones are compared, so that no link between components is missed and those inside one
-   need not be listed.
+   need not be listed. Groups of more than HELD documents or HELD_BYTES of tokens are dealt in
+   chunks instead: rounds compare a growing number of seeds, each with all documents of the group
+   that have another component by then.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,10 @@ MOST_MATCHES, STAR = 4, 8
 #: Cost of verifying a candidate, in index entries read.
 VERIFY = 8.0
 TOKEN = 6
+#: Most documents and bytes of tokens of a group, or of a chunk of one, that a task takes at once.
+HELD, HELD_BYTES = 500, 8 << 20
+#: Seeds of a group in the first round, and how many times more in each next one.
+SEEDS, MORE_SEEDS = 16, 4
 NULL = -(1 << 63)
 
 
@@ -366,7 +373,79 @@ def _verify(part: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(ids), "component": pa.array(component)})
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def _meet(both: pa.Table) -> pa.Table:
+    """Labels (a < b) that links of seeds with a chunk's documents join."""
+    out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    is_seed = both.column("seed").combine_chunks()
+    part, seeds = both.filter(pa.compute.invert(is_seed)), both.filter(is_seed)
+    if part.num_rows and seeds.num_rows:
+        sets, theirs = ([unpack(x, TOKEN) for x in t.column("tokens").to_pylist()] for t in (part, seeds))
+        label, of_seed = (t.column("label").to_numpy().copy() for t in (part, seeds))
+        size = np.array([len(x) for x in sets])
+        known, token = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        mark = np.zeros(len(known) + 1, dtype=bool)
+        for k, mine in enumerate(theirs):
+            at = np.searchsorted(known, mine)
+            at = at[known[np.minimum(at, len(known) - 1)] == mine]
+            mark[at] = True
+            common = np.bincount(owner[mark[token]], minlength=len(sets))
+            mark[at] = False
+            linked = (100 * common >= PERCENT * (size + len(mine) - common)) & (label != of_seed[k])
+            if linked.any():
+                joined, new = np.unique(label[linked]), of_seed[k]
+                out.append(np.stack([np.minimum(joined, new), np.maximum(joined, new)], axis=1))
+                label[np.isin(label, joined)] = new
+                of_seed[np.isin(of_seed, joined)] = new
+    a, b = np.concatenate(out).T
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+
+def _verify_large(large: DataFrame, held: int) -> DataFrame:
+    """node and component of groups that no task can hold. large: doc_id, tokens, group.
+
+    Each round takes seeds from the documents outside the group's largest component, compares them
+    with all that aren't done yet and have another label, and is done with them. A group ends when
+    those left have one label; since a round may take MORE_SEEDS times more seeds than the last one,
+    rounds are few.
+    """
+    state = materialize(large.select("doc_id", "group", F.col("doc_id").alias("label"), F.lit(True).alias("open")), "labels")
+    tokens = large.select("doc_id", "tokens")
+    seeds = SEEDS
+    while True:
+        open_ = state.filter("open")
+        labels = open_.groupBy("group", "label").agg(F.count("*").alias("n"))
+        groups = labels.groupBy("group").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+        groups = materialize(groups.select("group", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.n")).alias("rest")), "groups")
+        if groups.isEmpty():
+            return state.select(F.col("doc_id").alias("node"), F.col("label").alias("component"))
+        chance = F.pmod(F.xxhash64("doc_id", F.lit(seeds)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        round_ = open_.join(groups, "group").withColumn("seed", (F.col("label") != F.col("main")) & (chance * F.col("rest") < seeds))
+        round_ = materialize(round_.join(tokens.hint("shuffle_hash"), "doc_id"), "round")
+        cut = lambda c, w: F.greatest(F.ceil(F.sum(w) / held), F.ceil(F.sum(F.when(c, F.length("tokens")).otherwise(0)) / HELD_BYTES), F.lit(1)).cast("int")
+        chunks = round_.groupBy("group").agg(cut(F.lit(True), F.lit(1)).alias("parts"), cut(F.col("seed"), F.col("seed").cast("int")).alias("seed_parts"))
+        chunks = materialize(chunks, "chunks")
+        dealt = round_.join(chunks, "group")
+        place = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        docs = dealt.select("group", place("parts", "part").alias("i"), every("seed_parts").alias("j"), F.lit(False).alias("seed"), "label", "tokens")
+        chosen = dealt.filter("seed").select("group", every("parts").alias("i"), place("seed_parts", "seed").alias("j"), "seed", "label", "tokens")
+        links = docs.unionByName(chosen).groupBy("group", "i", "j").applyInArrow(_meet, "a long, b long")
+        joined = components(links).select(F.col("node").alias("label"), "component")
+        done = round_.filter("seed").select("doc_id", F.lit(True).alias("done"))
+        state = state.join(done, "doc_id", "left").join(joined, "label", "left")
+        state = materialize(state.select("doc_id", "group", F.coalesce("component", "label").alias("label"), (F.col("open") & F.col("done").isNull()).alias("open")), "labels")
+        seeds *= MORE_SEEDS
+
+
+def by_size(linked: DataFrame, held: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the groups that one task can hold, and those of larger ones."""
+    sizes = linked.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.length("tokens")).alias("bytes"))
+    large = materialize(sizes.filter((F.col("n") > held) | (F.col("bytes") > HELD_BYTES)).select("group"), "large")
+    return linked.join(large, "group", "left_anti"), linked.join(large, "group", "left_semi")
+
+
+def near_duplicates(documents: DataFrame, held: int = HELD) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id (smallest id of an equal set) and component_id
     (smallest id reachable by links).
 
@@ -391,8 +470,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     pairs = lists.mapInArrow(_candidates, "a long, b long, met long, need long, sure boolean")
     pairs = pairs.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need"), F.max("sure").alias("sure")).filter("sure or met >= need")
     groups = components(pairs.select("a", "b"))
-    linked = ordered.join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "tokens", F.col("component").alias("group"))
-    verified = linked.groupBy("group").applyInArrow(_verify, "node long, component long")
+    linked = materialize(ordered.join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "tokens", F.col("component").alias("group")), "linked")
+    small, large = by_size(linked, held)
+    verified = small.groupBy("group").applyInArrow(_verify, "node long, component long").unionByName(_verify_large(large, held))
     of_class = classes.join(verified, F.col("class_id") == F.col("node"), "left").select("n", "s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component"))
     out = sets.join(of_class, ["n", "s1", "s2"], "left")
     id_of = lambda c: F.when(F.col(c) != NULL, F.col(c)).alias(c)

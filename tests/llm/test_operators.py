@@ -160,6 +160,32 @@ def test_jaccard_join_of_copies_read_in_descending_order(spark):
     assert {r.doc_id: (r.class_id, r.component_id) for r in got} == {6: (5, 4), 5: (5, 4), 4: (4, 4), 3: (1, 1), 2: (2, 1), 1: (1, 1)}
 
 
+def test_jaccard_join_of_groups_beyond_a_task(spark):
+    rng = random.Random(3)
+    chain = [f"w{i}" for i in range(400)]
+    texts = [" ".join(chain[i * 2 : i * 2 + 60]) for i in range(60)]  # each links with its neighbours alone
+    base = [f"v{i}" for i in range(100)]
+    for edits in [1] * 40 + [4] * 20:  # some link with none
+        words = base[:]
+        for i in rng.sample(range(100), edits):
+            words[i] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs, held=8).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((want[a], want[b]))
+                want = [low if c == high else c for c in want]
+    assert got == dict(enumerate(want)) and 3 < len(set(want)) < 40
+    linked = spark.createDataFrame([(i, b"123456", i // 9) for i in range(22)], "doc_id long, tokens binary, group long")
+    small, large = jaccard_join.by_size(linked, 8)
+    assert {r.doc_id for r in small.collect()} == set(range(18, 22)) and large.count() == 18
+
+
 def test_bpe_is_the_library_and_decodes(docs, empty):
     from tokenizers import Tokenizer
 
