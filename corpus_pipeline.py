@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from landmesh.llm.bpe import digests
 from landmesh.llm.common import materialize, table
 from landmesh.llm.decontaminate import clean
-from landmesh.llm.jaccard_join import near_duplicates
+from landmesh.llm.jaccard_join import groups_of, keyed
 from landmesh.llm.quality import keep, learn_from
 from landmesh.llm.substring_dedup import removal
 
@@ -24,9 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates."""
-    stay = near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id")
-    return docs.join(stay.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    """The document of smallest id of each group of near duplicates.
+
+    Of rows of one id one stays if they are near duplicates, else all; a null id is the smallest.
+    """
+    rows = keyed(docs)
+    stay = groups_of(rows).filter("row_key = first_key").select("row_key")
+    return rows.join(stay.hint("shuffle_hash"), "row_key", "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """N-gram Jaccard join by adaptive multi-match prefixes, and the components of its links.
 
 A document is the set of its distinct five-word shingles; two link at a similarity of 0.8 or more.
-Documents of equal sets are one class, which its smallest id stands for.
+Documents of equal sets are one class. Rows have keys of their own here (`doc_id` within the steps);
+the ids of the table only say which row of a class or component is named as its first.
 
 1. Shingles that only one document has can't be shared. A document links with nothing unless four
    fifths of its shingles are shared by others; only such documents go on.
@@ -42,7 +43,6 @@ TOKEN = 6
 HELD, HELD_BYTES = 500, 8 << 20
 #: Seeds of a group in the first round, and how many times more in each next one.
 SEEDS, MORE_SEEDS = 16, 4
-NULL = -(1 << 63)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +74,10 @@ def _signatures(doc: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarr
 
 
 def _set_rows(batches):
-    """doc_id, n and a 128-bit signature of each document's set."""
+    """doc_id, id, n and a 128-bit signature of each document's set."""
     for batch, data, offsets in text_runs(batches):
         n, sums = _signatures(*shingles(data, offsets), batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *map(pa.array, sums)], ["doc_id", "n", "s1", "s2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *map(pa.array, sums)], ["doc_id", "id", "n", "s1", "s2"])
 
 
 def _width(span: int) -> int:
@@ -445,20 +445,25 @@ def by_size(linked: DataFrame, held: int) -> tuple[DataFrame, DataFrame]:
     return linked.join(large, "group", "left_anti"), linked.join(large, "group", "left_semi")
 
 
-def near_duplicates(documents: DataFrame, held: int = HELD) -> DataFrame:
-    """Per document: doc_id, n_shingles, class_id (smallest id of an equal set) and component_id
-    (smallest id reachable by links).
+def keyed(documents: DataFrame) -> DataFrame:
+    """documents with `row_key`, a number of each row's own; written once, so that it stays."""
+    return materialize(documents.withColumn("row_key", F.monotonically_increasing_id()), "rows")
 
-    Null, empty and wordless texts have no shingles and link with nothing; texts of fewer than five
-    words have their whole sequence as one shingle. Rows of equal id count as one document each
-    and are told apart by nothing; a null id counts as the smallest. An empty table gives no rows.
+
+def groups_of(rows: DataFrame, held: int = HELD) -> DataFrame:
+    """Per row of keyed documents: row_key, doc_id, n_shingles, class_id (smallest id of an equal
+    set), component_id (smallest id reachable by links) and first_key (the row of that id).
+
+    Ids only order the rows: a null one is the smallest, of equal ones the first row_key counts.
     """
-    spark = documents.sparkSession
-    parts = shuffle_parts(spark)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("doc_id"), "text")
-    sets = materialize(docs.mapInArrow(_set_rows, "doc_id long, n long, s1 long, s2 long"), "sets")
-    classes = sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
-    heads = classes.select(F.col("class_id").alias("doc_id"), "n")
+    parts = shuffle_parts(rows.sparkSession)
+    docs = rows.select(F.col("row_key").alias("doc_id"), "text")
+    own = rows.select(F.col("row_key").alias("doc_id"), F.col("doc_id").cast("long").alias("id"), "text")
+    sets = materialize(own.mapInArrow(_set_rows, "doc_id long, id long, n long, s1 long, s2 long"), "sets")
+    first = lambda c="first": F.min(c).alias("first")
+    classes = sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("head"), first(F.struct("id", "doc_id")))
+    classes = materialize(classes, "classes")
+    heads = classes.select(F.col("head").alias("doc_id"), "n")
     entries = docs.mapInArrow(_emit(parts, 4, True), ENTRIES).repartition(parts, "bucket")
     counts = entries.mapInArrow(_count_shared(parts), "bucket int, docs binary, a binary").repartition(parts, "bucket")
     shared = counts.mapInArrow(_sum_shared, "doc_id long, shared long")
@@ -473,10 +478,23 @@ def near_duplicates(documents: DataFrame, held: int = HELD) -> DataFrame:
     linked = materialize(ordered.join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "tokens", F.col("component").alias("group")), "linked")
     small, large = by_size(linked, held)
     verified = small.groupBy("group").applyInArrow(_verify, "node long, component long").unionByName(_verify_large(large, held))
-    of_class = classes.join(verified, F.col("class_id") == F.col("node"), "left").select("n", "s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component"))
-    out = sets.join(of_class, ["n", "s1", "s2"], "left")
-    id_of = lambda c: F.when(F.col(c) != NULL, F.col(c)).alias(c)
-    return out.select(F.col("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id")).select(id_of("doc_id"), "n_shingles", id_of("class_id"), id_of("component_id"))
+    of_class = classes.join(verified, F.col("head") == F.col("node"), "left").select("n", "s1", "s2", F.col("first").alias("class_first"), F.coalesce("component", "head").alias("component"))
+    of_class = materialize(of_class, "of_class")
+    of_class = of_class.join(of_class.groupBy("component").agg(first("class_first")), "component")
+    out = sets.join(of_class.drop("component"), ["n", "s1", "s2"], "left")
+    id_of = lambda c: F.when(F.col(c).isNull(), F.col("id")).otherwise(F.col(f"{c}.id"))
+    return out.select(F.col("doc_id").alias("row_key"), F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), id_of("class_first").alias("class_id"), id_of("first").alias("component_id"), F.coalesce("first.doc_id", "doc_id").alias("first_key"))
+
+
+def near_duplicates(documents: DataFrame, held: int = HELD) -> DataFrame:
+    """Per document: doc_id, n_shingles, class_id (smallest id of an equal set) and component_id
+    (smallest id reachable by links).
+
+    Null, empty and wordless texts have no shingles and link with nothing; texts of fewer than five
+    words have their whole sequence as one shingle. Every row is a document of its own, whether its
+    id is repeated or null; a null id counts as the smallest. An empty table gives no rows.
+    """
+    return groups_of(keyed(documents.select("doc_id", "text")), held).select("doc_id", "n_shingles", "class_id", "component_id")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

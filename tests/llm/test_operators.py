@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from landmesh.llm import bpe, chat, decontaminate, html_text, jaccard_join, lm_score, quality, substring_dedup, suffix_dedup, token_store
 from landmesh.llm.common import shared_dir
 
@@ -186,6 +187,16 @@ def test_jaccard_join_of_groups_beyond_a_task(spark):
     assert {r.doc_id for r in small.collect()} == set(range(18, 22)) and large.count() == 18
 
 
+def test_near_stage_of_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{p}{i}" for i in range(60)) for p in "abcd")
+    rows = [(7, a + " more", 1), (None, a, 2), (None, b, 3), (9, b + " x", 4), (5, c, 5), (5, c, 6), (5, d, 7), (4, d + " y", 8), (None, None, 9), (None, None, 10), (3, a, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").coalesce(1)
+    kept = [r.n_chars for r in corpus_pipeline.near(spark, docs, "").collect()]
+    assert len(kept) == 6 and {2, 3, 8, 9, 10} < set(kept) and len({5, 6} & set(kept)) == 1
+    got = Counter((r.doc_id, r.n_shingles, r.class_id, r.component_id) for r in jaccard_join.near_duplicates(docs).collect())
+    assert got == Counter([(7, 57, 7, None), (None, 56, None, None), (None, 56, None, None), (9, 57, 9, None), (5, 56, 5, 5), (5, 56, 5, 5), (5, 56, 5, 4), (4, 57, 4, 4), (None, 0, None, None), (None, 0, None, None), (3, 56, None, None)])
+
+
 def test_bpe_is_the_library_and_decodes(docs, empty):
     from tokenizers import Tokenizer
 
