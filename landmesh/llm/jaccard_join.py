@@ -42,7 +42,7 @@ TOKEN = 6
 #: Most documents and bytes of tokens of a group, or of a chunk of one, that a task takes at once.
 HELD, HELD_BYTES = 500, 8 << 20
 #: Seeds of a group in the first round, and how many times more in each next one.
-SEEDS, MORE_SEEDS = 16, 4
+SEEDS, MORE_SEEDS = 256, 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -386,6 +386,8 @@ def _meet(both: pa.Table) -> pa.Table:
         owner = np.repeat(np.arange(len(sets)), size)
         mark = np.zeros(len(known) + 1, dtype=bool)
         for k, mine in enumerate(theirs):
+            if (label == of_seed[k]).all():
+                continue
             at = np.searchsorted(known, mine)
             at = at[known[np.minimum(at, len(known) - 1)] == mine]
             mark[at] = True
