@@ -26,10 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests in local mode) a temporary folder takes its place.
+    Where the setting is absent, a session on one machine gets a temporary folder; on a cluster
+    that is an error, as executors would write where nobody reads.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -46,11 +50,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucketed(df: DataFrame, key: str = "bucket") -> DataFrame:
-    """Deal rows by an integer bucket; the number of partitions is that of shuffles."""
-    return df.repartition(shuffle_parts(df.sparkSession), F.col(key))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every bit depends on all bits of the input."""
     h = h.astype(np.uint64, copy=True)
@@ -96,6 +95,11 @@ def span_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def width_of(span: int) -> int:
+    """Bytes that numbers up to span need."""
+    return max(1, (int(span).bit_length() + 7) // 8)
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(WORD_SPACE)] = True
 _LOWER = np.arange(256, dtype=np.uint8)

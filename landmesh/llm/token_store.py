@@ -24,23 +24,26 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landmesh.llm.bpe import vocabulary_path
-from landmesh.llm.common import shared_dir, table
+from landmesh.llm.common import number, shared_dir, table, text_runs
 
 MAGIC = b"LMTOKEN1"
 FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK = 64 << 10
 #: Ids (with their texts' lengths unknown) of one shard, as bytes of text that it should hold.
 SHARD_BYTES = 32 << 20
+#: Most shards of a store; beyond, shards are larger. Their bounds and last keys pass the driver.
+MOST_SHARDS = 20_000
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Chunks of text whose ids a worker keeps.
-CACHE = 500_000
-#: Documents encoded together.
-ROWS = 512
+CACHE = 400_000
+#: Bytes of text encoded together.
+RUN = 4 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -208,29 +211,41 @@ class Encoder:
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """Packed ids of each text with end_id after them.
+    def encode(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """Packed ids of each text with end_id after them; null counts as empty.
 
-        No token of this vocabulary holds white space, so that what stands between spaces, tabs
-        and line ends can be encoded by itself; each distinct one goes to the library once.
+        No token of this vocabulary holds white space, so that what stands between it can be
+        encoded by itself; each distinct one goes to the library once, the rest is gathering.
         """
         if len(self.known) > CACHE:
             self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
-        chunks = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list(set().union(*chunks).difference(known))
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [c for c in chunks if c not in known]
         again = [c for c in new if c in older]
         known.update(zip(again, map(older.__getitem__, again), strict=True))
         if again:
             new = [c for c in new if c not in older]
         known.update(zip(new, self._encode_chunks(new), strict=True))
-        end = array(self.kind, [end_id]).tobytes()
-        out = [b"".join(map(known.__getitem__, doc)) + end for doc in chunks]
+        values = [*map(known.__getitem__, chunks), array(self.kind, [end_id]).tobytes()]
         for chunk in new:
             if len(chunk) > 64:
                 del known[chunk]
-        return out
-
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.width
+        first = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(values), dtype=f"<u{self.width}")
+        # The end stands after each text's chunks as one chunk more.
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        at = np.insert(coded.indices.to_numpy(), ends, len(chunks))
+        n = size[at]
+        total = np.cumsum(n)
+        take = np.repeat(first[at] - (total - n), n) + np.arange(total[-1] if len(total) else 0)
+        offsets = np.zeros(len(texts) + 1, dtype=np.int64)
+        offsets[1:] = total[ends + np.arange(len(ends))] * self.width
+        out = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(pool[take])])
+        return out.cast(pa.binary())
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """One call for all, with a special token between them that tells their ids apart."""
@@ -252,18 +267,39 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def shard_bounds(documents: DataFrame, shards: int) -> np.ndarray:
-    """The largest id of each shard but the last; only ids are read and sampled."""
-    ids = documents.select(F.col("doc_id").cast("long")).filter("doc_id is not null").repartitionByRange(shards, "doc_id")
-    tops = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("top")).orderBy("top").collect()
-    return np.array([r.top for r in tops][:-1], dtype=np.int64)
+def _placed(documents: DataFrame, *more: str) -> DataFrame:
+    """doc_id as long, place (where it sorts; null first), salt and more columns."""
+    doc_id = F.col("doc_id").cast("long")
+    salt = F.xxhash64(F.monotonically_increasing_id())
+    return documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("place"), salt.alias("salt"), *more)
+
+
+def shard_bounds(documents: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest (id, salt) of each shard but the last, at most MOST_SHARDS; only ids are read.
+
+    The salt spreads rows of one id over shards that follow each other; any value will do.
+    """
+    ids = _placed(documents).select("place", "salt").repartitionByRange(min(shards, MOST_SHARDS), "place", "salt")
+    tops = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("place", "salt")).alias("top")).orderBy("top").collect()
+    return np.array([r.top.place for r in tops][:-1], dtype=np.int64), np.array([r.top.salt for r in tops][:-1], dtype=np.int64)
+
+
+def shard_of(bounds: tuple[np.ndarray, np.ndarray], place: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The shard of each (id, salt): how many bounds are smaller."""
+    tops, salts = bounds
+    at, end = np.searchsorted(tops, place, side="left"), np.searchsorted(tops, place, side="right")
+    for x in np.unique(place[at < end]):  # ids that several shards have, or that a shard ends with
+        i = place == x
+        a, b = at[i][0], end[i][0]
+        at[i] = a + np.searchsorted(salts[a:b], salt[i], side="left")
+    return at
 
 
 def write(documents: DataFrame, folder: str, path: str | None = None, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode documents (doc_id, text) and write shards to `folder`; returns the manifest.
 
     Null text counts as empty and becomes end_id alone. Documents of equal or null id are all
-    kept. Only files that the manifest names count: a task that runs twice writes another file.
+    kept, in any order among themselves (null first); an empty table gives no shards. Only files that the manifest names count: a task that runs twice writes another file.
     """
     path = path or vocabulary_path("word_bpe_49k.json")
     spark = documents.sparkSession
@@ -272,13 +308,10 @@ def write(documents: DataFrame, folder: str, path: str | None = None, end_id: in
     width = encoder(path).width
 
     def encode(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
-                ids = part.column(0)
-                at = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
-                values = encoder(path).encode(part.column(1).to_pylist(), end_id)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), ids, pa.array(values, pa.binary())], ["shard", "doc_id", "ids"])
+        for batch, _, _ in text_runs(batches, most=RUN):
+            at = shard_of(bounds, number(batch, "place"), number(batch, "salt"))
+            values = encoder(path).encode(batch.column(3), end_id)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), values], ["shard", "doc_id", "ids"])
 
     def store(batches):
         fs, root = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
@@ -304,9 +337,8 @@ def write(documents: DataFrame, folder: str, path: str | None = None, end_id: in
         finish()
         yield pa.RecordBatch.from_pydict(done, pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    coded = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "shard int, doc_id long, ids binary")
-    n = len(bounds) + 1
-    coded.repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id")).mapInArrow(
+    coded = _placed(documents, "text").mapInArrow(encode, "shard int, doc_id long, ids binary")
+    coded.repartitionById(len(bounds[0]) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id")).mapInArrow(
         store, "shard int, file string, n_docs long, n_tokens long"
     ).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
@@ -333,8 +365,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         out, size = ([], [], []), 0
                 yield _rows(out)
 
-    n = max(1, manifest.count())
-    return files.repartition(n, "shard").mapInArrow(scan, "doc_id long, start long, ids binary")
+    n = (manifest.agg(F.max("shard")).first()[0] or 0) + 1
+    return files.repartitionById(n, "shard").mapInArrow(scan, "doc_id long, start long, ids binary")
 
 
 def _rows(out) -> pa.RecordBatch:
@@ -342,7 +374,11 @@ def _rows(out) -> pa.RecordBatch:
 
 
 def lookup(keys: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
-    """The ids of the documents in `keys` (doc_id), by filter, index and block, not by scans."""
+    """The ids of the documents in `keys` (doc_id), by filter, index and block, not by scans.
+
+    One row for each document of a key, also where keys repeat; null and unknown keys give none.
+    The shards' last keys, at most MOST_SHARDS, go to all tasks.
+    """
     files = manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(
         lambda batches: (
             pa.RecordBatch.from_arrays(
@@ -364,11 +400,14 @@ def lookup(keys: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
             rows: tuple[list, list] = ([], [])
             for doc_id in ids:
                 at = int(np.searchsorted(lasts, doc_id, side="left"))
-                if at < len(names):
+                while at < len(names):
                     shard = opened.get(names[at]) or opened.setdefault(names[at], open_shard(f"{folder}/{names[at]}"))
                     for value in shard.get(doc_id):
                         rows[0].append(doc_id)
                         rows[1].append(value.astype("<u4").tobytes())
+                    if lasts[at] != doc_id:  # else the next shard may go on with it
+                        break
+                    at += 1
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], ["doc_id", "ids"])
 
     return keys.select(F.col("doc_id").cast("long")).mapInArrow(find, "doc_id long, ids binary")
