@@ -1,45 +1,43 @@
 """LM scoring: marginal probability of a document over all segmentations of a subword lattice.
 
-A word's lattice holds every way to spell it with the pieces of a public vocabulary, and one more
-arc for the word as a whole, weighted by how often the training documents have it. The pieces'
-weights are that vocabulary's own scores, fitted to the distinct words of the training documents by
-expectation maximisation over the lattices. The forward recursion, in log space and for a batch of
-words at once, sums over all paths. A document is its words, each begun by a word-start piece, and
-an end; as pieces never run over words, its marginal is the product of its words' marginals.
+A word's lattice holds every way to spell it with the pieces of a public vocabulary, weighted by
+that vocabulary's own scores. The forward recursion, in log space and for a batch of words at once,
+sums over all paths. A document is its words, each begun by a word-start piece, and an end; as
+pieces never run over words, its marginal is the product of its words' marginals.
 
-The whole-word arc gets c / (N + V) and the pieces share V / (N + V), the chance of a word not met
-before (c: the word's count, N: all tokens, V: distinct tokens of the training documents).
+The vocabulary at hand has ranks for scores: piece number r gets the weight 1 / (100 + r), as in
+Zipf's law, and weights are divided by their sum. Nothing is fitted. What the training documents
+give is the add-one unigram model of `base_score`.
 
 The work is one pass over the texts, which leaves one row for each word of a few megabytes of
-text, a sum by word and a join by word; Spark splits hot words, of which there are many rows. Only
-the pieces' weights, as many as the vocabulary has, pass through the driver.
+text, a sum by word and a join by word; Spark splits hot words, of which there are many rows.
+Documents have row numbers of their own in between, so that equal ids stay apart.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landmesh.llm.bpe import vocabulary_path
-from landmesh.llm.common import materialize, number, table, text_runs
+from landmesh.llm.common import materialize, table, text_runs
 
 #: The token after each document's last word; no word is empty.
 END = ""
 #: Offset of the Zipf-Mandelbrot law that turns a piece's rank into its weight.
 RANK_OFFSET = 100.0
-#: Rounds of expectation maximisation, and how many words the public scores count for in them.
-ROUNDS, PRIOR = 3, 1000.0
 #: Bytes of text whose equal words share a row.
 RUN = 10 << 20
 #: Words whose lattices are computed together.
 WORDS = 20_000
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
 class Pieces:
@@ -56,18 +54,14 @@ class Pieces:
         least = weight.min()
         #: 256 bytes of equal weight, for characters that no piece has, and the end of a document.
         self.byte, self.end = len(ids), len(ids) + 1
-        self.prior = np.concatenate([weight, [256 * least, least]])
-        self.prior /= self.prior.sum()
+        weight = np.concatenate([weight, [256 * least, least]])
+        self.log_weight = np.log(weight / weight.sum())
         self.machine = ahocorasick.Automaton()
         for at, i in enumerate(ids):
             self.machine.add_word(model.id_to_piece(i), (len(model.id_to_piece(i)), at))
         self.machine.make_automaton()
         self.single = {model.id_to_piece(i) for i in ids if len(model.id_to_piece(i)) == 1}
 
-    def fitted(self, expected: np.ndarray) -> np.ndarray:
-        got = expected + PRIOR * self.prior
-        return np.log(got / got.sum())
-
 
 class Lattices:
     """The lattices of some words, side by side: nodes are places between characters."""
@@ -115,24 +109,8 @@ class Lattices:
             f[head] = np.logaddexp(f[head], f[self.tail[a:b]] + arcs[a:b])
         return f
 
-    def backward(self, arcs: np.ndarray) -> np.ndarray:
-        g = np.full(self.nodes, -np.inf)
-        g[self.last] = 0.0
-        for a, b in zip(self.steps[-2::-1], self.steps[:0:-1], strict=True):
-            tail = self.tail[a:b]
-            g[tail] = np.logaddexp(g[tail], g[self.head[a:b]] + arcs[a:b])
-        return g
-
-    def marginals(self, log_weight: np.ndarray) -> np.ndarray:
-        return self.forward(self.arcs(log_weight))[self.last]
-
-    def expected(self, log_weight: np.ndarray) -> np.ndarray:
-        """How often each piece is used, on average over the words' segmentations."""
-        arcs = self.arcs(log_weight)
-        f, g = self.forward(arcs), self.backward(arcs)
-        word = np.searchsorted(self.first, self.tail, side="right") - 1
-        share = np.exp(f[self.tail] + arcs + g[self.head] - f[self.last][word])
-        return np.bincount(self.piece, share * self.times, minlength=len(log_weight))
+    def marginals(self) -> np.ndarray:
+        return self.forward(self.arcs(self.pieces.log_weight))[self.last]
 
 
 _LOADED: dict[str, Pieces] = {}
@@ -144,31 +122,7 @@ def load(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log weights of the pieces after some rounds over the distinct words of a table."""
-    weight = np.log(load(path).prior)
-    for _ in range(rounds):
-
-        def run(batches, weight=weight):
-            pieces = load(path)
-            total = np.zeros(len(weight))
-            for batch in batches:
-                for i in range(0, batch.num_rows, WORDS):
-                    part = [w for w in batch.column(0).slice(i, WORDS).to_pylist() if w]
-                    total[pieces.end] += min(WORDS, batch.num_rows - i) - len(part)
-                    if part:
-                        total += Lattices(pieces, part).expected(weight)
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "n"])
-
-        expected = np.zeros(len(weight))
-        for row in words.select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-            expected[row.piece] = row.n
-        weight = load(path).fitted(expected)
-    return weight
-
-
-def with_lattice(words: DataFrame, weight: np.ndarray, path: str) -> DataFrame:
+def with_lattice(words: DataFrame, path: str) -> DataFrame:
     """words with the natural log of each word's marginal; that of the end for the empty word."""
 
     def run(batches):
@@ -178,8 +132,8 @@ def with_lattice(words: DataFrame, weight: np.ndarray, path: str) -> DataFrame:
                 part = batch.slice(i, WORDS)
                 column = part.column(0).to_pylist()
                 some = [w for w in column if w]
-                got = iter(Lattices(pieces, some).marginals(weight).tolist()) if some else iter(())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([next(got) if w else float(weight[pieces.end]) for w in column])], ["word", "c", "lattice"])
+                got = iter(Lattices(pieces, some).marginals().tolist()) if some else iter(())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([next(got) if w else float(pieces.log_weight[pieces.end]) for w in column])], ["word", "c", "lattice"])
 
     return words.select("word", "c").mapInArrow(run, "word string, c long, lattice double")
 
@@ -188,73 +142,76 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+_POSTINGS = pa.schema([("word", pa.string()), ("trained", pa.int64()), ("base", pa.int64()), ("docs", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64()))])
+
+
+def _run_postings(batch, data: np.ndarray, offsets: np.ndarray, base: int) -> pa.RecordBatch:
+    """The words of a run of texts, whose rows are numbered from base on."""
+    n = batch.num_rows
+    texts = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(_LOWER[data])])
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    word, doc = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+    if END in words:  # beside white space at a text's ends
+        some = word != words.index(END)
+        word, doc = word[some], doc[some]
+    word, doc = np.append(word, np.full(n, len(words))), np.append(doc, np.arange(n))
+    key, count = np.unique(word * n + doc, return_counts=True)
+    word, doc = key // n, key % n
+    head = np.flatnonzero(np.diff(word, prepend=-1))
+    out = batch.column(batch.schema.get_field_index("out")).to_numpy(zero_copy_only=False).astype(bool)
+    trained = np.add.reduceat(np.where(out[doc], 0, count), head)
+    ends = pa.array(np.append(head, len(word)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (doc, count)]
+    # The end stands in every text: its row carries the ids.
+    ids = pa.array([[]] * (len(head) - 1) + [batch.column(0).to_pylist()], pa.list_(pa.int64()))
+    names = pa.array(words + [END]).take(pa.array(word[head]))
+    return pa.RecordBatch.from_arrays([names, pa.array(trained.astype(np.int64)), pa.array(np.full(len(head), base)), *lists, ids], schema=_POSTINGS)
+
+
 def postings(documents: DataFrame) -> DataFrame:
-    """Rows of word, trained (its count in training documents), docs and counts; one row for each
-    word of a few megabytes of text."""
+    """For each word of a few megabytes of text: word, trained (its count in training documents),
+    base (number of the first row of that text), docs (rows after it) and counts; the end's row
+    has the rows' ids too."""
 
     def run(batches):
+        base = TaskContext.get().partitionId() << 33
         for batch, data, offsets in text_runs(batches, most=RUN):
-            ids, out = number(batch, "doc_id"), batch.column(2).to_pylist()
-            raw = data.tobytes().translate(_LOWER)
-            docs: dict[bytes, list[int]] = {}
-            counts: dict[bytes, list[int]] = {}
-            trained: Counter = Counter()
-            for i, doc_id in enumerate(ids.tolist()):
-                words = Counter(raw[offsets[i] : offsets[i + 1]].split())
-                words[b""] += 1
-                if not out[i]:
-                    trained.update(words)
-                for w, c in words.items():
-                    if w in docs:
-                        docs[w].append(doc_id)
-                        counts[w].append(c)
-                    else:
-                        docs[w], counts[w] = [doc_id], [c]
-            words = list(docs)
-            ends = np.zeros(len(words) + 1, dtype=np.int32)
-            np.cumsum([len(docs[w]) for w in words], out=ends[1:])
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array([x for w in words for x in kind[w]], t)) for kind, t in ((docs, pa.int64()), (counts, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in words]), pa.array([trained[w] for w in words], pa.int64()), *lists],
-                ["word", "trained", "docs", "counts"],
-            )
-
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text", held_out(F.col("doc_id")).alias("out"))
-    return rows.mapInArrow(run, "word string, trained long, docs array<long>, counts array<int>")
+            yield _run_postings(batch, data, offsets, base)
+            base += batch.num_rows
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("out"))
+    return rows.mapInArrow(run, "word string, trained long, base long, docs array<int>, counts array<int>, ids array<long>")
 
 
 def score(documents: DataFrame, path: str | None = None) -> DataFrame:
     """Score every document (doc_id, text) by what the documents that are not held out have.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and
-    score, both log10. Null text counts as empty, which is the end alone. Rows of one doc_id are
-    one document of all their tokens; rows of null doc_id too. Without training documents, every
-    token is new; an empty table gives no rows.
+    score (the lattice's), both log10; one row for each row, also of repeated or null ids. Null
+    text counts as empty, which is the end alone. A null id counts as the empty text for the
+    fold. Without training documents every token is new; an empty table gives no rows.
     """
     path = path or vocabulary_path("piece_bpe_32k.model")
     rows = materialize(postings(documents), "postings")
     words = materialize(rows.groupBy("word").agg(F.sum("trained").alias("c")), "words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = total.n, total.v
-    weight = fit(words.filter("c > 0"), path)
-    words = with_lattice(words, weight, path)
     c = F.col("c")
     base = F.log10((c + 1) / F.lit(float(n + v + 1)))
-    # In logs, as a long word's marginal may be under the least double.
-    whole = F.log(c / F.lit(float(max(1, n + v))))
-    pieces = F.col("lattice") + (math.log(v / (n + v)) if v else 0.0)
-    high, low = F.greatest(whole, pieces), F.least(whole, pieces)
-    model = F.when(c > 0, high + F.log1p(F.exp(low - high))).otherwise(pieces) / math.log(10)
-    joined = rows.select("word", "docs", "counts").join(words, "word").select(base.alias("b"), model.alias("m"), (c > 0).alias("known"), F.explode(F.arrays_zip("docs", "counts")).alias("p"))
+    scored = with_lattice(words, path).select("word", base.alias("b"), (F.col("lattice") / math.log(10)).alias("m"), (c > 0).alias("known"))
+    entry = F.explode(F.arrays_zip("docs", "counts", "ids")).alias("p")
+    joined = rows.select("word", "base", "docs", "counts", "ids").join(scored, "word").select("base", "b", "m", "known", entry)
     k = F.col("p.counts").cast("long")
-    sums = joined.groupBy(F.col("p.docs").alias("doc_id")).agg(
+    sums = joined.groupBy((F.col("base") + F.col("p.docs")).alias("row")).agg(
+        F.max("p.ids").alias("doc_id"),
         F.sum(k).alias("n_tokens"),
         F.sum(F.when(F.col("known"), k).otherwise(0)).alias("n_known"),
         F.sum(k * F.col("b")).alias("base_score"),
         F.sum(k * F.col("m")).alias("score"),
     )
-    doc_id = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
-    return sums.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
