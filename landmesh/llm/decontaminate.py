@@ -1,10 +1,14 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the items' word windows.
+"""Benchmark decontamination: an Aho-Corasick automaton over the items' word windows.
 
 Texts are normalised by lower-casing A-Z and keeping words of digits, letters and non-ASCII
 characters. Every word of the benchmark's vocabulary is one symbol, every other word of a
 document one more symbol that no pattern contains; the automaton holds the items' windows as
 strings of symbols, reads each document once, and word numbers map hits back to offsets of the
 original text.
+
+A benchmark of up to BLOCK_BYTES is one automaton, broadcast after its size is known. A larger one
+is dealt in blocks by hash, one automaton each: a written pass over the documents for each block,
+so that driver and tasks hold one block at a time.
 """
 
 from __future__ import annotations
@@ -14,13 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from landmesh.llm.common import table
+from landmesh.llm.common import materialize, table
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton. Larger benchmarks are taken in blocks of this size.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text in one automaton, which takes about 70 times as much memory.
+BLOCK_BYTES = 4 << 20
 
 #: Bytes that belong to words after lower-casing: digits, letters, and all of non-ASCII characters.
 _KEEP = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -33,7 +37,7 @@ _IS_WORD[65:91] = True
 ADDED = [
     StructField("n_words", LongType()),
     StructField("n_hit", LongType()),
-    StructField("items", ArrayType(LongType())),
+    StructField("items", ArrayType(StringType())),
     StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))),
 ]
 
@@ -51,12 +55,12 @@ def _symbol(i: int) -> str:
 class Windows:
     """The automaton over all windows of some benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.symbol: dict[bytes, str] = {}
-        found: dict[str, set[int]] = {}
+        found: dict[str, set[str | None]] = {}
         for item_id, text in items:
             words = normal_words(text)
-            if not words or item_id is None:
+            if not words:
                 continue
             for w in words:
                 self.symbol.setdefault(w, _symbol(len(self.symbol)))
@@ -70,11 +74,11 @@ class Windows:
             self.machine.make_automaton()
         self.any = bool(found)
 
-    def scan(self, text: str | None) -> tuple[int, np.ndarray, set[int]]:
+    def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str | None]]:
         """Number of words; which of them are hit; items whose windows occur."""
         words = normal_words(text)
         hit = np.zeros(0, dtype=bool)
-        items: set[int] = set()
+        items: set[str | None] = set()
         if self.any and words:
             symbol = self.symbol
             for end, (length, ids) in self.machine.iter("".join([symbol.get(w, "\0") for w in words])):
@@ -94,6 +98,10 @@ def word_offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
     return chars[start], chars[end]
 
 
+def _item_order(item: str | None):
+    return item is None, item or ""
+
+
 _BUILT: dict[int, Windows] = {}
 
 
@@ -120,39 +128,32 @@ def _scan_batches(shared, text_col: str, window: int, before: bool):
                             hit[np.searchsorted(start, s["start"]) : np.searchsorted(start, s["end"])] = True
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                     spans = [{"start": int(start[a]), "end": int(end[b - 1])} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                for column, v in zip(made, (n, int(hit.sum()), sorted({*items, *found}), spans), strict=True):
+                for column, v in zip(made, (n, int(hit.sum()), sorted({*items, *found}, key=_item_order), spans), strict=True):
                     column.append(v)
             keep = [i for i, f in enumerate(batch.schema) if f.name not in names]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *(pa.array(m, k) for m, k in zip(made, kinds, strict=True))], [*(batch.schema.field(i).name for i in keep), *names])
 
     return run
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """The benchmark in lists of at most block_bytes of text, read one after the other."""
-    block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text")).orderBy("item_id", "text").toLocalIterator():
-        if block and size + len(row.text or "") * 4 > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, row.text))
-        size += len(row.text or "") * 4
-    yield block
-
-
 def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """documents with n_words, n_hit, items and spans (character offsets of the hit words).
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is
-    one window. Null or empty text has no words and no hits; items without words match nothing;
-    equal items are all reported. Columns of those names are replaced. A benchmark beyond
-    block_bytes is scanned in blocks and each row's spans are merged.
+    one window. Null or empty text has no words and no hits; items without words match nothing.
+    Items are named by their id as text, equal ones all, each id once; items of null id hit as
+    any other and stand last, as one null. Every row of documents stays, columns of the four
+    names are replaced. An empty table gives no rows, an empty benchmark no hits.
     """
-    blocks = item_blocks(benchmark, block_bytes)
-    out = _with_block(documents, next(blocks), window, text, False)
-    for block in blocks:
-        out = _with_block(out, block, window, text, True)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    out = documents
+    for k in range(blocks):
+        mine = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        block = [(r.item, r.text) for r in mine.collect()]
+        out = _with_block(materialize(out, "blocks") if k else out, block, window, text, k > 0)
     return out
 
 
@@ -164,20 +165,23 @@ def _with_block(documents: DataFrame, block, window: int, text: str, before: boo
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any hit, with their own columns."""
-    return find(documents, benchmark, window).filter("n_hit = 0").select(*documents.columns)
+    """The documents without any hit, with their own columns, whatever they are called.
+
+    Null and empty texts have no hits and stay, as do rows of null or repeated id.
+    """
+    rows = documents.select("text", F.struct(*documents.columns).alias("__row"))
+    return find(rows, benchmark, window).filter("n_hit = 0").select("__row.*")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find(docs, table(spark, sf_dir, "benchmark"))
-    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
         F.size("spans").cast("long").alias("n_spans"),
     )

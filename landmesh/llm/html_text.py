@@ -1,15 +1,20 @@
 """HTML extraction: flat text blocks, classified by a decision tree.
 
 A page becomes a list of text blocks. Each has its number of words and its link density (the share
-of words inside links), those of the blocks before and after it, and where it stands: in a
-container of boilerplate by its tag, class, id or role, in a container of main content, in a
-heading. A tree trained on LABELLED, a small table of pages with a mark on each block, says which
-blocks are main text; the tree becomes a column expression over the array of blocks.
+of words inside links), those of the two blocks before and the two after it, whether it or a
+neighbour is a heading, and whether it stands inside an element that by the meaning of its tag
+holds no main text (navigation, footer, aside, form). No class, id or role is looked at. A tree
+trained on a small labelled table of pages says which blocks are main text; it becomes a column
+expression over the array of blocks.
+
+The labelled table has the pages of LABELLED, written by hand, and `drawn` ones, put together by
+rules from parts of pages with random lengths. `accuracy` measures the tree on pages drawn anew.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import random
 import re
 
 import pyarrow as pa
@@ -21,59 +26,124 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 
 from landmesh.llm.common import table
 
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "main", "heading", "page_main"]
+#: Places of the blocks whose words and links a block's features have, from itself.
+NEIGHBOURS = (0, -1, -2, 1, 2)
+FEATURES = [f"{kind}{k:+d}" for k in NEIGHBOURS for kind in ("words", "links")] + ["heading", "heading_before", "heading_after", "aside"]
+#: Drawn pages of the labelled table, and the tree's depth.
+DRAWN, DEPTH = 400, 9
 
 #: Elements whose content is no text (fixed values).
 SKIPPED = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "select", "textarea", "button", "canvas", "audio", "video"}
 #: Elements that do not end a block (fixed values).
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "ruby", "rt", "rp"}
-#: Elements without an end tag (fixed values).
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
-MAIN_TAGS = {"article", "main"}
-CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "p", "span", "body", "blockquote", "figure", "details", "fieldset", "li", "td", "tr", "tbody"} | BOILER_TAGS | MAIN_TAGS
-BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|nav\w*|menus?|side\w*|footer|header|masthead|comments?|commentlist|disqus\w*|repl(?:y|ies)|responses|cookies?|consent|notices?|gdpr|alert|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|popup|modal|login|search|widgets?|copyright|legal|byline|tags|skip)(?:$|[\s_-])",
-    re.I,
-)
-BOILER_ROLE = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert", re.I)
-MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story)(?:$|[\s_-])", re.I)
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Elements that hold no main text by the meaning of their tags (fixed values); a header does outside of MAIN only.
+ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
+MAIN = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"[>\"']")
+_SKIP_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)" + ("|(?=<body)" if tag in ("head", "title") else ""), re.I) for tag in SKIPPED}
 
 #: Pages whose blocks begin with + (main text) or - (not).
 LABELLED = [
     "<body><nav><ul><li><a>-Home</a></li><li><a>-News today</a></li></ul></nav><div class=ad>-Buy the best shoes in town now for less.</div><article><h1>+Council approves the new bridge</h1><p>+The council approved the bridge on Monday after a long debate about its cost and its route.</p><p>+Work starts soon.</p><p>+It</p></article><footer>-&copy; 2020 Daily News, all rights reserved to the owners.</footer></body>",
     "<body><header><a>-Site name</a><p>-Your local paper since the old days</p></header><main><h2>+A short guide</h2><p>+First, read the <a>manual</a> and keep it near you while you work on the engine.</p><ul><li>+Oil</li><li>+A clean cloth and some patience</li></ul></main><aside>-About the author: she has written many guides for this site over the last ten years.</aside></body>",
-    "<body><div class=menu><a>-One</a> <a>two</a> <a>three</a></div><div id=content><h1>+Rain expected</h1><p>+Heavy rain is expected in the north of the country during the whole week, forecasters said.</p><p>+Stay inside.</p></div><div class=sidebar><p>-Popular stories of this week that our readers liked most of all</p></div><div class=comments><p>-I think this is wrong, the weather was fine all week where I live and nobody said so.</p><p>-Agreed!</p></div></body>",
     "<body><div><a>-Start</a> | <a>About</a> | <a>Contact</a></div><div><p>+The old mill at the river was built by two brothers who came from the south with nothing but their tools.</p><p>+It burned down twice, and each time the village helped to build it again within a single summer.</p></div><div><a>-Imprint</a> <a>Privacy</a></div></body>",
-    "<body><article><h1>+Soup of the day</h1><p>+Cut the onions and fry them slowly in butter until they are soft and golden.</p><div class=share>-Share this with your friends</div><p>+Serve hot.</p><div class='related'><a>-More soups</a> <a>Bread recipes</a></div><form><p>-Enter your mail address to get our letter every week for free</p></form></article><footer>-Terms of use and other legal texts of this site can be found here</footer></body>",
-    "<body><div class='cookie-notice'>-We use cookies to make this site better for you; go on reading if you agree with that.</div><article><p><b>+Lead text that says what happened in a few bold words.<br>+The rest follows in a paragraph of its own with more detail.</p><p>+End.</p></article><div class=banner>-Now half price only this week in all our shops</div></body>",
-    "<body><div role=navigation><a>-A</a><a>-B</a></div><main><article><h1>+Words</h1><p>+Short.</p><p>+A much longer paragraph that goes on about words and their uses in daily life and in books.</p><aside>-Read our large report about dictionaries in the next issue of the magazine</aside><p>+Last words of the text.</p></article><section id=comments><h3>-Comments</h3><p>-Great text, thank you for it, I shall send it to all of my friends at once.</p></section></main></body>",
-    "<body><p>-<a>Log in</a></p><h1>+The long way home</h1><p>+He walked for three days through the forest before he saw the lights of the first farm again.</p><p>+Nobody had expected him to come back after so many months without a letter or any other sign.</p><p>-<a>Next</a> <a>Previous</a> <a>Top</a></p><p>-Copyright 2019</p></body>",
-    "<body><article><h1>+News</h1><p>+One.</p><p>+<a>A whole linked sentence in the article</a></p><p>+Two words.</p></article><footer><p>-&middot; example.net &middot; many words in a footer that look much like a text of the article</p></footer></body>",
+    "<body><div role=navigation><a>-A</a><a>-B</a></div><main><article><h1>+Words</h1><p>+Short.</p><p>+A much longer paragraph that goes on about words and their uses in daily life and in books.</p><aside>-Read our large report about dictionaries in the next issue of the magazine</aside><p>+Last words of the text.</p></article></main></body>",
+    "<body><p>-<a>Log in</a></p><h1>+The long way home</h1><p>+He walked for three days through the forest before he saw the lights of the first farm again.</p><p>+Nobody had expected him to come back after so many months without a letter or any other sign.</p><p>-<a>Next</a> <a>Previous</a> <a>Top</a></p></body>",
+    "<body><article><h1>+News</h1><p>+One.</p><p>+Two words.</p></article><footer><p>-&middot; example.net &middot; many words in a footer that look much like a text of the article</p></footer></body>",
     "<body><nav><a>-One</a></nav><article><h1>+Cut off</h1><p>+This page was cut off before its end, as pages of a crawl often are.</p><p>+The last",
     "<body><nav><a>-One</a></nav><article><p>+Only a paragraph that is cut off in the middle of its very long last",
-    "<body><article><h2>+List</h2><ul><li>+<a>First linked entry</a></li><li>+<a>Second</a></li></ul><p>+End of it",
 ]
 
 _BLOCK = StructType([StructField("text", StringType()), StructField("f", ArrayType(DoubleType()))])
 
 
+def drawn(pages: int, seed: int) -> list[str]:
+    """Pages as those of LABELLED, from parts of pages that follow each other as they mostly do."""
+    rng = random.Random(seed)
+
+    def words(least: int, most: int) -> str:
+        return " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(least, most)))
+
+    def links(least: int, most: int, size: int, around: str) -> str:
+        return "".join(f"<{around}><a>-{words(1, size)}</a></{around}>" for _ in range(rng.randint(least, most)))
+
+    def block(mark: str, least: int, most: int, tag: str = "p") -> str:
+        return f"<{tag}>{mark}{words(least, most)}</{tag}>"
+
+    def paragraphs() -> str:
+        out = []
+        for _ in range(rng.choice([1, 2, 3, 5, 8, 12])):
+            kind = rng.random()
+            if kind < 0.7:
+                out.append(f"<p>+{words(8, 90)}" + (f" <a>{words(1, 4)}</a> {words(2, 20)}" if rng.random() < 0.2 else "") + "</p>")
+            elif kind < 0.85:
+                out.append(block("+", 1, 8))
+            elif kind < 0.9:
+                out.append(block("+", 2, 9, "h2") + block("+", 10, 80))
+            elif kind < 0.95:
+                out.append("<ul>" + "".join(block("+", 1, 15, "li") for _ in range(rng.randint(2, 5))) + "</ul>" + block("+", 10, 80))
+            else:
+                out.append(f"<aside>-{words(4, 30)}</aside>" + block("+", 10, 80))
+        return "".join(out)
+
+    def page() -> str:
+        top = rng.choice(
+            [
+                lambda: f"<nav><ul>{links(3, 12, 3, 'li')}</ul></nav>",
+                lambda: f"<div>{links(3, 12, 3, 'span')}</div>",
+                lambda: f"<header><p>-{words(1, 8)}</p></header><nav>{links(2, 9, 3, 'li')}</nav>",
+                lambda: "",
+            ]
+        )()
+        if "<span>" in top:  # one flat block
+            top = "<div>-" + top[5:].replace("-", "")
+        notice = rng.choice([lambda: "", lambda: f"<div>-{words(2, 25)}</div>", lambda: f"<div>-{words(6, 25)} <a>{words(1, 2)}</a></div>"])() if top else ""
+        title = block("+", 2, 18, "h1") if rng.random() < 0.9 or notice else ""
+        body = ("" if rng.random() < 0.7 else f"<p>-<a>{words(1, 3)}</a></p>" if not title else "") + title + paragraphs()
+        body = rng.choice([f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"])
+        share = rng.choice(["", "", f"<div>{links(2, 5, 2, 'p')}</div>"])
+        related = rng.choice(["", "", f"<h3>-{words(1, 3)}</h3>{links(3, 8, 12, 'li')}"])
+        comments = "".join(f"<div><p>-<a>{words(1, 2)}</a></p><p>-{words(3, 60)}</p><p>-<a>{words(1, 2)}</a></p></div>" for _ in range(rng.choice([0, 0, 0, 1, 3, 6])))
+        foot = rng.choice([f"<footer>-{words(3, 30)}</footer>", f"<footer><p>-{words(3, 30)} <a>{words(1, 4)}</a></p></footer>", f"<div>{links(2, 6, 2, 'p')}</div>", ""])
+        return "<body>" + top + notice + body + share + related + comments + foot + "</body>"
+
+    return [page() for _ in range(pages)]
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag whose attributes begin here is over.
+
+    A quote without an end goes for nothing. Such a quote is the last of its kind on the page, and
+    all else that is looked at is left behind, so that a page takes linear time.
+    """
+    while True:
+        m = _STOP.search(page, at)
+        if m is None:
+            return len(page)
+        if m[0] == ">":
+            return m.end()
+        close = page.find(m[0], m.end())
+        if close < 0:
+            end = page.find(">", m.end())
+            return end + 1 if end >= 0 else len(page)
+        at = close + 1
+
+
 def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     """(text, FEATURES) of each block of a page, in page order; null or empty: none."""
     page = page or ""
-    found: list[list] = []  # text parts, words, linked words, boiler, main, heading
+    found: list[tuple[str, int, int, bool, bool]] = []  # text, words, linked words, heading, aside
     text: list[str] = []
-    linked = boiler = main = 0
-    heading = False
-    stack: list[tuple[str, int, int]] = []
-    seen_main = False
-    words = link_words = 0
+    words = link_words = asides = mains = 0
+    linked = heading = False
+    opened = dict.fromkeys(ASIDE, 0)
 
     def add(raw: str) -> None:
         nonlocal words, link_words
+        raw = html_lib.unescape(raw) if "&" in raw else raw
         n = len(raw.split())
         words += n
         link_words += n if linked else 0
@@ -81,124 +151,84 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
 
     def end() -> None:
         nonlocal words, link_words
-        if text:
-            whole = " ".join("".join(text).split())
-            if whole:
-                found.append([whole, words, link_words, boiler > 0, main > 0, heading])
-            text.clear()
+        if words:
+            found.append((" ".join("".join(text).split()), words, link_words, heading, asides > 0))
+        text.clear()
         words = link_words = 0
 
     at, n = 0, len(page)
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
+        begin = page.find("<", at)
+        m = _OPEN.match(page, begin) if begin >= 0 else None
+        if begin < 0:
+            add(page[at:])
             break
-        if m.start() > at:
-            add(html_lib.unescape(page[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+        if m is None:  # a sign of the text, if it isn't what is left of a tag
+            if begin + 1 < n:
+                add(page[at : begin + 1])
+            elif begin > at:
+                add(page[at:begin])
+            at = begin + 1
+            continue
+        if begin > at:
+            add(page[at:begin])
+        tag, closing = (m[2] or "").lower(), bool(m[1])
+        if not tag:
+            stop = "-->" if m[0] == "<!--" else ">"
+            close = page.find(stop, m.end())
+            at = close + len(stop) if close >= 0 else n
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        at = _tag_end(page, m.end())
         if tag in SKIPPED:
-            if not closing and not m[0].endswith("/>"):
-                if tag not in INLINE:
-                    end()
+            if not closing and page[at - 2 : at] != "/>":
+                end()
                 # Without its end tag, a script or style runs to the end; a head ends at the body.
-                stop = re.compile(rf"</{tag}\s*(?:>|\Z)" + ("|(?=<body)" if tag in ("head", "title") else ""), re.I).search(page, at)
+                stop = _SKIP_END[tag].search(page, at)
                 at = stop.end() if stop else n
-            continue
-        if tag == "a":
-            linked = 0 if closing else 1
-            continue
-        if tag == "br":
+        elif tag == "a":
+            linked = not closing
+        elif tag == "br":
             add("\n")
-            continue
-        if tag not in INLINE:
+        elif tag not in INLINE:
             end()
-            if re.fullmatch(r"h[1-6]", tag):
+            linked = False
+            if tag in HEADINGS:
                 heading = not closing
-        if tag in CONTAINERS and tag not in VOID:
-            if closing:
-                if any(x[0] == tag for x in stack):
-                    while True:
-                        name, b, k = stack.pop()
-                        boiler -= b
-                        main -= k
-                        if name == tag:
-                            break
-                    linked = 0 if tag not in INLINE else linked
-            elif tag not in ("p", "li", "td", "tr", "span") or m[3].strip():
-                if tag in ("p", "li") and stack and stack[-1][0] == tag:  # an open one ends here
-                    _, b, k = stack.pop()
-                    boiler -= b
-                    main -= k
-                b, k = _container(tag, m[3])
-                if b and tag in INLINE:
-                    end()
-                if tag == "header" and main and not m[3].strip():
-                    b = 0  # an article's own header has its title
-                seen_main |= bool(k)
-                stack.append((tag, b, k))
-                boiler += b
-                main += k
-            if not closing and tag in BOILER_TAGS | MAIN_TAGS:
-                linked = 0
-    if at < n:
-        rest = page[at:]
-        add(html_lib.unescape(rest if rest[0] != "<" or len(rest) > 1 and not re.match(r"[a-zA-Z/!?]", rest[1]) else ""))
+            elif tag in MAIN:
+                mains = max(0, mains + (-1 if closing else 1))
+            elif tag in ASIDE and not (tag == "header" and mains):
+                step = (-1 if opened[tag] else 0) if closing else 1
+                opened[tag] += step
+                asides += step
     end()
-    density = [b[2] / max(1, b[1]) for b in found]
-    size = [float(b[1]) for b in found]
+    return [(b[0], _features(found, i)) for i, b in enumerate(found)]
+
+
+def _features(found: list, i: int) -> list[float]:
     out = []
-    for i, (whole, _, _, in_boiler, in_main, head) in enumerate(found):
-        before, after = (i - 1, i + 1)
-        out.append(
-            (
-                whole,
-                [
-                    size[i],
-                    density[i],
-                    size[before] if before >= 0 else 0.0,
-                    density[before] if before >= 0 else 0.0,
-                    size[after] if after < len(found) else 0.0,
-                    density[after] if after < len(found) else 0.0,
-                    float(in_boiler),
-                    float(in_main),
-                    float(head),
-                    float(seen_main),
-                ],
-            )
-        )
-    return out
-
-
-def _container(tag: str, attributes: str) -> tuple[int, int]:
-    """Whether an element holds boilerplate, whether main content."""
-    boiler, main = int(tag in BOILER_TAGS), int(tag in MAIN_TAGS)
-    if attributes.strip() and tag != "body":
-        for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id"):
-                if BOILER_NAME.search(value):
-                    boiler = 1
-                elif MAIN_NAME.search(value):
-                    main = 1
-            elif name == "role":
-                boiler = boiler or int(bool(BOILER_ROLE.search(value)))
-                main = main or int(value.lower() in ("main", "article"))
-            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                boiler = 1
-    return boiler, 0 if boiler and tag not in MAIN_TAGS else main
-
-
-def labelled_table(spark: SparkSession, pages: list[str] | None = None) -> DataFrame:
-    """The labelled blocks as rows of label and features."""
-    rows = [(float(text[0] == "+"), Vectors.dense(f)) for page in pages or LABELLED for text, f in blocks(page)]
-    return spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
-
-
-def train(spark: SparkSession, pages: list[str] | None = None, depth: int = 5):
-    return DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=1, seed=1).fit(labelled_table(spark, pages))
+    for k in NEIGHBOURS:
+        b = found[i + k] if 0 <= i + k < len(found) else None
+        out += [float(b[1]), b[2] / b[1]] if b else [0.0, 0.0]
+    near = [found[i + k][3] if 0 <= i + k < len(found) else False for k in (0, -1, 1)]
+    return [*out, *map(float, near), float(found[i][4])]
+
+
+def labelled(pages: list[str]) -> list[tuple[float, list[float]]]:
+    """(label, FEATURES) of the blocks of marked pages."""
+    return [(float(text[0] == "+"), f) for page in pages for text, f in blocks(page)]
+
+
+def train(spark: SparkSession, pages: list[str] | None = None, depth: int = DEPTH):
+    """A decision tree over the labelled table: the given pages, or LABELLED and drawn ones."""
+    rows = [(label, Vectors.dense(f)) for label, f in labelled(pages or LABELLED * 5 + drawn(DRAWN, 1))]
+    data = spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
+    return DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=3, maxBins=128, seed=1).fit(data)
+
+
+def accuracy(model, pages: list[str]) -> float:
+    """Share of the blocks of marked pages that the tree tells right."""
+    rows = labelled(pages)
+    return sum(model.predict(Vectors.dense(f)) == label for label, f in rows) / max(1, len(rows))
 
 
 def tree_column(model, f: Column) -> Column:
@@ -231,7 +261,8 @@ def with_blocks(pages: DataFrame, html: str = "html", out: str = "blocks") -> Da
 def extract(pages: DataFrame, model=None, html: str = "html", text: str = "text") -> DataFrame:
     """pages with the main text, its blocks joined by one space, instead of the html.
 
-    A null or empty page, and a page without main blocks, has an empty text.
+    A null or empty page, and a page without main blocks, has an empty text. Every row stays, also
+    of null or repeated id; a column named `text` is replaced. An empty table gives no rows.
     """
     model = model or train(pages.sparkSession)
     split = with_blocks(pages, html, "__blocks")

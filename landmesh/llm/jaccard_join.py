@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landmesh.llm.anchors import pack, unpack
-from landmesh.llm.common import WORD_BASE, Words, materialize, mix, number, prefix_hash, shuffle_parts, span_hash, table, text_runs
+from landmesh.llm.common import WORD_BASE, Words, materialize, mix, number, prefix_hash, shuffle_parts, span_hash, table, text_runs, width_of
 
 WORDS, PERCENT = 5, 80
 CHUNK = 16 << 20
@@ -80,10 +80,6 @@ def _set_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *map(pa.array, sums)], ["doc_id", "id", "n", "s1", "s2"])
 
 
-def _width(span: int) -> int:
-    return max(1, (int(span).bit_length() + 7) // 8)
-
-
 _ENTRIES = pa.schema([("bucket", pa.int32()), ("base", pa.int64()), ("width", pa.int32()), ("size", pa.int32()), ("passes", pa.binary()), ("tokens", pa.binary()), ("docs", pa.binary())])
 ENTRIES = "bucket int, base long, width int, size int, passes binary, tokens binary, docs binary"
 
@@ -91,7 +87,7 @@ ENTRIES = "bucket int, base long, width int, size int, passes binary, tokens bin
 def _deal(doc: np.ndarray, token: np.ndarray, parts: int, size: int) -> pa.RecordBatch:
     """One row of entries for each bucket: by pass, tokens sorted and as differences."""
     base = int(doc.min(initial=0))
-    width = _width(int(doc.max(initial=0)) - base)
+    width = width_of(int(doc.max(initial=0)) - base)
     cell = (token % np.uint64(parts * PASSES)).astype(np.int64)
     cell = cell % parts * PASSES + cell // parts
     value = token >> np.uint64(64 - 8 * size)

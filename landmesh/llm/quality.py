@@ -198,20 +198,26 @@ def learn_from(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def judge(documents: DataFrame, rules: list[Rule]) -> DataFrame:
-    """documents with counts, features, base_failed, rule (null if none fired) and kept."""
+    """documents with counts, features, base_failed, rule (null if none fired) and kept.
+
+    Every row stays, also of null or repeated id; null text has no words and fails the base rules.
+    Columns of the added names are replaced. An empty table gives no rows.
+    """
     out = with_counts(documents).withColumns(features()).withColumn("base_failed", base_failed())
     out = out.withColumn("rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def keep(documents: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The documents that are kept, with their own columns.
+    """The documents that are kept, with their own columns, whatever they are called; each row is
+    judged by itself, so that rows of null or repeated id stay or go by their texts.
 
-    The row number keeps the filter above the counts: pushed below, it would hold the counts'
-    expressions many times over.
+    The row number keeps the filter above the counts (Spark pushes none below a column that isn't
+    deterministic): pushed below, it would hold the counts' expressions many times over.
     """
-    judged = judge(documents, rules).withColumn("__at", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("__at") >= 0)).select(*documents.columns)
+    rows = documents.select("text", F.struct(*documents.columns).alias("__row"))
+    judged = judge(rows, rules).withColumn("__at", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("__at") >= 0)).select("__row.*")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

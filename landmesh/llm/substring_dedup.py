@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from landmesh.llm.anchors import HOT, WINDOWS_OF, Spec, covered, with_windows
+from landmesh.llm.anchors import HINT, HOT, HOT_LEAST, NULL_ID, WINDOWS_OF, Spec, covered, numbered, with_windows
 from landmesh.llm.common import Words, table, text_runs
 
 WINDOW = 50
@@ -84,7 +84,7 @@ class FmIndex:
         return self.before[symbol] + self.rank(symbol, low), self.before[symbol] + self.rank(symbol, high)
 
 
-def earlier_windows(spec: Spec, doc: np.ndarray, at: np.ndarray, n: np.ndarray, raw: np.ndarray):
+def earlier_windows(spec: Spec, doc: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray, raw: np.ndarray):
     """Windows of the contexts that a document of smaller id has in its contexts."""
     _, symbols = np.unique(raw, return_inverse=True)
     size = n + spec.window - 1
@@ -118,25 +118,24 @@ def earlier_windows(spec: Spec, doc: np.ndarray, at: np.ndarray, n: np.ndarray,
             edges = np.stack([lows, highs], axis=1).reshape(-1)
             first = np.minimum.reduceat(np.append(holder, np.iinfo(np.int64).max), edges)[::2]
             hit = live[first[which] < doc[of[live]]]
-            owners.append(doc[of[hit]])
+            owners.append(of[hit])
             places.append(at[of[hit]] + end[hit] - spec.window - begin[of[hit]])
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *owners]), np.concatenate([none, *places])
 
 
-def removal(documents: DataFrame, window: int = WINDOW, gram: int = 10, extra: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
-    """Per document: doc_id, the extra columns, n_words, n_removed and kept (the kept words joined
-    by one space).
+def removal(documents: DataFrame, window: int = WINDOW, gram: int = 10, carry: tuple[str, ...] = (), hot: int = HOT, share: float = HINT, least: int = HOT_LEAST) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed and kept (the kept words joined by one space), and
+    the columns named in `carry` as one struct of that name, whatever they are called.
 
     A word is removed if a window of words covers it that also starts in a document of smaller id,
     judged on the whole input. Null text has no words; texts of fewer words than a window lose
-    none; repeats inside one document stay. Rows of equal id don't count against each other; a
-    null id counts as the smallest.
+    none; repeats inside one document stay. Each row is a document: rows of equal id don't count
+    against each other; a null id is less than all others. An empty table gives no rows.
     """
     spec = Spec(window, gram, words=True, within=False, hot=hot)
-    null = -(1 << 63)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null)).alias("doc_id"), "text", *(c for c in extra if c != "text"))
-    through = ["doc_id", *extra]
+    docs = numbered(documents, carry)
+    through = [c for c in ("doc_id", "carry") if c in docs.columns]
 
     def run(batches):
         for batch, data, offsets in text_runs(batches):
@@ -157,8 +156,8 @@ def removal(documents: DataFrame, window: int = WINDOW, gram: int = 10, extra: t
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in through), pa.array(words.count, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*through, "n_words", "n_removed", "kept"])
 
     schema = StructType([*(docs.schema[c] for c in through), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
-    out = with_windows(docs, spec, earlier_windows).mapInArrow(run, schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != null, F.col("doc_id")))
+    out = with_windows(docs, spec, earlier_windows, share, least).mapInArrow(run, schema)
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from landmesh.llm.anchors import HOT, WINDOWS_OF, Spec, covered, with_windows
+from landmesh.llm.anchors import HINT, HOT, HOT_LEAST, NULL_ID, WINDOWS_OF, Spec, covered, earliest, numbered, with_windows
 from landmesh.llm.common import table, text_runs
 
 LENGTH = 100
@@ -131,38 +131,30 @@ def sort_suffixes(raw: np.ndarray, starts: np.ndarray, limit: int = LENGTH) -> t
     return order, new
 
 
-def earlier_windows(spec: Spec, doc: np.ndarray, at: np.ndarray, n: np.ndarray, raw: np.ndarray):
+def earlier_windows(spec: Spec, doc: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray, raw: np.ndarray):
     """Windows of the contexts whose bytes start in an earlier place of the contexts."""
     size = n + spec.window - 1
     begin = np.cumsum(size) - size
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     starts = np.repeat(begin, n) + inside
     order, new = sort_suffixes(raw, starts, spec.window)
-    owner, place = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
-    owner[starts], place[starts] = np.repeat(doc, n), np.repeat(at, n) + inside
-    group = np.cumsum(new) - 1
-    by = np.lexsort((place[order], owner[order], group))
-    later = order[by][~_first(group[by])]
-    return owner[later], place[later]
+    of, place = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+    of[starts], place[starts] = np.repeat(np.arange(len(n)), n), np.repeat(at, n) + inside
+    of, place = of[order], place[order]
+    by, _, _, later = earliest(spec, np.cumsum(new), doc[of], row[of], place)
+    return of[by[later]], place[by[later]]
 
 
-def _first(group: np.ndarray) -> np.ndarray:
-    out = np.ones(len(group), dtype=bool)
-    out[1:] = group[1:] != group[:-1]
-    return out
-
-
-def removal(documents: DataFrame, length: int = LENGTH, gram: int = 32, hot: int = HOT) -> DataFrame:
+def removal(documents: DataFrame, length: int = LENGTH, gram: int = 32, hot: int = HOT, share: float = HINT, least: int = HOT_LEAST) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (runs of removed bytes) and kept, binary.
 
     A byte is removed if a string of `length` bytes covers it that also starts earlier: in a
     document of smaller id, or in the same one before; strings never cross documents, may overlap
-    and are judged on the input. Null text is empty; shorter texts lose nothing. Rows of equal id
-    count as one place: of equal strings at one offset none is removed. A null id comes first.
+    and are judged on the input. Null text is empty; shorter texts lose nothing. Each row is a
+    document: of rows of equal id none is earlier than another. A null id is less than all others.
+    An empty table gives no rows; other columns are not looked at.
     """
     spec = Spec(length, gram, words=False, within=True, hot=hot)
-    null = -(1 << 63)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null)).alias("doc_id"), "text")
 
     def run(batches):
         for batch, data, offsets in text_runs(batches):
@@ -181,8 +173,8 @@ def removal(documents: DataFrame, length: int = LENGTH, gram: int = 32, hot: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = StructType([*(StructField(k, LongType()) for k in ("doc_id", "n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
-    out = with_windows(docs, spec, earlier_windows).mapInArrow(run, schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != null, F.col("doc_id")))
+    out = with_windows(numbered(documents), spec, earlier_windows, share, least).mapInArrow(run, schema)
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
