@@ -38,11 +38,11 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents that lose nothing keep their text as it is; those that lose all their words go.
     """
-    extra = tuple(c for c in docs.columns if c != "doc_id")
-    out = removal(docs, extra=extra).filter("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
-    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    out = removal(docs, carry=tuple(docs.columns)).filter("n_removed = 0 or n_removed < n_words")
+    less = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    old = {c: F.col(f"carry.`{c}`") for c in docs.columns}
+    new = {c: F.when(F.col("n_removed") > 0, v.cast(docs.schema[c].dataType)).otherwise(old[c]) for c, v in less.items() if c in old}
+    return out.select(*((new.get(c, old[c])).alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
