@@ -241,8 +241,8 @@ def _windows(kind: int, doc: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.
         yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(rows[j]), pa.array([kind] * len(ids[j]), pa.int32()), pa.array(places[j], pa.binary()), pa.array(counts[j], pa.binary())], schema=_WINDOWS)
 
 
-def _row_bucket(row: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(row.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+def _row_bucket(doc: np.ndarray, row: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(mix(doc.view(np.uint64)) ^ row.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
 def _emit_records(spec: Spec, parts: int, hot: HotGrams):
@@ -251,7 +251,7 @@ def _emit_records(spec: Spec, parts: int, hot: HotGrams):
         order, _, _, later = earliest(spec, c, doc, row, at, h)
         doc, row, at, n, h, is_hot, c = (x[order] for x in (doc, row, at, n, h, is_hot, c))
         ids, keys, (places, counts) = _by_row(doc[later], row[later], at[later].astype("<i4"), n[later].astype("<i4"))
-        rows = [[b, i, r, False, 0, p, k, None, None, None, None] for b, i, r, p, k in zip(_row_bucket(keys, parts).tolist(), ids.tolist(), keys.tolist(), places, counts, strict=True)]
+        rows = [[b, i, r, False, 0, p, k, None, None, None, None] for b, i, r, p, k in zip(_row_bucket(ids, keys, parts).tolist(), ids.tolist(), keys.tolist(), places, counts, strict=True)]
         doc, row, at, n, h, is_hot, c = (x[~later] for x in (doc, row, at, n, h, is_hot, c))
         base = int(doc.min(initial=np.iinfo(np.int64).max))
         size = width_of(int(doc.max(initial=base)) - base)
@@ -365,7 +365,7 @@ def _emit_contexts(spec: Spec, parts: int, hot_grams: HotGrams):
                 if len(gone):
                     x = doc[gone]
                     some, rows, (places, counts) = _by_row(ids[x], keys[x], (at[gone] - r.first[x]).astype("<i4"), np.ones(len(gone), "<i4"))
-                    for column, v in zip(out, (_row_bucket(rows, parts).tolist(), some.tolist(), rows.tolist(), places, counts, [None] * len(some), [None] * len(some), [None] * len(some)), strict=True):
+                    for column, v in zip(out, (_row_bucket(some, rows, parts).tolist(), some.tolist(), rows.tolist(), places, counts, [None] * len(some), [None] * len(some), [None] * len(some)), strict=True):
                         column += v
                     stay = np.ones(len(doc), dtype=bool)
                     stay[gone] = False
