@@ -12,10 +12,17 @@ from landmesh.functions import scoring as sc
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the cluster's shared folder and read again, so that its lineage ends there."""
+    """df written to the cluster's shared folder and read again, so that its lineage ends there.
+
+    Without spark.checkpoint.dir, a session on one machine gets a temporary folder; on a cluster
+    that is an error.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

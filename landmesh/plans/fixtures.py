@@ -83,7 +83,7 @@ def ctes(*names: str) -> str:
 
     for name in names:
         visit(name)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({FIXTURES[n]})" for n in order)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS MATERIALIZED ({FIXTURES[n]})" for n in order)
 
 
 def properties(features: DataFrame) -> DataFrame:

@@ -44,7 +44,8 @@ _BOX_AREAS = "((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0)"
 _DISTANCE = "sqrt(pow((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2, 2) + pow((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2, 2))"
 _PAIRS = f"""SELECT a.feature_id AS a_id, b.feature_id AS b_id, a.ward, a.source_type AS a_type, b.source_type AS b_type,
   CASE WHEN a.is_polygon AND b.is_polygon THEN {_BOX_OVERLAP} / ({_BOX_AREAS} - {_BOX_OVERLAP})) END AS iou, {_DISTANCE} AS d
-  FROM features a JOIN features b ON a.ward = b.ward AND a.feature_id < b.feature_id AND a.source_type <> b.source_type
+  FROM (SELECT *, floor((x0 + x1) / 128) + i AS cx, floor((y0 + y1) / 128) + j AS cy FROM features CROSS JOIN (VALUES (-1), (0), (1)) u(i) CROSS JOIN (VALUES (-1), (0), (1)) v(j)) a
+  JOIN (SELECT *, floor((x0 + x1) / 128) AS cx, floor((y0 + y1) / 128) AS cy FROM features) b ON a.ward = b.ward AND a.cx = b.cx AND a.cy = b.cy AND a.feature_id < b.feature_id AND a.source_type <> b.source_type
   AND a.x0 - 33 <= b.x1 AND b.x0 - 33 <= a.x1 AND a.y0 - 33 <= b.y1 AND b.y0 - 33 <= a.y1"""
 
 
@@ -67,7 +68,10 @@ def _edges(spark, sf_dir):
     return pairs.select("a_id", "b_id", F.concat_ws("-", "a_type", "ward").alias("a_source"), F.concat_ws("-", "b_type", "ward").alias("b_source"), "match_score", F.lit(False).alias("locked"))
 
 
-@query()
+@query(f"""{ctes('features')}, e AS MATERIALIZED (SELECT a_id, b_id, a_type, b_type, round(100 * coalesce(iou, greatest(0e0, 1 - d / 25)), 2) AS match_score FROM ({_PAIRS}) WHERE CASE WHEN iou IS NULL THEN d <= 25 ELSE iou >= 0.3e0 END),
+  r AS (SELECT *, false AS taken, false AS gone FROM e UNION ALL SELECT a_id, b_id, a_type, b_type, match_score, t, bool_or(t) OVER (PARTITION BY a_id, b_type) OR bool_or(t) OVER (PARTITION BY b_id, a_type) FROM (
+    SELECT *, row_number() OVER (PARTITION BY a_id, b_type ORDER BY match_score DESC, a_id, b_id) = 1 AND row_number() OVER (PARTITION BY b_id, a_type ORDER BY match_score DESC, a_id, b_id) = 1 AS t FROM r WHERE NOT gone))
+  SELECT a_id, b_id, match_score FROM r WHERE taken""")
 def f6_one_to_one(spark, sf_dir):
     return matching.one_to_one(_edges(spark, sf_dir)).select("a_id", "b_id", "match_score")
 
@@ -222,11 +226,6 @@ def d3_changes(spark, sf_dir):
     return changes.detect_changes(_kind(spark, sf_dir, "building_footprint"), fixture(spark, sf_dir, "footprints_2025")).select("ward", "change_type", "baseline_id", "current_id")
 
 
-@query()
-def e14_change_summary(spark, sf_dir):
-    return changes.change_summary(changes.detect_changes(_kind(spark, sf_dir, "building_footprint"), fixture(spark, sf_dir, "footprints_2025")))
-
-
 @query(f"""{ctes('parcels')}, grown AS (SELECT k, ward, x0 - CASE WHEN k % 200 = 7 THEN 1.25e0 ELSE 0 END AS x0, y0, x1 + CASE WHEN k % 200 = 7 THEN 1.25e0 ELSE 0 END AS x1, y1 FROM parcels)
   SELECT a.ward, least(a.k, b.k) AS low, greatest(a.k, b.k) AS high, {_BOX_OVERLAP} AS overlap FROM grown a JOIN grown b ON a.ward = b.ward AND a.k < b.k AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 WHERE {_BOX_OVERLAP} > 0.25e0""")
 def d2_overlaps(spark, sf_dir):
@@ -235,27 +234,6 @@ def d2_overlaps(spark, sf_dir):
     return spatial.self_overlaps(p, by=("ward",)).select("ward", F.col("a_id").alias("low"), F.col("b_id").alias("high"), "overlap")
 
 
-def _cards(spark, sf_dir):
-    f = properties(_features(spark, sf_dir)).withColumn("was_invalid", F.col("k") % 50 == 3)
-    sources = f.groupBy("source_id", "ward").agg(F.min("captured_at").alias("captured_at"), F.min(F.when(F.col("source_type") != "revenue", "EPSG:32644")).alias("crs"))
-    issues = _issues(spark, sf_dir).select(F.concat(F.lit("cadastral-"), F.col("ward")).alias("source_id"), "status")
-    wards = fixture(spark, sf_dir, "wards").withColumn("south", F.col("south"))
-    return quality.source_cards(f, sources, issues, wards, F.lit("2024-01-31").cast("date"))
-
-
-@query(f"""{ctes('features', 'wards')} SELECT source_type || '-' || f.ward AS source_id, count(*) AS n, avg((k % 50 <> 3)::INT) AS valid, avg(((f.x0 + f.x1) / 2 BETWEEN west AND east AND (f.y0 + f.y1) / 2 BETWEEN south AND north)::INT) AS inside,
-  CASE WHEN source_type IN ('building_footprint', 'ground_truth') THEN 0 ELSE count(survey_no) - count(DISTINCT survey_no) END AS duplicates FROM features f JOIN wards w ON w.ward = f.ward GROUP BY source_type, f.ward""")
-def e8_source_cards(spark, sf_dir):
-    return _cards(spark, sf_dir).select("source_id", "n", "valid", "inside", "duplicates")
-
-
-@query()
-def e9_ward_scores(spark, sf_dir):
-    now, pairs = _cover(spark, sf_dir)
-    found = quality.findings(spatial.unregistered(now, pairs), spatial.encroachments(pairs), spatial.vacant(_kind(spark, sf_dir, "cadastral"), now))
-    return quality.ward_scores(_cards(spark, sf_dir), now, found).select("ward", "n_structures", "score")
-
-
 @query(f"{ctes('features')} SELECT source_type || '-' || ward AS source_id, count(*) AS n_features, count(*) FILTER (k % 50 = 3) AS n_repaired, CASE source_type WHEN 'municipal_gis' THEN 'owner,survey_no' WHEN 'cadastral' THEN 'owner_name,survey_no' WHEN 'revenue' THEN 'owner_name,survey_no' WHEN 'building_footprint' THEN 'height_m' ELSE '' END AS fields FROM features GROUP BY source_type, ward")
 def e5_profile(spark, sf_dir):
     f = properties(_features(spark, sf_dir)).withColumn("was_invalid", F.col("k") % 50 == 3)
@@ -287,10 +265,10 @@ def e2_leaderboard(spark, sf_dir):
     return stats.leaderboard(*(fixture(spark, sf_dir, t) for t in ("wards", "detections", "tickets")))
 
 
-@query(f"{ctes('wards', 'detections', 'tickets')} SELECT b.*, (SELECT count(*) FROM detections) AS city_detections FROM ({_BOARD}) b ORDER BY unassessed DESC, ward LIMIT 10")
+@query(f"{ctes('wards', 'detections', 'tickets')} SELECT b.*, (SELECT count(*) FROM detections) AS city_detections, (SELECT sum(area_sqm * CASE WHEN detection_type = 'new_build' THEN 80 ELSE 40 END) / 1e7 FROM detections) AS city_revenue_crore FROM ({_BOARD}) b ORDER BY unassessed DESC, ward LIMIT 10")
 def e2_daily_brief(spark, sf_dir):
     d = fixture(spark, sf_dir, "detections")
-    return stats.daily_brief(stats.leaderboard(fixture(spark, sf_dir, "wards"), d, fixture(spark, sf_dir, "tickets")), d).drop("city_revenue_crore")
+    return stats.daily_brief(stats.leaderboard(fixture(spark, sf_dir, "wards"), d, fixture(spark, sf_dir, "tickets")), d)
 
 
 @query(f"{ctes('wards', 'detections')} SELECT w.ward, w.name, count(*) FILTER (detected_at > TIMESTAMP '2024-01-24 00:00:00') AS new_count, avg(confidence) * 100 AS avg_confidence FROM wards w LEFT JOIN detections d ON d.ward = w.ward GROUP BY w.ward, w.name")
@@ -329,10 +307,11 @@ def e19_density(spark, sf_dir):
 
 
 @query(f"""{ctes('detections')}, s AS (SELECT ward, (detection_type = 'new_build')::INT AS label, confidence AS p FROM detections), r AS (SELECT *, rank() OVER (PARTITION BY ward ORDER BY p) + (count(*) OVER (PARTITION BY ward, p) - 1) / 2e0 AS rk FROM s)
-  SELECT ward, count(*) AS n, sum(label)::BIGINT AS n_pos, (sum(rk * label) - sum(label) * (sum(label) + 1) / 2e0) / (sum(label) * (count(*) - sum(label))) AS auc, sum(label * (p >= 0.5)::INT)::DOUBLE / sum((p >= 0.5)::INT) AS precision, sum(label * (p >= 0.5)::INT)::DOUBLE / sum(label) AS recall FROM r GROUP BY ward""")
+  SELECT ward, count(*) AS n, sum(label)::BIGINT AS n_pos, (sum(rk * label) - sum(label) * (sum(label) + 1) / 2e0) / (sum(label) * (count(*) - sum(label))) AS auc, sum(label * (p >= 0.5)::INT)::DOUBLE / sum((p >= 0.5)::INT) AS precision, sum(label * (p >= 0.5)::INT)::DOUBLE / sum(label) AS recall,
+  coalesce(2e0 * sum(label * (p >= 0.5)::INT) / (sum((p >= 0.5)::INT) + sum(label)), 0) AS f1, round(avg(pow(label - p, 2)), 9) AS brier FROM r GROUP BY ward""")
 def e21_classifier_metrics(spark, sf_dir):
     rows = fixture(spark, sf_dir, "detections").select("ward", (F.col("detection_type") == "new_build").cast("int").alias("label"), F.col("confidence").alias("p"))
-    return stats.classifier_metrics(rows, ["ward"]).select("ward", "n", "n_pos", "auc", "precision", "recall")
+    return stats.classifier_metrics(rows, ["ward"]).select("ward", "n", "n_pos", "auc", "precision", "recall", "f1", F.round("brier", 9).alias("brier"))
 
 
 @query(f"{ctes('parcels', 'wards')} SELECT k, min(w.ward) AS ward_id FROM parcels p LEFT JOIN wards w ON (x0 + x1) / 2 >= west AND (x0 + x1) / 2 < east AND (y0 + y1) / 2 >= south AND (y0 + y1) / 2 < north GROUP BY k")
@@ -357,11 +336,6 @@ def i17_ocr_fields(spark, sf_dir):
     return p.withColumn("page", text).select("k", *(sc.ocr_field("page", f).alias(f) for f in ("khata_no", "owner_name", "survey_no")))
 
 
-@query()
-def i20_block_split(spark, sf_dir):
-    return fixture(spark, sf_dir, "parcels").select("k", sc.block_split(F.concat_ws("/", F.floor(F.col("x0") / 500), F.floor(F.col("y0") / 500))).alias("split"))
-
-
 @query(f"{ctes('parcels')} SELECT k, (x1 - x0) * (y1 - y0) AS area, 2 * ((x1 - x0) + (y1 - y0)) AS perimeter FROM parcels")
 def b2_measures(spark, sf_dir):
     at = lambda x, y: F.concat_ws(" ", F.col(x).cast("string"), F.col(y).cast("string"))
@@ -370,25 +344,6 @@ def b2_measures(spark, sf_dir):
     return rows.withColumn("m", measures("geom")).select("k", "m.area", "m.perimeter")
 
 
-def _pixels(spark, sf_dir):
-    """A raster of 64 × 64 pixels for every ward: blocks of 6 and 9 above the ground and a spike."""
-    at = spark.range(64).withColumnRenamed("id", "row").crossJoin(spark.range(64).withColumnRenamed("id", "col"))
-    high = F.when(F.col("row").between(5, 24) & F.col("col").between(5, 14), 16.0).when(F.col("row").between(30, 49) & F.col("col").between(20, 49), 19.0).when(F.col("row").between(60, 61) & F.col("col").between(2, 3), 14.0).otherwise(10.0)
-    return fixture(spark, sf_dir, "wards").select(F.col("ward").alias("raster_id")).join(F.broadcast(at)).withColumn("dsm", high).withColumn("dtm", F.lit(10.0))
-
-
-@query("SELECT n_nationkey::BIGINT AS raster_id, n AS n_pixels, h AS mean_height FROM nation CROSS JOIN (VALUES (200::BIGINT, 6e0), (600::BIGINT, 9e0)) v(n, h)")
-def l4_regions(spark, sf_dir):
-    return pixels.regions(pixels.height_mask(_pixels(spark, sf_dir))).select("raster_id", "n_pixels", "mean_height")
-
-
-@query("SELECT n_nationkey::BIGINT AS raster_id, 800::BIGINT AS n_mask, 10e0 AS ground FROM nation")
-def l3_clean_mask(spark, sf_dir):
-    p = pixels.cleaned(pixels.height_mask(_pixels(spark, sf_dir)), 3)
-    g = pixels.opened(_pixels(spark, sf_dir), "dsm", 41).groupBy("raster_id").agg(F.max("dsm").alias("ground"))
-    return p.groupBy("raster_id").agg(F.count_if("mask").alias("n_mask")).join(g, "raster_id")
-
-
 # Georeferencing, topology and learned matching
 
 
@@ -412,27 +367,19 @@ def _fabric(spark, sf_dir):
     return fixture(spark, sf_dir, "parcels").select("ward", F.concat(F.lit("C"), "k").alias("feature_id"), "k", (F.col("x0") - grow + shrink).alias("x0"), (F.col("y0") + shrink).alias("y0"), (F.col("x1") + grow - shrink).alias("x1"), (F.col("y1") - shrink).alias("y1"))
 
 
-@query(f"""{ctes('parcels')}, f AS (SELECT ward, 'C' || k AS id, x0 - CASE WHEN k % 200 = 7 THEN 1.25e0 WHEN k % 200 = 57 THEN -0.375e0 WHEN k % 200 = 107 THEN -0.75e0 ELSE 0 END AS x0, y0 + CASE k % 200 WHEN 57 THEN 0.375e0 WHEN 107 THEN 0.75e0 ELSE 0 END AS y0,
+def _gap_sql() -> str:
+    """CTEs f, the fabric, and s, the strips between its boxes."""
+    return """f AS (SELECT ward, 'C' || k AS id, x0 - CASE WHEN k % 200 = 7 THEN 1.25e0 WHEN k % 200 = 57 THEN -0.375e0 WHEN k % 200 = 107 THEN -0.75e0 ELSE 0 END AS x0, y0 + CASE k % 200 WHEN 57 THEN 0.375e0 WHEN 107 THEN 0.75e0 ELSE 0 END AS y0,
   x1 + CASE WHEN k % 200 = 7 THEN 1.25e0 WHEN k % 200 = 57 THEN -0.375e0 WHEN k % 200 = 107 THEN -0.75e0 ELSE 0 END AS x1, y1 - CASE k % 200 WHEN 57 THEN 0.375e0 WHEN 107 THEN 0.75e0 ELSE 0 END AS y1 FROM parcels),
-  s AS (SELECT a.ward, least(a.id, b.id) AS a_id, greatest(a.id, b.id) AS b_id, b.x0 - a.x1 AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS l FROM f a JOIN f b ON a.ward = b.ward AND a.id <> b.id UNION ALL SELECT a.ward, least(a.id, b.id), greatest(a.id, b.id), b.y0 - a.y1, least(a.x1, b.x1) - greatest(a.x0, b.x0) FROM f a JOIN f b ON a.ward = b.ward AND a.id <> b.id)
+  s AS (SELECT a.ward, least(a.id, b.id) AS a_id, greatest(a.id, b.id) AS b_id, b.x0 - a.x1 AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS l FROM f a JOIN f b ON a.ward = b.ward AND a.id <> b.id UNION ALL SELECT a.ward, least(a.id, b.id), greatest(a.id, b.id), b.y0 - a.y1, least(a.x1, b.x1) - greatest(a.x0, b.x0) FROM f a JOIN f b ON a.ward = b.ward AND a.id <> b.id)"""
+
+
+@query(f"""{ctes('parcels')}, {_gap_sql()}
   SELECT ward, CASE WHEN w * l / (w + l) <= 0.5e0 THEN 'sliver' ELSE 'gap' END AS issue_type, a_id, b_id, w * l AS area FROM s WHERE w > 0.05e0 AND w <= 1 AND l > w AND w * l > 0.05e0""")
 def k3_gaps(spark, sf_dir):
     return topology.gaps(_fabric(spark, sf_dir)).select("ward", "issue_type", F.col("feature_ids")[0].alias("a_id"), F.col("feature_ids")[1].alias("b_id"), F.col("measure").alias("area"))
 
 
-@query(f"{ctes('parcels')} SELECT CASE k % 200 WHEN 7 THEN 'overlap' WHEN 57 THEN 'sliver' ELSE 'gap' END AS defect, count(*) AS n FROM parcels WHERE k % 200 IN (7, 57, 107) GROUP BY ROLLUP (1)")
-def e16_recall(spark, sf_dir):
-    f = _fabric(spark, sf_dir)
-    kind = F.col("k") % 200
-    truth = f.filter(kind.isin(7, 57, 107)).select("feature_id", F.when(kind == 7, "overlap").when(kind == 57, "sliver").otherwise("gap").alias("defect"))
-    return topology.recall(topology.findings(f), truth).select("defect", "n")
-
-
-@query()
-def k2_topology(spark, sf_dir):
-    return topology.findings(_fabric(spark, sf_dir)).select("ward", "issue_type", "feature_ids", "measure", "status")
-
-
 def _labelled(spark, sf_dir):
     bag = properties(_features(spark, sf_dir))
     pairs = spatial.candidate_pairs(_features(spark, sf_dir))
@@ -460,13 +407,6 @@ def k9_zones(spark, sf_dir):
 # Records around matches
 
 
-@query(f"{ctes('matches')} SELECT a_id, b_id, 100 * (match_score >= 60)::INT AS kept FROM matches WHERE match_score < 60")
-def d14_displaced(spark, sf_dir):
-    m = fixture(spark, sf_dir, "matches").withColumn("locked", F.lit(False))
-    again = m.filter("match_score >= 60").select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))
-    return records.displaced(m, again).select("a_id", "b_id", F.lit(0).alias("kept"))
-
-
 @query(f"{ctes('features')} SELECT a_id, b_id, (substr(a_id, 2) = substr(b_id, 2))::INT AS label FROM ({_PAIRS}) WHERE CASE WHEN iou IS NULL THEN d <= 25 ELSE iou >= 0.3e0 END")
 def d16_labelled_pairs(spark, sf_dir):
     truth = _features(spark, sf_dir).select("feature_id", F.col("k").alias("parcel"))

@@ -64,7 +64,7 @@ def test_classes(spark):
 
 def test_ocr_fields(spark):
     page = "GOVT Khata No: 1024 Owner: R. Venkata Rao Survey No: 118/2 Extent: 1,250.5 sq m Village: Kommadi"
-    r = one(spark, **{f: sc.ocr_field(F.lit(page), f) for f in sc.OCR_PATTERNS}, none=sc.ocr_field(F.lit("nothing"), "khata_no"))
+    r = one(spark, **{f: sc.ocr_field(F.lit(page), f) for f in sc.OCR_LABELS}, none=sc.ocr_field(F.lit("nothing"), "khata_no"))
     assert (r.khata_no, r.owner_name, r.survey_no, r.area, r.none) == ("1024", "R. Venkata Rao", "118/2", "1,250.5", None)
 
 
