@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landmesh.llm.anchors import pack, unpack
-from landmesh.llm.common import WORD_BASE, Words, materialize, mix, number, prefix_hash, shuffle_parts, span_hash, table, text_runs, width_of
+from landmesh.llm.common import WORD_BASE, Scratch, Words, materialize, mix, number, prefix_hash, shuffle_parts, span_hash, table, text_runs, width_of
 
 WORDS, PERCENT = 5, 80
-CHUNK = 16 << 20
+CHUNK = 8 << 20
+#: Bytes of entries for each partition.
+PART_BYTES = 128 << 20
 #: Parts that a partition's shingles are taken in, one after the other.
 PASSES = 8
 #: Longest prefix extension; lists above STAR documents give stars.
@@ -312,21 +314,24 @@ def _candidates(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a[j]), pa.array(b[j]), pa.array(met[i : i + 100_000], pa.int64()), pa.array(need[j], pa.int64()), pa.array(any_sure[i : i + 100_000])], ["a", "b", "met", "need", "sure"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (smallest node reachable) of an edge list, by alternating stars.
 
     Large stars hang every larger neighbour of a node on its smallest one, small stars every
-    smaller one; each round halves paths. Rounds are written to the shared folder.
+    smaller one; each round halves paths. Rounds are written to the shared folder, and so are each
+    round's least neighbours: joined from there, the edges of a node with very many of them can be
+    split over tasks by adaptive execution.
     """
-    tree = materialize(edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("to")).filter("node > to").distinct(), "edges")
+    tree = scratch.store(edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("to")).filter("node > to").distinct(), "edges")
     before = None
     while True:
         both = tree.unionByName(tree.select(F.col("to").alias("node"), F.col("node").alias("to")))
         least = both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("m"))
+        least = scratch.store(least, "least")
         large = both.filter("to > node").join(least, "node").select(F.col("to").alias("node"), F.col("m").alias("to")).distinct()
         small_least = large.groupBy("node").agg(F.min("to").alias("m"))
         small = large.join(small_least, "node").select(F.when(F.col("to") != F.col("m"), F.col("to")).otherwise(F.col("node")).alias("node"), F.col("m").alias("to"))
-        tree = materialize(small.filter("node > to").distinct(), "edges")
+        tree = scratch.store(small.filter("node > to").distinct(), "edges")
         now = tree.agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             return tree.select("node", F.col("to").alias("component")).unionByName(tree.select(F.col("to").alias("node"), F.col("to").alias("component")).distinct())
@@ -399,7 +404,7 @@ def _meet(both: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
-def _verify_large(large: DataFrame, held: int) -> DataFrame:
+def _verify_large(large: DataFrame, held: int, scratch: Scratch) -> DataFrame:
     """node and component of groups that no task can hold. large: doc_id, tokens, group.
 
     Each round takes seeds from the documents outside the group's largest component, compares them
@@ -407,39 +412,39 @@ def _verify_large(large: DataFrame, held: int) -> DataFrame:
     those left have one label; since a round may take MORE_SEEDS times more seeds than the last one,
     rounds are few.
     """
-    state = materialize(large.select("doc_id", "group", F.col("doc_id").alias("label"), F.lit(True).alias("open")), "labels")
+    state = scratch.store(large.select("doc_id", "group", F.col("doc_id").alias("label"), F.lit(True).alias("open")), "labels")
     tokens = large.select("doc_id", "tokens")
     seeds = SEEDS
     while True:
         open_ = state.filter("open")
         labels = open_.groupBy("group", "label").agg(F.count("*").alias("n"))
         groups = labels.groupBy("group").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
-        groups = materialize(groups.select("group", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.n")).alias("rest")), "groups")
+        groups = scratch.store(groups.select("group", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.n")).alias("rest")), "groups")
         if groups.isEmpty():
             return state.select(F.col("doc_id").alias("node"), F.col("label").alias("component"))
         chance = F.pmod(F.xxhash64("doc_id", F.lit(seeds)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         round_ = open_.join(groups, "group").withColumn("seed", (F.col("label") != F.col("main")) & (chance * F.col("rest") < seeds))
-        round_ = materialize(round_.join(tokens.hint("shuffle_hash"), "doc_id"), "round")
+        round_ = scratch.store(round_.join(tokens.hint("shuffle_hash"), "doc_id"), "round")
         cut = lambda c, w: F.greatest(F.ceil(F.sum(w) / held), F.ceil(F.sum(F.when(c, F.length("tokens")).otherwise(0)) / HELD_BYTES), F.lit(1)).cast("int")
         chunks = round_.groupBy("group").agg(cut(F.lit(True), F.lit(1)).alias("parts"), cut(F.col("seed"), F.col("seed").cast("int")).alias("seed_parts"))
-        chunks = materialize(chunks, "chunks")
+        chunks = scratch.store(chunks, "chunks")
         dealt = round_.join(chunks, "group")
         place = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         docs = dealt.select("group", place("parts", "part").alias("i"), every("seed_parts").alias("j"), F.lit(False).alias("seed"), "label", "tokens")
         chosen = dealt.filter("seed").select("group", every("parts").alias("i"), place("seed_parts", "seed").alias("j"), "seed", "label", "tokens")
         links = docs.unionByName(chosen).groupBy("group", "i", "j").applyInArrow(_meet, "a long, b long")
-        joined = components(links).select(F.col("node").alias("label"), "component")
+        joined = components(links, scratch).select(F.col("node").alias("label"), "component")
         done = round_.filter("seed").select("doc_id", F.lit(True).alias("done"))
         state = state.join(done, "doc_id", "left").join(joined, "label", "left")
-        state = materialize(state.select("doc_id", "group", F.coalesce("component", "label").alias("label"), (F.col("open") & F.col("done").isNull()).alias("open")), "labels")
+        state = scratch.store(state.select("doc_id", "group", F.coalesce("component", "label").alias("label"), (F.col("open") & F.col("done").isNull()).alias("open")), "labels")
         seeds *= MORE_SEEDS
 
 
-def by_size(linked: DataFrame, held: int) -> tuple[DataFrame, DataFrame]:
+def by_size(linked: DataFrame, held: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows of the groups that one task can hold, and those of larger ones."""
     sizes = linked.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.length("tokens")).alias("bytes"))
-    large = materialize(sizes.filter((F.col("n") > held) | (F.col("bytes") > HELD_BYTES)).select("group"), "large")
+    large = scratch.store(sizes.filter((F.col("n") > held) | (F.col("bytes") > HELD_BYTES)).select("group"), "large")
     return linked.join(large, "group", "left_anti"), linked.join(large, "group", "left_semi")
 
 
@@ -454,30 +459,33 @@ def groups_of(rows: DataFrame, held: int = HELD) -> DataFrame:
 
     Ids only order the rows: a null one is the smallest, of equal ones the first row_key counts.
     """
-    parts = shuffle_parts(rows.sparkSession)
+    scratch = Scratch(rows.sparkSession)
     docs = rows.select(F.col("row_key").alias("doc_id"), "text")
     own = rows.select(F.col("row_key").alias("doc_id"), F.col("doc_id").cast("long").alias("id"), "text")
     sets = materialize(own.mapInArrow(_set_rows, "doc_id long, id long, n long, s1 long, s2 long"), "sets")
+    tokens = sets.agg(F.sum("n")).first()[0] or 0
+    parts = max(shuffle_parts(rows.sparkSession), tokens * 8 // PART_BYTES)
     first = lambda c="first": F.min(c).alias("first")
     classes = sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("head"), first(F.struct("id", "doc_id")))
-    classes = materialize(classes, "classes")
+    classes = scratch.store(classes, "classes")
     heads = classes.select(F.col("head").alias("doc_id"), "n")
-    entries = docs.mapInArrow(_emit(parts, 4, True), ENTRIES).repartition(parts, "bucket")
-    counts = entries.mapInArrow(_count_shared(parts), "bucket int, docs binary, a binary").repartition(parts, "bucket")
+    entries = docs.mapInArrow(_emit(parts, 4, True), ENTRIES).repartitionById(parts, "bucket")
+    counts = entries.mapInArrow(_count_shared(parts), "bucket int, docs binary, a binary").repartitionById(parts, "bucket")
     shared = counts.mapInArrow(_sum_shared, "doc_id long, shared long")
-    go_on = materialize(shared.join(heads, "doc_id").filter(100 * F.col("shared") >= PERCENT * F.col("n")).select("doc_id"), "heads")
+    go_on = scratch.store(shared.join(heads, "doc_id").filter(100 * F.col("shared") >= PERCENT * F.col("n")).select("doc_id"), "heads")
     some = docs.join(go_on.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
-    reply = some.mapInArrow(_emit(parts, TOKEN, False), ENTRIES).repartition(parts, "bucket").mapInArrow(_reply(parts), "bucket int, docs binary, a binary, b binary")
-    ordered = materialize(reply.repartition(parts, "bucket").mapInArrow(_sets, "doc_id long, n int, matches int, tokens binary"), "ordered")
-    lists = ordered.mapInArrow(_emit_prefixes(parts), "bucket int, tokens binary, docs binary, n binary, matches binary").repartition(parts, "bucket")
+    reply = some.mapInArrow(_emit(parts, TOKEN, False), ENTRIES).repartitionById(parts, "bucket").mapInArrow(_reply(parts), "bucket int, docs binary, a binary, b binary")
+    ordered = scratch.store(reply.repartitionById(parts, "bucket").mapInArrow(_sets, "doc_id long, n int, matches int, tokens binary"), "ordered")
+    lists = ordered.mapInArrow(_emit_prefixes(parts), "bucket int, tokens binary, docs binary, n binary, matches binary").repartitionById(parts, "bucket")
     pairs = lists.mapInArrow(_candidates, "a long, b long, met long, need long, sure boolean")
     pairs = pairs.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need"), F.max("sure").alias("sure")).filter("sure or met >= need")
-    groups = components(pairs.select("a", "b"))
-    linked = materialize(ordered.join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "tokens", F.col("component").alias("group")), "linked")
-    small, large = by_size(linked, held)
-    verified = small.groupBy("group").applyInArrow(_verify, "node long, component long").unionByName(_verify_large(large, held))
+    groups = components(pairs.select("a", "b"), scratch)
+    linked = scratch.store(ordered.join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "tokens", F.col("component").alias("group")), "linked")
+    small, large = by_size(linked, held, scratch)
+    verified = small.groupBy("group").applyInArrow(_verify, "node long, component long").unionByName(_verify_large(large, held, scratch))
     of_class = classes.join(verified, F.col("head") == F.col("node"), "left").select("n", "s1", "s2", F.col("first").alias("class_first"), F.coalesce("component", "head").alias("component"))
     of_class = materialize(of_class, "of_class")
+    scratch.drop()
     of_class = of_class.join(of_class.groupBy("component").agg(first("class_first")), "component")
     out = sets.join(of_class.drop("component"), ["n", "s1", "s2"], "left")
     id_of = lambda c: F.when(F.col(c).isNull(), F.col("id")).otherwise(F.col(f"{c}.id"))

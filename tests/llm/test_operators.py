@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from landmesh.llm import bpe, chat, decontaminate, html_text, jaccard_join, lm_score, quality, substring_dedup, suffix_dedup, token_store
-from landmesh.llm.common import shared_dir
+from landmesh.llm.common import Scratch, shared_dir
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, n_words string, ids int, source string"
