@@ -187,7 +187,7 @@ def test_jaccard_join_of_groups_beyond_a_task(spark):
                 want = [low if c == high else c for c in want]
     assert got == dict(enumerate(want)) and 3 < len(set(want)) < 40
     linked = spark.createDataFrame([(i, b"123456", i // 9) for i in range(22)], "doc_id long, tokens binary, group long")
-    small, large = jaccard_join.by_size(linked, 8)
+    small, large = jaccard_join.by_size(linked, 8, Scratch(spark))
     assert {r.doc_id for r in small.collect()} == set(range(18, 22)) and large.count() == 18
 
 
