@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 
 
@@ -233,6 +233,73 @@ def to_wkt_text(g: dict | None) -> str | None:
     return f"POLYGON ({', '.join(map(part, rings))})" if g["dim"] == 2 else f"LINESTRING {part(rings[0])}"
 
 
+#: Kinds of geometry in well-known binary (fixed values).
+WKB_POINT, WKB_LINE, WKB_POLYGON, WKB_MULTI = 1, 2, 3, {4: 0, 5: 1, 6: 2}
+
+
+def from_wkb_bytes(data: bytes | None) -> dict | None:
+    """A geometry in well-known binary of either byte order, with or without height, measure and
+    reference number; null, cut-off and other ones give None."""
+    import struct
+
+    def one(at: int) -> tuple[list, int, int]:
+        order = "<" if data[at] else ">"
+        (code,) = struct.unpack_from(order + "I", data, at + 1)
+        at += 5
+        at += 4 if code & 0x20000000 else 0
+        plain = code & 0x0FFFFFFF
+        axes = 2 + bool(code & 0x80000000) + bool(code & 0x40000000) + (1, 1, 2)[plain // 1000 - 1] * (plain >= 1000)
+        kind = plain % 1000
+
+        def count() -> int:
+            nonlocal at
+            at += 4
+            return struct.unpack_from(order + "I", data, at - 4)[0]
+
+        def vertices(n: int) -> np.ndarray:
+            nonlocal at
+            v = np.frombuffer(data, dtype=order + "f8", count=n * axes, offset=at).reshape(n, axes)[:, :2]
+            at += 8 * axes * n
+            return v
+
+        if kind == WKB_POINT:
+            return [vertices(1)], 0, at
+        if kind == WKB_LINE:
+            return [vertices(count())], 1, at
+        if kind == WKB_POLYGON:
+            return [vertices(count()) for _ in range(count())], 2, at
+        rings = []
+        for _ in range(count()):
+            more, _, at = one(at)
+            rings += more
+        return rings, WKB_MULTI[kind], at
+
+    try:
+        rings, dim, _ = one(0)
+    except (TypeError, IndexError, KeyError, ValueError, struct.error):
+        return None
+    out = _flat(rings)
+    if out is not None:
+        out["dim"] = dim
+    return out
+
+
+def to_wkb_bytes(g: dict | None) -> bytes | None:
+    """Little-endian well-known binary of a geometry as one point, line or polygon."""
+    import struct
+
+    if g is None:
+        return None
+    rings = rings_of(g)
+    raw = lambda r: np.ascontiguousarray(r, dtype="<f8").tobytes()
+    counted = lambda r: struct.pack("<I", len(r)) + raw(r)
+    if g["dim"] == 0:
+        return struct.pack("<BI", 1, WKB_POINT) + raw(rings[0])
+    if g["dim"] == 1:
+        return struct.pack("<BI", 1, WKB_LINE) + counted(rings[0])
+    return struct.pack("<BII", 1, WKB_POLYGON, len(rings)) + b"".join(map(counted, rings))
+
+
 def _frame(rows: list[dict | None]) -> pd.DataFrame:
     return pd.DataFrame({f.name: pd.Series([r and r[f.name] for r in rows], dtype=object) for f in GEOM.fields})
 
@@ -242,6 +309,16 @@ def from_geojson(text: pd.Series) -> pd.DataFrame:
     return _frame([from_geojson_text(t) for t in text])
 
 
+@F.pandas_udf(GEOM)
+def from_wkb(data: pd.Series) -> pd.DataFrame:
+    return _frame([from_wkb_bytes(x) for x in data])
+
+
+@F.pandas_udf(BinaryType())
+def to_wkb(g: pd.DataFrame) -> pd.Series:
+    return pd.Series([to_wkb_bytes(r if r["xs"] is not None else None) for r in g.to_dict("records")], dtype=object)
+
+
 @F.pandas_udf(GEOM)
 def from_wkt(text: pd.Series) -> pd.DataFrame:
     return _frame([from_wkt_text(t) for t in text])

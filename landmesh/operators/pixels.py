@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landmesh.operators.matching import components
+from landmesh.operators.matching import components, one_to_one
 
 
 def height_mask(pixels: DataFrame, least: float = 2.5) -> DataFrame:
@@ -67,3 +67,21 @@ def segmentation_scores(pixels: DataFrame) -> DataFrame:
     both, either = F.count_if(F.col("mask") & F.col("truth")), F.count_if(F.col("mask") | F.col("truth"))
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
     return pixels.groupBy("raster_id").agg(share(both, either).alias("iou"), share(both, F.count_if("mask")).alias("precision"), share(both, F.count_if("truth")).alias("recall"))
+
+
+def object_scores(pixels: DataFrame, least_pixels: int = 40, least_iou: float = 0.5) -> DataFrame:
+    """Objects found, wrong and missed by raster, and their F1.
+
+    pixels: raster_id, pred and truth, the object's number or null. Objects of fewer pixels don't
+    count; best-first by IoU, a found object takes at most one true one.
+    """
+    size = lambda c: pixels.filter(F.col(c).isNotNull()).groupBy("raster_id", c).agg(F.count("*").alias(f"n_{c}")).filter(F.col(f"n_{c}") >= least_pixels)
+    pred, truth = size("pred"), size("truth")
+    both = pixels.filter("pred is not null and truth is not null").groupBy("raster_id", "pred", "truth").agg(F.count("*").alias("n"))
+    pairs = both.join(pred, ["raster_id", "pred"]).join(truth, ["raster_id", "truth"]).withColumn("iou", F.col("n") / (F.col("n_pred") + F.col("n_truth") - F.col("n"))).filter(F.col("iou") >= least_iou)
+    name = lambda c: F.concat_ws(":", "raster_id", F.lit(c), c)
+    edges = pairs.select(name("pred").alias("a_id"), name("truth").alias("b_id"), F.concat_ws(":", F.lit("pred"), "raster_id").alias("a_source"), F.concat_ws(":", F.lit("truth"), "raster_id").alias("b_source"), F.col("iou").alias("match_score"), F.lit(False).alias("locked"))
+    hits = one_to_one(edges).select(F.split_part("a_id", F.lit(":"), F.lit(1)).alias("key")).groupBy("key").agg(F.count("*").alias("tp"))
+    count = lambda df, c: df.groupBy("raster_id").agg(F.count("*").alias(c))
+    out = count(pred, "n_pred").join(count(truth, "n_truth"), "raster_id", "full").withColumn("key", F.col("raster_id").cast("string")).join(hits, "key", "left").na.fill(0, ["n_pred", "n_truth", "tp"])
+    return out.select("raster_id", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn"), (2.0 * F.col("tp") / F.greatest(F.col("n_pred") + F.col("n_truth"), F.lit(1))).alias("f1"))

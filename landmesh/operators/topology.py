@@ -112,3 +112,48 @@ def decided(issues: DataFrame, decisions: DataFrame) -> DataFrame:
         .otherwise(F.col("status"))
     )
     return rows.withColumn("status", status).drop("action")
+
+
+def _share(key: str, salt: str):
+    """A number in [0, 1) for each key and salt, from 24 bits of an md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(salt), F.col(key)).cast("binary")), 1, 6), 16, 10).cast("double") / (1 << 24)
+
+
+#: Share of the parcels that get a defect, and how far their sides move outwards.
+DEFECTS = {"overlap": (0.01, 1.2), "sliver": (0.01, -0.35), "gap": (0.005, -0.7)}
+
+
+def with_defects(parcels: DataFrame, salt: str = "defects") -> tuple[DataFrame, DataFrame]:
+    """A clean fabric of boxes with planted DEFECTS, and the truth (feature_id, defect).
+
+    Which parcels get one follows from their ids alone, so that it comes out alike everywhere.
+    """
+    share, kind, move = _share("feature_id", salt), F.lit(None).cast("string"), F.lit(0.0)
+    top = sum(s for s, _ in DEFECTS.values())
+    for name, (part, by) in reversed(DEFECTS.items()):
+        kind, move = F.when(share < top, name).otherwise(kind), F.when(share < top, by).otherwise(move)
+        top -= part
+    rows = parcels.withColumns({"__defect": kind, "__by": move})
+    moved = {"x0": F.col("x0") - F.col("__by"), "y0": F.col("y0") - F.col("__by"), "x1": F.col("x1") + F.col("__by"), "y1": F.col("y1") + F.col("__by")}
+    truth = rows.filter("__defect is not null").select("feature_id", F.col("__defect").alias("defect"))
+    return rows.withColumns(moved).drop("__defect", "__by"), truth
+
+
+#: Share of the footprints with a change between two epochs.
+EPOCH = {"demolished": 0.02, "extension": 0.03, "vertical_extension": 0.02}
+
+
+def next_epoch(footprints: DataFrame, salt: str = "epoch", grow: float = 0.4, rise: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """Footprints (feature_id, box, height) a survey later, and the truth (feature_id, change_type)."""
+    share, top = _share("feature_id", salt), sum(EPOCH.values())
+    kind = F.lit(None).cast("string")
+    for name, part in reversed(EPOCH.items()):
+        kind = F.when(share < top, name).otherwise(kind)
+        top -= part
+    rows = footprints.withColumn("__kind", kind)
+    is_ = lambda k: F.coalesce(F.col("__kind") == k, F.lit(False))
+    now = rows.filter(~is_("demolished")).withColumns({
+        "x1": F.when(is_("extension"), F.col("x1") + grow * (F.col("x1") - F.col("x0"))).otherwise(F.col("x1")),
+        "height": F.when(is_("vertical_extension"), F.col("height") + rise).otherwise(F.col("height")),
+    })
+    return now.drop("__kind"), rows.filter("__kind is not null").select("feature_id", F.col("__kind").alias("change_type"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from landmesh.functions import scoring as sc
 from landmesh.operators import changes, matching, model, pixels, quality, records, spatial, stats, topology
 from landmesh.plans.fixtures import ctes, fixture, properties
-from landmesh.plans.queries import _CONFLICTS, _cover, _fabric, _features, _gap_sql, _issues, _kind, query
+from landmesh.plans.queries import _CONFLICTS, _PAIRS, _cover, _fabric, _features, _gap_sql, _issues, _kind, _labelled, query
 
 # Rasters of the wards: a parcel is a pixel, eight to a row; blocks of 5 × 5 pixels with single high
 # pixels between them, as many as the parcels give in full.
@@ -46,6 +46,20 @@ def l5_pixel_scores(spark, sf_dir):
     return pixels.segmentation_scores(fixture(spark, sf_dir, "parcels").select(F.col("ward").alias("raster_id"), (i % 3 != 0).alias("mask"), (i % 4 != 0).alias("truth")))
 
 
+_BLOCKS = "SELECT raster_id, CASE WHEN r % 8 < 5 AND c < 5 THEN r // 8 END AS pred, CASE WHEN c < 5 AND CASE WHEN raster_id % 2 = 0 THEN r % 8 < 4 ELSE r % 8 >= 3 END THEN r // 8 END AS truth FROM px"
+
+
+@query(f"""{ctes('parcels')}, {_PIXELS}, o AS ({_BLOCKS}), p AS (SELECT raster_id, pred AS i, count(*) AS n FROM o WHERE pred IS NOT NULL GROUP BY ALL), t AS (SELECT raster_id, truth AS i, count(*) AS n FROM o WHERE truth IS NOT NULL GROUP BY ALL), b AS (SELECT raster_id, pred AS i, count(*) AS n FROM o WHERE pred = truth GROUP BY ALL),
+  s AS (SELECT p.raster_id, count(*) AS np, count(*) FILTER (b.n >= 0.5e0 * (p.n + t.n - b.n)) AS tp FROM p JOIN t ON t.raster_id = p.raster_id AND t.i = p.i LEFT JOIN b ON b.raster_id = p.raster_id AND b.i = p.i GROUP BY 1)
+  SELECT raster_id, tp, np - tp AS fp, np - tp AS fn, 2e0 * tp / (2 * np) AS f1 FROM s""")
+def l5_object_scores(spark, sf_dir):
+    rows, r, low = _pixels(spark, sf_dir), F.col("row") % 8, F.col("col") < 5
+    number = F.floor(F.col("row") / 8)
+    pred = F.when((r < 5) & low, number)
+    truth = F.when(low & F.when(F.col("raster_id") % 2 == 0, r < 4).otherwise(r >= 3), number)
+    return pixels.object_scores(rows.select("raster_id", pred.alias("pred"), truth.alias("truth")), 20)
+
+
 # Changes
 
 
@@ -84,7 +98,6 @@ def e8_source_cards(spark, sf_dir):
 
 
 _COVER_SQL = "SELECT a.ward, a.feature_id AS s, b.feature_id AS p, greatest(0e0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0e0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS o, (a.x1 - a.x0) * (a.y1 - a.y0) AS area FROM footprints_2025 a JOIN features b ON b.source_type = 'cadastral' AND a.ward = b.ward AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
-_DRIFT = "SELECT ward, a_id, b_id FROM ({conflicts}) WHERE n > 0"
 
 
 @query(f"""{ctes('features', 'wards', 'footprints_2025', 'matches')}, {_CARDS}, cover AS ({_COVER_SQL}),
@@ -126,6 +139,33 @@ def e16_recall(spark, sf_dir):
     return topology.recall(topology.findings(f), truth).select("defect", "n", F.round("recall", 9).alias("recall"))
 
 
+_SHARE = "('0x' || substr(md5('{0}/C' || k), 1, 6))::BIGINT / 16777216e0"
+
+
+@query(f"""{ctes('parcels')}, p AS (SELECT *, {_SHARE.format('defects')} AS u FROM parcels), d AS (SELECT *, CASE WHEN u < 0.01e0 THEN 'overlap' WHEN u < 0.02e0 THEN 'sliver' WHEN u < 0.025e0 THEN 'gap' END AS defect FROM p)
+  SELECT 'C' || k AS feature_id, defect, round(CASE defect WHEN 'overlap' THEN x0 - 1.2e0 WHEN 'sliver' THEN x0 + 0.35e0 ELSE x0 + 0.7e0 END, 6) AS x0 FROM d WHERE defect IS NOT NULL""")
+def k10_defects(spark, sf_dir):
+    clean = fixture(spark, sf_dir, "parcels").select(F.concat(F.lit("C"), "k").alias("feature_id"), "ward", "x0", "y0", "x1", "y1")
+    fabric, truth = topology.with_defects(clean)
+    return truth.join(fabric, "feature_id").select("feature_id", "defect", F.round("x0", 6).alias("x0"))
+
+
+@query(f"""{ctes('parcels')}, p AS (SELECT *, {_SHARE.format('epoch')} AS u FROM parcels) SELECT CASE WHEN u < 0.02e0 THEN 'demolished' WHEN u < 0.05e0 THEN 'extension' ELSE 'vertical_extension' END AS change_type, count(*) AS n, count(*) FILTER (u >= 0.02e0) AS n_now FROM p WHERE u < 0.07e0 GROUP BY 1""")
+def k10_epoch(spark, sf_dir):
+    old = fixture(spark, sf_dir, "parcels").select(F.concat(F.lit("C"), "k").alias("feature_id"), "ward", "x0", "y0", "x1", "y1", F.lit(6.0).alias("height"))
+    now, truth = topology.next_epoch(old)
+    seen = truth.join(now.select("feature_id", F.lit(1).alias("here")), "feature_id", "left")
+    return seen.groupBy("change_type").agg(F.count("*").alias("n"), F.count("here").alias("n_now"))
+
+
+@query(f"""{ctes('features')}, r AS (SELECT a_id, b_id, ward, (substr(a_id, 2) = substr(b_id, 2))::INT AS label, round(100 * coalesce(iou, greatest(0e0, 1 - d / 25)), 2) / 100 AS p FROM ({_PAIRS}) WHERE CASE WHEN iou IS NULL THEN d <= 25 ELSE iou >= 0.3e0 END)
+  SELECT a_id, b_id, label, 'pack-' || ward AS "group", 1e0 AS weight, round(p, 9) AS baseline FROM r UNION ALL SELECT a_id, b_id, label, 'ward-' || ward, 3e0, null FROM r WHERE ward = 3""")
+def h3_training_rows(spark, sf_dir):
+    keyed = _labelled(spark, sf_dir)
+    rows = model.training_rows(keyed=keyed, officer=keyed.filter("ward = 3"))
+    return rows.select("a_id", "b_id", "label", "group", "weight", F.round("baseline", 9).alias("baseline"))
+
+
 # Sources and records
 
 _SOURCES = """src AS (SELECT k AS source_id, ward, split_part('cadastral,municipal_gis,building_footprint,ai_extracted', ',', (k // 25 % 4 + 1)::INT) AS source_type, CASE WHEN k // 100 % 3 = 0 THEN 'pending' ELSE 'ready' END AS status, CASE WHEN k % 7 <> 0 THEN DATE '2020-01-01' + (k * 37 % 1000)::INT END AS captured_at, DATE '2024-01-01' + (k % 11)::INT AS created_at FROM parcels)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landmesh.functions.geometry import from_geojson, from_wkt, transform
+from landmesh.functions.geometry import from_geojson, from_wkt, transform, from_wkb
 
 #: Coordinate column names in order of preference (fixed values).
 LON, LAT = ["lon", "lng", "longitude", "x"], ["lat", "latitude", "y"]
@@ -94,3 +94,15 @@ def resolved_crs(declared: Column, embedded: Column, kind: Column) -> Column:
 def normalized_points(points: DataFrame, source: int, target: int = 4326) -> DataFrame:
     """points with x and y moved to the target system."""
     return points.withColumn("__p", transform(F.col("x"), F.col("y"), source, target)).withColumn("x", F.col("__p.x")).withColumn("y", F.col("__p.y")).drop("__p")
+
+
+def wkb_parquet(spark: SparkSession, path: str, west: float, south: float, east: float, north: float) -> DataFrame:
+    """Rows of Parquet files with a `bbox` struct and `geometry` as well-known binary that lie
+    inside a box; `geom` takes the place of the geometry, `source` is the first source's data set.
+
+    The box goes down to the scan, so that row groups beyond it aren't read.
+    """
+    b = F.col("bbox")
+    rows = spark.read.parquet(path).filter((b["xmin"] > west) & (b["xmax"] < east) & (b["ymin"] > south) & (b["ymax"] < north))
+    first = F.try_element_at("sources", F.lit(1))["dataset"] if "sources" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumns({"geom": from_wkb("geometry"), "source": first}).drop("geometry", "sources", "bbox")

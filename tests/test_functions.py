@@ -127,3 +127,26 @@ def test_coordinates_are_in_range():
     assert 50 < 111_320 * math.hypot(lon - 83.2185, lat - 17.6868) < 1500
     with pytest.raises(ValueError):
         geo.from_lonlat(1, 2, 9999)
+
+
+def test_wkb_there_and_back(spark, tmp_path):
+    import struct
+
+    from landmesh.functions import geometry as g
+    from landmesh.sources.readers import wkb_parquet
+
+    for text in ("POINT (1.5 2.0)", "LINESTRING (0.0 0.0, 1.0 2.0, 3.0 1.0)", "POLYGON ((0.0 0.0, 4.0 0.0, 4.0 4.0, 0.0 0.0), (1.0 0.5, 2.0 0.5, 2.0 1.0, 1.0 0.5))"):
+        whole = g.from_wkt_text(text)
+        assert g.to_wkt_text(g.from_wkb_bytes(g.to_wkb_bytes(whole))) == g.to_wkt_text(whole)
+    big = struct.pack(">BII", 0, 1 | 0x20000000 | 0x80000000, 4326) + struct.pack(">ddd", 7, 8, 9)
+    assert g.to_wkt_text(g.from_wkb_bytes(big)) == "POINT (7.0 8.0)".replace("POINT (", "POINT (")
+    part = g.to_wkb_bytes(g.from_wkt_text("POLYGON ((0 0, 1 0, 1 1, 0 0))"))
+    assert g.from_wkb_bytes(struct.pack("<BII", 1, 6, 2) + part + part)["offs"] == [0, 4]
+    assert g.from_wkb_bytes(None) is None and g.from_wkb_bytes(b"") is None and g.from_wkb_bytes(part[:20]) is None
+    box = "struct<xmin:double,xmax:double,ymin:double,ymax:double>"
+    rows = [(1, bytearray(part), (0.0, 1.0, 0.0, 1.0), [("first",), ("second",)]), (2, bytearray(part), (50.0, 51.0, 0.0, 1.0), []), (3, None, (0.0, 1.0, 0.0, 1.0), None)]
+    path = str(tmp_path / "layer")
+    spark.createDataFrame(rows, f"id int, geometry binary, bbox {box}, sources array<struct<dataset:string>>").write.parquet(path)
+    got = {r.id: r for r in wkb_parquet(spark, path, -1, -1, 2, 2).collect()}
+    assert set(got) == {1, 3} and got[1].source == "first" and got[3].source is None and got[1].geom.xmax == 1.0
+
