@@ -39,7 +39,7 @@ def source_cards(features: DataFrame, sources: DataFrame, issues: DataFrame, war
     issues: source_id, status; wards: ward and west, south, east, north (null or 0 west: no check).
     """
     fields = profile(features).select("source_id", "fields")
-    box = F.broadcast(wards.select("ward", "west", "south", "east", "north"))
+    box = wards.select("ward", "west", "south", "east", "north")
     rows = features.select("source_id", "properties", "was_invalid", "x0", "y0", "x1", "y1").join(sources, "source_id").join(fields, "source_id").join(box, "ward", "left")
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     no_box = F.col("west").isNull() | (F.col("west") == 0)
