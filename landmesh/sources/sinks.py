@@ -36,4 +36,4 @@ def flat(golden: DataFrame, most: int = 2000) -> DataFrame:
 
 def detections_table(detections: DataFrame, wards: DataFrame) -> DataFrame:
     """Detections with ward names, status 'pending' where there is none, surest first."""
-    return detections.join(F.broadcast(wards.select("ward", F.col("name").alias("ward_name"))), "ward", "left").withColumn("status", F.coalesce("status", F.lit("pending"))).orderBy(F.desc("confidence"), "id")
+    return detections.join(wards.select("ward", F.col("name").alias("ward_name")), "ward", "left").withColumn("status", F.coalesce("status", F.lit("pending"))).orderBy(F.desc("confidence"), "id")
