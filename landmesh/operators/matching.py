@@ -151,15 +151,17 @@ def golden_records(matches: DataFrame, features: DataFrame, found: DataFrame) ->
     """One record for each cluster of matched features that has a polygon.
 
     Field by field the most reliable source wins (ties: type, then id), blanks are skipped; the
-    geometry is that of the most reliable polygon; confidence is the mean match score, conflict_count
+    geometry is that of the most reliable polygon, its box in `geom` and, where features have a
+    `geom`, its shape in `geom.shape`; confidence is the mean match score, conflict_count
     all conflicts of the cluster's matches that are not resolved.
     """
     nodes = components(matches)
     members = features.join(nodes.withColumnRenamed("node", "feature_id"), "feature_id").withColumn("rel", sc.reliability("source_type"))
+    shape = [F.col("geom").alias("shape")] if "geom" in features.columns else []
     base = members.groupBy("cluster").agg(
         F.first("ward").alias("ward"),
         F.count("*").alias("n_members"),
-        F.min(F.when(F.col("is_polygon"), F.struct((-F.col("rel")).alias("r"), "source_type", "feature_id", "x0", "y0", "x1", "y1"))).alias("geom"),
+        F.min(F.when(F.col("is_polygon"), F.struct((-F.col("rel")).alias("r"), "source_type", "feature_id", "x0", "y0", "x1", "y1", *shape))).alias("geom"),
     ).filter("geom is not null")
     cells = members.select("cluster", "rel", "source_type", "feature_id", F.explode("properties").alias("key", "value")).filter("trim(value) <> ''")
     first = Window.partitionBy("cluster", "key").orderBy(F.desc("rel"), "source_type", "feature_id")

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landmesh.functions.geometry import CODES, GEOM, from_lonlat, measures, to_lonlat
+from landmesh.functions.geometry import CODES, GEOM, from_lonlat, to_lonlat
+from landmesh.functions.shapes import checked
 from landmesh.operators.quality import profile
 
 
@@ -31,14 +32,11 @@ def reprojected(features: DataFrame, target: int = 4326, code: str = "srid") ->
 def normalized(features: DataFrame, target: int = 4326) -> tuple[DataFrame, DataFrame]:
     """Features with a geometry, in the target system, with box and measures; and their profile.
 
-    features: source_id, geom, srid, properties. A ring that crosses itself has another area by the
-    shoelace than by the even-odd rule; such features are marked was_invalid.
+    features: source_id, geom, srid, properties. A ring that crosses itself comes out as the parts
+    that the even-odd rule leaves, and its feature is marked was_invalid.
     """
     rows = reprojected(features.filter("geom.xs is not null and size(geom.xs) > 0"), target)
-    # From the first vertex, as products of whole coordinates would lose a small ring's digits.
-    at = lambda v, i: F.get(f"geom.{v}s", i) - F.get(f"geom.{v}s", F.lit(0))
-    shoelace = F.abs(F.aggregate(F.sequence(F.lit(1), F.size("geom.xs") - 1), F.lit(0.0), lambda acc, i: acc + at("x", i - 1) * at("y", i) - at("x", i) * at("y", i - 1))) / 2
-    one_ring = (F.size("geom.offs") == 1) & (F.col("geom.dim") == 2)
-    rows = rows.withColumn("m", measures("geom")).withColumn("was_invalid", F.coalesce(one_ring & (F.abs(shoelace - F.col("m.area")) > 1e-6 * F.greatest(shoelace, F.col("m.area"))), F.lit(False)))
+    rows = rows.withColumn("m", checked("geom"))
+    rows = rows.withColumn("geom", F.struct(*(F.col(f"m.{f.name}") for f in GEOM.fields))).withColumn("was_invalid", F.col("m.was_invalid"))
     out = rows.select(*(c for c in rows.columns if c != "m"), F.col("m.area").alias("area"), F.col("m.cx").alias("x"), F.col("m.cy").alias("y"), F.col("geom.xmin").alias("x0"), F.col("geom.ymin").alias("y0"), F.col("geom.xmax").alias("x1"), F.col("geom.ymax").alias("y1"))
     return out, profile(out)

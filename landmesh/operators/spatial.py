@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landmesh.functions import geometry as geo
+from landmesh.functions import shapes
 from landmesh.functions.scoring import match_score
 
 CELL = 64.0
@@ -129,6 +130,13 @@ def encroachments(pairs: DataFrame, outside: float = 0.15, inside: float = 0.20)
     return out.filter((F.col("outside_share") > outside) & (F.col("overlap") / F.col("area") > inside))
 
 
+def with_outside(found: DataFrame, structures: DataFrame, parcels: DataFrame) -> DataFrame:
+    """Encroachments with `outside`, the shape of the structure's ground outside its parcel."""
+    side = lambda df, p: df.select(F.col("feature_id").alias(f"{p}_id"), F.col("geom").alias(f"__{p}"))
+    rows = found.join(side(structures, "structure"), "structure_id").join(side(parcels, "parcel"), "parcel_id")
+    return rows.withColumn("outside", shapes.difference("__structure", "__parcel")).drop("__structure", "__parcel")
+
+
 def vacant(parcels: DataFrame, structures: DataFrame, by: tuple[str, ...] = ("ward",)) -> DataFrame:
     """Parcels that no structure touches."""
     touched = box_pairs(parcels.select(*by, "feature_id", "x0", "y0", "x1", "y1", *(["geom"] if "geom" in parcels.columns else [])), structures, list(by))

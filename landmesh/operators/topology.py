@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landmesh.functions import shapes
+from landmesh.functions.geometry import measures
 from landmesh.functions.scoring import gap_kind
-from landmesh.operators.spatial import box_pairs, self_overlaps
+from landmesh.operators.spatial import area, box_pairs, self_overlaps
 
 TOLERANCE, GAP_MAX, SLIVER_MAX, OVERLAP_MIN = 0.05, 1.0, 0.5, 0.25
 
@@ -54,14 +56,54 @@ def gaps(parcels: DataFrame, widest: float = GAP_MAX, sliver: float = SLIVER_MAX
     )
 
 
+def polygon_gaps(parcels: DataFrame, widest: float = GAP_MAX, sliver: float = SLIVER_MAX, tolerance: float = TOLERANCE) -> DataFrame:
+    """As `gaps`, for polygons (geom): ground between two neighbours that no parcel covers, with its shape.
+
+    A strip along several neighbours is one finding for each two that face each other. It goes to
+    the neighbour of the longer common border, ties to the smaller id.
+    """
+    p = parcels.select("ward", "feature_id", "x0", "y0", "x1", "y1", "geom")
+    grown = p.withColumns({"x0": F.col("x0") - widest, "y0": F.col("y0") - widest, "x1": F.col("x1") + widest, "y1": F.col("y1") + widest})
+    pairs = box_pairs(grown, p, ["ward"]).filter("a_feature_id < b_feature_id")
+    found = pairs.select("ward", F.col("a_feature_id").alias("a_id"), F.col("b_feature_id").alias("b_id"), shapes.strip_between(widest, tolerance)("a_geom", "b_geom").alias("geom")).filter("geom.xs is not null")
+    keys = ["ward", "a_id", "b_id"]
+    boxes = found.select(*keys, "geom", *(F.col(f"geom.{v}{m}").alias(f"{v}{i}") for v in ("x", "y") for m, i in (("min", 0), ("max", 1))))
+    # Strips are narrow, so that few parcels reach into one; its own two are among those met.
+    over = box_pairs(boxes, p, ["ward"]).groupBy("ward", F.col("a_a_id").alias("a_id"), F.col("a_b_id").alias("b_id")).agg(
+        F.first("a_geom").alias("geom"), F.collect_list("b_geom").alias("covered"),
+        *(F.first(F.when(F.col("b_feature_id") == F.col(f"a_{s}_id"), F.col("b_geom")), ignorenulls=True).alias(f"{s}_geom") for s in ("a", "b")),
+    )
+    left = over.withColumn("geom", shapes.without("geom", "covered")).filter("geom.xs is not null").withColumn("m", measures("geom")).filter("m.area > 0.05")
+    for s in ("a", "b"):  # the common border is what both perimeters lose in the union
+        left = left.withColumn(f"{s}_border", measures(f"{s}_geom")["perimeter"] + F.col("m.perimeter") - measures(shapes.union(f"{s}_geom", "geom"))["perimeter"])
+    target = F.when(F.col("b_border") > F.col("a_border") + 1e-4, F.col("b_id")).otherwise(F.col("a_id"))
+    return left.select("ward", gap_kind(F.col("m.area"), F.col("m.perimeter"), sliver).alias("issue_type"), F.array("a_id", "b_id").alias("feature_ids"), F.col("m.area").alias("measure"), F.struct(F.lit("merge_into").alias("action"), target.alias("target")).alias("fix"), "geom")
+
+
+def fixed(parcels: DataFrame, issues: DataFrame) -> DataFrame:
+    """Accepted fixes applied to polygons (geom): clip_from takes the other parcel's ground off the
+    target, then merge_into adds a gap's shape to it. What a target loses whole keeps a null geom."""
+    accepted = issues.filter("status = 'accepted'").select(F.col("fix.action").alias("action"), F.col("fix.target").alias("feature_id"), "feature_ids", "geom")
+    others = accepted.filter("action = 'clip_from'").select("feature_id", F.explode("feature_ids").alias("other")).filter("feature_id <> other").distinct()
+    cut = others.join(parcels.select(F.col("feature_id").alias("other"), F.col("geom").alias("g")), "other").groupBy("feature_id").agg(F.collect_list("g").alias("__cut"))
+    added = accepted.filter("action = 'merge_into' and geom.xs is not null").groupBy("feature_id").agg(F.collect_list("geom").alias("__add"))
+    none = F.array().cast(f"array<{parcels.schema['geom'].dataType.simpleString()}>")
+    rows = parcels.join(cut, "feature_id", "left").join(added, "feature_id", "left")
+    touched = F.col("__cut").isNotNull() | F.col("__add").isNotNull()
+    # Untouched rows go through as null, so that their shapes are not computed.
+    clipped = shapes.without(F.when(touched, F.col("geom")), F.coalesce("__cut", none))
+    rows = rows.withColumn("__new", shapes.with_all(clipped, F.coalesce("__add", none)))
+    return rows.withColumn("geom", F.when(touched, F.col("__new")).otherwise(F.col("geom"))).drop("__cut", "__add", "__new")
+
+
 def findings(parcels: DataFrame, rings: DataFrame | None = None) -> DataFrame:
-    """All issues of a fabric of boxes: overlaps (clipped from the smaller parcel), gaps, slivers,
+    """All issues of a fabric of boxes, or of polygons (geom): overlaps (clipped from the smaller parcel), gaps, slivers,
     repeated vertices of `rings`, and features that came in invalid (was_invalid: fixed already)."""
     over = self_overlaps(parcels, OVERLAP_MIN, by=("ward",))
-    size = parcels.select("feature_id", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("s"))
+    size = parcels.select("feature_id", area(parcels).alias("s"))
     over = over.join(size.select(F.col("feature_id").alias("a_id"), F.col("s").alias("sa")), "a_id").join(size.select(F.col("feature_id").alias("b_id"), F.col("s").alias("sb")), "b_id")
     over = over.select("ward", F.lit("overlap").alias("issue_type"), F.array("a_id", "b_id").alias("feature_ids"), F.col("overlap").alias("measure"), F.struct(F.lit("clip_from").alias("action"), F.when(F.col("sa") <= F.col("sb"), F.col("a_id")).otherwise(F.col("b_id")).alias("target")).alias("fix"))
-    out = over.unionByName(gaps(parcels))
+    out = over.unionByName(polygon_gaps(parcels) if "geom" in parcels.columns else gaps(parcels), allowMissingColumns=True)
     if rings is not None:
         out = out.unionByName(duplicate_vertices(rings), allowMissingColumns=True)
     if "was_invalid" in parcels.columns:

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landmesh.functions import scoring as sc
-from landmesh.operators import changes, matching, model, pixels, quality, records, spatial, stats, topology
+from landmesh.functions import shapes
+from landmesh.functions.geometry import measures
+from landmesh.operators import changes, matching, model, normalize, pixels, quality, records, spatial, stats, topology
+from landmesh.plans import queries as land
 from landmesh.plans.fixtures import ctes, fixture, properties
 from landmesh.plans.queries import _CONFLICTS, _PAIRS, _cover, _fabric, _features, _gap_sql, _issues, _kind, _labelled, query
 
@@ -327,3 +330,63 @@ def i21_alerts(spark, sf_dir):
 @query(f"{ctes('matches')} SELECT count(*) AS n_matches, count(*) FILTER (match_score >= 85) AS auto_accept, round(avg(iou), 6) AS mean_iou, round(avg(match_score), 6) AS mean_score FROM matches")
 def e18_overview(spark, sf_dir):
     return stats.match_kpis(fixture(spark, sf_dir, "matches")).select("n_matches", "auto_accept", F.round("mean_iou", 6).alias("mean_iou"), F.round("mean_score", 6).alias("mean_score"))
+
+
+# Polygons: the boxes turned by the angle of the 3-4-5 triangle, so that their areas stay as they are
+
+
+def _turned(df: DataFrame) -> DataFrame:
+    """Boxes as turned polygons: `geom`, and their own boxes in x0, y0, x1, y1."""
+    x = lambda a, b: 0.6 * F.col(f"x{a}") - 0.8 * F.col(f"y{b}")
+    y = lambda a, b: 0.8 * F.col(f"x{a}") + 0.6 * F.col(f"y{b}")
+    corners = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    geom = F.struct(
+        F.lit(2).alias("dim"), F.array(*(x(a, b) for a, b in corners)).alias("xs"), F.array(*(y(a, b) for a, b in corners)).alias("ys"), F.array(F.lit(0)).alias("offs"),
+        x(0, 1).alias("xmin"), y(0, 0).alias("ymin"), x(1, 0).alias("xmax"), y(1, 1).alias("ymax"),
+    )
+    out = df.withColumn("geom", geom)
+    return out.withColumns({"x0": F.col("geom.xmin"), "y0": F.col("geom.ymin"), "x1": F.col("geom.xmax"), "y1": F.col("geom.ymax")})
+
+
+def _area(c: str):
+    """Area of a geometry column, null ones (nothing left) as 0."""
+    return F.round(F.coalesce(measures(F.coalesce(c, shapes.empty()))["area"], F.lit(0.0)), 4)
+
+
+@query(f"""{ctes('features')} SELECT a.k, round(i, 4) AS both, round(aa - i, 4) AS outside, round(aa + ba - i, 4) AS whole FROM (SELECT a.k, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ba, greatest(0e0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0e0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i
+  FROM features a JOIN features b ON a.k = b.k AND a.source_type = 'cadastral' AND b.source_type = 'municipal_gis') a""")
+def b9_shapes(spark, sf_dir):
+    side = lambda kind, p: _turned(_kind(spark, sf_dir, kind)).select("k", F.col("geom").alias(p))
+    rows = side("cadastral", "a").join(side("municipal_gis", "b"), "k")
+    rows = rows.select("k", shapes.intersection("a", "b").alias("i"), shapes.difference("a", "b").alias("d"), shapes.union("a", "b").alias("u"))
+    return rows.select("k", _area("i").alias("both"), _area("d").alias("outside"), _area("u").alias("whole"))
+
+
+@query(f"{ctes('parcels')} SELECT k, k % 3 = 0 AS was_invalid, CASE WHEN k % 3 = 0 THEN 250e0 ELSE 500e0 END AS area, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS n_parts, round(0.6e0 * (x0 + x1) / 2 - 0.8e0 * (y0 + y1) / 2, 3) AS x FROM parcels")
+def b6_repaired(spark, sf_dir):
+    rows = _turned(fixture(spark, sf_dir, "parcels"))
+    crossed = lambda v: F.array(*(F.col(f"geom.{v}")[i] for i in (0, 1, 3, 2, 0)))
+    swap = lambda v: F.when(F.col("k") % 3 == 0, crossed(v)).otherwise(F.col(f"geom.{v}"))
+    rows = rows.withColumn("geom", F.col("geom").withField("xs", swap("xs")).withField("ys", swap("ys"))).withColumn("srid", F.lit(32644)).withColumn("source_id", F.lit("s")).withColumn("properties", F.create_map(F.lit("a"), F.lit("1")))
+    out, _ = normalize.normalized(rows.select("k", "source_id", "geom", "srid", "properties"), 32644)
+    return out.select("k", "was_invalid", F.round("area", 3).alias("area"), shapes.n_parts("geom").alias("n_parts"), F.round("x", 3).alias("x"))
+
+
+@query(f"""{ctes('parcels')}, c AS (SELECT ward, k // 25 % 40 AS i, k // 25 // 40 AS j FROM parcels)
+  SELECT ward, 500e0 * count(*) AS area, sum(90e0 - 40 * (SELECT count(*) FROM c n WHERE n.ward = c.ward AND n.i = c.i AND n.j = c.j + 1) - 50 * (SELECT count(*) FROM c n WHERE n.ward = c.ward AND n.j = c.j AND n.i = c.i + 1)) AS perimeter FROM c GROUP BY ward""")
+def b14_dissolved(spark, sf_dir):
+    out = shapes.dissolved(_turned(fixture(spark, sf_dir, "parcels")), ["ward"]).withColumn("m", measures("geom"))
+    return out.select("ward", F.round("m.area", 2).alias("area"), F.round("m.perimeter", 2).alias("perimeter"))
+
+
+@query(land.ORACLES["k3_gaps"].replace("w * l AS area", "round(w * l, 4) AS area, a_id AS target"))
+def k3_polygon_gaps(spark, sf_dir):
+    found = topology.polygon_gaps(_turned(_fabric(spark, sf_dir)))
+    return found.select("ward", "issue_type", F.col("feature_ids")[0].alias("a_id"), F.col("feature_ids")[1].alias("b_id"), F.round("measure", 4).alias("area"), F.col("fix.target").alias("target"))
+
+
+@query(land.ORACLES["d5_encroachments"].replace("area - o AS outside_area", "round(area - o, 4) AS outside_area, round(area - o, 4) AS shape_area"))
+def d5_outside(spark, sf_dir):
+    now, parcels = _turned(fixture(spark, sf_dir, "footprints_2025")), _turned(_kind(spark, sf_dir, "cadastral"))
+    found = spatial.encroachments(spatial.coverage(now, parcels))
+    return spatial.with_outside(found, now, parcels).select("structure_id", "parcel_id", F.round("outside_area", 4).alias("outside_area"), _area("outside").alias("shape_area"))

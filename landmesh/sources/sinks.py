@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landmesh.functions.shapes import to_geojson
+
 
 def write_features(features: DataFrame, path: str) -> None:
     """Parquet by ward; a run without any feature is an error."""
@@ -14,12 +16,20 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def geojson_lines(golden: DataFrame) -> DataFrame:
-    """One GeoJSON Feature a line: attributes with provenance, confidence and conflict count."""
+    """One GeoJSON Feature a line: attributes with provenance, confidence and conflict count.
+
+    The geometry is `geom.shape` where golden records have one, else the box.
+    """
     box = lambda a, b: F.array(F.col(f"geom.x{a}"), F.col(f"geom.y{b}"))
     ring = F.array(box(0, 0), box(1, 0), box(1, 1), box(0, 1), box(0, 0))
-    extra = F.map_from_arrays(F.array(F.lit("_provenance"), F.lit("_confidence"), F.lit("_conflict_count")), F.array(F.to_json("provenance"), F.col("confidence").cast("string"), F.col("conflict_count").cast("string")))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.map_concat("attributes", extra).alias("properties"))
-    return golden.select(F.to_json(feature).alias("value"))
+    geometry = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+    if "shape" in golden.schema["geom"].dataType.names:
+        geometry = F.coalesce(to_geojson("geom.shape"), geometry)
+    extra = F.to_json(F.struct(F.col("provenance").alias("_provenance"), F.col("confidence").alias("_confidence"), F.col("conflict_count").alias("_conflict_count")), {"ignoreNullFields": "false"})
+    own = F.map_filter(F.coalesce("attributes", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("_provenance", "_confidence", "_conflict_count"))
+    joined = F.concat(F.lit("{"), F.expr("substring(own, 2, length(own) - 2)"), F.when(F.length("own") > 2, ",").otherwise(""), F.expr("substring(extra, 2)"))
+    rows = golden.select(geometry.alias("geometry"), F.to_json(own).alias("own"), extra.alias("extra"))
+    return rows.select(F.concat(F.lit('{"type":"Feature","geometry":'), "geometry", F.lit(',"properties":'), joined, F.lit("}")).alias("value"))
 
 
 def flat(golden: DataFrame, most: int = 2000) -> DataFrame:
