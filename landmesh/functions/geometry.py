@@ -92,6 +92,29 @@ def _levels(e: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(ys))
 
 
+#: Up to so many edges, plain numbers beat arrays.
+FEW = 48
+
+
+def _crossings(e: list[tuple]) -> list[float]:
+    """All y of ends and crossings of edges (x1, y1, x2, y2, layer)."""
+    if len(e) > FEW:
+        return _levels(np.array([v[:4] for v in e])).tolist()
+    ys = [v[1] for v in e] + [v[3] for v in e]
+    for i, (ax, ay, bx, by, _) in enumerate(e):
+        dx, dy = bx - ax, by - ay
+        for cx, cy, fx, fy, _ in e[i + 1 :]:
+            if cy >= by or fy <= ay:
+                continue
+            gx, gy = fx - cx, fy - cy
+            cross = dx * gy - dy * gx
+            if cross:
+                t, u = ((cx - ax) * gy - (cy - ay) * gx) / cross, ((cx - ax) * dy - (cy - ay) * dx) / cross
+                if 0 < t < 1 and 0 < u < 1:
+                    ys.append(ay + t * dy)
+    return ys
+
+
 def overlay_areas(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[float, float, float]:
     """Areas of the intersection, of a alone and of b alone, under the even-odd rule.
 
@@ -102,23 +125,30 @@ def overlay_areas(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[float, floa
     e = np.concatenate([ea, eb])
     if not len(e):
         return 0.0, 0.0, 0.0
-    origin = np.array([e[:, [0, 2]].min(), e[:, 1].min()] * 2)
-    e = e - origin
-    of_b = np.arange(len(e)) >= len(ea)
-    levels = _levels(e)
+    e = e - np.array([e[:, [0, 2]].min(), e[:, 1].min()] * 2)
+    edges = sorted(((*v, i >= len(ea)) for i, v in enumerate(e.tolist())), key=lambda v: v[1])
+    levels = sorted(set(_crossings(edges)))
     both = only_a = only_b = 0.0
+    active: list[tuple] = []
+    at = 0
     for low, high in zip(levels[:-1], levels[1:], strict=True):
         mid = (low + high) / 2
-        on = (e[:, 1] < mid) & (e[:, 3] > mid)
-        s, which = e[on], of_b[on]
-        x = s[:, 0] + (mid - s[:, 1]) / (s[:, 3] - s[:, 1]) * (s[:, 2] - s[:, 0])
-        order = np.argsort(x, kind="stable")
-        x, which = x[order], which[order]
-        in_a, in_b = np.cumsum(~which)[:-1] % 2 == 1, np.cumsum(which)[:-1] % 2 == 1
-        area = np.diff(x) * (high - low)  # a trapezoid's mean width is that at mid height
-        both += float(area[in_a & in_b].sum())
-        only_a += float(area[in_a & ~in_b].sum())
-        only_b += float(area[~in_a & in_b].sum())
+        active = [v for v in active if v[3] > mid]
+        while at < len(edges) and edges[at][1] < mid:
+            active.append(edges[at])
+            at += 1
+        in_a = in_b = False
+        before = 0.0
+        for x, of_b in sorted((x1 + (mid - y1) / (y2 - y1) * (x2 - x1), of_b) for x1, y1, x2, y2, of_b in active):
+            if in_a or in_b:
+                area = (x - before) * (high - low)  # a trapezoid's mean width is that at mid height
+                if not in_b:
+                    only_a += area
+                elif in_a:
+                    both += area
+                else:
+                    only_b += area
+            in_a, in_b, before = in_a ^ (not of_b), in_b ^ of_b, x
     return both, only_a, only_b
 
 

@@ -17,28 +17,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
-from landmesh.functions.geometry import GEOM, _doubles, _edges, _flat, _frame, _levels, contains, ring_measures, rings_of
+from landmesh.functions.geometry import GEOM, _doubles, _crossings, _edges, _flat, _frame, contains, ring_measures, rings_of
 
 Rings = list[np.ndarray]
 
 RULES = {
-    "intersection": lambda a, b: (a > 0) & (b > 0),
-    "difference": lambda a, b: (a > 0) & (b == 0),
-    "union": lambda a, b: (a > 0) | (b > 0),
+    "intersection": lambda a, b: a > 0 and b > 0,
+    "difference": lambda a, b: a > 0 and b == 0,
+    "union": lambda a, b: a > 0 or b > 0,
 }
 
 
-def _depth(which: np.ndarray, layers: int) -> np.ndarray:
-    """How many of the layers hold each stretch right of an edge, edges given by layer in order."""
-    seen = np.zeros(layers, dtype=bool)
-    step = np.empty(len(which), dtype=int)
-    for i, layer in enumerate(which):
-        step[i] = -1 if seen[layer] else 1
-        seen[layer] = not seen[layer]
-    return np.cumsum(step)
+def _spans(edges: list[tuple], mid: float, of_b: list[bool], rule) -> list[tuple]:
+    """Pairs of edges between which the result lies at a height without crossings."""
+    odd, depth, out, left = set(), [0, 0], [], None
+    for _, _, edge in sorted((x1 + (mid - y1) / (y2 - y1) * (x2 - x1), i, edge) for i, edge in enumerate(edges) for x1, y1, x2, y2, _ in (edge,)):
+        layer = edge[4]
+        if layer in odd:
+            odd.discard(layer)
+            depth[of_b[layer]] -= 1
+        else:
+            odd.add(layer)
+            depth[of_b[layer]] += 1
+        inside = rule(*depth)
+        if inside and left is None:
+            left = edge
+        elif left is not None and not inside:
+            out.append((left, edge))
+            left = None
+    return out
 
 
-def _level_segments(below: np.ndarray, above: np.ndarray, y: float) -> list[tuple]:
+def _level_segments(below: list[tuple], above: list[tuple], y: float) -> list[tuple]:
     """Boundary along a level: eastwards where only the upper side belongs, else westwards."""
     ends: dict[float, int] = {}
     for spans, sign in ((above, 1), (below, -1)):
@@ -130,46 +140,41 @@ def combined(a: list[Rings], b: list[Rings], rule: str) -> Rings:
     shapes = [(s, of_b) for group, of_b in ((a, False), (b, True)) for s in group if any(len(r) > 3 for r in s)]
     if not shapes:
         return []
-    layer_of_b = np.array([of_b for _, of_b in shapes])
+    layer_of_b = [of_b for _, of_b in shapes]
     points = np.concatenate([r for s, _ in shapes for r in s])
     grid = 2.0 ** (np.floor(np.log2(np.abs(points).max() or 1.0)) - 46)
     snap = lambda v: np.round(v / grid) * grid
     corner = snap(points.min(axis=0))
     parts = [_edges([snap(r) - corner for r in s]) for s, _ in shapes]
-    e = np.concatenate(parts)
-    which = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    if not len(e):
+    raw = [(*v, i) for i, p in enumerate(parts) for v in p.tolist()]
+    if not raw:
         return []
-    every = np.unique(snap(_levels(e)))
+    every = np.unique(snap(np.array(_crossings(raw))))
     new = np.diff(every, prepend=-np.inf) > 2 * grid  # levels a step or two apart are one
-    levels = every[new]
-    e[:, [1, 3]] = levels[np.cumsum(new)[np.searchsorted(every, e[:, [1, 3]])] - 1]
-    which, e = which[e[:, 1] < e[:, 3]], e[e[:, 1] < e[:, 3]]
+    levels = every[new].tolist()
+    level = dict(zip(every.tolist(), every[new][np.cumsum(new) - 1].tolist(), strict=True))
+    e = sorted(((x1, level[y1], x2, level[y2], i) for x1, y1, x2, y2, i in raw), key=lambda v: v[1])
+    e = [v for v in e if v[1] < v[3]]
+
+    def x_at(v: tuple, y: float) -> float:
+        x1, y1, x2, y2, _ = v
+        return x1 if y <= y1 else x2 if y >= y2 else round((x1 + (y - y1) / (y2 - y1) * (x2 - x1)) / grid) * grid
+
     segments: list[tuple] = []
-    below = np.zeros((0, 2))
-    x_at = lambda s, y: np.where(y <= s[:, 1], s[:, 0], np.where(y >= s[:, 3], s[:, 2], snap(s[:, 0] + (y - s[:, 1]) / (s[:, 3] - s[:, 1]) * (s[:, 2] - s[:, 0]))))
+    below: list[tuple] = []
+    active: list[tuple] = []
+    at = 0
     for low, high in zip(levels[:-1], levels[1:], strict=True):
-        mid = (low + high) / 2
-        on = (e[:, 1] < mid) & (e[:, 3] > mid)
-        s, layer = e[on], which[on]
-        order = np.argsort(s[:, 0] + (mid - s[:, 1]) / (s[:, 3] - s[:, 1]) * (s[:, 2] - s[:, 0]), kind="stable")
-        s, layer = s[order], layer[order]
-        of_b = layer_of_b[layer]
-        in_a, in_b = np.zeros(len(s), int), np.zeros(len(s), int)
-        for side, mask in ((in_a, ~of_b), (in_b, of_b)):
-            step = np.zeros(len(s), int)
-            if mask.any():
-                step[mask] = np.diff(_depth(layer[mask], len(parts)), prepend=0)
-            side[:] = np.cumsum(step)
-        inside = RULES[rule](in_a, in_b)
-        was = np.concatenate([[False], inside[:-1]])
-        left, right = np.flatnonzero(inside & ~was), np.flatnonzero(~inside & was)
-        lows, highs = x_at(s, low), x_at(s, high)
-        segments += _level_segments(below, np.stack([lows[left], lows[right]], axis=1), float(low))
-        segments += [((float(highs[i]), float(high)), (float(lows[i]), float(low))) for i in left]
-        segments += [((float(lows[i]), float(low)), (float(highs[i]), float(high))) for i in right]
-        below = np.stack([highs[left], highs[right]], axis=1)
-    segments += _level_segments(below, np.zeros((0, 2)), float(levels[-1]))
+        active = [v for v in active if v[3] > low]
+        while at < len(e) and e[at][1] <= low:
+            active.append(e[at])
+            at += 1
+        spans = [(x_at(a, low), x_at(a, high), x_at(b, low), x_at(b, high)) for a, b in _spans(active, (low + high) / 2, layer_of_b, RULES[rule])]
+        segments += _level_segments(below, [(s[0], s[2]) for s in spans], low)
+        segments += [((s[1], high), (s[0], low)) for s in spans]
+        segments += [((s[2], low), (s[3], high)) for s in spans]
+        below = [(s[1], s[3]) for s in spans]
+    segments += _level_segments(below, [], levels[-1])
     return [r + corner for r in _rings(_joined(segments, grid), grid)]
 
 

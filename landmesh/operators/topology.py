@@ -102,7 +102,7 @@ def findings(parcels: DataFrame, rings: DataFrame | None = None) -> DataFrame:
     over = self_overlaps(parcels, OVERLAP_MIN, by=("ward",))
     size = parcels.select("feature_id", area(parcels).alias("s"))
     over = over.join(size.select(F.col("feature_id").alias("a_id"), F.col("s").alias("sa")), "a_id").join(size.select(F.col("feature_id").alias("b_id"), F.col("s").alias("sb")), "b_id")
-    over = over.select("ward", F.lit("overlap").alias("issue_type"), F.array("a_id", "b_id").alias("feature_ids"), F.col("overlap").alias("measure"), F.struct(F.lit("clip_from").alias("action"), F.when(F.col("sa") <= F.col("sb"), F.col("a_id")).otherwise(F.col("b_id")).alias("target")).alias("fix"))
+    over = over.select("ward", F.lit("overlap").alias("issue_type"), F.array("a_id", "b_id").alias("feature_ids"), F.col("overlap").alias("measure"), F.struct(F.lit("clip_from").alias("action"), F.when(F.col("sa") <= F.col("sb") * (1 + 1e-9), F.col("a_id")).otherwise(F.col("b_id")).alias("target")).alias("fix"))
     out = over.unionByName(polygon_gaps(parcels) if "geom" in parcels.columns else gaps(parcels), allowMissingColumns=True)
     if rings is not None:
         out = out.unionByName(duplicate_vertices(rings), allowMissingColumns=True)

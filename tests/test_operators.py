@@ -117,7 +117,7 @@ def test_sinks(spark):
     g = spark.createDataFrame([("h1", {"owner": "Rao"}, {"owner": "revenue"}, 0.9, 0, (0.0, 0.0, 1.0, 1.0)), ("h2", {"area": "5"}, {"area": "cadastral"}, None, 1, (0.0, 0.0, 1.0, 1.0))], "cluster string, attributes map<string,string>, provenance map<string,string>, confidence double, conflict_count int, geom struct<x0:double,y0:double,x1:double,y1:double>")
     rows = {r.hp_id: r for r in sinks.flat(g).collect()}
     assert (rows["h1"].owner, rows["h1"].area, rows["h2"].confidence) == ("Rao", "", 0.0)
-    assert '"_conflict_count":"0"' in sinks.geojson_lines(g).orderBy("value").collect()[1].value
+    assert '"_conflict_count":0' in sinks.geojson_lines(g).orderBy("value").collect()[1].value
 
 
 def test_streams(spark, tmp_path):
