@@ -10,6 +10,7 @@ shapes that were joined apart still meet.
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 import pandas as pd
@@ -198,39 +199,51 @@ def parts_of(rings: Rings) -> list[Rings]:
     return sorted(parts, key=lambda p: tuple(p[0][0]))
 
 
+#: Cosine of 30 degrees.
+FACING = 0.866
+
+
 def strips(a: Rings, b: Rings, widest: float, tolerance: float) -> Rings:
     """Ground between two shapes whose edges face each other at most `widest` apart.
 
     Each pair of edges gives the quadrilateral over their common stretch; what either shape covers
     is taken off. Edges that turn from each other by over 30 degrees do not face.
     """
-    ea, eb = (np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) for r in s]) for s in (a, b))
+    def near_edges(of: Rings, other: Rings) -> list[list[float]]:
+        low, high = (f([f(r, axis=0) for r in other], axis=0) for f in (np.min, np.max))
+        e = np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) for r in of])
+        reach = (np.minimum(e[:, :2], e[:, 2:]) <= high + widest) & (np.maximum(e[:, :2], e[:, 2:]) >= low - widest)
+        return e[reach.all(axis=1)].tolist()
+
     quads = []
-    for p in ea:
-        u = p[2:] - p[:2]
-        long = float(np.hypot(*u))
+    eb = near_edges(b, a)
+    for ax, ay, bx, by in near_edges(a, b):
+        long = math.hypot(bx - ax, by - ay)
         if not long:
             continue
-        u = u / long
-        n = np.array([-u[1], u[0]])
-        q = eb.reshape(-1, 2, 2) - p[:2]
-        t, d = q @ u, q @ n
-        for (t0, t1), (d0, d1), edge in zip(t, d, eb, strict=True):
-            if abs(t1 - t0) < 0.866 * np.hypot(*(edge[2:] - edge[:2])) or t0 == t1:
-                continue
+        ux, uy = (bx - ax) / long, (by - ay) / long
+        for cx, cy, fx, fy in eb:
+            t0, t1 = (cx - ax) * ux + (cy - ay) * uy, (fx - ax) * ux + (fy - ay) * uy
             lo, hi = max(0.0, min(t0, t1)), min(long, max(t0, t1))
-            if hi <= lo:
+            if hi <= lo or abs(t1 - t0) < FACING * math.hypot(fx - cx, fy - cy):
                 continue
-            at = lambda v: d0 + (v - t0) / (t1 - t0) * (d1 - d0)  # noqa: B023, E731
-            near, far = at(lo), at(hi)
-            if near * far < 0 or max(abs(near), abs(far)) > widest or max(abs(near), abs(far)) <= tolerance:
+            d0, d1 = (cy - ay) * ux - (cx - ax) * uy, (fy - ay) * ux - (fx - ax) * uy
+            near, far = (d0 + (v - t0) / (t1 - t0) * (d1 - d0) for v in (lo, hi))
+            if near * far < 0 or not tolerance < max(abs(near), abs(far)) <= widest:
                 continue
-            v = [p[:2] + lo * u, p[:2] + hi * u, p[:2] + hi * u + far * n, p[:2] + lo * u + near * n]
+            v = [(ax + t * ux - d * uy, ay + t * uy + d * ux) for t, d in ((lo, 0.0), (hi, 0.0), (hi, far), (lo, near))]
             quads.append([np.array([*v, v[0]])])
     return combined(quads, [a, b], "difference") if quads else []
 
 
-# Columns
+# Columns. The functions are marked as not deterministic, as they are dear: the optimizer then never
+# computes one twice, for a filter and for the value.
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly before shapes are computed, which takes longer than the shuffle: hot cells
+    and small tables would leave the work to few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def empty() -> Column:
@@ -253,7 +266,7 @@ def _pairwise(rule: str):
     def shape(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _geometry([combined([x], [y], rule) for x, y in zip(_rows(a), _rows(b), strict=True)])
 
-    return shape
+    return shape.asNondeterministic()
 
 
 #: Shapes of two geometry columns; null where nothing is left. A null geometry counts as empty.
@@ -307,7 +320,7 @@ def _without(g: pd.DataFrame, shapes: pd.Series) -> pd.DataFrame:
 
 def without(g: Column | str, shapes: Column | str) -> Column:
     """A geometry without all those of an array column."""
-    return _without(g, shapes)
+    return _without.asNondeterministic()(g, shapes)
 
 
 @F.pandas_udf(GEOM)
@@ -317,7 +330,7 @@ def _with_all(g: pd.DataFrame, more: pd.Series) -> pd.DataFrame:
 
 def with_all(g: Column | str, shapes: Column | str) -> Column:
     """A geometry joined with all those of an array column."""
-    return _with_all(g, shapes)
+    return _with_all.asNondeterministic()(g, shapes)
 
 
 def strip_between(widest: float, tolerance: float):
@@ -327,7 +340,7 @@ def strip_between(widest: float, tolerance: float):
     def strip(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _geometry([strips(x, y, widest, tolerance) for x, y in zip(_rows(a), _rows(b), strict=True)])
 
-    return strip
+    return strip.asNondeterministic()
 
 
 def to_geojson_text(g: dict | None) -> str | None:

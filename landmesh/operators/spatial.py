@@ -66,7 +66,7 @@ def box_pairs(a: DataFrame, b: DataFrame, by: list[str], cell: float = CELL) ->
 def with_overlap(pairs: DataFrame) -> DataFrame:
     """pairs with `overlap`, the shared area; by expressions where neither side has a `geom`."""
     if "a_geom" in pairs.columns and "b_geom" in pairs.columns:
-        return pairs.withColumn("overlap", geo.overlay("a_geom", "b_geom")["both"])
+        return shapes.spread(pairs).withColumn("overlap", geo.overlay.asNondeterministic()("a_geom", "b_geom")["both"])
     return pairs.withColumn("overlap", geo.rectangle_overlap("a_", "b_"))
 
 
@@ -134,7 +134,7 @@ def with_outside(found: DataFrame, structures: DataFrame, parcels: DataFrame) ->
     """Encroachments with `outside`, the shape of the structure's ground outside its parcel."""
     side = lambda df, p: df.select(F.col("feature_id").alias(f"{p}_id"), F.col("geom").alias(f"__{p}"))
     rows = found.join(side(structures, "structure"), "structure_id").join(side(parcels, "parcel"), "parcel_id")
-    return rows.withColumn("outside", shapes.difference("__structure", "__parcel")).drop("__structure", "__parcel")
+    return shapes.spread(rows).withColumn("outside", shapes.difference("__structure", "__parcel")).drop("__structure", "__parcel")
 
 
 def vacant(parcels: DataFrame, structures: DataFrame, by: tuple[str, ...] = ("ward",)) -> DataFrame:

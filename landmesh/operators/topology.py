@@ -65,7 +65,7 @@ def polygon_gaps(parcels: DataFrame, widest: float = GAP_MAX, sliver: float = SL
     p = parcels.select("ward", "feature_id", "x0", "y0", "x1", "y1", "geom")
     grown = p.withColumns({"x0": F.col("x0") - widest, "y0": F.col("y0") - widest, "x1": F.col("x1") + widest, "y1": F.col("y1") + widest})
     pairs = box_pairs(grown, p, ["ward"]).filter("a_feature_id < b_feature_id")
-    found = pairs.select("ward", F.col("a_feature_id").alias("a_id"), F.col("b_feature_id").alias("b_id"), shapes.strip_between(widest, tolerance)("a_geom", "b_geom").alias("geom")).filter("geom.xs is not null")
+    found = shapes.spread(pairs).select("ward", F.col("a_feature_id").alias("a_id"), F.col("b_feature_id").alias("b_id"), shapes.strip_between(widest, tolerance)("a_geom", "b_geom").alias("geom")).filter("geom.xs is not null")
     keys = ["ward", "a_id", "b_id"]
     boxes = found.select(*keys, "geom", *(F.col(f"geom.{v}{m}").alias(f"{v}{i}") for v in ("x", "y") for m, i in (("min", 0), ("max", 1))))
     # Strips are narrow, so that few parcels reach into one; its own two are among those met.
@@ -73,7 +73,7 @@ def polygon_gaps(parcels: DataFrame, widest: float = GAP_MAX, sliver: float = SL
         F.first("a_geom").alias("geom"), F.collect_list("b_geom").alias("covered"),
         *(F.first(F.when(F.col("b_feature_id") == F.col(f"a_{s}_id"), F.col("b_geom")), ignorenulls=True).alias(f"{s}_geom") for s in ("a", "b")),
     )
-    left = over.withColumn("geom", shapes.without("geom", "covered")).filter("geom.xs is not null").withColumn("m", measures("geom")).filter("m.area > 0.05")
+    left = shapes.spread(over).withColumn("geom", shapes.without("geom", "covered")).filter("geom.xs is not null").withColumn("m", measures("geom")).filter("m.area > 0.05")
     for s in ("a", "b"):  # the common border is what both perimeters lose in the union
         left = left.withColumn(f"{s}_border", measures(f"{s}_geom")["perimeter"] + F.col("m.perimeter") - measures(shapes.union(f"{s}_geom", "geom"))["perimeter"])
     target = F.when(F.col("b_border") > F.col("a_border") + 1e-4, F.col("b_id")).otherwise(F.col("a_id"))

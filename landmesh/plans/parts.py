@@ -358,7 +358,7 @@ def _area(c: str):
 def b9_shapes(spark, sf_dir):
     side = lambda kind, p: _turned(_kind(spark, sf_dir, kind)).select("k", F.col("geom").alias(p))
     rows = side("cadastral", "a").join(side("municipal_gis", "b"), "k")
-    rows = rows.select("k", shapes.intersection("a", "b").alias("i"), shapes.difference("a", "b").alias("d"), shapes.union("a", "b").alias("u"))
+    rows = shapes.spread(rows).select("k", shapes.intersection("a", "b").alias("i"), shapes.difference("a", "b").alias("d"), shapes.union("a", "b").alias("u"))
     return rows.select("k", _area("i").alias("both"), _area("d").alias("outside"), _area("u").alias("whole"))
 
 
@@ -368,7 +368,7 @@ def b6_repaired(spark, sf_dir):
     crossed = lambda v: F.array(*(F.col(f"geom.{v}")[i] for i in (0, 1, 3, 2, 0)))
     swap = lambda v: F.when(F.col("k") % 3 == 0, crossed(v)).otherwise(F.col(f"geom.{v}"))
     rows = rows.withColumn("geom", F.col("geom").withField("xs", swap("xs")).withField("ys", swap("ys"))).withColumn("srid", F.lit(32644)).withColumn("source_id", F.lit("s")).withColumn("properties", F.create_map(F.lit("a"), F.lit("1")))
-    out, _ = normalize.normalized(rows.select("k", "source_id", "geom", "srid", "properties"), 32644)
+    out, _ = normalize.normalized(shapes.spread(rows).select("k", "source_id", "geom", "srid", "properties"), 32644)
     return out.select("k", "was_invalid", F.round("area", 3).alias("area"), shapes.n_parts("geom").alias("n_parts"), F.round("x", 3).alias("x"))
 
 
