@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from landmesh.functions import shapes
 from landmesh.functions.geometry import from_wkt, overlay_areas, ring_measures, rings_of
-from landmesh.operators import normalize, topology
+from landmesh.functions.scoring import RELIABILITY
+from landmesh.operators import matching, normalize, topology
 from landmesh.sources import sinks
 
 TURN = np.array([[0.6, 0.8], [-0.8, 0.6]])
@@ -108,3 +109,15 @@ def test_export_keeps_shape_and_types(spark):
     assert [0.0, 0.0] in line["geometry"]["coordinates"][0]
     bare = json.loads(sinks.geojson_lines(g.withColumn("attributes", F.create_map().cast("map<string,string>")).withColumn("geom", F.col("geom").dropFields("shape"))).first().value)
     assert set(bare["properties"]) == {"_provenance", "_confidence", "_conflict_count"}
+
+
+def test_golden_record_keeps_the_most_reliable_shape(spark):
+    f = table(spark, [("a", box(0, 0, 10, 10, True)), ("b", box(1, 0, 10, 10, True))])
+    f = f.withColumns({"source_type": F.when(F.col("feature_id") == "a", "building_footprint").otherwise("cadastral"), "is_polygon": F.lit(True), "properties": F.create_map(F.lit("o"), F.col("feature_id"))})
+    m = spark.createDataFrame([("a", "b", 1, 0.8, 90.0)], "a_id string, b_id string, ward int, iou double, match_score double")
+    found = spark.createDataFrame([], "a_id string, b_id string, status string")
+    (g,) = matching.golden_records(m, f, found).collect()
+    best = max(("building_footprint", "cadastral"), key=lambda t: RELIABILITY[t])
+    want = {"building_footprint": "a", "cadastral": "b"}[best]
+    assert g.geom.feature_id == want
+    assert g.geom["shape"].xs == f.filter(F.col("feature_id") == want).first().geom.xs
