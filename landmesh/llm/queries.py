@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from landmesh.llm.bpe import op2_bpe
+from landmesh.llm.centroids import OP13_SQL, op13_clusters
 from landmesh.llm.chat import OP4_SQL, op4_chat
 from landmesh.llm.decontaminate import op5_decontaminate
 from landmesh.llm.html_text import op7_html
@@ -16,6 +17,8 @@ from landmesh.llm.quality import op3_quality
 from landmesh.llm.substring_dedup import op9_substring_dedup
 from landmesh.llm.suffix_dedup import op1_suffix_dedup
 from landmesh.llm.token_store import op10_token_store
+from landmesh.llm.vector_codes import OP12_SQL, op12_vector_codes
+from landmesh.llm.warc import OP11_SQL, op11_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_store": op10_token_store,
+    "op11_warc": op11_warc,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_clusters": op13_clusters,
 }
 
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op11_warc": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_clusters": OP13_SQL}
