@@ -98,23 +98,26 @@ def read_arc(raw, name: str = "archive") -> Iterator[ArcRecord]:
         if not line:
             return
         text = line.decode("utf-8", "replace").rstrip("\r\n")
-        if text.startswith("filedesc:"):  # the version block, also where files were joined
+        block = None
+        if text.startswith("filedesc:"):  # a version block, also where files were joined
             length = text.rsplit(" ", 1)[-1]
             if not length.isdigit():
                 raise ValueError(f"{name}: no length in the version block: {text!r}")
-            said = _exactly(source, int(length), f"{name}: version block").decode("utf-8", "replace").splitlines()
-            version = said[0].split(" ")[0] if said else ""
-            if version not in ("1", "2"):
+            block = _exactly(source, int(length), f"{name}: version block")
+            version = block.split(b"\n", 1)[0].split(b" ")[0]
+            if version in (b"1", b"2"):
+                fields = ARC_FIELDS[int(version)]
+                continue
+            if not fields:
                 raise ValueError(f"{name}: unknown archive version {version!r}")
-            fields = ARC_FIELDS[int(version)]
-            continue
         if not fields:
             raise ValueError(f"{name}: a record before the version block")
         parts = text.rsplit(" ", len(fields) - 1)
         if len(parts) != len(fields) or not parts[-1].isdigit():
             raise ValueError(f"{name}: not a header line of {len(fields)} fields: {text[:200]!r}")
         head = dict(zip(fields, parts, strict=True))
-        block = _exactly(source, int(head["Archive-length"]), f"{name}: {head['URL'][:200]}")
+        if block is None:
+            block = _exactly(source, int(head["Archive-length"]), f"{name}: {head['URL'][:200]}")
         yield ArcRecord(head["URL"], head["IP-address"], head["Archive-date"], head["Content-type"], block)
 
 
@@ -296,12 +299,12 @@ def revisits(records: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """part, file, number of the responses that revisit another, and that one's id, url and date.
 
     Of responses with equal payloads of at least min_bytes the one with the largest key stays (a
-    null key is the smallest; then file and number decide). A payload may be that of a third of all
+    null key is the smallest; of equal keys the first by file and number). A payload may be that of a third of all
     records: groups are aggregated before they are shuffled, and the join splits large partitions.
     """
     fine = records.filter(F.col("payload_bytes") >= min_bytes).filter("type = 'response'")
-    order = F.struct(F.col("key").isNotNull().alias("known"), "key", "file", "number")
-    kept = fine.groupBy("digest", "payload_bytes").agg(F.count("*").alias("n"), F.max_by(F.struct("record_id", "url", "date"), order).alias("of")).filter("n > 1")
+    order = F.struct(F.col("key").isNull().alias("none"), F.bitwise_not("key").alias("down"), "file", "number")
+    kept = fine.groupBy("digest", "payload_bytes").agg(F.count("*").alias("n"), F.min_by(F.struct("record_id", "url", "date"), order).alias("of")).filter("n > 1")
     small = kept.select(F.col("digest").alias("d"), F.col("payload_bytes").alias("b"), "of")
     return fine.join(small, (F.col("digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b"))).filter("record_id != of.record_id").select("part", "file", "number", F.col("of.record_id").alias("to_id"), F.col("of.url").alias("to_url"), F.col("of.date").alias("to_date"))
 
