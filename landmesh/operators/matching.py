@@ -53,31 +53,56 @@ def with_locked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return unordered(pairs).join(confirmed, ["__low", "__high"], "left").withColumn("locked", F.coalesce("locked", F.lit(False))).drop("__low", "__high")
 
 
-def one_to_one(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def one_to_one(edges: DataFrame) -> DataFrame:
     """Greedy best-first selection: a feature keeps at most one partner of each other source.
 
     edges: a_id, b_id, a_source, b_source, match_score, locked. In the strict order locked first,
-    score descending, ids, an edge that is the first at both ends is in the greedy result, and those
-    that share an end of the same sources go; repeating this gives the same set as one pass over
-    all edges in order, without ordering them.
+    score descending, ids, an edge is in the greedy result if none of the better ones that share an
+    end of the same sources is. So one without a better one is taken, and one with a single better
+    one has the opposite fate of that: a chain of them is read by pointers that double their reach,
+    in as many rounds as its length has binary digits. What is left over, edges with several better
+    ones that share no end with a taken edge, goes into the next pass.
     """
-    left = edges.select("a_id", "b_id", "a_source", "b_source", "match_score", F.coalesce("locked", F.lit(False)).alias("locked"))
+    turn = F.col("a_source") > F.col("b_source")  # so that the features of a source stand on one side
+    side = lambda p, q, c: F.when(turn, F.col(f"{q}_{c}")).otherwise(F.col(f"{p}_{c}")).alias(f"__{p}_{c}")
+    left = edges.select("a_id", "b_id", "a_source", "b_source", "match_score", F.coalesce("locked", F.lit(False)).alias("locked"), side("a", "b", "id"), side("b", "a", "id"), side("a", "b", "source"), side("b", "a", "source"))
     order = [F.desc("locked"), F.desc_nulls_last("match_score"), "a_id", "b_id"]
+    ends = [["__a_id", "__b_source"], ["__b_id", "__a_source"]]
+    own, to = ["__a_id", "__b_id"], ["to_a", "to_b"]
     kept = None
-    for _ in range(most_rounds):
-        at_a = Window.partitionBy("a_id", "b_source").orderBy(*order)
-        at_b = Window.partitionBy("b_id", "a_source").orderBy(*order)
-        ranked = left.withColumn("ra", F.row_number().over(at_a)).withColumn("rb", F.row_number().over(at_b))
-        taken = (F.col("ra") == 1) & (F.col("rb") == 1)
-        state = stored(ranked.withColumn("taken", taken).drop("ra", "rb"), "edges")
-        now = state.filter("taken").drop("taken")
+    while True:
+        ranked = left
+        for i, end in enumerate(ends):
+            at = Window.partitionBy(*end).orderBy(*order)
+            ranked = ranked.withColumn(f"__rank{i}", F.row_number().over(at) - 1).withColumn(f"__up{i}", F.lag(F.struct(*own)).over(at))
+        better, up = F.col("__rank0") + F.col("__rank1"), F.coalesce("__up0", "__up1")
+        state = stored(ranked.select(*left.columns, F.least(better, F.lit(2)).alias("__better"), up["__a_id"].alias("to_a"), up["__b_id"].alias("to_b")), "edges")
+        n = state.agg(F.count("*").alias("all"), F.count_if(F.col("__better") == 1).alias("links")).first()
+        heads = state.filter("__better = 0").drop(*to)
+        taken = heads
+        if n.links:
+            links = _followed(state.filter("__better = 1").select(*own, *to, F.lit(True).alias("odd")), own, to)
+            ends_at_head = links.filter("not odd").join(heads.select(*(F.col(c).alias(t) for c, t in zip(own, to, strict=True))), to, "left_semi")
+            taken = heads.unionByName(state.filter("__better = 1").drop(*to).join(ends_at_head.select(*own), own, "left_semi"))
+        now = stored(taken.drop("__better"), "taken")
         kept = now if kept is None else kept.unionByName(now)
-        rest = state.filter("not taken").drop("taken")
-        rest = rest.join(now.select("a_id", "b_source").distinct(), ["a_id", "b_source"], "left_anti").join(now.select("b_id", "a_source").distinct(), ["b_id", "a_source"], "left_anti")
-        left = stored(rest.select(*now.columns), "edges")
-        if left.isEmpty():
-            return kept
-    raise RuntimeError(f"not done after {most_rounds} rounds")
+        if n.all == 0 or now.count() == n.all:
+            return kept.select("a_id", "b_id", "a_source", "b_source", "match_score", "locked")
+        left = state.filter("__better > 0").drop("__better", *to)
+        for end in ends:
+            left = left.join(now.select(*end).distinct(), end, "left_anti")
+
+
+def _followed(links: DataFrame, own: list[str], to: list[str]) -> DataFrame:
+    """Pointers with the end of their chain as `to`, and whether it is an odd number of steps away."""
+    while True:
+        # A copy under other names, as both sides are the same table.
+        on = links.select(*(F.col(c).alias(t) for c, t in zip(own, to, strict=True)), *(F.col(t).alias(f"next_{t}") for t in to), F.col("odd").alias("next_odd"))
+        far = links.join(on, to, "left")
+        links = stored(far.select(*own, *(F.coalesce(f"next_{t}", t).alias(t) for t in to), F.when(F.col("next_odd").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("next_odd")).alias("odd"), F.col("next_odd").isNotNull().alias("moved")), "links")
+        if links.filter("moved").isEmpty():
+            return links.drop("moved")
+        links = links.drop("moved")
 
 
 def components(edges: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
@@ -147,15 +172,16 @@ def conflicts(matches: DataFrame, features: DataFrame, known: DataFrame | None =
     )
 
 
-def golden_records(matches: DataFrame, features: DataFrame, found: DataFrame) -> DataFrame:
+def golden_records(matches: DataFrame, features: DataFrame, found: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """One record for each cluster of matched features that has a polygon.
 
     Field by field the most reliable source wins (ties: type, then id), blanks are skipped; the
     geometry is that of the most reliable polygon, its box in `geom` and, where features have a
     `geom`, its shape in `geom.shape`; confidence is the mean match score, conflict_count
-    all conflicts of the cluster's matches that are not resolved.
+    all conflicts of the cluster's matches that are not resolved. nodes: components of the matches,
+    where they are known.
     """
-    nodes = components(matches)
+    nodes = components(matches) if nodes is None else nodes
     members = features.join(nodes.withColumnRenamed("node", "feature_id"), "feature_id").withColumn("rel", sc.reliability("source_type"))
     shape = [F.col("geom").alias("shape")] if "geom" in features.columns else []
     base = members.groupBy("cluster").agg(

@@ -49,7 +49,11 @@ _PAIRS = f"""SELECT a.feature_id AS a_id, b.feature_id AS b_id, a.ward, a.source
   AND a.x0 - 33 <= b.x1 AND b.x0 - 33 <= a.x1 AND a.y0 - 33 <= b.y1 AND b.y0 - 33 <= a.y1"""
 
 
-@query(f"{ctes('features')} SELECT a_id, b_id, ward, iou FROM ({_PAIRS}) WHERE CASE WHEN iou IS NULL THEN d <= 25 ELSE iou >= 0.3e0 END")
+#: Candidate pairs as a table of their own, which keeps the engine from joining them anew.
+_NEAR = f"near AS MATERIALIZED ({_PAIRS}), pairs AS MATERIALIZED (SELECT * FROM near WHERE CASE WHEN iou IS NULL THEN d <= 25 ELSE iou >= 0.3e0 END)"
+
+
+@query(f"{ctes('features')}, {_NEAR} SELECT a_id, b_id, ward, iou FROM pairs")
 def d1_candidate_pairs(spark, sf_dir):
     return spatial.candidate_pairs(_features(spark, sf_dir)).select("a_id", "b_id", "ward", "iou")
 
@@ -97,8 +101,8 @@ def i10_conflicts(spark, sf_dir):
     return _conflicts(spark, sf_dir).select("a_id", "b_id", "ward", "conflict_type", "severity", F.size("fields").alias("n_fields"))
 
 
-def _golden(spark, sf_dir):
-    return matching.golden_records(fixture(spark, sf_dir, "matches"), properties(_features(spark, sf_dir)), _conflicts(spark, sf_dir))
+def _golden(spark, sf_dir, nodes=None):
+    return matching.golden_records(fixture(spark, sf_dir, "matches"), properties(_features(spark, sf_dir)), _conflicts(spark, sf_dir), nodes)
 
 
 _GOLDEN = f"""SELECT min(node) AS cluster, m.ward, count(DISTINCT node) AS n_members, max(conf) AS confidence, max(c) AS conflict_count FROM (
@@ -132,7 +136,7 @@ _READY = f"""SELECT g.*, (SELECT count(*) FROM parcels p WHERE p.k % 200 IN (7,
 def e13_ward_readiness(spark, sf_dir):
     matches = fixture(spark, sf_dir, "matches")
     nodes = matching.components(matches)
-    return matching.readiness_summary(matching.with_open_issues(_golden(spark, sf_dir), nodes, _issues(spark, sf_dir)))
+    return matching.readiness_summary(matching.with_open_issues(_golden(spark, sf_dir, nodes), nodes, _issues(spark, sf_dir)))
 
 
 @query(f"{ctes('parcels')} SELECT k AS issue_id, ward, CASE WHEN k % 200 = 7 THEN 'overlap' WHEN k % 200 = 57 THEN 'sliver' ELSE 'gap' END AS issue_type, (k % 16) / 8e0 AS area FROM parcels WHERE k % 200 IN (7, 57, 107) ORDER BY CASE k % 200 WHEN 7 THEN 1 WHEN 107 THEN 2 ELSE 3 END, area DESC, k LIMIT 50")
@@ -407,7 +411,7 @@ def k9_zones(spark, sf_dir):
 # Records around matches
 
 
-@query(f"{ctes('features')} SELECT a_id, b_id, (substr(a_id, 2) = substr(b_id, 2))::INT AS label FROM ({_PAIRS}) WHERE CASE WHEN iou IS NULL THEN d <= 25 ELSE iou >= 0.3e0 END")
+@query(f"{ctes('features')}, {_NEAR} SELECT a_id, b_id, (substr(a_id, 2) = substr(b_id, 2))::INT AS label FROM pairs")
 def d16_labelled_pairs(spark, sf_dir):
     truth = _features(spark, sf_dir).select("feature_id", F.col("k").alias("parcel"))
     return records.labelled_by_key(spatial.candidate_pairs(_features(spark, sf_dir)).select("a_id", "b_id"), truth).select("a_id", "b_id", "label")
