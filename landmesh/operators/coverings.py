@@ -34,7 +34,8 @@ def covering(polygons: DataFrame, id: str, depth: int = DEPTH) -> DataFrame:
     side = F.pow(F.lit(2.0), F.col("level"))
     axis = lambda v: F.explode(F.sequence(F.floor(F.col(f"{v}0") / side), F.floor(F.col(f"{v}1") / side)))
     rows = rows.withColumn("ix", axis("x")).withColumn("iy", axis("y"))
-    meets = lambda edges: F.filter(edges, lambda e: planar.edge_meets_box(e, *_box()))
+    box = F.struct(*(v.alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), _box(), strict=True)))
+    meets = lambda edges: planar.edges_in_box(edges, box)
     rows = rows.select(id, "__all", "level", "ix", "iy", meets("__all").alias("__e"))
     for _ in range(depth):
         cell = lambda i, j: F.struct((F.col("level") - 1).alias("level"), (2 * F.col("ix") + i).alias("ix"), (2 * F.col("iy") + j).alias("iy"))

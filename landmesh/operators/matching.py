@@ -5,19 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landmesh.functions import scoring as sc
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the cluster's shared folder and read again, so that its lineage ends there.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Without spark.checkpoint.dir, a session on one machine gets a temporary folder; on a cluster
-    that is an error.
+    Where that is unset, a session on one machine gets a temporary folder; on a cluster that is an
+    error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.conf.get("spark.master", "")
@@ -25,7 +24,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the cluster's shared folder and read again, so that its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -165,6 +170,7 @@ def conflicts(matches: DataFrame, features: DataFrame, known: DataFrame | None =
     rows = rows.withColumn("fields", fields).withColumn("n_shared", F.size(shared))
     rows = rows.withColumn("conflict_type", sc.conflict_type(F.size("fields"), "iou")).filter("conflict_type is not null")
     share = F.size("fields") / F.greatest(F.col("n_shared"), F.lit(1))
+    # The suggestion's sentence is a fixed value.
     return rows.select(
         "a_id", "b_id", "ward", "conflict_type", sc.severity("match_score", share, "iou").alias("severity"), "fields", "iou",
         F.concat(F.lit("Reconcile "), F.when(F.size("fields") > 0, F.array_join("fields", ", ")).otherwise("geometry"), F.lit("; trust the higher-reliability source.")).alias("suggestion"),

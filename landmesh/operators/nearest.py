@@ -19,6 +19,8 @@ from landmesh.operators.matching import stored
 
 #: A shape's box takes at most this many cells a side, but for one more where it straddles.
 SPAN = 4
+#: Cells a side of the coarse look that the grid is fit by.
+COARSE = 64
 #: Bounds are compared with so much room for rounding.
 SLACK = 1 + 1e-12
 
@@ -57,7 +59,10 @@ def nearest(points: DataFrame, shapes: DataFrame, id: str) -> DataFrame:
     end = at.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).first()
     if end.x0 is None:
         return nothing(points)
-    cell = max(fact.side, math.sqrt((fact.x1 - fact.x0) * (fact.y1 - fact.y0) / fact.n)) or 1.0
+    # How far shapes are apart: from the ground that they take at a coarse look, not from their frame.
+    coarse = max(fact.x1 - fact.x0, fact.y1 - fact.y0) / COARSE or 1.0
+    ground = s.select(*(F.floor(F.col(f"{v}0") / coarse).alias(v) for v in "xy")).distinct().count() * coarse**2
+    cell = max(fact.side, math.sqrt(ground / fact.n))
     whole = max(max(fact.x1, end.x1) - min(fact.x0, end.x0), max(fact.y1, end.y1) - min(fact.y0, end.y0), cell)
     top = math.ceil(math.log2(whole / cell)) + 1  # here any two cells are neighbours
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landmesh.functions.scoring import OCR_LABELS, normal_name, ocr_field
+from landmesh.functions.scoring import OCR_LABELS, normal_name, page_pieces, piece_value
 from landmesh.operators.matching import unordered, upsert
 from landmesh.operators.spatial import box_pairs
 
@@ -116,7 +116,8 @@ def page_confidence(words: DataFrame) -> DataFrame:
 
 def scanned_fields(pages: DataFrame) -> DataFrame:
     """Each field's value on the first page that has it."""
-    cells = pages.select("source_id", "page", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), ocr_field("text", k).alias("value")) for k in OCR_LABELS))).alias("c")).select("source_id", "page", "c.*")
+    pieces = pages.select("source_id", "page", page_pieces("text").alias("pieces"))
+    cells = pieces.select("source_id", "page", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), piece_value("pieces", k).alias("value")) for k in OCR_LABELS))).alias("c")).select("source_id", "page", "c.*")
     return cells.filter("value is not null").groupBy("source_id", "field").agg(F.min_by("value", "page").alias("value"), F.min("page").alias("page"))
 
 

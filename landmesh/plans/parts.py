@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landmesh.functions import scoring as sc
 from landmesh.functions import shapes
 from landmesh.functions.geometry import measures
-from landmesh.operators import changes, matching, model, normalize, pixels, quality, records, spatial, stats, topology
+from landmesh.operators import changes, coverings, matching, model, nearest, normalize, pixels, quality, records, spatial, stats, topology
 from landmesh.plans import queries as land
 from landmesh.plans.fixtures import ctes, fixture, properties
 from landmesh.plans.queries import _CONFLICTS, _PAIRS, _cover, _fabric, _features, _gap_sql, _issues, _kind, _labelled, query
+from landmesh.streaming import status
 
 # Rasters of the wards: a parcel is a pixel, eight to a row; blocks of 5 × 5 pixels with single high
 # pixels between them, as many as the parcels give in full.
@@ -390,3 +393,35 @@ def d5_outside(spark, sf_dir):
     now, parcels = _turned(fixture(spark, sf_dir, "footprints_2025")), _turned(_kind(spark, sf_dir, "cadastral"))
     found = spatial.encroachments(spatial.coverage(now, parcels))
     return spatial.with_outside(found, now, parcels).select("structure_id", "parcel_id", F.round("outside_area", 4).alias("outside_area"), _area("outside").alias("shape_area"))
+
+
+@query(land.ORACLES["d7_points_in"])
+def d7_points_in_polygons(spark, sf_dir):
+    points = fixture(spark, sf_dir, "parcels").select("k", *((0.6 * x - 0.8 * y).alias("x") if v == "x" else (0.8 * x + 0.6 * y).alias("y") for v in "xy" for x, y in (((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2),)))
+    wards = fixture(spark, sf_dir, "wards").select(F.col("ward").alias("ward_id"), F.col("west").alias("x0"), F.col("south").alias("y0"), F.col("east").alias("x1"), F.col("north").alias("y1"))
+    return coverings.assigned(points, _turned(wards), "ward_id").select("k", "ward_id")
+
+
+@query(f"""{ctes('footprints_2025')} SELECT f.feature_id AS point_id, round(min(sqrt(pow(greatest(0, p.x0 - f.x, f.x - p.x1), 2) + pow(greatest(0, p.y0 - f.y, f.y - p.y1), 2))), 5) AS distance
+  FROM (SELECT feature_id, x0 + 3.25e0 AS x, y0 + 7.5e0 AS y FROM footprints_2025) f CROSS JOIN (SELECT * FROM parcels WHERE k % 7 = 0) p GROUP BY 1""")
+def d8_nearest_polygon(spark, sf_dir):
+    x, y = F.col("x0") + 3.25, F.col("y0") + 7.5
+    points = fixture(spark, sf_dir, "footprints_2025").select(F.col("feature_id").alias("point_id"), (0.6 * x - 0.8 * y).alias("x"), (0.8 * x + 0.6 * y).alias("y"))
+    return nearest.nearest(points, _turned(fixture(spark, sf_dir, "parcels").filter("k % 7 = 0")), "k").select("point_id", F.round("distance", 5).alias("distance"))
+
+
+@query(f"""{ctes('footprints_2025')} SELECT f.feature_id AS structure_id, p.k FROM footprints_2025 f JOIN parcels p ON f.x0 - 0.0625e0 <= p.x1 AND p.x0 <= f.x1 + 0.0625e0 AND f.y0 - 0.0625e0 <= p.y1 AND p.y0 <= f.y1 + 0.0625e0""")
+def d9_meeting_polygons(spark, sf_dir):
+    grown = fixture(spark, sf_dir, "footprints_2025").select("feature_id", *((F.col(f"{v}{i}") + (0.0625 if i else -0.0625)).alias(f"{v}{i}") for v in "xy" for i in (0, 1)))
+    found = coverings.intersecting(_turned(grown), _turned(fixture(spark, sf_dir, "parcels")), "feature_id", "k", 2)
+    return found.select(F.col("a_id").alias("structure_id"), F.col("b_id").alias("k"))
+
+
+@query("SELECT user_id AS property_id, max(ts) AS updated_at, arg_max(event_type, ts) AS status FROM events GROUP BY user_id")
+def j2_latest_status(spark, sf_dir):
+    """The table as a stream of files, its state after all of them."""
+    path = f"{matching.shared_root(spark)}/status-{uuid.uuid4().hex}"
+    table = fixture(spark, sf_dir, "events").select(F.col("user_id").alias("property_id"), F.col("event_type").alias("status"), F.col("ts").alias("updated_at"))
+    stream = spark.readStream.schema(fixture(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet").select(F.col("user_id").alias("property_id"), F.col("event_type").alias("status"), F.col("ts").alias("updated_at"))
+    status.latest_status(stream, f"{path}/table", f"{path}/marks").awaitTermination()
+    return status.current(spark, f"{path}/table", table.schema)

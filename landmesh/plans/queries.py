@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landmesh.functions import scoring as sc
 from landmesh.functions.geometry import from_wkt, measures
-from landmesh.operators import changes, georef, matching, model, pixels, quality, records, spatial, stats, topology
+from landmesh.operators import changes, georef, matching, model, pixels, quality, records, spatial, stats, topology, zones
 from landmesh.plans.fixtures import ctes, fixture, properties
 from landmesh.sources import sinks
 from landmesh.streaming import feeds
@@ -333,11 +333,11 @@ def d8_nearest_ward(spark, sf_dir):
     return spatial.nearest(points, wards, "ward_id").select("point_id", "ward_id")
 
 
-@query(f"""{ctes('parcels')} SELECT k, cast(k AS VARCHAR) AS khata_no, split_part('Asha,Ravi,Meena', ',', (k % 3 + 1)::INT) || ' Rao' AS owner_name, cast(100 + k % 900 AS VARCHAR) || '/' || cast(k % 12 + 1 AS VARCHAR) AS survey_no FROM parcels""")
+@query(f"""{ctes('parcels')} SELECT k, cast(k AS VARCHAR) AS khata_no, split_part('Asha,Ravi,Meena', ',', (k % 3 + 1)::INT) || ' Rao' AS owner_name, cast(100 + k % 900 AS VARCHAR) || '/' || cast(k % 12 + 1 AS VARCHAR) AS survey_no, CASE WHEN k % 5 = 0 THEN NULL ELSE cast(100 + k % 400 AS VARCHAR) || '.5' END AS area FROM parcels""")
 def i17_ocr_fields(spark, sf_dir):
     p = fixture(spark, sf_dir, "parcels")
-    text = F.concat(F.lit("Khata No: "), F.col("k"), F.lit(" Owner: "), F.split_part(F.lit("Asha,Ravi,Meena"), F.lit(","), (F.col("k") % 3 + 1).cast("int")), F.lit(" Rao Survey No: "), 100 + F.col("k") % 900, F.lit("/"), F.col("k") % 12 + 1, F.lit(" Extent: 500 sq m Village: Kommadi"))
-    return p.withColumn("page", text).select("k", *(sc.ocr_field("page", f).alias(f) for f in ("khata_no", "owner_name", "survey_no")))
+    text = F.concat(F.lit("Khata No: "), F.col("k"), F.lit(" Owner: "), F.split_part(F.lit("Asha,Ravi,Meena"), F.lit(","), (F.col("k") % 3 + 1).cast("int")), F.lit(" Rao Survey No: "), 100 + F.col("k") % 900, F.lit("/"), F.col("k") % 12 + 1, F.lit(" Extent: "), 100 + F.col("k") % 400, F.lit(".5 "), F.get(F.array(*map(F.lit, ("plots", "sq m", "Sq.M.", "acres", "cents"))), (F.col("k") % 5).cast("int")), F.lit(" Village: Kommadi"))
+    return p.select("k", sc.page_pieces(text).alias("pieces")).select("k", *(sc.piece_value("pieces", f).alias(f) for f in sc.OCR_LABELS))
 
 
 @query(f"{ctes('parcels')} SELECT k, (x1 - x0) * (y1 - y0) AS area, 2 * ((x1 - x0) + (y1 - y0)) AS perimeter FROM parcels")
@@ -402,10 +402,27 @@ def k6_train_matcher(spark, sf_dir):
     return model.train(matching.stored(_labelled(spark, sf_dir), "labelled"), trees=10)[1]
 
 
-@query()
+def _centres(spark, sf_dir):
+    return fixture(spark, sf_dir, "parcels").select("k", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+
+
+@query(f"{ctes('parcels')} SELECT zone, (SELECT count(*) FROM parcels) // 98 + CASE WHEN zone <= (SELECT count(*) FROM parcels) % 98 THEN 1 ELSE 0 END AS n FROM (SELECT unnest(range(1, 99)) AS zone)")
 def k9_zones(spark, sf_dir):
-    points = fixture(spark, sf_dir, "parcels").select("k", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    return model.zones(points, 25).groupBy("zone").agg(F.count("*").alias("n"))
+    points = matching.stored(_centres(spark, sf_dir), "points")
+    return zones.balanced(points, zones.centres(points)).groupBy("zone").agg(F.count("*").alias("n"))
+
+
+# Places: a parcel in nine has a name of a list, with a rank; the last wards have none inside.
+_PLACES = "places AS (SELECT 'Place ' || (k // 25 % 7) AS name, 1 + (k * 7) % 4 AS rank, x0 + 3 * (k % 5) AS x, y0 + (k % 11) AS y, CASE WHEN ward < 20 THEN ward END AS zone FROM parcels WHERE (k // 25) % 9 = 4), middles AS (SELECT ward AS zone, (west + east) / 2 AS x, (south + north) / 2 AS y FROM wards)"
+
+
+@query(f"""{ctes('parcels', 'wards')}, {_PLACES}, best AS (SELECT zone, x, y, name FROM (SELECT m.*, p.name, row_number() OVER (PARTITION BY m.zone ORDER BY CASE WHEN p.zone = m.zone THEN p.rank END, sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)), p.name) AS r FROM middles m JOIN places p ON p.zone = m.zone OR NOT EXISTS (SELECT 1 FROM places q WHERE q.zone = m.zone)) WHERE r = 1)
+  SELECT zone, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY zone) = 1 THEN name ELSE name || ' ' || row_number() OVER (PARTITION BY name ORDER BY zone) END AS name FROM best""")
+def k9_zone_names(spark, sf_dir):
+    i = F.expr("k div 25")
+    places = fixture(spark, sf_dir, "parcels").filter(i % 9 == 4).select(F.concat(F.lit("Place "), i % 7).alias("name"), (1 + F.col("k") * 7 % 4).alias("rank"), (F.col("x0") + 3 * (F.col("k") % 5)).alias("x"), (F.col("y0") + F.col("k") % 11).alias("y"), F.when(F.col("ward") < 20, F.col("ward")).alias("zone"))
+    middles = fixture(spark, sf_dir, "wards").select(F.col("ward").alias("zone"), ((F.col("west") + F.col("east")) / 2).alias("x"), ((F.col("south") + F.col("north")) / 2).alias("y"))
+    return zones.named(middles, places).select("zone", "name")
 
 
 # Records around matches

@@ -68,6 +68,25 @@ def test_ocr_fields(spark):
     assert (r.khata_no, r.owner_name, r.survey_no, r.area, r.none) == ("1024", "R. Venkata Rao", "118/2", "1,250.5", None)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("REVENUE RECORD - WARD 4 Khata No: 4521/B Owner: Venkatesh Rao Survey No: 210/1 Extent: 750 sq m Village: Urban", ("4521/B", "Venkatesh Rao", "210/1", "750")),
+        ("KHATHA NUMBER 12 Owner Name: K. Swathi", ("12", "K. Swathi", None, None)),
+        ("Khata:77 s.y. no. 4-A Area - 1,200 Acres District X", ("77", None, "4-A", "1,200")),
+        ("Sy.No 9 Name X Owner: Ann9 Owner - Lakshmi Devi Mandal M Extent 5cents", (None, "Lakshmi Devi", "9", "5")),
+        ("Extent: 40 rooms Area: 4.5 Sq. M", (None, None, None, "4.5")),
+        ("Khata No:", (None, None, None, None)),
+        ("", (None, None, None, None)),
+        (None, (None, None, None, None)),
+    ],
+)
+def test_ocr_labels_and_kinds(spark, page, want):
+    """Glued numbers, signs, empty labels, values of another kind and the second label of a field."""
+    r = one(spark, **{f: sc.ocr_field(F.lit(page).cast("string"), f) for f in sc.OCR_LABELS})
+    assert (r.khata_no, r.owner_name, r.survey_no, r.area) == want
+
+
 def box(x0, y0, x1, y1):
     return [np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]], dtype=float)]
 
