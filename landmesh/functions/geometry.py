@@ -253,14 +253,24 @@ def from_wkt_text(text: str | None) -> dict | None:
     return out
 
 
+def _parts(g: dict) -> list[list[np.ndarray]]:
+    """Points, lines or polygons with their holes that a geometry is made of."""
+    rings = rings_of(g)
+    if g["dim"] != 2 or len(rings) == 1:
+        return [[r] for r in rings]
+    from landmesh.functions.shapes import combined, parts_of  # it builds on this module
+
+    return parts_of(combined([rings], [], "union"))
+
+
 def to_wkt_text(g: dict | None) -> str | None:
-    if g is None:
+    """Well-known text; several parts as a MULTI one, each polygon with its own holes."""
+    if g is None or g["xs"] is None:
         return None
-    rings = rings_of(g)
-    part = lambda r: "(" + ", ".join(f"{x!r} {y!r}" for x, y in r.tolist()) + ")"
-    if g["dim"] == 0:
-        return f"POINT {part(rings[0])}"
-    return f"POLYGON ({', '.join(map(part, rings))})" if g["dim"] == 2 else f"LINESTRING {part(rings[0])}"
+    ring = lambda r: "(" + ", ".join(f"{x!r} {y!r}" for x, y in r.tolist()) + ")"
+    kind, parts = ("POINT", "LINESTRING", "POLYGON")[g["dim"]], _parts(g)
+    whole = [ring(p[0]) if g["dim"] < 2 else f"({', '.join(map(ring, p))})" for p in parts]
+    return f"{kind} {whole[0]}" if len(whole) == 1 else f"MULTI{kind} ({', '.join(whole)})"
 
 
 #: Kinds of geometry in well-known binary (fixed values).
@@ -315,19 +325,17 @@ def from_wkb_bytes(data: bytes | None) -> dict | None:
 
 
 def to_wkb_bytes(g: dict | None) -> bytes | None:
-    """Little-endian well-known binary of a geometry as one point, line or polygon."""
+    """Little-endian well-known binary; several parts as a MULTI kind, each polygon with its own holes."""
     import struct
 
-    if g is None:
+    if g is None or g["xs"] is None:
         return None
-    rings = rings_of(g)
     raw = lambda r: np.ascontiguousarray(r, dtype="<f8").tobytes()
     counted = lambda r: struct.pack("<I", len(r)) + raw(r)
-    if g["dim"] == 0:
-        return struct.pack("<BI", 1, WKB_POINT) + raw(rings[0])
-    if g["dim"] == 1:
-        return struct.pack("<BI", 1, WKB_LINE) + counted(rings[0])
-    return struct.pack("<BII", 1, WKB_POLYGON, len(rings)) + b"".join(map(counted, rings))
+    parts, kind = _parts(g), (WKB_POINT, WKB_LINE, WKB_POLYGON)[g["dim"]]
+    body = [raw(p[0]) if kind == WKB_POINT else counted(p[0]) if kind == WKB_LINE else struct.pack("<I", len(p)) + b"".join(map(counted, p)) for p in parts]
+    whole = [struct.pack("<BI", 1, kind) + b for b in body]
+    return whole[0] if len(whole) == 1 else struct.pack("<BII", 1, kind + 3, len(whole)) + b"".join(whole)
 
 
 def _frame(rows: list[dict | None]) -> pd.DataFrame:

@@ -283,18 +283,37 @@ def repaired(g: pd.DataFrame) -> pd.DataFrame:
 CHECKED = StructType([*GEOM.fields, StructField("was_invalid", BooleanType()), *_doubles("area", "perimeter", "cx", "cy").fields])
 
 
+def crosses(rings: Rings, rows: int = 256) -> bool:
+    """Whether any two edges of a shape cross, of one ring or of two; touching is no crossing."""
+    e = np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) for r in rings if len(r) > 1])
+    e = e - np.tile(e[0, :2], 2)
+    still = 1e-9 * max(1e-9, np.abs(e).max()) ** 2  # what rounding leaves of a point on a line
+    a, d = e[:, :2], e[:, 2:] - e[:, :2]
+    side = lambda o, v, p: v[:, None, 0] * (p[None, :, 1] - o[:, None, 1]) - v[:, None, 1] * (p[None, :, 0] - o[:, None, 0])
+    for i in range(0, len(e), rows):
+        o, v = a[i : i + rows], d[i : i + rows]
+        s, t = side(o, v, a), side(o, v, e[:, 2:])
+        u, w = side(a, d, o).T, side(a, d, o + v).T
+        over = lambda p, q: (np.minimum(p, q) < -still) & (np.maximum(p, q) > still)
+        if (over(s, t) & over(u, w)).any():
+            return True
+    return False
+
+
 @F.pandas_udf(CHECKED)
 def checked(g: pd.DataFrame) -> pd.DataFrame:
     """The fields of a valid geometry, whether it had to be repaired, and its measures.
 
-    A ring that crosses itself has another area by the shoelace than by the even-odd rule. A ring of
-    which nothing is left stays as it is.
+    A shape is invalid if edges of its rings cross, or if a single ring has another area by the
+    shoelace than by the even-odd rule (it runs along itself). A ring of which nothing is left
+    stays as it is.
     """
     out = []
     for row in g.to_dict("records"):
         rings = rings_of(row)
         m = ring_measures(rings)
-        bad = row["dim"] == 2 and len(rings) == 1 and abs(abs(signed_area(rings[0])) - m[0]) > 1e-6 * max(m[0], abs(signed_area(rings[0])))
+        alone = len(rings) == 1 and abs(abs(signed_area(rings[0])) - m[0]) > 1e-6 * max(m[0], abs(signed_area(rings[0])))
+        bad = row["dim"] == 2 and (alone or crosses(rings))
         fixed = combined([rings], [], "union") if bad else []
         if fixed:
             row, m = _flat([r.tolist() for r in fixed]), ring_measures(fixed)

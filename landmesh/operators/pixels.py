@@ -15,26 +15,54 @@ def height_mask(pixels: DataFrame, least: float = 2.5) -> DataFrame:
     return pixels.withColumn("height", h).withColumn("mask", F.col("height") > least)
 
 
+def _filled(pixels: DataFrame) -> DataFrame:
+    """pixels with all places between the ends of each row and column, where any is missing."""
+    lines = [pixels.groupBy("raster_id", line).agg((F.max(along) - F.min(along) + 1 - F.count("*")).alias("gap")).filter("gap <> 0") for line, along in (("row", "col"), ("col", "row"))]
+    if all(x.isEmpty() for x in lines):
+        return pixels.withColumn("__there", F.lit(True))
+    frame = pixels.groupBy("raster_id").agg(*(f(c).alias(f"{n}{c[0]}") for c in ("row", "col") for n, f in (("a", F.min), ("b", F.max))))
+    places = frame.select("raster_id", F.explode(F.sequence("ar", "br")).alias("row"), "ac", "bc").select("raster_id", "row", F.explode(F.sequence("ac", "bc")).alias("col"))
+    return places.join(pixels.withColumn("__there", F.lit(True)), ["raster_id", "row", "col"], "left")
+
+
 def _pass(pixels: DataFrame, value: str, size: int, pick) -> DataFrame:
-    """Smallest or largest value in a square of odd size, one axis after the other."""
+    """Smallest or largest value in a square of odd size, one axis after the other.
+
+    A line is cut into blocks of the size; the extreme of a window is that of one block's rest and
+    the next one's beginning, so that a pixel's cost doesn't depend on the size. pixels: without
+    gaps (`_filled`); null values don't count.
+    """
     half = size // 2
     for line, along in (("row", "col"), ("col", "row")):
-        w = Window.partitionBy("raster_id", line).orderBy(along).rangeBetween(-half, half)
-        pixels = pixels.withColumn(value, pick(value).over(w))
+        whole = Window.partitionBy("raster_id", line)
+        block = Window.partitionBy("raster_id", line, "__block")
+        rows = pixels.withColumn("__at", F.col(along) - F.min(along).over(whole)).withColumn("__block", F.floor(F.col("__at") / size))
+        rows = rows.withColumn("__from", pick(value).over(block.orderBy(along))).withColumn("__to", pick(value).over(block.orderBy(F.desc(along))))
+        order = whole.orderBy(along)
+        n = F.max("__at").over(whole)
+        last = F.last("__from").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        ahead = F.coalesce(F.when(F.col("__at") + half <= n, F.lead("__from", half).over(order)), last)
+        behind = F.when(F.col("__at") >= half, F.lag("__to", half).over(order))
+        extreme = F.least if pick is F.min else F.greatest
+        # Beyond the line's end the rest of the block is all there is, if the line ends in that block.
+        ends_here = (F.col("__at") + half > n) & (F.floor(n / size) == F.floor((F.col("__at") - half) / size))
+        rows = rows.withColumn("__v", F.when(F.col("__at") < half, ahead).when(ends_here, behind).otherwise(extreme(behind, ahead)))
+        pixels = rows.withColumn(value, F.col("__v")).drop("__at", "__block", "__from", "__to", "__v")
     return pixels
 
 
 def opened(pixels: DataFrame, value: str, size: int) -> DataFrame:
     """Grey opening by a square: the ground under everything narrower than it."""
-    return _pass(_pass(pixels, value, size, F.min), value, size, F.max)
+    return _pass(_pass(_filled(pixels), value, size, F.min), value, size, F.max).filter("__there").drop("__there")
 
 
 def cleaned(pixels: DataFrame, size: int = 3) -> DataFrame:
     """A mask opened, then closed, by a square."""
     m = pixels.withColumn("__m", F.col("mask").cast("int"))
-    m = opened(m, "__m", size)
-    m = _pass(_pass(m, "__m", size, F.max), "__m", size, F.min)
-    return m.withColumn("mask", F.col("__m") == 1).drop("__m")
+    m = _filled(m)
+    for pick in (F.min, F.max, F.max, F.min):
+        m = _pass(m, "__m", size, pick)
+    return m.filter("__there").drop("__there").withColumn("mask", F.col("__m") == 1).drop("__m")
 
 
 def regions(pixels: DataFrame, pixel_area: float = 1.0, least_area: float = 20.0, least_height: float = 2.5) -> DataFrame:

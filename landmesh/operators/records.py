@@ -53,8 +53,9 @@ def displaced(stored: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def match_details(matches: DataFrame, features: DataFrame, labels: DataFrame) -> DataFrame:
-    """Matches with both features' properties and the officer's label, if there is one."""
-    side = lambda p: features.select(F.col("feature_id").alias(f"{p}_id"), F.col("properties").alias(f"{p}_properties"))
+    """Matches with both features' properties, their geometry if they have one, and the officer's label, if there is one."""
+    own = ["properties", *(["geom"] if "geom" in features.columns else [])]
+    side = lambda p: features.select(F.col("feature_id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in own))
     known = unordered(labels).select("__low", "__high", "label")
     return unordered(matches.join(side("a"), "a_id").join(side("b"), "b_id")).join(known, ["__low", "__high"], "left").drop("__low", "__high")
 
@@ -95,9 +96,42 @@ def ward_counts(wards: DataFrame, detections: DataFrame) -> DataFrame:
 
 
 def pipeline_status(jobs: DataFrame, top: int = 15) -> tuple[DataFrame, DataFrame]:
-    """Jobs by type and status, and the most frequent failures by their first 160 characters."""
-    failures = jobs.filter("status = 'failed'").groupBy(F.substring("error", 1, 160).alias("message")).agg(F.count("*").alias("n"))
-    return jobs.groupBy("job_type", "status").agg(F.count("*").alias("n")), failures.orderBy(F.desc("n"), "message").limit(top)
+    """Jobs by type and status, and the most frequent failures by type and their first 160 characters."""
+    failures = jobs.filter("status = 'failed'").groupBy("job_type", F.substring("error", 1, 160).alias("message")).agg(F.count("*").alias("n"))
+    return jobs.groupBy("job_type", "status").agg(F.count("*").alias("n")), failures.orderBy(F.desc("n"), "job_type", "message").limit(top)
+
+
+def sources_by_status(sources: DataFrame) -> DataFrame:
+    """Number of sources of each status, null ones too."""
+    return sources.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def totals(**tables: DataFrame) -> DataFrame:
+    """One row with the number of rows of each table, under its name."""
+    out = None
+    for name, df in tables.items():
+        n = df.agg(F.count("*").alias(name))
+        out = n if out is None else out.crossJoin(n)  # single rows
+    return out
+
+
+def with_source(df: DataFrame, sources: DataFrame, key: str = "source_id", prefix: str = "source", columns: tuple[str, ...] = ("name", "source_type")) -> DataFrame:
+    """df with some columns of the source that `key` names, as <prefix>_<column>; rows without one stay.
+
+    Lists of issues and findings take it once, change runs twice: for baseline_id and current_id.
+    """
+    of = sources.select(F.col("source_id").alias("__s"), *(F.col(c).alias(f"{prefix}_{c}") for c in columns))
+    return df.join(of, F.col(key) == F.col("__s"), "left").drop("__s")
+
+
+def with_actor(audit: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Audit rows with the e-mail of who did it, null for the system's own."""
+    return audit.join(profiles.select(F.col("profile_id").alias("actor_id"), F.col("email").alias("actor_email")), "actor_id", "left")
+
+
+def with_ward(df: DataFrame, wards: DataFrame) -> DataFrame:
+    """df with ward_name; rows of no or an unknown ward stay."""
+    return df.join(wards.select("ward", F.col("name").alias("ward_name")), "ward", "left")
 
 
 def epochs_to_compare(sources: DataFrame, runs: DataFrame, old: str = "building_footprint", new: str = "ai_extracted") -> DataFrame:

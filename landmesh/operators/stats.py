@@ -100,7 +100,39 @@ def histogram(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
 
 
 def match_kpis(matches: DataFrame) -> DataFrame:
-    return matches.agg(F.count("*").alias("n_matches"), F.count_if(F.col("match_score") >= 85).alias("auto_accept"), F.avg("iou").alias("mean_iou"), F.avg("match_score").alias("mean_score"))
+    """Number, sure ones, and means of IoU, distance (dist_m, if there) and score; nulls don't count."""
+    far = [F.avg("dist_m").alias("mean_dist")] if "dist_m" in matches.columns else []
+    return matches.agg(F.count("*").alias("n_matches"), F.count_if(F.col("match_score") >= 85).alias("auto_accept"), F.avg("iou").alias("mean_iou"), F.avg("match_score").alias("mean_score"), *far)
+
+
+def golden_kpis(golden: DataFrame, enough: float = 0.85) -> DataFrame:
+    """Records, mean confidence (null if none has any), sure ones, those with conflicts, members."""
+    return golden.agg(
+        F.count("*").alias("n_records"), F.avg("confidence").alias("mean_confidence"), F.count_if(F.col("confidence") >= enough).alias("n_sure"),
+        F.count_if(F.col("conflict_count") > 0).alias("with_conflicts"), F.coalesce(F.sum("n_members"), F.lit(0)).alias("n_members"),
+    )
+
+
+#: States and types that the overview counts (fixed values).
+STATES = ["ready", "failed", "processing", "needs_georef", "pending_ocr"]
+UPLOADED = ["cadastral", "municipal_gis", "revenue", "building_footprint", "ground_truth", "gnss_cors", "utility", "ori", "drone_imagery", "dsm_dtm"]
+
+
+def overview_kpis(sources: DataFrame, conflicts: DataFrame, issues: DataFrame, reports: DataFrame) -> DataFrame:
+    """One row: sources by state, types covered, layers extracted, open conflicts and issues, mean ward score.
+
+    sources: source_type, status, n_features; reports: source_id (null: of a ward) and score. Each
+    table is read once; a report without a finite score doesn't count.
+    """
+    s = sources.agg(
+        F.count("*").alias("sources"), *(F.count_if(F.col("status") == x).alias(x) for x in STATES), F.count_distinct(F.when(F.col("source_type").isin(UPLOADED), F.col("source_type"))).alias("types_covered"),
+        F.count_if(F.col("source_type") == "ai_extracted").alias("extracted_layers"), F.coalesce(F.sum(F.when(F.col("source_type") == "ai_extracted", F.col("n_features"))), F.lit(0)).alias("extracted_features"),
+    )
+    c = conflicts.agg(F.count_if(F.col("status").isin("pending", "needs_review")).alias("open_conflicts"))
+    t = issues.agg(F.count_if(F.col("status") == "open").alias("open_issues"))
+    score = F.col("score").cast("double")
+    r = reports.filter("source_id is null").agg(F.avg(F.when(~F.isnan(score) & (F.abs(score) != float("inf")), score)).alias("mean_ward_score"))
+    return s.crossJoin(c).crossJoin(t).crossJoin(r)  # single rows
 
 
 def classifier_metrics(rows: DataFrame, by: list[str], cut: float = 0.5) -> DataFrame:

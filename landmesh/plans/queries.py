@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landmesh.functions import scoring as sc
-from landmesh.functions.geometry import from_wkt, measures
+from landmesh.functions.geometry import from_wkt, measures, rectangle
 from landmesh.operators import changes, georef, matching, model, pixels, quality, records, spatial, stats, topology, zones
 from landmesh.plans.fixtures import ctes, fixture, properties
 from landmesh.sources import sinks
@@ -387,7 +387,7 @@ def k3_gaps(spark, sf_dir):
 def _labelled(spark, sf_dir):
     bag = properties(_features(spark, sf_dir))
     pairs = spatial.candidate_pairs(_features(spark, sf_dir))
-    side = lambda p: bag.select(F.col("feature_id").alias(f"{p}_id"), F.col("properties").alias(f"{p}_properties"), F.col("captured_at").alias(f"{p}_captured"), F.col("k").alias(f"{p}_k"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias(f"{p}_area"), (2 * (F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0"))).alias(f"{p}_perimeter"))
+    side = lambda p: bag.select(F.col("feature_id").alias(f"{p}_id"), F.col("properties").alias(f"{p}_properties"), F.col("captured_at").alias(f"{p}_captured"), F.col("k").alias(f"{p}_k"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias(f"{p}_area"), (2 * (F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0"))).alias(f"{p}_perimeter"), rectangle("x0", "y0", "x1", "y1").alias(f"{p}_geom"))
     rows = pairs.join(side("a"), "a_id").join(side("b"), "b_id").withColumn("label", (F.col("a_k") == F.col("b_k")).cast("int"))
     return model.pair_features(rows, F.lit("2024-01-31").cast("date")).withColumn("group", F.concat(F.lit("ward-"), "ward")).withColumn("weight", F.lit(1.0)).withColumn("baseline", F.col("match_score") / 100)
 
@@ -448,7 +448,7 @@ def e3_ward_counts(spark, sf_dir):
     return records.ward_counts(fixture(spark, sf_dir, "wards").select("ward", "name"), fixture(spark, sf_dir, "detections"))
 
 
-@query("SELECT left(event_type || ' ' || (user_id % 3), 160) AS message, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, message LIMIT 15")
+@query("SELECT event_type AS job_type, left(event_type || ' ' || (user_id % 3), 160) AS message, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2 ORDER BY n DESC, job_type, message LIMIT 15")
 def e15_failures(spark, sf_dir):
     e = fixture(spark, sf_dir, "events")
     jobs = e.select(F.col("event_type").alias("job_type"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), F.concat_ws(" ", "event_type", F.col("user_id") % 3).alias("error"))

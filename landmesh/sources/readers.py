@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from landmesh.functions.geometry import from_geojson, from_wkt, transform, from_wkb
+from landmesh.functions.geometry import CODES, from_geojson, from_wkt, transform, from_wkb
 
 #: Coordinate column names in order of preference (fixed values).
 LON, LAT = ["lon", "lng", "longitude", "x"], ["lat", "latitude", "y"]
@@ -87,8 +87,30 @@ def manifest(spark: SparkSession, path: str, done: DataFrame | None = None) -> D
 
 
 def resolved_crs(declared: Column, embedded: Column, kind: Column) -> Column:
-    """Declared, else embedded, else what the format implies; nothing is an error row by row."""
-    return F.coalesce(declared, embedded, F.when(kind.isin("geojson", "gpx"), "EPSG:4326"))
+    """Declared, else embedded, else what the format implies; null where none of them says it."""
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(some(declared), some(embedded), F.when(kind.isin("geojson", "gpx"), "EPSG:4326"))
+
+
+def quarantined(features: DataFrame, crs: str = "crs", count: Observation | None = None) -> DataFrame:
+    """features with srid, the code of their coordinate system, and reason, why it can't be used.
+
+    A reason is null for good rows; rows with one have no srid and belong in a table of their own
+    (`split_quarantine`). `count` gets the numbers of both, good and bad, in the same pass.
+    """
+    code = F.regexp_extract(F.upper(F.col(crs)), r"^\s*(?:URN:OGC:DEF:CRS:)?EPSG:(?:[0-9.]*:)?([0-9]{1,9})\s*$", 1).try_cast("int")
+    code = F.when(F.upper(F.trim(crs)).isin("CRS84", "OGC:CRS84", "URN:OGC:DEF:CRS:OGC:1.3:CRS84", "URN:OGC:DEF:CRS:OGC::CRS84"), 4326).otherwise(code)
+    known = code.isin(CODES)
+    reason = F.when(F.col(crs).isNull() | (F.trim(crs) == ""), "no coordinate system").when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("unknown coordinate system "), F.trim(crs)))
+    out = features.withColumn("srid", F.when(known, code)).withColumn("reason", reason)
+    return out if count is None else out.observe(count, F.count_if(F.col("reason").isNull()).alias("good"), F.count_if(F.col("reason").isNotNull()).alias("bad"))
+
+
+def split_quarantine(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Good and bad rows of `quarantined`, written once, as two parts of one table."""
+    rows.withColumn("quarantine", F.col("reason").isNotNull()).write.partitionBy("quarantine").parquet(path)
+    whole = rows.sparkSession.read.schema(rows.schema.add("quarantine", "boolean")).parquet(path)
+    return whole.filter("not quarantine").drop("quarantine", "reason"), whole.filter("quarantine").drop("quarantine", "srid")
 
 
 def normalized_points(points: DataFrame, source: int, target: int = 4326) -> DataFrame:
