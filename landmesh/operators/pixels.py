@@ -41,14 +41,14 @@ def _pass(pixels: DataFrame, value: str, size: int, pick) -> DataFrame:
         order = whole.orderBy(along)
         n = F.max("__at").over(whole)
         last = F.last("__from").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        ahead = F.coalesce(F.when(F.col("__at") + half <= n, F.lead("__from", half).over(order)), last)
+        ahead = F.when(F.col("__at") + half <= n, F.lead("__from", half).over(order)).otherwise(last)
         behind = F.when(F.col("__at") >= half, F.lag("__to", half).over(order))
         extreme = F.least if pick is F.min else F.greatest
         # Beyond the line's end the rest of the block is all there is, if the line ends in that block.
         ends_here = (F.col("__at") + half > n) & (F.floor(n / size) == F.floor((F.col("__at") - half) / size))
         rows = rows.withColumn("__v", F.when(F.col("__at") < half, ahead).when(ends_here, behind).otherwise(extreme(behind, ahead)))
         pixels = rows.withColumn(value, F.col("__v")).drop("__at", "__block", "__from", "__to", "__v")
-    return pixels
+    return pixels.withColumn(value, F.when(F.col("__there"), F.col(value)))
 
 
 def opened(pixels: DataFrame, value: str, size: int) -> DataFrame:
