@@ -3,9 +3,11 @@
 A page becomes a list of text blocks. Each has its number of words and its link density (the share
 of words inside links), those of the two blocks before and the two after it, whether it or a
 neighbour is a heading, and whether it stands inside an element that by the meaning of its tag
-holds no main text (navigation, footer, aside, form). No class, id or role is looked at. A tree
-trained on a small labelled table of pages says which blocks are main text; it becomes a column
-expression over the array of blocks.
+holds no main text (navigation, footer, aside, form), or inside one whose class, id or role names
+such a part (advert, cookie, sidebar, comment), or after a heading that begins the comments or a
+list of other articles. A link counts for all blocks that it goes around. A tree trained on a small
+labelled table of pages says which blocks are main text; it becomes a column expression over the
+array of blocks.
 
 The labelled table has the pages of LABELLED, written by hand, and `drawn` ones, put together by
 rules from parts of pages with random lengths. `accuracy` measures the tree on pages drawn anew.
@@ -28,9 +30,9 @@ from landmesh.llm.common import table
 
 #: Places of the blocks whose words and links a block's features have, from itself.
 NEIGHBOURS = (0, -1, -2, 1, 2)
-FEATURES = [f"{kind}{k:+d}" for k in NEIGHBOURS for kind in ("words", "links")] + ["heading", "heading_before", "heading_after", "aside"]
+FEATURES = [f"{kind}{k:+d}" for k in NEIGHBOURS for kind in ("words", "links")] + ["heading", "heading_before", "heading_after", "aside", "named"]
 #: Drawn pages of the labelled table, and the tree's depth.
-DRAWN, DEPTH = 400, 9
+DRAWN, DEPTH = 600, 9
 
 #: Elements whose content is no text (fixed values).
 SKIPPED = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "select", "textarea", "button", "canvas", "audio", "video"}
@@ -40,7 +42,20 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
 MAIN = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-
+#: Elements without content, and those that end where another of their kind begins (fixed values).
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+ALONE = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+#: Words of class, id and role that name furniture, as a whole and as a beginning (fixed values).
+NAMES = {"ad", "ads", "adv", "banner", "notice", "notices", "alert", "consent", "gdpr", "nav", "menu", "footer", "header", "masthead", "share", "sharing", "social", "popular", "trending", "widget", "popup", "modal", "overlay", "pager", "reply", "replies", "respond", "login", "signup", "complementary", "contentinfo", "search", "dialog", "toolbar", "outbrain", "taboola", "disqus", "skip"}
+BEGINNINGS = ("advert", "sponsor", "promo", "cookie", "sidebar", "related", "recommend", "teaser", "comment", "discussion", "newsletter", "subscri", "breadcrumb", "navig", "navbar", "paginat", "copyright", "feedback")
+#: Words of names that are about the whole page, not about the element (fixed values).
+WHOLE = {"has", "with", "no", "without", "wrapper", "container", "page", "layout", "site"}
+#: Headings of at most SHORT words that hold one of these begin the comments or other articles (fixed values).
+COMMENTS = ("comment", "kommentar", "comentario", "replies", "réponses", "related", "recommended", "advertisement")
+SHORT = 4
+
+_NAMED = re.compile(r"""(?:\bclass|\bid|\brole)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 _STOP = re.compile(r"[>\"']")
 _SKIP_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)" + ("|(?=<body)" if tag in ("head", "title") else ""), re.I) for tag in SKIPPED}
@@ -54,6 +69,9 @@ LABELLED = [
     "<body><p>-<a>Log in</a></p><h1>+The long way home</h1><p>+He walked for three days through the forest before he saw the lights of the first farm again.</p><p>+Nobody had expected him to come back after so many months without a letter or any other sign.</p><p>-<a>Next</a> <a>Previous</a> <a>Top</a></p></body>",
     "<body><article><h1>+News</h1><p>+One.</p><p>+Two words.</p></article><footer><p>-&middot; example.net &middot; many words in a footer that look much like a text of the article</p></footer></body>",
     "<body><nav><a>-One</a></nav><article><h1>+Cut off</h1><p>+This page was cut off before its end, as pages of a crawl often are.</p><p>+The last",
+    "<body><div class=sidebar>-Popular this week: ten books that you should read before the summer is over.</div><article><h1>+The harbour</h1><p>+The harbour was dug by hand in a single winter, and the first ships came in spring.</p><div class=advert>-Sail with us for less, every day of the year and in any weather.</div><p>+It has been dredged every ten years since then.</p></article><a href=x><h3>-Ten lovely places by the sea</h3><p>-From the coast to the hills, our readers name the places that they love the most.</p></a><div class=cookie>-We use cookies to make this site better. By reading on you agree to this.</div></body>",
+    "<body><article><h1>+A vote</h1><p>+The vote was close, and it took the whole night to count all of the papers by hand.</p></article><section class=comments><h3>-Comments</h3><div><b>-Anna</b><p>-I was there and it was a very long night for all of us, I can tell you.</p></div><div><b>-Ben</b><p>-Well done.</p></div></section></body>",
+    "<body><main><h1>+Rain</h1><p>+It rained for a week, and the river rose by a metre every day until it stood in the streets.</p><p>+Then it stopped.</p><h3>-3 comments</h3><p>-Carla says</p><p>-This is what they told us would never happen again after the last time.</p></main></body>",
     "<body><nav><a>-One</a></nav><article><p>+Only a paragraph that is cut off in the middle of its very long last",
 ]
 
@@ -73,6 +91,15 @@ def drawn(pages: int, seed: int) -> list[str]:
     def block(mark: str, least: int, most: int, tag: str = "p") -> str:
         return f"<{tag}>{mark}{words(least, most)}</{tag}>"
 
+    def part(content: str) -> str:
+        """Content in an element whose class or id names it as furniture."""
+        name = rng.choice(sorted(NAMES) + list(BEGINNINGS)) + rng.choice(["", "", "s", "-box", "_1"] if rng.random() < 0.5 else [""])
+        name = name if _furniture(f'class="{name}"') else "advert"
+        return f'<div {rng.choice(["class", "id"])}="{rng.choice(["", "x ", "col-2 "])}{name}">{content}</div>'
+
+    def plain(content: str) -> str:
+        return f'<div class="{rng.choice(["content", "text", "story", "body", "entry", "post"])}">{content}</div>'
+
     def paragraphs() -> str:
         out = []
         for _ in range(rng.choice([1, 2, 3, 5, 8, 12])):
@@ -83,7 +110,10 @@ def drawn(pages: int, seed: int) -> list[str]:
                 out.append(block("+", 1, 8))
             elif kind < 0.9:
                 out.append(block("+", 2, 9, "h2") + block("+", 10, 80))
-            elif kind < 0.95:
+            elif kind < 0.92:
+                inner = rng.choice([block("-", 3, 40, rng.choice(["p", "div"])), f"<p>-{words(1, 9)} <a>{words(1, 4)}</a> {words(1, 20)}</p>", f"<a>-{words(1, 3)}</a> {words(2, 12)}"])
+                out.append(part(inner) + block("+", 10, 80))
+            elif kind < 0.96:
                 out.append("<ul>" + "".join(block("+", 1, 15, "li") for _ in range(rng.randint(2, 5))) + "</ul>" + block("+", 10, 80))
             else:
                 out.append(f"<aside>-{words(4, 30)}</aside>" + block("+", 10, 80))
@@ -103,12 +133,20 @@ def drawn(pages: int, seed: int) -> list[str]:
         notice = rng.choice([lambda: "", lambda: f"<div>-{words(2, 25)}</div>", lambda: f"<div>-{words(6, 25)} <a>{words(1, 2)}</a></div>"])() if top else ""
         title = block("+", 2, 18, "h1") if rng.random() < 0.9 or notice else ""
         body = ("" if rng.random() < 0.7 else f"<p>-<a>{words(1, 3)}</a></p>" if not title else "") + title + paragraphs()
-        body = rng.choice([f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"])
+        body = rng.choice([f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>", plain(body)])
+        side = rng.choice(["", "", part(block("-", 2, 6, "h3") + block("-", 8, 60)), part(links(3, 8, 6, "li"))])
+        teasers = "".join(f"<a href=x><h3>-{words(2, 9)}</h3><p>-{words(6, 40)}</p></a>" for _ in range(rng.choice([0, 0, 1, 3])))
+        cookie = rng.choice(["", "", part(block("-", 6, 40) + rng.choice(["", "<p>-<a>ok</a></p>"]))])
         share = rng.choice(["", "", f"<div>{links(2, 5, 2, 'p')}</div>"])
         related = rng.choice(["", "", f"<h3>-{words(1, 3)}</h3>{links(3, 8, 12, 'li')}"])
         comments = "".join(f"<div><p>-<a>{words(1, 2)}</a></p><p>-{words(3, 60)}</p><p>-<a>{words(1, 2)}</a></p></div>" for _ in range(rng.choice([0, 0, 0, 1, 3, 6])))
+        if rng.random() < 0.3:
+            each = lambda: f"<div><b>-{words(1, 2)}</b><p>-{words(2, 70)}</p></div>"
+            said = "".join(each() for _ in range(rng.randint(1, 6)))
+            comments = rng.choice([f'<section class="comments"><h3>-Comments</h3>{said}</section>', f"<section><h3>-{rng.randint(1, 9)} comments</h3>{said}</section>", part(said)])
         foot = rng.choice([f"<footer>-{words(3, 30)}</footer>", f"<footer><p>-{words(3, 30)} <a>{words(1, 4)}</a></p></footer>", f"<div>{links(2, 6, 2, 'p')}</div>", ""])
-        return "<body>" + top + notice + body + share + related + comments + foot + "</body>"
+        before, after = (side, "") if rng.random() < 0.5 else ("", side)
+        return "<body>" + top + notice + before + body + after + teasers + share + related + comments + cookie + foot + "</body>"
 
     return [page() for _ in range(pages)]
 
@@ -135,27 +173,58 @@ def _tag_end(page: str, at: int) -> int:
 def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     """(text, FEATURES) of each block of a page, in page order; null or empty: none."""
     page = page or ""
-    found: list[tuple[str, int, int, bool, bool]] = []  # text, words, linked words, heading, aside
+    found: list[tuple[str, int, int, bool, bool, bool]] = []  # text, words, linked words, heading, aside, named
     text: list[str] = []
-    words = link_words = asides = mains = 0
-    linked = heading = False
-    opened = dict.fromkeys(ASIDE, 0)
+    words = link_words = asides = named = mains = 0
+    heading = False
+    linked = -1  # how many elements are open around the link
+    stack: list[list] = []  # tag, whether it is an aside, whether it is named
+    opened: dict[str, int] = {}
 
     def add(raw: str) -> None:
         nonlocal words, link_words
         raw = html_lib.unescape(raw) if "&" in raw else raw
         n = len(raw.split())
         words += n
-        link_words += n if linked else 0
+        link_words += n if linked >= 0 else 0
         text.append(raw)
 
     def end() -> None:
-        nonlocal words, link_words
+        nonlocal words, link_words, named
         if words:
-            found.append((" ".join("".join(text).split()), words, link_words, heading, asides > 0))
+            whole = " ".join("".join(text).split())
+            if heading and words <= SHORT and any(w in whole.lower() for w in COMMENTS):
+                # From here on, what the heading stands in is named.
+                home = next((e for e in reversed(stack) if e[0] not in HEADINGS), None)
+                if home is not None and not home[2]:
+                    home[2] = True
+                    named += 1
+            found.append((whole, words, link_words, heading, asides > 0, named > 0))
         text.clear()
         words = link_words = 0
 
+    def push(tag: str, attributes: str) -> None:
+        nonlocal asides, named, mains
+        aside = tag in ASIDE and not (tag == "header" and mains)
+        name = tag not in ("body", "html") and tag not in MAIN and _furniture(attributes, bool(mains))
+        stack.append([tag, aside, name])
+        opened[tag] = opened.get(tag, 0) + 1
+        asides, named, mains = asides + aside, named + name, mains + (tag in MAIN)
+
+    def pop(tag: str) -> None:
+        """Close the innermost element of that tag and all inside it; without one, nothing."""
+        nonlocal asides, named, mains, linked
+        if not opened.get(tag):
+            return
+        while True:
+            t, aside, name = stack.pop()
+            opened[t] -= 1
+            asides, named, mains = asides - aside, named - name, mains - (t in MAIN)
+            if t == tag:
+                break
+        if linked > len(stack):
+            linked = -1
+
     at, n = 0, len(page)
     while at < n:
         begin = page.find("<", at)
@@ -179,6 +248,7 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
             at = close + len(stop) if close >= 0 else n
             continue
         at = _tag_end(page, m.end())
+        attributes = page[m.end() : at]
         if tag in SKIPPED:
             if not closing and page[at - 2 : at] != "/>":
                 end()
@@ -186,20 +256,18 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
                 stop = _SKIP_END[tag].search(page, at)
                 at = stop.end() if stop else n
         elif tag == "a":
-            linked = not closing
+            linked = -1 if closing else len(stack)
         elif tag == "br":
             add("\n")
         elif tag not in INLINE:
             end()
-            linked = False
-            if tag in HEADINGS:
-                heading = not closing
-            elif tag in MAIN:
-                mains = max(0, mains + (-1 if closing else 1))
-            elif tag in ASIDE and not (tag == "header" and mains):
-                step = (-1 if opened[tag] else 0) if closing else 1
-                opened[tag] += step
-                asides += step
+            heading = not closing if tag in HEADINGS else heading and closing
+            if closing:
+                pop(tag)
+            elif tag not in VOID:
+                if stack and (stack[-1][0] == tag and tag in ALONE or stack[-1][0] == "p"):
+                    pop(stack[-1][0])
+                push(tag, attributes)
     end()
     return [(b[0], _features(found, i)) for i, b in enumerate(found)]
 
@@ -210,7 +278,19 @@ def _features(found: list, i: int) -> list[float]:
         b = found[i + k] if 0 <= i + k < len(found) else None
         out += [float(b[1]), b[2] / b[1]] if b else [0.0, 0.0]
     near = [found[i + k][3] if 0 <= i + k < len(found) else False for k in (0, -1, 1)]
-    return [*out, *map(float, near), float(found[i][4])]
+    return [*out, *map(float, near), float(found[i][4]), float(found[i][5])]
+
+
+def _furniture(attributes: str, in_main: bool = False) -> bool:
+    """Whether a tag's class, id or role names furniture; a header inside the main text is none."""
+    if "=" not in attributes:
+        return False
+    for m in _NAMED.finditer(attributes):
+        for name in m[1].strip("\"'").split():
+            parts = [w.lower() for w in _WORD.findall(name)]
+            if WHOLE.isdisjoint(parts) and any(w in NAMES and not (in_main and w == "header") or w.startswith(BEGINNINGS) for w in parts):
+                return True
+    return False
 
 
 def labelled(pages: list[str]) -> list[tuple[float, list[float]]]:
