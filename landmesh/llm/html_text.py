@@ -32,7 +32,7 @@ from landmesh.llm.common import table
 NEIGHBOURS = (0, -1, -2, 1, 2)
 FEATURES = [f"{kind}{k:+d}" for k in NEIGHBOURS for kind in ("words", "links")] + ["heading", "heading_before", "heading_after", "aside", "named"]
 #: Drawn pages of the labelled table, and the tree's depth.
-DRAWN, DEPTH = 600, 9
+DRAWN, DEPTH = 800, 10
 
 #: Elements whose content is no text (fixed values).
 SKIPPED = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "select", "textarea", "button", "canvas", "audio", "video"}
@@ -105,18 +105,19 @@ def drawn(pages: int, seed: int) -> list[str]:
         for _ in range(rng.choice([1, 2, 3, 5, 8, 12])):
             kind = rng.random()
             if kind < 0.7:
-                out.append(f"<p>+{words(8, 90)}" + (f" <a>{words(1, 4)}</a> {words(2, 20)}" if rng.random() < 0.2 else "") + "</p>")
+                inner = "".join(f" <a>{words(1, 4)}</a> {words(2, 20)}" for _ in range(rng.choice([0, 0, 0, 1, 1, 2])))
+                out.append(f"<p>+{words(4, 60 if inner else 90)}{inner}</p>")
             elif kind < 0.85:
                 out.append(block("+", 1, 8))
             elif kind < 0.9:
                 out.append(block("+", 2, 9, "h2") + block("+", 10, 80))
             elif kind < 0.92:
-                inner = rng.choice([block("-", 3, 40, rng.choice(["p", "div"])), f"<p>-{words(1, 9)} <a>{words(1, 4)}</a> {words(1, 20)}</p>", f"<a>-{words(1, 3)}</a> {words(2, 12)}"])
+                inner = rng.choice([block("-", 1, 40, rng.choice(["p", "div"])), f"<p>-{words(1, 9)} <a>{words(1, 4)}</a> {words(1, 20)}</p>", f"<a>-{words(1, 3)}</a> {words(2, 12)}"])
                 out.append(part(inner) + block("+", 10, 80))
-            elif kind < 0.96:
+            elif kind < 0.97:
                 out.append("<ul>" + "".join(block("+", 1, 15, "li") for _ in range(rng.randint(2, 5))) + "</ul>" + block("+", 10, 80))
             else:
-                out.append(f"<aside>-{words(4, 30)}</aside>" + block("+", 10, 80))
+                out.append(f"<aside>-{words(1, 30)}</aside>" + block("+", 10, 80))
         return "".join(out)
 
     def page() -> str:
@@ -144,7 +145,7 @@ def drawn(pages: int, seed: int) -> list[str]:
             each = lambda: f"<div><b>-{words(1, 2)}</b><p>-{words(2, 70)}</p></div>"
             said = "".join(each() for _ in range(rng.randint(1, 6)))
             comments = rng.choice([f'<section class="comments"><h3>-Comments</h3>{said}</section>', f"<section><h3>-{rng.randint(1, 9)} comments</h3>{said}</section>", part(said)])
-        foot = rng.choice([f"<footer>-{words(3, 30)}</footer>", f"<footer><p>-{words(3, 30)} <a>{words(1, 4)}</a></p></footer>", f"<div>{links(2, 6, 2, 'p')}</div>", ""])
+        foot = rng.choice([f"<footer>-{words(1, 30)}</footer>", f"<footer><p>-{words(1, 30)} <a>{words(1, 4)}</a></p></footer>", f"<div>{links(2, 6, 2, 'p')}</div>", ""])
         before, after = (side, "") if rng.random() < 0.5 else ("", side)
         return "<body>" + top + notice + before + body + after + teasers + share + related + comments + cookie + foot + "</body>"
 
