@@ -99,6 +99,12 @@ def histogram(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
     return df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).filter("bucket is not null")
 
 
+def extraction_metrics(footprints: DataFrame) -> DataFrame:
+    """One row: number, mean confidence and height (null without any), total area, of extracted footprints."""
+    mean = lambda c, n: F.bround(F.avg(c), n)
+    return footprints.agg(F.count("*").alias("n"), mean("confidence", 3).alias("mean_confidence"), mean("height", 2).alias("mean_height"), F.bround(F.coalesce(F.sum("area"), F.lit(0.0)), 1).alias("total_area"))
+
+
 def match_kpis(matches: DataFrame) -> DataFrame:
     """Number, sure ones, and means of IoU, distance (dist_m, if there) and score; nulls don't count."""
     far = [F.avg("dist_m").alias("mean_dist")] if "dist_m" in matches.columns else []

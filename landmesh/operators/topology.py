@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landmesh.functions import shapes
+from landmesh.functions import planar, shapes
 from landmesh.functions.geometry import measures
 from landmesh.functions.scoring import gap_kind
+from landmesh.operators.matching import components, stored
 from landmesh.operators.spatial import area, box_pairs, self_overlaps
 
 TOLERANCE, GAP_MAX, SLIVER_MAX, OVERLAP_MIN = 0.05, 1.0, 0.5, 0.25
@@ -25,9 +26,23 @@ def without_repeats(xs: str, ys: str, tolerance: float = TOLERANCE) -> Column:
     )
 
 
+def n_repeats(xs: str, ys: str, tolerance: float = TOLERANCE) -> Column:
+    """How many vertices `without_repeats` takes off, in time linear in the vertices."""
+    points = F.arrays_zip(F.col(xs).alias("x"), F.col(ys).alias("y"))
+    none = F.lit(None).cast("double")
+    begin = F.struct(none.alias("x"), none.alias("y"), F.lit(0).alias("n"))
+
+    def step(last: Column, p: Column) -> Column:
+        near = F.coalesce(F.hypot(last["x"] - p["x"], last["y"] - p["y"]) <= tolerance, F.lit(False))
+        pick = lambda c: F.when(near, last[c]).otherwise(p[c]).alias(c)
+        return F.struct(pick("x"), pick("y"), (last["n"] + near.cast("int")).alias("n"))
+
+    return F.aggregate(points, begin, step, lambda last: last["n"])
+
+
 def duplicate_vertices(features: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Rings (feature_id, ward, xs, ys) that lose vertices, and how many."""
-    kept = features.withColumn("removed", F.size("xs") - F.size(without_repeats("xs", "ys", tolerance)))
+    kept = features.withColumn("removed", n_repeats("xs", "ys", tolerance))
     return kept.filter("removed > 0").select("ward", F.lit("duplicate_vertex").alias("issue_type"), F.array("feature_id").alias("feature_ids"), F.col("removed").cast("double").alias("measure"))
 
 
@@ -56,12 +71,9 @@ def gaps(parcels: DataFrame, widest: float = GAP_MAX, sliver: float = SLIVER_MAX
     )
 
 
-def polygon_gaps(parcels: DataFrame, widest: float = GAP_MAX, sliver: float = SLIVER_MAX, tolerance: float = TOLERANCE) -> DataFrame:
-    """As `gaps`, for polygons (geom): ground between two neighbours that no parcel covers, with its shape.
-
-    A strip along several neighbours is one finding for each two that face each other. It goes to
-    the neighbour of the longer common border, ties to the smaller id.
-    """
+def _strips(parcels: DataFrame, widest: float, tolerance: float) -> DataFrame:
+    """Strips between two polygons that no parcel covers: ward, a_id, b_id, geom, its measures m, and
+    how much border it has in common with each of the two."""
     p = parcels.select("ward", "feature_id", "x0", "y0", "x1", "y1", "geom")
     grown = p.withColumns({"x0": F.col("x0") - widest, "y0": F.col("y0") - widest, "x1": F.col("x1") + widest, "y1": F.col("y1") + widest})
     pairs = box_pairs(grown, p, ["ward"]).filter("a_feature_id < b_feature_id")
@@ -76,8 +88,42 @@ def polygon_gaps(parcels: DataFrame, widest: float = GAP_MAX, sliver: float = SL
     left = shapes.spread(over).withColumn("geom", shapes.without("geom", "covered")).filter("geom.xs is not null").withColumn("m", measures("geom")).filter("m.area > 0.05")
     for s in ("a", "b"):  # the common border is what both perimeters lose in the union
         left = left.withColumn(f"{s}_border", measures(f"{s}_geom")["perimeter"] + F.col("m.perimeter") - measures(shapes.union(f"{s}_geom", "geom"))["perimeter"])
+    return left.select("ward", "a_id", "b_id", "geom", "m", "a_border", "b_border")
+
+
+def _gap_finding(kind: Column, ids: Column, area: Column, target: Column) -> list[Column | str]:
+    return ["ward", kind.alias("issue_type"), ids.alias("feature_ids"), area.alias("measure"), F.struct(F.lit("merge_into").alias("action"), target.alias("target")).alias("fix"), "geom"]
+
+
+def polygon_gaps(parcels: DataFrame, widest: float = GAP_MAX, sliver: float = SLIVER_MAX, tolerance: float = TOLERANCE) -> DataFrame:
+    """As `gaps`, for polygons (geom): ground between two neighbours that no parcel covers, with its shape.
+
+    A strip along several neighbours is one finding for each two that face each other (`whole_gaps`
+    joins them). It goes to the neighbour of the longer common border, ties to the smaller id.
+    """
+    left = _strips(parcels, widest, tolerance)
     target = F.when(F.col("b_border") > F.col("a_border") + 1e-4, F.col("b_id")).otherwise(F.col("a_id"))
-    return left.select("ward", gap_kind(F.col("m.area"), F.col("m.perimeter"), sliver).alias("issue_type"), F.array("a_id", "b_id").alias("feature_ids"), F.col("m.area").alias("measure"), F.struct(F.lit("merge_into").alias("action"), target.alias("target")).alias("fix"), "geom")
+    return left.select(*_gap_finding(gap_kind(F.col("m.area"), F.col("m.perimeter"), sliver), F.array("a_id", "b_id"), F.col("m.area"), target))
+
+
+def whole_gaps(parcels: DataFrame, widest: float = GAP_MAX, sliver: float = SLIVER_MAX, tolerance: float = TOLERANCE) -> DataFrame:
+    """As `polygon_gaps`, with strips that touch each other as one finding over all their neighbours.
+
+    It goes to the neighbour of the longest common border in all, ties to the smallest id.
+    """
+    strips = stored(_strips(parcels, widest, tolerance).withColumn("n", F.monotonically_increasing_id()), "strips")
+    boxes = strips.select("ward", "n", planar.edges("geom").alias("e"), *(F.col(f"geom.{v}{m}").alias(f"{v}{i}") for v in ("x", "y") for m, i in (("min", 0), ("max", 1))))
+    wide = boxes.withColumns({"x0": F.col("x0") - tolerance, "y0": F.col("y0") - tolerance, "x1": F.col("x1") + tolerance, "y1": F.col("y1") + tolerance})
+    # Ends that were computed apart may miss each other by rounding, or by a hair of ground at a corner.
+    near = F.exists("a_e", lambda e: planar.edge_distance("b_e", e["ax"], e["ay"]) <= tolerance) | F.exists("b_e", lambda e: planar.edge_distance("a_e", e["ax"], e["ay"]) <= tolerance)
+    touching = box_pairs(wide, boxes, ["ward"]).filter("a_n < b_n").filter(near).select(F.col("a_n").alias("a_id"), F.col("b_n").alias("b_id"))
+    of = components(touching).select(F.col("node").alias("n"), F.col("cluster"))
+    rows = stored(strips.join(of, "n", "left").withColumn("cluster", F.coalesce("cluster", "n")), "strips")
+    sides = rows.select("cluster", F.explode(F.array(*(F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_border").alias("border")) for s in ("a", "b")))).alias("s"))
+    each = sides.groupBy("cluster", F.col("s.id").alias("id")).agg(F.bround(F.sum("s.border"), 4).alias("border"))
+    home = each.groupBy("cluster").agg(F.min(F.struct((-F.col("border")).alias("b"), "id"))["id"].alias("target"), F.array_sort(F.collect_list("id")).alias("ids"))
+    joined = shapes.dissolved(rows, ["ward", "cluster"], rounds=0).join(home, "cluster").withColumn("m", measures("geom"))
+    return joined.select(*_gap_finding(gap_kind(F.col("m.area"), F.col("m.perimeter"), sliver), F.col("ids"), F.col("m.area"), F.col("target")))
 
 
 def fixed(parcels: DataFrame, issues: DataFrame) -> DataFrame:
@@ -156,6 +202,20 @@ def decided(issues: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).drop("action")
 
 
+#: Fixes that can be applied without a look at the place (fixed values).
+FIXABLE = ["clip_from", "merge_into", "remove_repeated_points"]
+
+
+def accept_all(issues: DataFrame, sources: DataFrame, at) -> DataFrame:
+    """Decisions (issue_id, action, at) that accept every open issue of some sources (source_id) with a fix.
+
+    They are meant for `decided`; issues without a proposed fix, and those that were decided on
+    before, get none.
+    """
+    open_ = issues.filter(F.col("status") == "open").filter(F.col("fix.action").isin(FIXABLE))
+    return open_.join(sources.select("source_id").distinct(), "source_id", "left_semi").select("issue_id", F.lit("accept").alias("action"), F.lit(at).alias("at"))
+
+
 def _share(key: str, salt: str):
     """A number in [0, 1) for each key and salt, from 24 bits of an md5."""
     return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(salt), F.col(key)).cast("binary")), 1, 6), 16, 10).cast("double") / (1 << 24)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landmesh.functions import planar
+from landmesh.functions import scoring as sc
 from landmesh.functions.registry import register_functions
-from landmesh.operators import matching, model, records, stats
+from landmesh.operators import matching, model, records, stats, topology
 from landmesh.plans.fixtures import ctes, fixture, properties
 from landmesh.plans.queries import _CONFLICTS, _GOLDEN, _conflicts, _features, _golden, _issues, _labelled, query
 from landmesh.sources import readers
@@ -122,6 +123,28 @@ def d15_match_shapes(spark, sf_dir):
     return out.select("a_id", "b_id", ((g["xmax"] - g["xmin"]) * (g["ymax"] - g["ymin"])).alias("a_area"), F.col("b_geom.xmin").alias("b_x"), F.col("a_properties")["owner_name"].alias("owner"))
 
 
+@query(f"{ctes('footprints_2025')} SELECT count(*) AS n, round(avg(confidence), 3) AS mean_confidence, round(avg(height), 2) AS mean_height, round(sum((x1 - x0) * (y1 - y0)), 1) AS total_area FROM footprints_2025")
+def e17_extraction(spark, sf_dir):
+    return stats.extraction_metrics(fixture(spark, sf_dir, "footprints_2025").withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))))
+
+
+@query(f"""{ctes('parcels')} SELECT k, round(CASE k % 3 WHEN 0 THEN least(0.98e0, 0.55e0 + 0.45e0 * (1 - exp(-(CASE WHEN k % 7 = 0 THEN 2.5e0 ELSE k % 20 + 2.5e0 END - 2.5e0) / 3))) WHEN 1 THEN CASE WHEN k % 7 = 0 THEN 0.5e0 ELSE (k % 20 + 2.5e0) / 32 END ELSE 0.5e0 END, 3) AS confidence FROM parcels""")
+def i18_footprint_confidence(spark, sf_dir):
+    k = F.col("k")
+    method = F.when(k % 3 == 0, "ndsm").when(k % 3 == 1, "model")
+    mean = F.when(k % 7 != 0, (k % 20 + 2.5) / F.when(k % 3 == 1, 32).otherwise(1))
+    return fixture(spark, sf_dir, "parcels").select("k", sc.footprint_confidence(method, mean).alias("confidence"))
+
+
+@query(f"""{ctes('parcels')} SELECT k AS issue_id, CASE WHEN k % 3 = 0 THEN 'ignored' WHEN k % 4 < 3 AND ward % 2 = 0 THEN 'accepted' ELSE 'open' END AS status FROM parcels WHERE k % 200 IN (7, 57, 107)""")
+def k4_accept_all(spark, sf_dir):
+    k = F.col("issue_id")
+    action = F.get(F.array(F.lit("clip_from"), F.lit("merge_into"), F.lit("remove_repeated_points"), F.lit(None)), (k % 4).cast("int"))
+    issues = _issues(spark, sf_dir).select("issue_id", F.col("ward").alias("source_id"), F.when(k % 3 == 0, "ignored").otherwise("open").alias("status"), F.struct(action.alias("action")).alias("fix"))
+    chosen = fixture(spark, sf_dir, "wards").filter("ward % 2 = 0").select(F.col("ward").alias("source_id"))
+    return topology.decided(issues, topology.accept_all(issues, chosen, 1)).select("issue_id", "status")
+
+
 @query()
 def k5_rescored(spark, sf_dir):
     """Pairs with the score of a model that was trained on them, as column expressions."""

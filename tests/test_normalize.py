@@ -46,3 +46,6 @@ def test_topology_decisions_and_clips(spark):
     assert got == {"a": (0.0, 9.0), "b": (9.0, 20.0)}
     ring = spark.createDataFrame([(1, "a", [0.0, 0.0, 5.0], [0.0, 0.01, 5.0])], "ward int, feature_id string, xs array<double>, ys array<double>")
     assert topology.duplicate_vertices(ring).first().measure == 1.0
+    near = spark.createDataFrame([(1, "a", [0.0, 0.03, 0.06, 0.09, 5.0, 5.0], [0.0] * 6), (1, "b", [], []), (1, "c", None, None)], "ward int, feature_id string, xs array<double>, ys array<double>")
+    got = near.select("feature_id", topology.n_repeats("xs", "ys").alias("n"), F.size(topology.without_repeats("xs", "ys")).alias("left")).collect()
+    assert [(r.n, r.left) for r in got][:2] == [(3, 3), (0, 0)]

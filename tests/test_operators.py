@@ -138,3 +138,34 @@ def test_pixel_regions(spark):
     px = px.withColumn("dtm", F.lit(1.0)).withColumn("dsm", F.when(u, 7.0).when(F.col("row") == 0, float("nan")).otherwise(1.0))
     got = pixels.regions(pixels.height_mask(px)).collect()
     assert [(r.n_pixels, r.mean_height) for r in got] == [(16 * 4 + 26, 6.0)]
+
+
+def test_arriving_files_are_normalised_once(spark, tmp_path):
+    """Features of new files are moved, repaired and appended by ward; tiles get their flag."""
+    from landmesh.functions.geometry import from_wkt
+    from landmesh.operators.normalize import normalized
+
+    schema = "source_id string, ward int, wkt string, srid int, properties map<string,string>"
+    normal = lambda df: normalized(df.withColumn("geom", from_wkt("wkt")).drop("wkt"), 32644)[0].select("source_id", "ward", "area", "was_invalid", "properties")
+    src, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for i, wkt in enumerate(("POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))")):
+        spark.createDataFrame([(f"s{i}", i, wkt, 32644, {"n": str(i)}), (f"s{i}", i, None, 32644, {})], schema).coalesce(1).write.mode("append").parquet(src)
+        feeds.append_normalized(spark.readStream.schema(schema).parquet(src), normal, out, mark).awaitTermination(120)
+    got = sorted((r.source_id, r.ward, round(r.area, 6), r.was_invalid) for r in spark.read.parquet(out).collect())
+    assert got == [("s0", 0, 2.0, True), ("s1", 1, 16.0, False)]
+    tiles = spark.createDataFrame([(49.9,), (50.0,), (None,)], "confidence double")
+    assert [r.buffered for r in feeds.flagged_tiles(tiles).collect()] == [True, False, None]
+
+
+def test_synthetic_pairs_follow_from_their_numbers(spark):
+    from landmesh.operators.model import synthetic_pairs
+
+    rows = synthetic_pairs(spark, 20).collect()
+    again = {r.feature_id: r for r in synthetic_pairs(spark, 25).repartition(7).collect()}
+    assert len(rows) == len({r.feature_id for r in rows}) and all(again[r.feature_id] == r for r in rows)
+    of = {t: [r for r in rows if r.source_type == t] for t in ("cadastral", "municipal_gis", "building_footprint", "revenue")}
+    assert len(of["cadastral"]) == 20 * 12
+    for t, least in (("municipal_gis", 0.8), ("building_footprint", 0.8), ("revenue", 0.85)):
+        assert 240 * least < len(of[t]) < 240
+    for r in of["building_footprint"]:
+        assert any(p.block == r.block and p.plot == r.plot and p.x0 <= r.x0 <= r.x1 <= p.x1 for p in of["cadastral"])

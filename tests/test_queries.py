@@ -8,9 +8,10 @@ import pytest
 import __spark_entry__ as entry
 from landmesh.plans import parts  # noqa: F401
 from landmesh.plans import queries as land
+from landmesh.plans import summaries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-FAST = ["c1_filtered", "c2_in_box", "g3_page", "e1_detection_kpis", "e2_leaderboard", "e5_profile", "e21_classifier_metrics", "d7_points_in", "d2_overlaps", "a13_upsert", "i17_ocr_fields", "e8_source_cards", "d5_encroachments", "k2_topology", "e16_recall", "f3_chosen_layer", "f4_epochs", "c3_audit", "c5_without_key", "c6_published", "g4_natural_order", "h4_missing", "d13_new_conflicts", "d15_match_details", "d17_labels", "d14_displaced", "i16_source_fields", "i4_confidence", "i7_first_alias", "i8_snapshot", "i14_utm_srid", "i19_quadkey", "i20_block_split", "i21_alerts", "f6_one_to_one"]
+FAST = ["c1_filtered", "c2_in_box", "g3_page", "e1_detection_kpis", "e2_leaderboard", "e5_profile", "e21_classifier_metrics", "d7_points_in", "d2_overlaps", "a13_upsert", "i17_ocr_fields", "e8_source_cards", "d5_encroachments", "k2_topology", "e16_recall", "f3_chosen_layer", "f4_epochs", "c3_audit", "c5_without_key", "c6_published", "g4_natural_order", "h4_missing", "d13_new_conflicts", "d15_match_details", "d17_labels", "d14_displaced", "i16_source_fields", "i4_confidence", "i7_first_alias", "i8_snapshot", "i14_utm_srid", "i19_quadkey", "i20_block_split", "i21_alerts", "f6_one_to_one", "e15_sources", "d11_issue_names", "b10_hausdorff", "b5_quarantine", "m_sql_functions", "k9_zone_names", "j2_latest_status", "e17_extraction", "i18_footprint_confidence", "k4_accept_all", "d7_points_in_polygons"]
 
 
 @pytest.fixture(scope="module")

@@ -100,6 +100,19 @@ def test_gaps_and_fixes_of_polygons(spark):
         assert areas == {k: pytest.approx(v) for k, v in {"a": 102.4, "b": 180.0, "c": 200.0, "d": 1.6}.items()}
 
 
+def test_a_strip_along_several_neighbours_is_one_finding(spark):
+    for turn in (False, True):
+        # a faces b and c over one strip; d and e have one of their own
+        f = table(spark, [("a", box(0, 0, 20, 10, turn)), ("b", box(0, 10.4, 10, 10, turn)), ("c", box(10, 10.4, 10, 10, turn)), ("d", box(50, 0, 10, 10, turn)), ("e", box(60.8, 0, 10, 10, turn))])
+        assert len(topology.polygon_gaps(f).collect()) == 3
+        got = {tuple(r.feature_ids): r for r in topology.whole_gaps(f).collect()}
+        assert set(got) == {("a", "b", "c"), ("d", "e")}
+        r = got["a", "b", "c"]
+        assert (r.issue_type, r.fix.target, round(r.measure, 6)) == ("sliver", "a", 8.0)
+        assert got["d", "e"].measure == pytest.approx(8.0)
+    assert topology.whole_gaps(f.limit(1)).count() == 0
+
+
 def test_export_keeps_shape_and_types(spark):
     f = table(spark, [("a", box(0, 0, 10, 10, True))])
     g = f.select(F.col("feature_id").alias("cluster"), F.create_map(F.lit("o"), F.lit('R"ao')).alias("attributes"), F.create_map(F.lit("o"), F.lit("revenue")).alias("provenance"), F.lit(None).cast("double").alias("confidence"), F.lit(2).alias("conflict_count"), F.struct("x0", "y0", "x1", "y1", F.col("geom").alias("shape")).alias("geom"))
