@@ -299,7 +299,11 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | N
 
 
 def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
-    """Both of `encode` and `decode` with one pass through Python workers."""
+    """Both of `encode` and `decode` with one pass through Python workers.
+
+    Null counts as empty and gives no ids and an empty text. Every row stays, also of equal ones;
+    columns named `ids` and `decoded` are replaced. An empty table gives no rows.
+    """
 
     def make(bpe: Bpe, texts):
         packed = _ids(bpe, texts)
@@ -309,7 +313,11 @@ def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str
 
 
 def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """Per document: number of tokens and digests of the ids and of the decoded text."""
+    """Per document: number of tokens and digests of the ids and of the decoded text.
+
+    A row for each row, also of null or repeated id; a null text counts as empty. An empty table
+    gives no rows.
+    """
     return round_trip(documents.select("doc_id", "text"), path=path).select(
         "doc_id",
         F.expr("length(ids) div 4").cast("long").alias("n_tokens"),

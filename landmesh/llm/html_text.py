@@ -325,7 +325,11 @@ def tree_column(model, f: Column) -> Column:
 
 
 def with_blocks(pages: DataFrame, html: str = "html", out: str = "blocks") -> DataFrame:
-    """pages with their text blocks instead of the html; a column named `out` is replaced."""
+    """pages with their text blocks instead of the html; a column named `out` is replaced.
+
+    Null and empty pages have no blocks. Every row stays, also of equal ones; an empty table gives
+    no rows.
+    """
     kept = [f for f in pages.schema.fields if f.name not in (html, out)]
 
     def run(batches):

@@ -188,7 +188,9 @@ def verdict(rules: list[Rule]) -> Column:
 def learn_from(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Learn from at most `rows` labelled documents, those whose ids have the smallest hash.
 
-    Rows without label or document are left out; statistics are computed for the sample only.
+    Rows without label or document are left out; statistics are computed for the sample only. An id
+    that is labelled twice, or that several documents have, counts as often. Without any labelled
+    document there are no rules.
     """
     sample = labels.filter("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     counted = with_counts(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
