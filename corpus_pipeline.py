@@ -18,7 +18,11 @@ from landmesh.llm.substring_dedup import removal
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned decision list reject."""
+    """Documents that neither the base rules nor the learned decision list reject.
+
+    Each row is judged by its text, whatever its id; null and empty texts go. Without labels the
+    base rules judge alone. An empty table stays empty.
+    """
     rules = learn_from(docs, table(spark, sf_dir, "labels"))
     return keep(docs, rules)
 
@@ -36,7 +40,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that a document of smaller id has too.
 
-    Documents that lose nothing keep their text as it is; those that lose all their words go.
+    Documents that lose nothing keep their text as it is, null and empty ones too; those that lose
+    all their words go. A null id is the smallest, rows of one id don't take from each other. An
+    empty table stays empty.
     """
     out = removal(docs, carry=tuple(docs.columns)).filter("n_removed = 0 or n_removed < n_words")
     less = {"text": F.col("kept"), "n_chars": F.length("kept")}
@@ -46,12 +52,19 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs.
+
+    Null and empty texts stay, and every row is looked at by itself; items without words match
+    nothing. An empty table stays empty.
+    """
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of each document's ids and decoded text."""
+    """Number of tokens and digests of each document's ids and decoded text.
+
+    A row for each row, also of null or repeated id; a null text counts as empty.
+    """
     return digests(docs)
 
 

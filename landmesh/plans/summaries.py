@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from landmesh.functions import planar
@@ -100,7 +102,7 @@ def b5_quarantine(spark, sf_dir):
     f = _features(spark, sf_dir)
     declared, embedded = F.when(k % 4 == 0, "EPSG:32644").when(k % 4 == 3, F.concat(F.lit("EPSG:"), 9000 + k % 5)).otherwise(""), F.when(k % 4 == 1, "urn:ogc:def:crs:EPSG::32644")
     rows = f.withColumn("crs", readers.resolved_crs(declared, embedded, F.when(k % 3 > 0, "geojson").otherwise("csv")))
-    good, bad = readers.split_quarantine(readers.quarantined(rows.select("feature_id", "crs")), f"{matching.shared_root(spark)}/features-{matching.uuid.uuid4().hex}")
+    good, bad = readers.split_quarantine(readers.quarantined(rows.select("feature_id", "crs")), f"{matching.shared_root(spark)}/features-{uuid.uuid4().hex}")
     return good.select("feature_id", "srid", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("feature_id", F.lit(None).cast("int").alias("srid"), "reason"))
 
 
