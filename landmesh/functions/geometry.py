@@ -260,7 +260,10 @@ def _parts(g: dict) -> list[list[np.ndarray]]:
         return [[r] for r in rings]
     from landmesh.functions.shapes import combined, parts_of  # it builds on this module
 
-    return parts_of(combined([rings], [], "union"))
+    parts = parts_of(combined([rings], [], "union"))
+    wide = [np.ptp(r, axis=0).sum() for r in rings]
+    one = len(parts) == 1 and len(parts[0]) == len(rings) and wide[0] == max(wide)
+    return [rings] if one else parts  # one polygon whose shell comes first stays as it is
 
 
 def to_wkt_text(g: dict | None) -> str | None:

@@ -1,7 +1,7 @@
 """The nearest shape of each point, by rings of cells that widen until the best distance bounds them.
 
 Shapes lie in square cells of a grid fit to them; where one would take many, in a coarser grid,
-whose cells double. A point first looks for any occupied cell among its own and the eight around
+whose cells double. A point first looks for a cell with a shape's vertex among its own and the eight around
 it, on grids ever coarser, which bounds its distance. From there it goes down again, keeping the
 cells that the bound reaches, which falls on the way, and compares itself with their shapes. No
 point meets shapes that its bound leaves out, however far away all of them are.
@@ -71,8 +71,13 @@ def nearest(points: DataFrame, shapes: DataFrame, id: str) -> DataFrame:
     of = _side(cell, F.col("g"))
     axis = lambda v: F.explode(F.sequence(F.floor(F.col(f"{v}0") / of), F.floor(F.col(f"{v}1") / of)))
     placed = stored(placed.withColumn("cx", axis("x")).withColumn("cy", axis("y")), "placed")
-    up = lambda c: F.expr(f"shiftright({c}, l - g)")
-    occupied = stored(placed.select("g", "cx", "cy").distinct().withColumn("l", F.explode(F.sequence(F.col("g"), F.greatest(F.col("g"), F.lit(top))))).select("l", up("cx").alias("cx"), up("cy").alias("cy")).distinct(), "occupied")
+    # Cells by level: those that a shape's box touches, and of them those that hold a vertex for sure.
+    point = (F.col("geom.xs")[0], F.col("geom.ys")[0]) if "geom" in s.columns else (F.col("x0"), F.col("y0"))
+    boxes = placed.select("g", "cx", "cy", F.lit(False).alias("sure")).distinct()
+    vertices = s.select(F.lit(0).alias("g"), *(F.floor(v / cell).alias(c) for v, c in zip(point, ("cx", "cy"), strict=True)), F.lit(True).alias("sure")).filter("cx is not null and cy is not null").distinct()
+    levels = boxes.unionByName(vertices).withColumn("l", F.explode(F.sequence(F.col("g"), F.greatest(F.col("g"), F.lit(top)))))
+    up = lambda c: F.expr(f"shiftright({c}, l - g)").alias(c)
+    occupied = stored(levels.select("l", up("cx"), up("cy"), "sure").groupBy("l", "cx", "cy").agg(F.bool_or("sure").alias("sure")), "occupied")
     used = sorted(r.g for r in placed.select("g").distinct().collect())  # at most one for each doubling
 
     # Up: the first level at which a cell nearby is occupied.
@@ -80,7 +85,7 @@ def nearest(points: DataFrame, shapes: DataFrame, id: str) -> DataFrame:
     left = at
     for k in range(top + 1):
         step = _side(cell, F.lit(k))
-        near = occupied.filter(F.col("l") == k).select(F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+        near = occupied.filter((F.col("l") == k) & F.col("sure")).select(F.col("cx").alias("ox"), F.col("cy").alias("oy"))
         spread = lambda v: F.explode(F.sequence(F.col(v) - 1, F.col(v) + 1))
         near = near.withColumn("cx", spread("ox")).withColumn("cy", spread("oy")).groupBy("cx", "cy").agg(F.collect_list(F.struct("ox", "oy")).alias("cells"))  # nine at most
         own = left.withColumn("cx", F.floor(F.col("x") / step)).withColumn("cy", F.floor(F.col("y") / step))
@@ -105,10 +110,10 @@ def nearest(points: DataFrame, shapes: DataFrame, id: str) -> DataFrame:
             step = _side(cell, F.lit(k - 1))
             child = lambda v, i: 2 * F.col(v) + i
             four = F.explode(F.array(*(F.struct(child("cx", i).alias("cx"), child("cy", j).alias("cy")) for i in (0, 1) for j in (0, 1))))
-            below = frontier.withColumn("c", four).select("__p", "x", "y", "bound", "c.cx", "c.cy").join(occupied.filter(F.col("l") == k - 1).select("cx", "cy"), ["cx", "cy"], "left_semi")
+            below = frontier.withColumn("c", four).select("__p", "x", "y", "bound", "c.cx", "c.cy").join(occupied.filter(F.col("l") == k - 1).select("cx", "cy", "sure"), ["cx", "cy"])
             reach = planar.box_reach("x", "y", *_box(step, F.col("cx"), F.col("cy")))
-            # Cells of larger shapes have no children, so a point may keep none; then its bound stands.
-            least = below.groupBy("__p").agg(F.min(reach).alias("m"))
+            # Cells of larger shapes have no children; without one that holds a vertex the bound stands.
+            least = below.groupBy("__p").agg(F.min(F.when(F.col("sure"), reach)).alias("m"))
             below = below.join(least, "__p").withColumn("bound", F.least("bound", "m")).filter(planar.box_distance("x", "y", *_box(step, F.col("cx"), F.col("cy"))) <= F.col("bound") * SLACK)
             frontier = stored(below.select("__p", "x", "y", "bound", "cx", "cy"), "frontier")
 
