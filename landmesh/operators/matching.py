@@ -63,39 +63,72 @@ def one_to_one(edges: DataFrame) -> DataFrame:
 
     edges: a_id, b_id, a_source, b_source, match_score, locked. In the strict order locked first,
     score descending, ids, an edge is in the greedy result if none of the better ones that share an
-    end of the same sources is. So one without a better one is taken, and one with a single better
-    one has the opposite fate of that: a chain of them is read by pointers that double their reach,
-    in as many rounds as its length has binary digits. What is left over, edges with several better
-    ones that share no end with a taken edge, goes into the next pass.
+    end of the same sources is. Each pass takes the edges that are best at both ends and drops
+    their neighbours, in one written table. Where that settles less than half of the edges, as with
+    long chains of rising scores, the next pass follows pointers along the chains.
     """
     turn = F.col("a_source") > F.col("b_source")  # so that the features of a source stand on one side
     side = lambda p, q, c: F.when(turn, F.col(f"{q}_{c}")).otherwise(F.col(f"{p}_{c}")).alias(f"__{p}_{c}")
     left = edges.select("a_id", "b_id", "a_source", "b_source", "match_score", F.coalesce("locked", F.lit(False)).alias("locked"), side("a", "b", "id"), side("b", "a", "id"), side("a", "b", "source"), side("b", "a", "source"))
-    order = [F.desc("locked"), F.desc_nulls_last("match_score"), "a_id", "b_id"]
-    ends = [["__a_id", "__b_source"], ["__b_id", "__a_source"]]
-    own, to = ["__a_id", "__b_id"], ["to_a", "to_b"]
-    kept = None
+    kept, n = None, None
     while True:
-        ranked = left
-        for i, end in enumerate(ends):
-            at = Window.partitionBy(*end).orderBy(*order)
-            ranked = ranked.withColumn(f"__rank{i}", F.row_number().over(at) - 1).withColumn(f"__up{i}", F.lag(F.struct(*own)).over(at))
-        better, up = F.col("__rank0") + F.col("__rank1"), F.coalesce("__up0", "__up1")
-        state = stored(ranked.select(*left.columns, F.least(better, F.lit(2)).alias("__better"), up["__a_id"].alias("to_a"), up["__b_id"].alias("to_b")), "edges")
-        n = state.agg(F.count("*").alias("all"), F.count_if(F.col("__better") == 1).alias("links")).first()
-        heads = state.filter("__better = 0").drop(*to)
-        taken = heads
-        if n.links:
-            links = _followed(state.filter("__better = 1").select(*own, *to, F.lit(True).alias("odd")), own, to)
-            ends_at_head = links.filter("not odd").join(heads.select(*(F.col(c).alias(t) for c, t in zip(own, to, strict=True))), to, "left_semi")
-            taken = heads.unionByName(state.filter("__better = 1").drop(*to).join(ends_at_head.select(*own), own, "left_semi"))
-        now = stored(taken.drop("__better"), "taken")
+        state = _best_at_both(left)
+        count = state.groupBy("__taken").count().collect()
+        now, left = state.filter("__taken").drop("__taken"), state.filter("not __taken").drop("__taken")
+        open_ = sum(r["count"] for r in count if not r["__taken"])
         kept = now if kept is None else kept.unionByName(now)
-        if n.all == 0 or now.count() == n.all:
+        if open_ and n is not None and 2 * open_ > n:
+            now, left = _along_chains(left)
+            kept = kept.unionByName(now)
+            open_ = left.count()
+        if not open_:
             return kept.select("a_id", "b_id", "a_source", "b_source", "match_score", "locked")
-        left = state.filter("__better > 0").drop("__better", *to)
-        for end in ends:
-            left = left.join(now.select(*end).distinct(), end, "left_anti")
+        n = open_
+
+
+#: Ends of the edges, and what names them and the better one, within one_to_one.
+_ENDS = [["__a_id", "__b_source"], ["__b_id", "__a_source"]]
+_OWN, _TO = ["__a_id", "__b_id"], ["to_a", "to_b"]
+
+
+def _at_end(i: int):
+    """The edges at an end, best first; equal rows stand in one order at both ends."""
+    return Window.partitionBy(*_ENDS[i]).orderBy(F.desc("locked"), F.desc_nulls_last("match_score"), "a_id", "b_id", *["__rank0"][:i])
+
+
+def _best_at_both(left: DataFrame) -> DataFrame:
+    """The edges that are best at both ends (`__taken`), and those that share no end with them."""
+    first = left
+    for i in range(2):
+        first = first.withColumn(f"__rank{i}", F.row_number().over(_at_end(i)))
+    first = first.withColumn("__taken", (F.col("__rank0") == 1) & (F.col("__rank1") == 1)).drop("__rank0", "__rank1")
+    for i in (1, 0):
+        first = first.withColumn(f"__gone{i}", F.max("__taken").over(Window.partitionBy(*_ENDS[i])))
+    return stored(first.filter("__taken or not (__gone0 or __gone1)").drop("__gone0", "__gone1"), "edges")
+
+
+def _along_chains(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges taken, and edges left over.
+
+    An edge with a single better one has the opposite fate of that: a chain of them is read by
+    pointers that double their reach, in as many rounds as its length has binary digits. Edges with
+    several better ones that share no end with a taken edge are left.
+    """
+    ranked = left
+    for i in range(2):
+        at = _at_end(i)
+        ranked = ranked.withColumn(f"__up{i}", F.lag(F.struct(*_OWN)).over(at)).withColumn(f"__rank{i}", F.row_number().over(at) - 1)
+    better, up = F.col("__rank0") + F.col("__rank1"), F.coalesce("__up0", "__up1")
+    state = stored(ranked.select(*left.columns, F.least(better, F.lit(2)).alias("__better"), up["__a_id"].alias("to_a"), up["__b_id"].alias("to_b")), "edges")
+    heads = state.filter("__better = 0").drop(*_TO)
+    links = _followed(state.filter("__better = 1").select(*_OWN, *_TO, F.lit(True).alias("odd")), _OWN, _TO)
+    ends_at_head = links.filter("not odd").join(heads.select(*(F.col(c).alias(t) for c, t in zip(_OWN, _TO, strict=True))), _TO, "left_semi")
+    taken = heads.unionByName(state.filter("__better = 1").drop(*_TO).join(ends_at_head.select(*_OWN), _OWN, "left_semi"))
+    now = stored(taken.drop("__better"), "taken")
+    rest = state.filter("__better > 0").drop("__better", *_TO)
+    for end in _ENDS:
+        rest = rest.join(now.select(*end).distinct(), end, "left_anti")
+    return now, stored(rest, "edges")
 
 
 def _followed(links: DataFrame, own: list[str], to: list[str]) -> DataFrame:
