@@ -5,23 +5,23 @@ to move every window. Instead each window names one of its k-grams, that of the
 windows name the same k-gram at the same place. The run of consecutive windows that name one
 k-gram is a record; its context is the text from the first window's start to the last one's end.
 
-1. Records are dealt by k-gram (hashes and places only). Where a context is repeated as a whole,
-   all but the first are decided: their windows occur earlier. Where a k-gram has several contexts,
-   their first holders must be compared window by window.
+1. Records are dealt by k-gram (hashes and places only). The first two holders of a context that
+   is repeated as a whole, and the first of each where a k-gram has several contexts, must be
+   compared window by window.
 2. The contexts of those are dealt by k-gram, and a shard function compares them: it gets arrays
    of contexts and returns which windows occur in an earlier one. K-grams with very many contexts
    are dealt by window instead, so that no shard gets them all.
 3. Each document gets its decided windows back.
 
-So windows inside a context that is repeated as a whole are decided by its hash (64 bits beside the
-40 of the k-gram) and only its first holder, and only where the k-gram has other contexts too,
-reaches a shard: of exact copies and the inside of shared passages, one representative.
+So the shard compares the content of every distinct window that is there twice, and finds which of
+them occur earlier. Holders of a context from the third on take over what holds for the second by
+the context's hash (64 bits beside the 40 of the k-gram): of thousands of copies, two reach a shard.
 
 Hot k-grams, those of a line that a large part of all documents has, are found first in a part of
 the texts; this chooses the way, not the result. They name windows only where a window has no
 other k-gram, so that the windows around such a line go to rare k-grams; what is left of them is
-dealt by k-gram and context. Equal contexts, and equal lone windows, that meet in one chunk of a
-map task are decided there, so that what many documents share sends one record for each chunk.
+dealt by k-gram and context. Of equal contexts, and equal lone windows, that meet in one chunk of a
+map task two go on, so that what many documents share sends two records for each chunk.
 
 A row is told from others by its id and a hash of its text: rows of equal id and text are one
 document with one result, rows of equal id and different texts don't count against each other.
@@ -213,6 +213,15 @@ def earliest(spec: Spec, context: np.ndarray, doc: np.ndarray, row: np.ndarray,
     return order, group, head, later
 
 
+def beyond_second(group: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Of those that aren't first, all but the next one of each group."""
+    out = later.copy()
+    some = np.flatnonzero(later)
+    if len(some):
+        out[some[_starts(group[some])]] = False
+    return out
+
+
 def _by_row(doc: np.ndarray, row: np.ndarray, *columns: np.ndarray):
     """For each row its id and hash and its part of each column, as bytes; equal entries once."""
     order = np.lexsort((*columns[::-1], row, doc))
@@ -248,7 +257,8 @@ def _row_bucket(doc: np.ndarray, row: np.ndarray, parts: int) -> np.ndarray:
 def _emit_records(spec: Spec, parts: int, hot: HotGrams):
     def flush(held):
         doc, row, at, n, h, is_hot, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, _, _, later = earliest(spec, c, doc, row, at, h)
+        order, group, _, later = earliest(spec, c, doc, row, at, h)
+        later = beyond_second(group, later)
         doc, row, at, n, h, is_hot, c = (x[order] for x in (doc, row, at, n, h, is_hot, c))
         ids, keys, (places, counts) = _by_row(doc[later], row[later], at[later].astype("<i4"), n[later].astype("<i4"))
         rows = [[b, i, r, False, 0, p, k, None, None, None, None] for b, i, r, p, k in zip(_row_bucket(ids, keys, parts).tolist(), ids.tolist(), keys.tolist(), places, counts, strict=True)]
@@ -317,7 +327,10 @@ def _decide(spec: Spec):
         gram = np.cumsum(new) - 1
         contexts = np.bincount(gram[head], minlength=int(gram[-1]) + 1)[gram]
         many = hot | (contexts > spec.hot)
-        for kind, some in ((DECIDED, later), (OPEN, ~later & (contexts > 1) & ~many), (OPEN_HOT, ~later & many)):
+        decided = beyond_second(group, later)
+        pair = later & ~decided
+        pair[head] = np.bincount(group[pair], minlength=len(head)) > 0
+        for kind, some in ((DECIDED, decided), (OPEN, ~decided & (pair | (contexts > 1)) & ~many), (OPEN_HOT, ~decided & many)):
             yield from _windows(kind, doc[some], row[some], at[some], n[some])
 
     return run
@@ -333,7 +346,7 @@ _CONTEXTS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("row", p
 
 def _emit_contexts(spec: Spec, parts: int, hot_grams: HotGrams):
     """Of rows with open windows, their contexts by bucket; hot ones window by window, of equal
-    windows of a run the earliest only, while the others are decided."""
+    windows of a run the first two, while the others are decided."""
 
     def opened(batch, r):
         doc, at, n, key = [], [], [], []
@@ -360,8 +373,8 @@ def _emit_contexts(spec: Spec, parts: int, hot_grams: HotGrams):
             out: list[list] = [[] for _ in _CONTEXTS]
             if hot.any():
                 i = np.flatnonzero(hot)
-                order, _, _, later = earliest(spec, span_hash(r.prefix, at[i], at[i] + spec.window), ids[doc[i]], keys[doc[i]], at[i] - r.first[doc[i]])
-                gone = i[order[later]]
+                order, group, _, later = earliest(spec, span_hash(r.prefix, at[i], at[i] + spec.window), ids[doc[i]], keys[doc[i]], at[i] - r.first[doc[i]])
+                gone = i[order[beyond_second(group, later)]]
                 if len(gone):
                     x = doc[gone]
                     some, rows, (places, counts) = _by_row(ids[x], keys[x], (at[gone] - r.first[x]).astype("<i4"), np.ones(len(gone), "<i4"))

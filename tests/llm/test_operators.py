@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import uuid
 import zlib
 from collections import Counter
 
@@ -118,6 +119,36 @@ def test_hot_anchors_are_dealt_by_window(docs):
     assert plain == {r.doc_id: r.kept for r in suffix_dedup.removal(docs, share=1, least=2).collect()}
 
 
+def noted(folder, shard):
+    """The shard function, which also writes down the windows that it found to occur earlier."""
+
+    def run(spec, doc, row, at, n, raw):
+        which, place = shard(spec, doc, row, at, n, raw)
+        np.save(folder / f"{uuid.uuid4().hex}.npy", np.stack([doc[which], place]))
+        return which, place
+
+    return run
+
+
+def test_every_distinct_repeat_is_found_by_the_sort_and_the_index(docs, tmp_path, monkeypatch):
+    """What the hash of a context decides only repeats what bytes or words decided for two holders."""
+    for k, (module, cut, window) in enumerate(((suffix_dedup, lambda t: (t or "").encode(), 100), (substring_dedup, lambda t: tuple(WORD.findall(t or "")), 50))):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        monkeypatch.setattr(module, "earlier_windows", noted(folder, module.earlier_windows))
+        module.removal(docs).count()
+        units = {r[0]: cut(r[1]) for r in corpus()}
+        places = {}
+        for i, u in units.items():
+            for at in range(len(u) - window + 1):
+                places.setdefault(u[at : at + window], []).append((i, at))
+        want = {w for w, p in places.items() if len(p if k == 0 else {i for i, _ in p}) > 1}
+        got = set()
+        for f in folder.iterdir():
+            got |= {units[i][at : at + window] for i, at in np.load(f).T.tolist()}
+        assert got == want
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(1)
     text = np.append(rng.integers(1, 6, 300), 0)
