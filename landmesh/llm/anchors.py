@@ -250,6 +250,17 @@ def _windows(kind: int, doc: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.
         yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(rows[j]), pa.array([kind] * len(ids[j]), pa.int32()), pa.array(places[j], pa.binary()), pa.array(counts[j], pa.binary())], schema=_WINDOWS)
 
 
+def _joined(doc: np.ndarray, row: np.ndarray, place: np.ndarray):
+    """Single windows as runs of consecutive ones: document, row, first window and number."""
+    order = np.lexsort((place, row, doc))
+    doc, row, place = doc[order], row[order], place[order]
+    new = _starts(doc, row)
+    new[1:] |= place[1:] > place[:-1] + 1
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(place)) - 1
+    return doc[head], row[head], place[head], place[last[: len(head)]] - place[head] + 1
+
+
 def _row_bucket(doc: np.ndarray, row: np.ndarray, parts: int) -> np.ndarray:
     return (mix(mix(doc.view(np.uint64)) ^ row.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
@@ -421,7 +432,7 @@ def _compare(spec: Spec, shard: Callable):
         held.clear()
         at, n = at.astype(np.int64), n.astype(np.int64)
         which, place = shard(spec, doc, row, at, n, raw)  # windows that occur earlier
-        yield from _windows(DECIDED, doc[which], row[which], place, np.ones_like(place))
+        yield from _windows(DECIDED, *_joined(doc[which], row[which], place))
 
     return run
 

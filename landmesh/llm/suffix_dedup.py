@@ -91,9 +91,8 @@ def sort_suffixes(raw: np.ndarray, starts: np.ndarray, limit: int = LENGTH) -> t
     """Suffixes in order of their first `limit` bytes, and for each whether a new group of equal
     ones begins there. Every suffix has `limit` bytes."""
     padded = np.concatenate([raw, np.zeros(SYMBOL, np.uint8)])
-    symbol = np.zeros(len(raw), dtype=np.uint64)
-    for j in range(SYMBOL):
-        symbol |= padded[j : j + len(raw)].astype(np.uint64) << np.uint64(56 - 8 * j)
+    # The symbol at each byte, as a view whose items overlap.
+    symbol = np.ndarray(len(raw), dtype=">u8", buffer=padded, strides=(1,))
     order = starts.copy()
     new = np.zeros(len(order), dtype=bool)
     new[:1] = True
@@ -122,7 +121,7 @@ def sort_suffixes(raw: np.ndarray, starts: np.ndarray, limit: int = LENGTH) -> t
         if not len(open_):
             break
         here = min(depth, limit - SYMBOL)  # the last symbol reaches back, to stay within the limit
-        key = symbol[order[open_] + here]
+        key = symbol[order[open_] + here].astype(np.uint64)
         by = np.lexsort((key, group[open_]))
         order[open_] = order[open_][by]
         key, same = key[by], group[open_][by]
@@ -135,13 +134,15 @@ def earlier_windows(spec: Spec, doc: np.ndarray, row: np.ndarray, at: np.ndarray
     """Windows of the contexts whose bytes start in an earlier place of the contexts."""
     size = n + spec.window - 1
     begin = np.cumsum(size) - size
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    starts = np.repeat(begin, n) + inside
+    starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
     order, new = sort_suffixes(raw, starts, spec.window)
-    of, place = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
-    of[starts], place[starts] = np.repeat(np.arange(len(n)), n), np.repeat(at, n) + inside
-    of, place = of[order], place[order]
-    by, _, _, later = earliest(spec, np.cumsum(new), doc[of], row[of], place)
+    # Only suffixes that have equals can start elsewhere too.
+    group = np.cumsum(new) - 1
+    some = np.bincount(group, minlength=1)[group] > 1 if len(group) else new
+    order, group = order[some], group[some]
+    of = np.searchsorted(begin, order, side="right") - 1
+    place = order - begin[of] + at[of]
+    by, _, _, later = earliest(spec, group, doc[of], row[of], place)
     return of[by[later]], place[by[later]]
 
 
