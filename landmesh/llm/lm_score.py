@@ -6,8 +6,12 @@ sums over all paths. A document is its words, each begun by a word-start piece,
 pieces never run over words, its marginal is the product of its words' marginals.
 
 The vocabulary at hand has ranks for scores: piece number r gets the weight 1 / (100 + r), as in
-Zipf's law, and weights are divided by their sum. Nothing is fitted. What the training documents
-give is the add-one unigram model of `base_score`.
+Zipf's law, and weights are divided by their sum. From there the model learns from the training
+documents: rounds of expectation maximisation over their distinct words, and one more arc in the
+lattice of each word that they have, from its first node to its last. Of n tokens in training with
+v distinct ones, c of them a word, that arc weighs c / (n + v), and the pieces' paths share the
+v / (n + v) that are left (Witten and Bell's rule). Without rounds, the vocabulary's own weights
+are the whole model.
 
 The work is one pass over the texts, which leaves one row for each word of a few megabytes of
 text, a sum by word and a join by word; Spark splits hot words, of which there are many rows.
@@ -37,6 +41,8 @@ RANK_OFFSET = 100.0
 RUN = 10 << 20
 #: Words whose lattices are computed together.
 WORDS = 20_000
+#: Rounds of expectation maximisation, and uses of pieces that the vocabulary's weights count as.
+ROUNDS, PRIOR = 2, 1000.0
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
@@ -62,6 +68,11 @@ class Pieces:
         self.machine.make_automaton()
         self.single = {model.id_to_piece(i) for i in ids if len(model.id_to_piece(i)) == 1}
 
+    def fitted(self, expected: np.ndarray) -> np.ndarray:
+        """Log weights after pieces were used so often."""
+        used = expected + PRIOR * np.exp(self.log_weight)
+        return np.log(used / used.sum())
+
 
 class Lattices:
     """The lattices of some words, side by side: nodes are places between characters."""
@@ -109,8 +120,25 @@ class Lattices:
             f[head] = np.logaddexp(f[head], f[self.tail[a:b]] + arcs[a:b])
         return f
 
-    def marginals(self) -> np.ndarray:
-        return self.forward(self.arcs(self.pieces.log_weight))[self.last]
+    def backward(self, arcs: np.ndarray) -> np.ndarray:
+        """Log of all paths' weight from each node to its word's last one."""
+        g = np.full(self.nodes, -np.inf)
+        g[self.last] = 0.0
+        for a, b in zip(self.steps[-2::-1], self.steps[:0:-1], strict=True):
+            tail = self.tail[a:b]
+            g[tail] = np.logaddexp(g[tail], g[self.head[a:b]] + arcs[a:b])
+        return g
+
+    def marginals(self, log_weight: np.ndarray | None = None) -> np.ndarray:
+        return self.forward(self.arcs(self.pieces.log_weight if log_weight is None else log_weight))[self.last]
+
+    def expected(self, log_weight: np.ndarray) -> np.ndarray:
+        """How often each piece is used, on average over the words' segmentations."""
+        arcs = self.arcs(log_weight)
+        f, g = self.forward(arcs), self.backward(arcs)
+        word = np.searchsorted(self.first, self.tail, side="right") - 1
+        share = np.exp(f[self.tail] + arcs + g[self.head] - f[self.last][word])
+        return np.bincount(self.piece, share * self.times, minlength=len(log_weight))
 
 
 _LOADED: dict[str, Pieces] = {}
@@ -122,7 +150,32 @@ def load(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def with_lattice(words: DataFrame, path: str) -> DataFrame:
+def fit(words: DataFrame, path: str, rounds: int) -> np.ndarray:
+    """Log weights of the pieces after some rounds over a table of distinct words."""
+    weight = load(path).log_weight
+    for _ in range(rounds):
+
+        def run(batches, weight=weight):
+            pieces = load(path)
+            total = np.zeros(len(weight))
+            for batch in batches:
+                for i in range(0, batch.num_rows, WORDS):
+                    column = batch.column(0).slice(i, WORDS).to_pylist()
+                    some = [w for w in column if w]
+                    total[pieces.end] += len(column) - len(some)
+                    if some:
+                        total += Lattices(pieces, some).expected(weight)
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "n"])
+
+        expected = np.zeros(len(weight))
+        for row in words.select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+            expected[row.piece] = row.n
+        weight = load(path).fitted(expected)
+    return weight
+
+
+def with_lattice(words: DataFrame, path: str, weight: np.ndarray) -> DataFrame:
     """words with the natural log of each word's marginal; that of the end for the empty word."""
 
     def run(batches):
@@ -132,8 +185,8 @@ def with_lattice(words: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(i, WORDS)
                 column = part.column(0).to_pylist()
                 some = [w for w in column if w]
-                got = iter(Lattices(pieces, some).marginals().tolist()) if some else iter(())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([next(got) if w else float(pieces.log_weight[pieces.end]) for w in column])], ["word", "c", "lattice"])
+                got = iter(Lattices(pieces, some).marginals(weight).tolist()) if some else iter(())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([next(got) if w else float(weight[pieces.end]) for w in column])], ["word", "c", "lattice"])
 
     return words.select("word", "c").mapInArrow(run, "word string, c long, lattice double")
 
@@ -185,9 +238,10 @@ def postings(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word string, trained long, base long, docs array<int>, counts array<int>, ids array<long>")
 
 
-def score(documents: DataFrame, path: str | None = None) -> DataFrame:
+def score(documents: DataFrame, path: str | None = None, rounds: int = 0) -> DataFrame:
     """Score every document (doc_id, text) by what the documents that are not held out have.
 
+    rounds: of learning by the training documents; 0 for the vocabulary's own weights alone.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and
     score (the lattice's), both log10; one row for each row, also of repeated or null ids. Null
     text counts as empty, which is the end alone. A null id counts as the empty text for the
@@ -200,7 +254,14 @@ def score(documents: DataFrame, path: str | None = None) -> DataFrame:
     n, v = total.n, total.v
     c = F.col("c")
     base = F.log10((c + 1) / F.lit(float(n + v + 1)))
-    scored = with_lattice(words, path).select("word", base.alias("b"), (F.col("lattice") / math.log(10)).alias("m"), (c > 0).alias("known"))
+    model = F.col("lattice")
+    weight = fit(words.filter("c > 0"), path, rounds)
+    if rounds and n:
+        # In logs, as a long word's marginal may be under the least double.
+        whole, pieces = F.log(c / F.lit(float(n + v))), model + math.log(v / (n + v))
+        high, low = F.greatest(whole, pieces), F.least(whole, pieces)
+        model = F.when(c > 0, high + F.log1p(F.exp(low - high))).otherwise(pieces)
+    scored = with_lattice(words, path, weight).select("word", base.alias("b"), (model / math.log(10)).alias("m"), (c > 0).alias("known"))
     entry = F.explode(F.arrays_zip("docs", "counts", "ids")).alias("p")
     joined = rows.select("word", "base", "docs", "counts", "ids").join(scored, "word").select("base", "b", "m", "known", entry)
     k = F.col("p.counts").cast("long")
@@ -215,4 +276,4 @@ def score(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"), rounds=ROUNDS)

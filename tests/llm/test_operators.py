@@ -380,6 +380,53 @@ def test_lm_scores(spark, docs, empty):
         assert math.isclose(g[6], w[6], rel_tol=1e-9) if w[6] is not None else g[6] < 0
     assert lm_score.score(empty.select("doc_id", "text")).count() == 0
 
+
+def test_lm_expected_uses_of_pieces():
+    """The expected uses of a piece are the slope of the log marginal by its log weight."""
+    pieces = lm_score.load(bpe.vocabulary_path("piece_bpe_32k.model"))
+    for word in ("onthean", "日本ß", "a𓀀x"):
+        got = lm_score.Lattices(pieces, [word]).expected(pieces.log_weight)
+        used = np.flatnonzero(got)
+        assert len(used) > 1 and (pieces.byte in used) == ("𓀀" in word)
+        for k in used[:: max(1, len(used) // 8)]:
+            sides = []
+            for step in (1e-5, -1e-5):
+                weight = pieces.log_weight.copy()
+                weight[k] += step
+                sides.append(math.log(brute_marginal(pieces, weight, "▁" + word)))
+            assert math.isclose(got[k], (sides[0] - sides[1]) / 2e-5, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_lm_learns_from_training_documents(spark, empty):
+    """Against counts and fitted weights taken here; held-out rows come near the base score."""
+    rng = random.Random(6)
+    parts = ["the", "on", "an", "tion", "re", "sh", "ing", "of"]
+    rows = [(i, " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rounds=2).collect()
+    pieces = lm_score.load(bpe.vocabulary_path("piece_bpe_32k.model"))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(w for i, t in rows if not held(i) for w in [*t.split(), ""])
+    n, v = sum(counts.values()), len(counts)
+    weight = pieces.log_weight
+    for _ in range(2):
+        used = lm_score.Lattices(pieces, [w for w in counts if w]).expected(weight)
+        used[pieces.end] += 1
+        used += lm_score.PRIOR * np.exp(pieces.log_weight)
+        weight = np.log(used / used.sum())
+    spelled = {w: brute_marginal(pieces, weight, "▁" + w) for w in {w for _, t in rows for w in t.split()}} | {"": math.exp(weight[pieces.end])}
+    of = {w: math.log10((counts[w] + v * m) / (n + v)) for w, m in spelled.items()}
+    assert len(got) == len(rows) and any(held(i) for i, _ in rows)
+    for r in got:
+        words = [*rows[r.doc_id][1].split(), ""]
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (held(r.doc_id), len(words), n)
+        assert math.isclose(r.score, sum(of[w] for w in words), rel_tol=1e-9)
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > 1.3 * sum(r.base_score for r in out)
+    untrained = spark.createDataFrame([r for r in rows if held(r[0])], "doc_id long, text string")
+    assert all(math.isfinite(r.score) and r.train_tokens == 0 for r in lm_score.score(untrained, rounds=2).collect())
+    assert lm_score.score(empty.select("doc_id", "text"), rounds=2).count() == 0
+
+
 def test_html(spark):
     model = html_text.train(spark)
     page = "<html><head><title>No</title><style>p{}</style></head><body><nav><a>Menu</a></nav><article><h1>Head &amp; line</h1><p>Text <b>with\n bold</b>.<br>And more&nbsp;words.<script>var x='</p>';</script><p>Second, a < b</article><div><p><a>Ann</a></p><p>What a long comment that someone wrote here below the text</p><p><a>Reply</a></p></div><footer>&copy; foot</footer></body></html>"

@@ -138,6 +138,12 @@ def test_lm_query_has_a_row_for_each_row(spark, tables):
     same([(r.doc_id, r.n_tokens) for r in got], [(i, len(WORD.findall(t or "")) + 1) for i, t in rows()])
 
 
+def test_lm_query_scores_held_out_rows_near_the_base(spark):
+    """The query's own model, over the smallest tables: their vocabulary alone is twice as far below."""
+    got = [r for r in queries.QUERIES["op6_lm_score"](spark, "/root/testdata/sf0.001").collect() if r.held_out]
+    assert got and sum(r.score for r in got) > 1.5 * sum(r.base_score for r in got)
+
+
 def jaccard_components(docs):
     """(set, number of the component's first row) of each row."""
     sets = []
