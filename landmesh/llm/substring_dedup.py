@@ -2,9 +2,13 @@
 
 Candidate contexts come from `anchors`. Each shard builds a compressed FM-index, a wavelet matrix
 of packed bits over the Burrows-Wheeler transform of its contexts, and streams the contexts through
-it: backward search from each place gives the matching statistics up to the threshold, the length
-of the longest match that ends there and that another context has too. Where it reaches 50 words,
-the suffix interval says which document holds the window first.
+it from their ends: backward search with parent intervals gives the matching statistics up to the
+threshold. Each word extends the match by one step; a match of more than 50 words goes back to the
+interval of its first 50, so that a context costs as many steps as it has words. Where an interval
+of 50 words has several suffixes, it says which document holds the window first.
+
+Suffixes are ordered by a little more than 50 words, which is enough: a step from an interval of at
+most that many words only counts suffixes by their beginnings, and never within ties.
 """
 
 from __future__ import annotations
@@ -19,35 +23,55 @@ from landmesh.llm.anchors import HINT, HOT, HOT_LEAST, NULL_ID, WINDOWS_OF, Spec
 from landmesh.llm.common import Words, table, text_runs
 
 WINDOW = 50
-#: Queries that go through the index together.
-BLOCK = 1 << 18
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffixes of a sequence by prefix doubling; equal zeros count as smaller the earlier they are."""
+def suffix_array(symbols: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a sequence in order of their first symbols, more than `window` of them, and for
+    each whether its first `window` differ from those before it. Equal zeros count as smaller the
+    earlier they are.
+
+    Ranks of ever longer beginnings: as many of them as 63 bits hold (two or more, of fewer than
+    2^31 symbols) are sorted as one number.
+    """
     n = len(symbols)
     zeros = np.flatnonzero(symbols == 0)
     rank = symbols.astype(np.int64) + len(zeros)
     rank[zeros] = np.arange(len(zeros))
+    bits = int(max(n, rank.max(initial=0)) + 1).bit_length()
     step = 1
-    while True:
-        second = np.full(n, -1, dtype=np.int64)
-        second[:-step] = rank[step:]
-        order = np.lexsort((second, rank))
-        new = np.zeros(n, dtype=np.int64)
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new)
-        if n == 0 or rank[order[-1]] == n - 1 or 2 * step >= n:
-            return order
-        step *= 2
+
+    def after(by: int) -> np.ndarray:
+        """Ranks from 1 of the places so far on; 0 past the end."""
+        out = np.zeros(n, dtype=np.int64)
+        out[: max(0, n - by)] = known[by:] + 1
+        return out
+
+    while step <= window:
+        known, depth = rank, step
+        key, times = known + 1, 1
+        while (times + 1) * bits <= 63 and times * step <= window:
+            key = key << bits | after(times * step)
+            times += 1
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.zeros(n, dtype=np.int64)
+        rank[order[1:]] = np.cumsum(key[1:] != key[:-1])
+        step *= times
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for by in (*range(0, window - depth, depth), window - depth):
+        part = after(by)[order]
+        new[1:] |= part[1:] != part[:-1]
+    return order, new
 
 
 class FmIndex:
     """Counts of symbols in prefixes of the transform, by a wavelet matrix of packed bits."""
 
-    def __init__(self, symbols: np.ndarray):
-        self.order = suffix_array(symbols)
+    def __init__(self, symbols: np.ndarray, window: int | None = None):
+        self.order, new = suffix_array(symbols, len(symbols) if window is None else window)
+        #: Where intervals of `window` symbols begin, and each suffix's interval.
+        self.heads, self.interval = np.append(np.flatnonzero(new), len(symbols)), np.cumsum(new) - 1
         bwt = symbols[self.order - 1]
         self.size = len(symbols)
         top = int(symbols.max(initial=0)) + 1
@@ -81,7 +105,13 @@ class FmIndex:
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray):
         """The intervals of suffixes after a symbol is put before what they matched."""
-        return self.before[symbol] + self.rank(symbol, low), self.before[symbol] + self.rank(symbol, high)
+        both = self.before[symbol] + self.rank(np.stack([symbol, symbol]), np.stack([low, high]))
+        return both[0], both[1]
+
+    def parent(self, low: np.ndarray):
+        """The intervals of the first `window` symbols of what longer ones matched."""
+        at = self.interval[low]
+        return self.heads[at], self.heads[at + 1]
 
 
 def earlier_windows(spec: Spec, doc: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray, raw: np.ndarray):
@@ -93,33 +123,29 @@ def earlier_windows(spec: Spec, doc: np.ndarray, row: np.ndarray, at: np.ndarray
     begin = np.cumsum(size + 1) - size - 1
     place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(raw))
     text[place] = symbols + 1
-    index = FmIndex(text)
-    holder = np.repeat(doc, size + 1)[index.order]
+    index = FmIndex(text, spec.window)
+    if not len(size):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    #: The least document of each interval of a window.
+    least = np.minimum.reduceat(np.repeat(doc, size + 1)[index.order], index.heads[:-1])
     owners, places = [], []
-    end = np.repeat(begin + spec.window - (np.cumsum(n) - n), n) + np.arange(n.sum())  # past each window
-    of = np.repeat(np.arange(len(n)), n)
-    for i in range(0, len(end), BLOCK):
-        live, low = np.arange(i, min(i + BLOCK, len(end))), None
-        for back in range(1, spec.window + 1):
-            symbol = text[end[live] - back]
-            if low is None:
-                low, high = index.before[symbol], index.before[symbol + 1]
-            else:
-                low, high = index.extend(symbol, low, high)
-            more = high - low > 1  # else no other context goes on with the match
-            live, low, high = live[more], low[more], high[more]
-            if not len(live):
-                break
-        if len(live):
-            lows, which = np.unique(low, return_inverse=True)
-            highs = np.zeros(len(lows), dtype=np.int64)
-            highs[which] = high
-            # Intervals of one depth are disjoint; reduceat gets their ends and skips the gaps.
-            edges = np.stack([lows, highs], axis=1).reshape(-1)
-            first = np.minimum.reduceat(np.append(holder, np.iinfo(np.int64).max), edges)[::2]
-            hit = live[first[which] < doc[of[live]]]
-            owners.append(of[hit])
-            places.append(at[of[hit]] + end[hit] - spec.window - begin[of[hit]])
+    by = np.argsort(-size, kind="stable")
+    length, last = size[by], (begin + size)[by]  # past each context
+    low = high = np.zeros(0, np.int64)
+    for step in range(1, int(length[0]) + 1):
+        live = by[: int(np.searchsorted(-length, -step, side="right"))]
+        symbol = text[last[: len(live)] - step]
+        if step == 1:
+            low, high = index.before[symbol], index.before[symbol + 1]
+        else:
+            low, high = index.extend(symbol, low[: len(live)], high[: len(live)])
+        if step > spec.window:
+            low, high = index.parent(low)
+        if step >= spec.window:
+            # Else no other context goes on with the match.
+            hit = np.flatnonzero((high - low > 1) & (least[index.interval[low]] < doc[live]))
+            owners.append(live[hit])
+            places.append((at + size)[live[hit]] - step)
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *owners]), np.concatenate([none, *places])
 

@@ -163,6 +163,34 @@ def test_fm_index_counts():
         assert high[0] - low[0] == sum((text[i : i + n] == pattern).all() for i in range(len(text) - n + 1))
 
 
+def shard_of(spec, kind, texts):
+    """Contexts as a shard gets them (doc, row, at, n, raw), one for each text."""
+    n = np.array([len(t) - spec.window + 1 for t in texts], dtype=np.int64)
+    doc = np.arange(len(texts), dtype=np.int64) // 2
+    return doc, np.arange(len(texts), dtype=np.int64), np.arange(len(texts), dtype=np.int64) * 3, n, np.concatenate(texts).astype(kind)
+
+
+def test_matching_statistics_take_one_step_a_word(monkeypatch):
+    """Windows that a smaller id has, by brute force; a word of a context costs one step of the index."""
+    rng = np.random.default_rng(5)
+    for window, most in ((4, 3), (6, 40), (50, 900)):
+        spec = substring_dedup.Spec(window, 2, words=True, within=False)
+        pool = rng.integers(1, most, 400)
+        texts = [pool[(a := int(rng.integers(0, 200))) : a + window + int(rng.integers(0, 60))] for _ in range(40)] + [rng.integers(1, most, window + 20) for _ in range(10)]
+        doc, row, at, n, raw = shard_of(spec, np.uint64, [t * 7919 for t in texts])
+        looked, inner = [], substring_dedup.FmIndex.rank
+        with monkeypatch.context() as m:
+            m.setattr(substring_dedup.FmIndex, "rank", lambda self, symbol, at: looked.append(np.size(at)) or inner(self, symbol, at))
+            which, place = substring_dedup.earlier_windows(spec, doc, row, at, n, raw)
+        windows = [(i, j, tuple(t[j : j + window])) for i, t in enumerate(texts) for j in range(len(t) - window + 1)]
+        first = {}
+        for i, _, w in windows:
+            first[w] = min(first.get(w, doc[i]), doc[i])
+        want = sorted((i, int(at[i]) + j) for i, j, w in windows if first[w] < doc[i])
+        assert sorted(zip(which.tolist(), place.tolist(), strict=True)) == want
+        assert sum(looked) <= 2 * len(raw)
+
+
 def test_jaccard_join(docs, empty):
     got = {r.doc_id: r for r in jaccard_join.near_duplicates(docs).collect()}
     sets = []
