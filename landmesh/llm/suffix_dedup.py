@@ -4,8 +4,10 @@ Candidate contexts come from `anchors`. Each shard sorts the suffixes at its win
 100 bytes deep, by deep-shallow sorting: multikey quicksort with 8-byte symbols orders them to a
 shallow depth, all open groups at once; the groups that still share that prefix are ordered by
 blind tries, whose nodes keep only where suffixes branch, so that each suffix is compared with one
-leaf; groups too large for a trie go on by multikey quicksort. Suffixes equal to the full depth
-stand together, and all but the first of them, by document and place, start earlier elsewhere.
+leaf; groups too large for a trie go on by multikey quicksort. A trie of one leaf, of suffixes that
+are all equal, needs no insertions: such groups are found all at once, by comparing each suffix
+with the first of its group. Suffixes equal to the full depth stand together, and all but the first
+of them, by document and place, start earlier elsewhere.
 """
 
 from __future__ import annotations
@@ -87,6 +89,15 @@ def _common(data: bytes, a: int, b: int, depth: int, limit: int) -> int:
     return low
 
 
+def _mixed(symbol: np.ndarray, order: np.ndarray, lead: np.ndarray, at: int) -> np.ndarray:
+    """Which suffixes, in groups that begin at `lead`, are of a group whose symbols at a depth differ."""
+    key = symbol[order + at]
+    group = np.cumsum(lead) - 1
+    some = np.zeros(int(lead.sum()), dtype=bool)
+    some[group[key != key[lead][group]]] = True
+    return some[group]
+
+
 def sort_suffixes(raw: np.ndarray, starts: np.ndarray, limit: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order of their first `limit` bytes, and for each whether a new group of equal
     ones begins there. Every suffix has `limit` bytes."""
@@ -103,6 +114,11 @@ def sort_suffixes(raw: np.ndarray, starts: np.ndarray, limit: int = LENGTH) -> t
         group = np.cumsum(new) - 1
         size = np.bincount(group, minlength=1)[group] if len(group) else group
         if depth >= SHALLOW:
+            alike, deep = np.flatnonzero((size > 1) & ~done), depth
+            while deep < limit and len(alike):
+                alike = alike[~_mixed(symbol, order[alike], new[alike], min(deep, limit - SYMBOL))]
+                deep += SYMBOL
+            done[alike] = True
             small = (size > 1) & (size <= TRIE) & ~done
             if small.any():
                 data = data or raw.tobytes()
@@ -121,12 +137,13 @@ def sort_suffixes(raw: np.ndarray, starts: np.ndarray, limit: int = LENGTH) -> t
         if not len(open_):
             break
         here = min(depth, limit - SYMBOL)  # the last symbol reaches back, to stay within the limit
+        depth = here + SYMBOL
+        open_ = open_[_mixed(symbol, order[open_], new[open_], here)]
         key = symbol[order[open_] + here].astype(np.uint64)
-        by = np.lexsort((key, group[open_]))
+        by = np.lexsort((key, group[open_])) if depth > SYMBOL else np.argsort(key)
         order[open_] = order[open_][by]
         key, same = key[by], group[open_][by]
         new[open_[1:]] |= (key[1:] != key[:-1]) | (same[1:] != same[:-1])
-        depth = here + SYMBOL
     return order, new
 
 

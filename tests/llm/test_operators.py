@@ -84,6 +84,23 @@ def test_sort_suffixes_by_tries_and_beyond():
         assert new.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
 
 
+def test_equal_suffixes_need_no_insertions(monkeypatch):
+    """Groups that are equal to the full depth are tries of one leaf; only others are built."""
+    rng = np.random.default_rng(8)
+    line = rng.integers(97, 123, 150)
+    raw = np.concatenate([line, line, line[:120], rng.integers(97, 123, 30), line[:40], rng.integers(97, 123, 110)]).astype(np.uint8)
+    starts = np.concatenate([np.arange(a, b - 99) for a, b in ((0, 150), (150, 300), (300, 450), (450, 600))])
+    inserted, inner = [], suffix_dedup.BlindTrie.insert
+    monkeypatch.setattr(suffix_dedup.BlindTrie, "insert", lambda self, suffix: inserted.append(suffix) or inner(self, suffix))
+    order, new = suffix_dedup.sort_suffixes(raw, starts)
+    data = raw.tobytes()
+    keys = [data[s : s + 100] for s in order.tolist()]
+    assert keys == sorted(keys) and sorted(order.tolist()) == starts.tolist()
+    assert new.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
+    mixed = {s for s in starts.tolist() if len({k for k in keys if k[: suffix_dedup.SHALLOW] == data[s : s + suffix_dedup.SHALLOW]}) > 1}
+    assert set(inserted) == mixed and len(inserted) == len(mixed) < len(starts)
+
+
 def brute_words(texts):
     seen = {}
     for i, t in enumerate(texts):
