@@ -320,10 +320,10 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     Large stars hang every larger neighbour of a node on its smallest one, small stars every
     smaller one; each round halves paths. Rounds are written to the shared folder, and so are each
     round's least neighbours: joined from there, the edges of a node with very many of them can be
-    split over tasks by adaptive execution.
+    split over tasks by adaptive execution. It ends when every node hangs on one other that hangs on
+    none: as each is larger than what it hangs on, that is the least of its component.
     """
     tree = scratch.store(edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("to")).filter("node > to").distinct(), "edges")
-    before = None
     while True:
         both = tree.unionByName(tree.select(F.col("to").alias("node"), F.col("node").alias("to")))
         least = both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("m"))
@@ -332,10 +332,10 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         small_least = large.groupBy("node").agg(F.min("to").alias("m"))
         small = large.join(small_least, "node").select(F.when(F.col("to") != F.col("m"), F.col("to")).otherwise(F.col("node")).alias("node"), F.col("m").alias("to"))
         tree = scratch.store(small.filter("node > to").distinct(), "edges")
-        now = tree.agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
+        ends = tree.select("node", F.lit(1).alias("hangs")).unionByName(tree.select(F.col("to").alias("node"), F.lit(0).alias("hangs")).distinct())
+        ends = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.count("*").alias("n"))
+        if ends.filter("hangs > 0 and n > 1").isEmpty():
             return tree.select("node", F.col("to").alias("component")).unionByName(tree.select(F.col("to").alias("node"), F.col("to").alias("component")).distinct())
-        before = now
 
 
 def _verify(part: pa.Table) -> pa.Table:

@@ -208,6 +208,20 @@ def test_matching_statistics_take_one_step_a_word(monkeypatch):
         assert sum(looked) <= 2 * len(raw)
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    """Least reachable nodes of paths, rings and stars; a star ends after its first round."""
+    edges = [(k, k + 1) for k in range(100, 140)] + [(2, 1), (3, 2), (1, 3)] + [(500, k) for k in range(501, 520)] + [(900, 899), (899, 900), (7, 7)]
+    rounds, inner = [], Scratch.store
+    monkeypatch.setattr(Scratch, "store", lambda self, df, name: rounds.append(name) or inner(self, df, name))
+    run = lambda e: {r.node: r.component for r in jaccard_join.components(spark.createDataFrame(e, "a long, b long"), Scratch(spark)).collect()}
+    want = {k: 100 for k in range(100, 141)} | {1: 1, 2: 1, 3: 1} | {k: 500 for k in range(500, 520)} | {899: 899, 900: 899}
+    assert run(edges) == want
+    rounds.clear()
+    assert run(edges[43:62]) == {k: 500 for k in range(500, 520)}
+    assert rounds.count("least") == 1
+    assert run([(7, 7)]) == {}
+
+
 def test_jaccard_join(docs, empty):
     got = {r.doc_id: r for r in jaccard_join.near_duplicates(docs).collect()}
     sets = []
