@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landmesh.llm.common import BYTE_BASE, WORD_BASE, Words, materialize, mix, number, prefix_hash, shuffle_parts, span_hash, text_runs, width_of
+from landmesh.llm.common import BYTE_BASE, WORD_BASE, Words, materialize, mix, number, prefix_hash, rolling_hash, shuffle_parts, span_hash, text_runs, width_of
 
 #: Units of text in one chunk of a map task, within which equal contexts are decided at once.
 CHUNK = 16 << 20
@@ -111,11 +111,13 @@ def records(spec: Spec, run: Run, hot: HotGrams):
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
     if n < spec.window:
         return none
-    at = np.arange(n - spec.gram + 1)
-    gram = span_hash(run.prefix, at, at + spec.gram)
-    least = (gram & np.uint64(0xFFFFFFFF00000000)) >> np.uint64(1) | at.astype(np.uint64)
+    gram = rolling_hash(run.prefix, spec.gram)
+    least = gram >> np.uint64(32)
+    least <<= np.uint64(31)
+    least |= np.arange(len(gram), dtype=np.uint64)
     is_hot = hot.among(gram)
-    least[is_hot] |= np.uint64(1 << 63)  # after all others
+    if len(hot.grams):
+        least[is_hot] |= np.uint64(1 << 63)  # after all others
     size = 1
     while size * 2 <= spec.reach:
         least = np.minimum(least[:-size], least[size:])
@@ -155,8 +157,7 @@ def _count_grams(spec: Spec):
         held, size = [], 0
         for _, data, offsets in text_runs(batches):
             r = units(spec, data, offsets)
-            at = np.arange(max(0, len(r.raw) - spec.gram + 1))
-            held.append(span_hash(r.prefix, at, at + spec.gram))
+            held.append(rolling_hash(r.prefix, spec.gram))
             size += len(data)
             if size >= CHUNK:
                 yield flush(held, size)

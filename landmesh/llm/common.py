@@ -115,6 +115,13 @@ def span_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def rolling_hash(prefix: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """span_hash of the k units from each unit on that has as many."""
+    sums, inverse = prefix
+    n = max(0, len(sums) - k)
+    return mix((sums[k:] - sums[:n]) * inverse[:n] + np.uint64(k))
+
+
 def width_of(span: int) -> int:
     """Bytes that numbers up to span need."""
     return max(1, (int(span).bit_length() + 7) // 8)

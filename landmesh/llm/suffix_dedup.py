@@ -6,8 +6,9 @@ shallow depth, all open groups at once; the groups that still share that prefix
 blind tries, whose nodes keep only where suffixes branch, so that each suffix is compared with one
 leaf; groups too large for a trie go on by multikey quicksort. A trie of one leaf, of suffixes that
 are all equal, needs no insertions: such groups are found all at once, by comparing each suffix
-with the first of its group. Suffixes equal to the full depth stand together, and all but the first
-of them, by document and place, start earlier elsewhere.
+with the one of its group before it in the text, whole runs of neighbours together. Suffixes equal
+to the full depth stand together, and all but the first of them, by document and place, start
+earlier elsewhere; the contexts are put in that order first, so that a place in the text tells it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from landmesh.llm.anchors import HINT, HOT, HOT_LEAST, NULL_ID, WINDOWS_OF, Spec, covered, earliest, numbered, with_windows
+from landmesh.llm.anchors import HINT, HOT, HOT_LEAST, NULL_ID, WINDOWS_OF, Spec, _starts, covered, numbered, with_windows
 from landmesh.llm.common import table, text_runs
 
 LENGTH = 100
@@ -26,6 +27,11 @@ SHALLOW = 24
 #: Suffixes of a group that one blind trie orders.
 TRIE = 200
 SYMBOL = 8
+#: Bytes of runs that are compared at once.
+BLOCK = 2 << 20
+
+
+_number = int.from_bytes
 
 
 class BlindTrie:
@@ -36,20 +42,20 @@ class BlindTrie:
         self.root: list | None = None  # a leaf: [limit, [suffixes]], a node: [place, {byte: child}]
 
     def insert(self, suffix: int) -> None:
-        data, limit = self.data, self.limit
-        if self.root is None:
+        data, depth, limit, node = self.data, self.depth, self.limit, self.root
+        if node is None:
             self.root = [limit, [suffix]]
             return
         # Blindly down to some leaf: bytes between the branching places are not looked at.
-        node = self.root
         while node[0] < limit:
             branches = node[1]
             node = branches.get(data[suffix + node[0]]) or next(iter(branches.values()))
         other = node[1][0]
-        same = _common(data, suffix, other, self.depth, limit)
-        if same == limit:
+        a, b = data[suffix + depth : suffix + limit], data[other + depth : other + limit]
+        if a == b:
             node[1].append(suffix)
             return
+        same = limit - ((_number(a, "big") ^ _number(b, "big")).bit_length() + 7) // 8  # length of the common prefix
         # Again from the root to where the suffix leaves the path of that leaf.
         parent, node = None, self.root
         while node[0] < same:
@@ -64,43 +70,69 @@ class BlindTrie:
         else:
             parent[1][data[other + parent[0]]] = branch
 
-    def groups(self):
+    def groups(self) -> list[list[int]]:
         """The suffixes in order, equal ones together."""
-        stack = [self.root]
+        limit, stack, out = self.limit, [self.root], []
         while stack:
-            node = stack.pop()
-            if node[0] == self.limit:
-                yield node[1]
+            place, inner = stack.pop()
+            if place == limit:
+                out.append(inner)
             else:
-                stack += [node[1][b] for b in sorted(node[1], reverse=True)]
-
-
-def _common(data: bytes, a: int, b: int, depth: int, limit: int) -> int:
-    """Length of the common prefix of two suffixes, at least depth and at most limit."""
-    if data[a + depth : a + limit] == data[b + depth : b + limit]:
-        return limit
-    low, high = depth, limit  # equal up to low, not up to high
-    while high - low > 1:
-        half = (low + high) // 2
-        if data[a + low : a + half] == data[b + low : b + half]:
-            low = half
-        else:
-            high = half
-    return low
+                stack += [inner[b] for b in sorted(inner, reverse=True)]
+        return out
 
 
-def _mixed(symbol: np.ndarray, order: np.ndarray, lead: np.ndarray, at: int) -> np.ndarray:
-    """Which suffixes, in groups that begin at `lead`, are of a group whose symbols at a depth differ."""
-    key = symbol[order + at]
+def _mixed(key: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Which suffixes, in groups that begin at `lead`, are of a group whose keys differ."""
+    head = np.flatnonzero(lead)
     group = np.cumsum(lead) - 1
-    some = np.zeros(int(lead.sum()), dtype=bool)
-    some[group[key != key[lead][group]]] = True
+    some = np.zeros(len(head), dtype=bool)
+    some[group[key != key[head][group]]] = True
+    return some[group]
+
+
+def _alike(raw: np.ndarray, suffix: np.ndarray, lead: np.ndarray, depth: int, limit: int) -> np.ndarray:
+    """Which suffixes, in groups that begin at `lead` and are equal up to a depth, are of a group
+    that is equal up to the limit.
+
+    Each is compared with the one of its group before it in the text. Where neighbours in the text
+    are compared with neighbours, each byte of the run is looked at once for all of them.
+    """
+    long = limit - depth
+    if long <= 0 or not len(suffix):
+        return np.ones(len(suffix), dtype=bool)
+    group = np.cumsum(lead) - 1
+    suffix = np.sort(group << 32 | suffix) & 0xFFFFFFFF
+    at = np.flatnonzero(~lead)
+    at = np.sort(suffix[at] << 32 | at) & 0xFFFFFFFF
+    place = suffix[at]
+    back = place - suffix[at - 1]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (place[1:] != place[:-1] + 1) | (back[1:] != back[:-1])
+    run = np.flatnonzero(new)
+    count = np.diff(run, append=len(at))
+    end = np.cumsum(count + long - 1)
+    differ = np.zeros(len(at), dtype=bool)
+    i = 0
+    while i < len(run):
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + BLOCK, side="right")))
+        n = count[i:j]
+        size = n + long - 1
+        begin = np.cumsum(size) - size
+        take = np.repeat(place[run[i:j]] + depth - begin, size) + np.arange(size.sum())
+        wrong = np.zeros(len(take) + 1, dtype=np.int32)
+        np.cumsum(raw[take] != raw[take - np.repeat(back[run[i:j]], size)], out=wrong[1:])
+        mine = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        differ[run[i] : run[i] + len(mine)] = wrong[mine + long] != wrong[mine]
+        i = j
+    some = np.ones(group[-1] + 1, dtype=bool)
+    some[group[at[differ]]] = False
     return some[group]
 
 
 def sort_suffixes(raw: np.ndarray, starts: np.ndarray, limit: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order of their first `limit` bytes, and for each whether a new group of equal
-    ones begins there. Every suffix has `limit` bytes."""
+    ones begins there. Every suffix has `limit` bytes; there are less than 2**31 bytes."""
     padded = np.concatenate([raw, np.zeros(SYMBOL, np.uint8)])
     # The symbol at each byte, as a view whose items overlap.
     symbol = np.ndarray(len(raw), dtype=">u8", buffer=padded, strides=(1,))
@@ -108,59 +140,78 @@ def sort_suffixes(raw: np.ndarray, starts: np.ndarray, limit: int = LENGTH) -> t
     new = np.zeros(len(order), dtype=bool)
     new[:1] = True
     data = None
-    done = np.zeros(len(order), dtype=bool)  # ordered to the full depth
+    open_ = np.arange(len(order)) if len(order) > 1 else np.zeros(0, int)  # places of suffixes not yet ordered to the full depth
     depth = 0
-    while depth < limit:
-        group = np.cumsum(new) - 1
-        size = np.bincount(group, minlength=1)[group] if len(group) else group
+    while depth < limit and len(open_):
+        suffix, lead = order[open_], new[open_]
+        here = min(depth, limit - SYMBOL)  # the last symbol reaches back, to stay within the limit
+        key = symbol[suffix + here].astype(np.uint64)
+        mixed = _mixed(key, lead)
         if depth >= SHALLOW:
-            alike, deep = np.flatnonzero((size > 1) & ~done), depth
-            while deep < limit and len(alike):
-                alike = alike[~_mixed(symbol, order[alike], new[alike], min(deep, limit - SYMBOL))]
-                deep += SYMBOL
-            done[alike] = True
-            small = (size > 1) & (size <= TRIE) & ~done
+            alike = ~mixed
+            alike[alike] = _alike(raw, suffix[alike], lead[alike], here + SYMBOL, limit)
+            head = np.flatnonzero(lead)
+            size = np.diff(head, append=len(lead))
+            small = ~alike[head] & (size <= TRIE)
             if small.any():
                 data = data or raw.tobytes()
-                head = np.flatnonzero(new & small)
-                for a, m in zip(head.tolist(), size[head].tolist(), strict=True):
+                some = np.repeat(small, size)
+                todo, sorted_, heads, a = suffix[some].tolist(), [], [], 0
+                for m in size[small].tolist():
                     trie = BlindTrie(data, depth, limit)
-                    for s in order[a : a + m].tolist():
+                    for s in todo[a : a + m]:
                         trie.insert(s)
-                    at = a
+                    a += m
                     for equal in trie.groups():
-                        order[at : at + len(equal)] = equal
-                        new[at] = True
-                        at += len(equal)
-                done |= small
-        open_ = np.flatnonzero((size > 1) & ~done)
-        if not len(open_):
-            break
-        here = min(depth, limit - SYMBOL)  # the last symbol reaches back, to stay within the limit
+                        heads.append(len(sorted_))
+                        sorted_ += equal
+                some = open_[some]
+                order[some] = sorted_
+                new[some[heads]] = True
+            stay = ~alike & np.repeat(size > TRIE, size)
+            open_, suffix, lead, key, mixed = (x[stay] for x in (open_, suffix, lead, key, mixed))
         depth = here + SYMBOL
-        open_ = open_[_mixed(symbol, order[open_], new[open_], here)]
-        key = symbol[order[open_] + here].astype(np.uint64)
-        by = np.lexsort((key, group[open_])) if depth > SYMBOL else np.argsort(key)
-        order[open_] = order[open_][by]
-        key, same = key[by], group[open_][by]
-        new[open_[1:]] |= (key[1:] != key[:-1]) | (same[1:] != same[:-1])
+        some = open_[mixed]
+        suffix, lead, key = suffix[mixed], lead[mixed], key[mixed]
+        by = np.argsort(key)
+        if lead.sum() > 1:  # back to their groups, each in order of the symbol
+            group = np.cumsum(lead) - 1
+            by = by[np.sort(group[by] << 32 | np.arange(len(by))) & 0xFFFFFFFF]
+        order[some] = suffix[by]
+        key = key[by]
+        new[some[1:]] |= key[1:] != key[:-1]
+        lead = new[open_]
+        open_ = open_[~(lead & np.append(lead[1:], True))]
     return order, new
 
 
 def earlier_windows(spec: Spec, doc: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray, raw: np.ndarray):
     """Windows of the contexts whose bytes start in an earlier place of the contexts."""
     size = n + spec.window - 1
+    end = np.cumsum(size)
+    # Contexts by document, row and place: then of equal suffixes the first one is the earliest.
+    by = np.lexsort((at, row, doc))
+    raw = np.concatenate([raw[:0], *(raw[a:b] for a, b in zip((end - size)[by].tolist(), end[by].tolist(), strict=True))])
+    doc, row, at, n, size = doc[by], row[by], at[by], n[by], size[by]
     begin = np.cumsum(size) - size
     starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
     order, new = sort_suffixes(raw, starts, spec.window)
     # Only suffixes that have equals can start elsewhere too.
+    some = ~(new & np.append(new[1:], True)) if len(new) else new
+    new = new[some]
     group = np.cumsum(new) - 1
-    some = np.bincount(group, minlength=1)[group] > 1 if len(group) else new
-    order, group = order[some], group[some]
-    of = np.searchsorted(begin, order, side="right") - 1
-    place = order - begin[of] + at[of]
-    by, _, _, later = earliest(spec, group, doc[of], row[of], place)
-    return of[by[later]], place[by[later]]
+    order = np.sort(group << 32 | order[some]) & 0xFFFFFFFF
+    of = np.repeat(np.arange(len(n), dtype=np.int32), size)[order]
+    place = order + (at - begin)[of]
+    number = np.cumsum(_starts(doc))[of]
+    later = number > number[np.flatnonzero(new)][group]
+    if spec.within:
+        number = np.cumsum(_starts(doc, row))[of]
+        run = new | _starts(number)
+        later |= place > place[np.flatnonzero(run)][np.cumsum(run) - 1]
+    later = np.sort(order[later])  # in order of the text, which is easily joined
+    of = np.searchsorted(begin, later, side="right") - 1
+    return by[of], later - begin[of] + at[of]
 
 
 def removal(documents: DataFrame, length: int = LENGTH, gram: int = 32, hot: int = HOT, share: float = HINT, least: int = HOT_LEAST) -> DataFrame:

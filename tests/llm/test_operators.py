@@ -15,8 +15,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from landmesh.llm import bpe, chat, decontaminate, html_text, jaccard_join, lm_score, quality, substring_dedup, suffix_dedup, token_store
-from landmesh.llm.common import Scratch, shared_dir
+from landmesh.llm import anchors, bpe, chat, decontaminate, html_text, jaccard_join, lm_score, quality, substring_dedup, suffix_dedup, token_store
+from landmesh.llm.common import BYTE_BASE, Scratch, prefix_hash, rolling_hash, shared_dir, span_hash
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, n_words string, ids int, source string"
@@ -101,6 +101,71 @@ def test_equal_suffixes_need_no_insertions(monkeypatch):
     assert set(inserted) == mixed and len(inserted) == len(mixed) < len(starts)
 
 
+def test_neighbours_share_the_bytes_that_they_are_compared_by(monkeypatch):
+    """Groups of equal prefixes are compared run by run, each byte of a run once, and in blocks."""
+
+    class Counted(np.ndarray):
+        looked = 0
+
+        def __getitem__(self, i):
+            Counted.looked += np.size(i)
+            return np.asarray(self)[i]
+
+    rng = np.random.default_rng(5)
+    line = rng.integers(97, 123, 400)
+    other = line.copy()
+    other[250] = 65
+    raw = np.concatenate([line, line, other, np.tile([97, 98], 150)]).astype(np.uint8)
+    data = raw.tobytes()
+    starts = [s for part in range(3) for s in range(400 * part, 400 * part + 301)] + list(range(1200, 1401))
+    by = {}
+    for s in starts:
+        by.setdefault(data[s : s + 32], []).append(s)
+    groups = [rng.permutation(g).tolist() for g in by.values()]
+    suffix = np.array([s for g in groups for s in g])
+    lead = np.array([i == 0 for g in groups for i in range(len(g))])
+    want = [len({data[s : s + 100] for s in g}) == 1 for g in groups for _ in g]
+    assert suffix_dedup._alike(raw.view(Counted), suffix, lead, 32, 100).tolist() == want
+    # Suffixes whose first 32 bytes hold the other byte stand alone, those before and behind are runs.
+    assert Counted.looked == 2 * sum(n + 67 for n in (301, 219, 50, 199))
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 90)
+    assert suffix_dedup._alike(raw, suffix, lead, 32, 100).tolist() == want
+    assert suffix_dedup._alike(raw, suffix, lead, 100, 100).all()
+
+
+def test_earlier_windows_of_contexts_in_any_order():
+    """Documents, rows of equal id and repeated rows, against brute force."""
+    rng = np.random.default_rng(6)
+    texts = {}
+    for d, r in ((-5, 1), (3, 9), (3, -2), (4, 0), (8, 7)):
+        texts[d, r] = np.concatenate([rng.integers(97, 123, 60), np.tile([97, 98, 99], 70), rng.integers(97, 123, 30)])
+    texts[8, 7][:200] = texts[4, 0][60:260]
+    texts[3, -2][20:270] = texts[3, 9][20:270]
+    pieces = [(d, r, at, n) for d, r in texts for at, n in ((0, 50), (50, 1), (51, 69), (140, 50))]
+    pieces += [p for p in pieces if p[:2] == (4, 0)]  # the row is there twice
+    pieces = [pieces[i] for i in rng.permutation(len(pieces))]
+    doc, row, at, n = (np.array(x) for x in zip(*pieces, strict=True))
+    raw = np.concatenate([texts[d, r][a : a + m + 99] for d, r, a, m in pieces]).astype(np.uint8)
+    windows = [(i, a + k, bytes(texts[d, r][a + k : a + k + 100].astype(np.uint8))) for i, (d, r, a, m) in enumerate(pieces) for k in range(m)]
+    for within in (True, False):
+        where = {}
+        for i, place, w in windows:
+            where.setdefault(w, []).append((pieces[i][0], pieces[i][1], place))
+        want = sorted((i, p) for i, p, w in windows if any(d < pieces[i][0] or within and (d, r) == pieces[i][:2] and q < p for d, r, q in where[w]))
+        which, place = suffix_dedup.earlier_windows(anchors.Spec(100, 32, False, within), doc, row, at, n, raw)
+        assert sorted(zip(which.tolist(), place.tolist(), strict=True)) == want and want
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in suffix_dedup.earlier_windows(anchors.Spec(100, 32, False, True), none, none, none, none, np.zeros(0, np.uint8))] == [0, 0]
+
+
+def test_rolling_hashes_are_those_of_spans():
+    values = np.random.default_rng(7).integers(0, 256, 300).astype(np.uint8)
+    prefix = prefix_hash(values, BYTE_BASE)
+    for k in (1, 32, 300, 301, 400):
+        at = np.arange(max(0, 301 - k))
+        assert rolling_hash(prefix, k).tolist() == span_hash(prefix, at, at + k).tolist()
+
+
 def brute_words(texts):
     seen = {}
     for i, t in enumerate(texts):
