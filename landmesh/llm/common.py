@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landmesh.sources.scratch import dropped, written
+
 #: White space of every word definition of this subpackage: space and \t \n \v \f \r.
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -41,9 +43,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, shared_dir(df.sparkSession, name))
 
 
 class Scratch:
@@ -54,16 +54,11 @@ class Scratch:
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """As `materialize`, but until `drop`."""
-        path = shared_dir(self.spark, name)
-        df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append(shared_dir(self.spark, name))
+        return written(df, self.paths[-1])
 
     def drop(self) -> None:
-        for path in self.paths:
-            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
-        self.paths.clear()
+        dropped(self.spark, self.paths)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

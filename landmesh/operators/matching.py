@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landmesh.functions import scoring as sc
+from landmesh.sources.scratch import written
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,10 +30,7 @@ def shared_root(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the cluster's shared folder and read again, so that its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

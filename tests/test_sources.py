@@ -3,13 +3,14 @@
 import gzip
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from landmesh.functions.registry import register_functions
-from landmesh.sources import commits, readers, split_geojson
+from landmesh.sources import commits, readers, scratch, split_geojson
 
 
 def collection(n: int, crs: bool, seed: int, odd: bool = True) -> str:
@@ -96,3 +97,20 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT count(*) AS n FROM t_cells_of(null, 0D, 9D, 4D, 5D)").first().n == 0
     plan = spark.sql("SELECT t_score_band(cast(id AS double)) FROM range(3)")._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN" in plan  # the optimizer sees the expression
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    def shuffled():  # on one machine the driver's block manager has all files
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+    before = shuffled()
+    rows = scratch.written(spark.range(1000).repartition(3, "id").groupBy(F.col("id") % 7).count(), str(tmp_path / "t"))
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get(scratch.CLEANUP) == "false"
+    assert rows.agg(F.sum("count")).first()[0] == 1000
+    scratch.dropped(spark, [str(tmp_path / "t")])
+    assert not (tmp_path / "t").exists()
