@@ -1,9 +1,9 @@
-"""Georeferencing: fits of many sheets at once, by the normal equations of centred control points."""
+"""Georeferencing: fits of many sheets at once, by least squares over centred control points."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,37 +16,57 @@ def _terms(model: str, u, v):
     return [one, u, v] if model == "affine" else [one, u, v, u * u, u * v, v * v]
 
 
+def _solved(p: np.ndarray, model: str, degrees: bool) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Which sheets have a fit, and its values, of sheets with equally many points: (sheet, point, px py x y)."""
+    origin = p[:, :, :2].mean(axis=1)
+    apart = p[:, :, :2] - origin[:, None]
+    scale = np.maximum(np.hypot(apart[..., 0], apart[..., 1]).max(axis=1), 1e-12)
+    u, v = np.moveaxis(apart / scale[:, None, None], 2, 0)
+    design = np.stack(_terms(model, u, v), axis=2)
+    left, values, right = np.linalg.svd(design, full_matrices=False)
+    ok = (values > 1e-8).sum(axis=1) == design.shape[2]
+    middle = p[:, :, 2:].mean(axis=1)
+    target = p[:, :, 2:] - middle[:, None]
+    solved = np.swapaxes(right, 1, 2) @ ((np.swapaxes(left, 1, 2) @ target) / np.where(ok[:, None], values, 1.0)[:, :, None])
+    rest = target - design @ solved
+    solved[:, 0] += middle
+    if degrees:
+        rest = rest * 111320.0 * np.stack([np.cos(np.radians(middle[:, 1])), np.ones(len(p))], axis=1)[:, None]
+    return ok, {"cx": solved[:, :, 0], "cy": solved[:, :, 1], "px0": origin[:, 0], "py0": origin[:, 1], "scale": scale, "rmse": np.sqrt((rest**2).sum(axis=2).mean(axis=1))}
+
+
 def fit(points: DataFrame, model: str = "affine", degrees: bool = False) -> DataFrame:
     """Per sheet: coefficients for x and y, centre and scale, RMSE, number of points, and error.
 
     points: sheet_id, px, py, x, y. Too few or collinear points give an error text and nulls. With
-    degrees the RMSE is in metres. A sheet has few points, so that one group is small.
+    degrees the RMSE is in metres. A sheet has few points, so that one row holds them; sheets of as
+    many points are solved together.
     """
     need = MODELS[model]
 
-    def solve(sheet: pd.DataFrame) -> pd.DataFrame:
-        row = {"sheet_id": sheet["sheet_id"].iloc[0], "n": len(sheet), "cx": None, "cy": None, "px0": None, "py0": None, "scale": None, "rmse": None, "error": None}
-        if len(sheet) < need:
-            row["error"] = f"{model} needs {need} points"
-            return pd.DataFrame([row])
-        px, py = sheet["px"].to_numpy(float), sheet["py"].to_numpy(float)
-        px0, py0 = px.mean(), py.mean()
-        scale = max(np.hypot(px - px0, py - py0).max(), 1e-12)
-        design = np.stack(_terms(model, (px - px0) / scale, (py - py0) / scale), axis=1)
-        if np.linalg.matrix_rank(design, tol=1e-8) < design.shape[1]:
-            row["error"] = "control points are collinear"
-            return pd.DataFrame([row])
-        target = sheet[["x", "y"]].to_numpy(float)
-        solved, *_ = np.linalg.lstsq(design, target - target.mean(axis=0), rcond=None)
-        rest = target - target.mean(axis=0) - design @ solved
-        solved[0] += target.mean(axis=0)
-        if degrees:
-            rest = rest * 111320.0 * np.array([np.cos(np.radians(target[:, 1].mean())), 1.0])
-        row |= {"cx": solved[:, 0].tolist(), "cy": solved[:, 1].tolist(), "px0": px0, "py0": py0, "scale": scale, "rmse": float(np.sqrt((rest**2).sum(axis=1).mean()))}
-        return pd.DataFrame([row])
+    def solve(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            values = lists.flatten()
+            flat = np.stack([values.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("px", "py", "x", "y")], axis=1)
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            begin = np.cumsum(n) - n
+            out = {c: np.full(len(n), None) for c in ("cx", "cy", "px0", "py0", "scale", "rmse", "error")}
+            out["error"][n < need] = f"{model} needs {need} points"
+            for size in np.unique(n[n >= need]).tolist():
+                some = np.flatnonzero(n == size)
+                ok, found = _solved(flat[begin[some][:, None] + np.arange(size)], model, degrees)
+                out["error"][some[~ok]] = "control points are collinear"
+                for c, value in found.items():
+                    into = np.full(int(ok.sum()), None)
+                    into[:] = value[ok].tolist()
+                    out[c][some[ok]] = into
+            kinds = [pa.list_(pa.float64())] * 2 + [pa.float64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), *(pa.array(out[c].tolist(), kind) for c, kind in zip(out, kinds, strict=True))], ["sheet_id", "n", *out])
 
     kind = points.schema["sheet_id"].dataType.simpleString()
-    return points.groupBy("sheet_id").applyInPandas(solve, f"sheet_id {kind}, n int, cx array<double>, cy array<double>, px0 double, py0 double, scale double, rmse double, error string")
+    sheets = points.groupBy("sheet_id").agg(F.collect_list(F.struct("px", "py", "x", "y")).alias("points"))
+    return sheets.mapInArrow(solve, f"sheet_id {kind}, n int, cx array<double>, cy array<double>, px0 double, py0 double, scale double, rmse double, error string")
 
 
 def apply(points: DataFrame, fits: DataFrame, model: str = "affine") -> DataFrame:

@@ -1,6 +1,7 @@
 """Features of different systems end to end."""
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from landmesh.functions.geometry import from_lonlat, from_wkt
@@ -49,3 +50,27 @@ def test_topology_decisions_and_clips(spark):
     near = spark.createDataFrame([(1, "a", [0.0, 0.03, 0.06, 0.09, 5.0, 5.0], [0.0] * 6), (1, "b", [], []), (1, "c", None, None)], "ward int, feature_id string, xs array<double>, ys array<double>")
     got = near.select("feature_id", topology.n_repeats("xs", "ys").alias("n"), F.size(topology.without_repeats("xs", "ys")).alias("left")).collect()
     assert [(r.n, r.left) for r in got][:2] == [(3, 3), (0, 0)]
+
+
+def test_sheets_of_as_many_points_are_solved_together(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = [int(v) for v in rng.integers(2, 9, 60)]
+    points = [(s, *map(float, rng.random(4) * 100)) for s, n in enumerate(sizes) for _ in range(n)]
+    rows = spark.createDataFrame(points, "sheet_id int, px double, py double, x double, y double").repartition(1)
+    for model, need in georef.MODELS.items():
+        got = {r.sheet_id: r for r in georef.fit(rows, model).collect()}
+        assert {s: r.n for s, r in got.items()} == dict(enumerate(sizes))
+        for s, r in got.items():
+            p = np.array([v[1:] for v in points if v[0] == s])
+            if len(p) < need:
+                assert (r.error, r.cx) == (f"{model} needs {need} points", None)
+                continue
+            u, v = (p[:, 0] - r.px0) / r.scale, (p[:, 1] - r.py0) / r.scale
+            design = np.stack(georef._terms(model, u, v), axis=1)
+            want, *_ = np.linalg.lstsq(design, p[:, 2:], rcond=None)
+            assert np.allclose(np.array([r.cx, r.cy]).T, want, atol=1e-6)
+            assert np.isclose(r.rmse, np.sqrt(((p[:, 2:] - design @ want) ** 2).sum(axis=1).mean()), atol=1e-6)
+    calls = []
+    monkeypatch.setattr(np.linalg, "svd", lambda *a, f=np.linalg.svd, **k: calls.append(len(a[0])) or f(*a, **k))
+    georef._solved(rng.random((50, 7, 4)), "affine", True)
+    assert calls == [50]
