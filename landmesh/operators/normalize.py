@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landmesh.functions.geometry import CODES, GEOM, from_lonlat, to_lonlat
+from landmesh.functions import batches
+from landmesh.functions.geometry import CODES, GEOM, _struct, from_lonlat, to_lonlat
 from landmesh.functions.shapes import checked
 from landmesh.operators.quality import profile
 
@@ -17,14 +20,15 @@ def reprojected(features: DataFrame, target: int = 4326, code: str = "srid") ->
     known = F.col(code).isin(CODES)
     checked = F.when(known, F.col(code)).otherwise(F.raise_error(F.concat(F.lit("unknown coordinate system "), F.coalesce(F.col(code).cast("string"), F.lit("null")))).cast("int"))
 
-    @F.pandas_udf(GEOM)
-    def move(g: pd.DataFrame, srid: pd.Series) -> pd.DataFrame:
-        out = {f.name: [] for f in GEOM.fields}
-        for row, source in zip(g.to_dict("records"), srid, strict=True):
-            x, y = from_lonlat(*to_lonlat(np.asarray(row["xs"]), np.asarray(row["ys"]), int(source)), target)
-            for k, v in {"dim": row["dim"], "xs": x.tolist(), "ys": y.tolist(), "offs": list(row["offs"]), "xmin": x.min(), "ymin": y.min(), "xmax": x.max(), "ymax": y.max()}.items():
-                out[k].append(v)
-        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()})
+    @F.arrow_udf(GEOM)
+    def move(g: pa.Array, srid: pa.Array) -> pa.Array:
+        g = batches.from_arrow(g)
+        of = srid.to_numpy(zero_copy_only=False)[g.row_of_ring[g.ring_of_vertex]]
+        x, y = g.x.copy(), g.y.copy()
+        for source in np.unique(of).tolist():
+            some = of == source
+            x[some], y[some] = from_lonlat(*to_lonlat(g.x[some], g.y[some], int(source)), target)
+        return _struct(GEOM, batches.to_arrow(replace(g, x=x, y=y)))
 
     return features.withColumn("geom", move("geom", checked)).withColumn(code, F.lit(target))
 
