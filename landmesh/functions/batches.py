@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 
 #: Edges of a row up to which rows go side by side, by how many places they get.
-SIZES = (4, 8, 12, 16, 24, 32)
+SIZES = (4, 8, 12, 16, 24, 32, 48, 64, 96)
 #: Numbers in an array of all slabs and edges of some rows.
-ROOM = 1 << 20
+ROOM = 1 << 21
+#: Vertices of the rows that are overlaid at once.
+VERTICES = 100_000
 
 
 @dataclass
@@ -303,7 +305,23 @@ def combined(shapes_: Flat, row: np.ndarray, of_b: np.ndarray, n: int, rule: str
     """For each of n rows what `shapes.combined` makes of its shapes: those of a, and those of b.
 
     Each of shapes_ is of the row and the side that row and of_b say, those of a row in their order.
+    Rows go a part at a time, so that what is held beside the shapes doesn't grow with their number.
     """
+    size = np.zeros(n, dtype=np.int64)
+    np.add.at(size, row, np.diff(shapes_.ring[shapes_.first]) + 1)
+    part = np.cumsum(size) // VERTICES
+    if not n or part[0] == part[-1]:
+        return _combined(shapes_, row, of_b, n, rule)
+    out, order = None, np.argsort(row, kind="stable")
+    edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
+        mine = order[slice(*np.searchsorted(row[order], (i, j)))]
+        some = _combined(shapes_.taken(mine), row[mine] - i, of_b[mine], j - i, rule)
+        out = some if out is None else joined(out, some)
+    return out
+
+
+def _combined(shapes_: Flat, row: np.ndarray, of_b: np.ndarray, n: int, rule: str) -> Flat:
     from landmesh.functions import shapes as single
 
     long = np.diff(shapes_.ring)
@@ -329,7 +347,8 @@ def combined(shapes_: Flat, row: np.ndarray, of_b: np.ndarray, n: int, rule: str
     # Number of a shape within its row, by how many there are before it.
     order = np.argsort(row, kind="stable")
     number = np.empty(len(row), dtype=np.int64)
-    number[order] = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+    begin = np.searchsorted(row[order], np.arange(n + 1))
+    number[order] = np.arange(len(row)) - begin[row[order]]
     found, left = [], []
     for rows, columns in _padded(at, n, (e, np.inf), (number[shape], -1), (of_b[shape], False)):
         if columns is None:
@@ -341,7 +360,7 @@ def combined(shapes_: Flat, row: np.ndarray, of_b: np.ndarray, n: int, rule: str
         x, y = (v + np.repeat(corner[rows, i][which], size) for i, v in enumerate((x, y)))
         found.append((rows[which], size, x, y))
     for i in np.concatenate(left) if left else []:
-        mine = [s for s in np.flatnonzero(row == i)]
+        mine = order[begin[i] : begin[i + 1]]
         rings = single.combined([shapes_.rings(s) for s in mine if not of_b[s]], [shapes_.rings(s) for s in mine if of_b[s]], rule)
         if rings:
             p = np.concatenate(rings)

@@ -16,6 +16,8 @@ from landmesh.functions import shapes
 from landmesh.functions.scoring import match_score
 
 CELL = 64.0
+#: Cells for boxes that bring their shapes along, which are dear to repeat.
+WIDE_CELL = 128.0
 MANY_CELLS = 64
 PRUNE, LEAST_IOU, REACH = 33.0, 0.30, 25.0
 #: Layers that are not matched by place (fixed values).
@@ -66,7 +68,7 @@ def box_pairs(a: DataFrame, b: DataFrame, by: list[str], cell: float = CELL) ->
 def with_overlap(pairs: DataFrame) -> DataFrame:
     """pairs with `overlap`, the shared area; by expressions where neither side has a `geom`."""
     if "a_geom" in pairs.columns and "b_geom" in pairs.columns:
-        return shapes.spread(pairs).withColumn("overlap", geo.overlay.asNondeterministic()("a_geom", "b_geom")["both"])
+        return pairs.withColumn("overlap", geo.overlay.asNondeterministic()("a_geom", "b_geom")["both"])
     return pairs.withColumn("overlap", geo.rectangle_overlap("a_", "b_"))
 
 
@@ -112,7 +114,7 @@ def self_overlaps(features: DataFrame, least: float = 0.25, by: tuple[str, ...]
 
 def coverage(structures: DataFrame, parcels: DataFrame, by: tuple[str, ...] = ("ward",)) -> DataFrame:
     """Structure × parcel pairs with shared area and the structure's area; the base of all findings."""
-    pairs = with_overlap(box_pairs(structures, parcels, list(by)))
+    pairs = with_overlap(box_pairs(structures, parcels, list(by), WIDE_CELL if "geom" in parcels.columns else CELL))
     return pairs.withColumn("area", area(pairs, "a_")).select(*by, F.col("a_feature_id").alias("structure_id"), F.col("b_feature_id").alias("parcel_id"), "overlap", "area")
 
 
@@ -134,7 +136,7 @@ def with_outside(found: DataFrame, structures: DataFrame, parcels: DataFrame) ->
     """Encroachments with `outside`, the shape of the structure's ground outside its parcel."""
     side = lambda df, p: df.select(F.col("feature_id").alias(f"{p}_id"), F.col("geom").alias(f"__{p}"))
     rows = found.join(side(structures, "structure"), "structure_id").join(side(parcels, "parcel"), "parcel_id")
-    return shapes.spread(rows).withColumn("outside", shapes.difference("__structure", "__parcel")).drop("__structure", "__parcel")
+    return rows.withColumn("outside", shapes.difference("__structure", "__parcel")).drop("__structure", "__parcel")
 
 
 def vacant(parcels: DataFrame, structures: DataFrame, by: tuple[str, ...] = ("ward",)) -> DataFrame:

@@ -9,7 +9,7 @@ from landmesh.functions import planar, shapes
 from landmesh.functions.geometry import measures
 from landmesh.functions.scoring import gap_kind
 from landmesh.operators.matching import components, stored
-from landmesh.operators.spatial import area, box_pairs, self_overlaps
+from landmesh.operators.spatial import WIDE_CELL, area, box_pairs, self_overlaps
 
 TOLERANCE, GAP_MAX, SLIVER_MAX, OVERLAP_MIN = 0.05, 1.0, 0.5, 0.25
 
@@ -76,12 +76,13 @@ def _strips(parcels: DataFrame, widest: float, tolerance: float) -> DataFrame:
     how much border it has in common with each of the two."""
     p = parcels.select("ward", "feature_id", "x0", "y0", "x1", "y1", "geom")
     grown = p.withColumns({"x0": F.col("x0") - widest, "y0": F.col("y0") - widest, "x1": F.col("x1") + widest, "y1": F.col("y1") + widest})
-    pairs = box_pairs(grown, p, ["ward"]).filter("a_feature_id < b_feature_id")
-    found = shapes.spread(pairs).select("ward", F.col("a_feature_id").alias("a_id"), F.col("b_feature_id").alias("b_id"), shapes.strip_between(widest, tolerance)("a_geom", "b_geom").alias("geom")).filter("geom.xs is not null")
+    pairs = box_pairs(grown, p, ["ward"], WIDE_CELL).filter("a_feature_id < b_feature_id")
+    found = pairs.select("ward", F.col("a_feature_id").alias("a_id"), F.col("b_feature_id").alias("b_id"), shapes.strip_between(widest, tolerance)("a_geom", "b_geom").alias("geom")).filter("geom.xs is not null")
+    found = stored(found, "found")  # few, and looked at twice
     keys = ["ward", "a_id", "b_id"]
     boxes = found.select(*keys, "geom", *(F.col(f"geom.{v}{m}").alias(f"{v}{i}") for v in ("x", "y") for m, i in (("min", 0), ("max", 1))))
     # Strips are narrow, so that few parcels reach into one; its own two are among those met.
-    over = box_pairs(boxes, p, ["ward"]).groupBy("ward", F.col("a_a_id").alias("a_id"), F.col("a_b_id").alias("b_id")).agg(
+    over = box_pairs(boxes, p, ["ward"], WIDE_CELL).groupBy("ward", F.col("a_a_id").alias("a_id"), F.col("a_b_id").alias("b_id")).agg(
         F.first("a_geom").alias("geom"), F.collect_list("b_geom").alias("covered"),
         *(F.first(F.when(F.col("b_feature_id") == F.col(f"a_{s}_id"), F.col("b_geom")), ignorenulls=True).alias(f"{s}_geom") for s in ("a", "b")),
     )

@@ -391,7 +391,7 @@ def k3_polygon_gaps(spark, sf_dir):
 @query(land.ORACLES["d5_encroachments"].replace("area - o AS outside_area", "round(area - o, 4) AS outside_area, round(area - o, 4) AS shape_area"))
 def d5_outside(spark, sf_dir):
     now, parcels = _turned(fixture(spark, sf_dir, "footprints_2025")), _turned(_kind(spark, sf_dir, "cadastral"))
-    found = spatial.encroachments(spatial.coverage(now, parcels))
+    found = matching.stored(spatial.encroachments(spatial.coverage(now, parcels)), "encroachments")
     return spatial.with_outside(found, now, parcels).select("structure_id", "parcel_id", F.round("outside_area", 4).alias("outside_area"), _area("outside").alias("shape_area"))
 
 

@@ -45,9 +45,11 @@ def test_measures_of_batches():
     assert crossed.tolist() == [bool(r[0]) and any(len(p) > 1 for p in r[0]) and shapes.crosses(r[0]) for r in rows]
 
 
+@pytest.mark.parametrize("part", [100_000, 500])
 @pytest.mark.parametrize("rule", shapes.RULES)
-def test_overlays_of_batches(rule, monkeypatch):
+def test_overlays_of_batches(rule, part, monkeypatch):
     rows = cases()
+    monkeypatch.setattr(batches, "VERTICES", part)
     flat = batches.stacked([s for r in rows for s in r])
     alone = []
     monkeypatch.setattr(shapes, "combined", lambda *a, f=shapes.combined: alone.append(1) or f(*a))
