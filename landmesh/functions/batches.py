@@ -614,3 +614,113 @@ def strips(a: Flat, b: Flat, widest: float, tolerance: float, facing: float) ->
     found = combined(every, np.concatenate([which, np.arange(len(rows)), np.arange(len(rows))]), np.arange(len(every)) >= len(of), len(rows), "difference")
     ring = found.row_of_ring
     return gathered(n, rows[ring], np.diff(found.ring), found.x, found.y)
+
+
+def distances(g: Flat, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of a point for each row to its shape, 0 inside a polygon, as `planar.shape_distance`; NaN
+    where a shape has no vertex."""
+    row, _, e = g.edges()
+    out = np.full(len(g), np.nan)
+    if not len(row):
+        return out
+    px, py = x[row], y[row]
+    d, q = e[:, 2:] - e[:, :2], np.stack([px, py], axis=1) - e[:, :2]
+    with np.errstate(all="ignore"):
+        long = (d * d).sum(axis=1)
+        t = np.where(long > 0, np.clip((q * d).sum(axis=1) / long, 0.0, 1.0), 0.0)
+        apart = np.hypot(e[:, 0] + t * d[:, 0] - px, e[:, 1] + t * d[:, 1] - py)
+        crossed = ((e[:, 1] > py) != (e[:, 3] > py)) & (px < d[:, 0] * (py - e[:, 1]) / d[:, 1] + e[:, 0])
+    np.fmin.at(out, row, apart)
+    inside = (np.bincount(row, weights=crossed, minlength=len(g)) % 2 == 1) & (g.dim == 2)
+    return np.where(inside, 0.0, out)
+
+
+def meets_box(e: np.ndarray, x0, y0, x1, y1) -> np.ndarray:
+    """Whether edges have a point in closed boxes, as `planar.edge_meets_box`."""
+    ax, ay, bx, by = e.T
+    apart = (np.maximum(ax, bx) < x0) | (np.minimum(ax, bx) > x1) | (np.maximum(ay, by) < y0) | (np.minimum(ay, by) > y1)
+    corners = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x in (x0, x1) for y in (y0, y1)]
+    return ~apart & (np.minimum.reduce(corners) <= 0) & (np.maximum.reduce(corners) >= 0)
+
+
+def _crossed(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the ray from a point to the east crosses an edge."""
+    with np.errstate(all="ignore"):
+        return ((e[:, 1] > y) != (e[:, 3] > y)) & (x < (e[:, 2] - e[:, 0]) * (y - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0])
+
+
+def covering(g: Flat, depth: int, finest: int):
+    """Row, level, ix, iy and whether it is inner, of the cells of each row's covering (see `coverings`)."""
+    row, _, e = g.edges()
+    n = len(g)
+    low, high = np.full((n, 2), np.inf), np.full((n, 2), -np.inf)
+    np.minimum.at(low, row, e[:, :2])
+    np.maximum.at(high, row, e[:, :2])
+    some = np.flatnonzero(np.isfinite(low).all(axis=1))
+    begin = np.searchsorted(row, np.arange(n))
+    count = np.bincount(row, minlength=n)
+    level = np.ceil(np.log2(np.maximum((high - low)[some].max(axis=1), 2.0**finest))).astype(np.int64)
+    side = 2.0**level
+    first, last = (np.floor(v[some] / side[:, None]).astype(np.int64) for v in (low, high))
+    wide = last - first + 1
+    of = np.repeat(np.arange(len(some)), wide.prod(axis=1))
+    k = _spans(np.zeros(len(some), dtype=np.int64), wide.prod(axis=1))
+    own, level, at = some[of], level[of], first[of] + np.stack([k // wide[of, 1], k % wide[of, 1]], axis=1)
+    cell, edge = np.repeat(np.arange(len(own)), count[own]), _spans(begin[own], count[own])
+    done = []
+
+    def met(cell, edge):
+        a, s = at[cell], 2.0 ** level[cell]
+        keep = meets_box(e[edge], a[:, 0] * s, a[:, 1] * s, (a[:, 0] + 1) * s, (a[:, 1] + 1) * s)
+        return cell[keep], edge[keep]
+
+    cell, edge = met(cell, edge)
+    for _ in range(depth):
+        held = np.bincount(cell, minlength=len(own)) > 0
+        done.append((own[~held], level[~held], at[~held]))
+        four = np.flatnonzero(held)
+        home = np.cumsum(held) - 1
+        cell, edge = (4 * home[cell])[:, None] + np.arange(4), np.repeat(edge, 4)
+        cell = cell.ravel()
+        own, level = np.repeat(own[four], 4), np.repeat(level[four] - 1, 4)
+        at = (2 * at[four][:, None] + np.array([(0, 0), (0, 1), (1, 0), (1, 1)])).reshape(-1, 2)
+        cell, edge = met(cell, edge)
+    held = np.bincount(cell, minlength=len(own)) > 0
+    done.append((own[~held], level[~held], at[~held]))
+    free, free_level, free_at = (np.concatenate(v) for v in zip(*done, strict=True))
+    # Cells that no edge crosses lie inside as a whole, or outside.
+    middle = (free_at + 0.5) * (2.0**free_level)[:, None]
+    which, edge = np.repeat(np.arange(len(free)), count[free]), _spans(begin[free], count[free])
+    inside = np.bincount(which, weights=_crossed(e[edge], *middle[which].T), minlength=len(free)) % 2 == 1
+    out = [np.concatenate([a[inside], b[held]]) for a, b in ((free, own), (free_level, level), (free_at, at))]
+    return out[0], out[1], out[2][:, 0], out[2][:, 1], np.arange(len(out[0])) < inside.sum()
+
+
+def meet(a: Flat, b: Flat) -> np.ndarray:
+    """Whether the two shapes of a row have a point in common, as `planar.shapes_meet`."""
+    n = len(a)
+    (ra, _, ea), (rb, _, eb) = a.edges(), b.edges()
+    (begin_a, na), (begin_b, nb) = ((np.cumsum(c) - c, c) for c in (np.bincount(r, minlength=n) for r in (ra, rb)))
+    out = np.zeros(n, dtype=bool)
+    end = np.cumsum(na * nb)
+    side = lambda s, x, y: np.sign((s[:, 2] - s[:, 0]) * (y - s[:, 1]) - (s[:, 3] - s[:, 1]) * (x - s[:, 0]))
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + ROOM, side="right")))
+        size = (na * nb)[i:j]
+        row = np.repeat(np.arange(i, j), size)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        pi, qi = begin_a[row] + k // np.maximum(nb[row], 1), begin_b[row] + k % np.maximum(nb[row], 1)
+        p, q = ea[pi], eb[qi]
+        apart = np.zeros(len(row), dtype=bool)
+        for c in (0, 1):
+            apart |= (np.maximum(p[:, c], p[:, c + 2]) < np.minimum(q[:, c], q[:, c + 2])) | (np.maximum(q[:, c], q[:, c + 2]) < np.minimum(p[:, c], p[:, c + 2]))
+        touch = ~apart & (side(p, q[:, 0], q[:, 1]) * side(p, q[:, 2], q[:, 3]) <= 0) & (side(q, p[:, 0], p[:, 1]) * side(q, p[:, 2], p[:, 3]) <= 0)
+        out[row[touch]] = True
+        # Parts of a shape may lie inside the other on their own, so that every vertex counts.
+        for mine, of, point, other in ((pi, ra, p, q), (qi, rb, q, p)):
+            if len(mine):
+                base = mine.min()
+                out[of[base:][np.flatnonzero(np.bincount(mine - base, weights=_crossed(other, point[:, 0], point[:, 1])) % 2 == 1)]] = True
+        i = j
+    return out

@@ -5,16 +5,17 @@ crosses. A point in an inner cell needs no test; nor do two polygons of which on
 where the other has any. Cells are halved until no edge crosses them, at most `depth` times from
 the smallest square that is as wide as the polygon. A cell is (level, ix, iy), its side 2 ** level.
 
-All of it is column expressions over edges. Polygons are dealt evenly first, as their cells take
-longer than that; after that only the joins shuffle.
+Cells are made, and edges compared, for whole Arrow batches; only the joins shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landmesh.functions import planar, shapes
+from landmesh.functions import batches, planar
+from landmesh.functions.geometry import meet
 from landmesh.operators.matching import stored
 
 DEPTH = 5
@@ -22,30 +23,22 @@ DEPTH = 5
 FINEST = -20
 
 
-def _box(level: str = "level", ix: str = "ix", iy: str = "iy") -> tuple[Column, Column, Column, Column]:
-    side = F.pow(F.lit(2.0), F.col(level))
-    return F.col(ix) * side, F.col(iy) * side, (F.col(ix) + 1) * side, (F.col(iy) + 1) * side
+#: Polygons whose cells are made at once.
+ROWS = 2000
 
 
 def covering(polygons: DataFrame, id: str, depth: int = DEPTH) -> DataFrame:
     """id, level, ix, iy and whether the cell is `inner`, of polygons (id, geom); null geometries have no cell."""
-    g = F.col("geom")
-    wide = F.greatest(g["xmax"] - g["xmin"], g["ymax"] - g["ymin"], F.lit(2.0**FINEST))
-    rows = shapes.spread(polygons.filter("geom.xs is not null").select(F.col(id).alias(id), "geom")).select(F.col(id).alias(id), planar.edges("geom").alias("__all"), F.ceil(F.log2(wide)).cast("int").alias("level"), g["xmin"].alias("x0"), g["ymin"].alias("y0"), g["xmax"].alias("x1"), g["ymax"].alias("y1"))
-    side = F.pow(F.lit(2.0), F.col("level"))
-    axis = lambda v: F.explode(F.sequence(F.floor(F.col(f"{v}0") / side), F.floor(F.col(f"{v}1") / side)))
-    rows = rows.withColumn("ix", axis("x")).withColumn("iy", axis("y"))
-    box = F.struct(*(v.alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), _box(), strict=True)))
-    meets = lambda edges: planar.edges_in_box(edges, box)
-    rows = rows.select(id, "__all", "level", "ix", "iy", meets("__all").alias("__e"))
-    for _ in range(depth):
-        cell = lambda i, j: F.struct((F.col("level") - 1).alias("level"), (2 * F.col("ix") + i).alias("ix"), (2 * F.col("iy") + j).alias("iy"))
-        same = F.array(F.struct("level", "ix", "iy"))
-        rows = rows.withColumn("c", F.explode(F.when(F.size("__e") == 0, same).otherwise(F.array(*(cell(i, j) for i in (0, 1) for j in (0, 1))))))
-        rows = rows.select(id, "__all", "c.level", "c.ix", "c.iy", "__e").withColumn("__e", meets("__e"))
-    x0, y0, x1, y1 = _box()
-    inner = F.size("__e") == 0
-    return rows.filter(~inner | planar.inside("__all", (x0 + x1) / 2, (y0 + y1) / 2)).select(id, "level", "ix", "iy", inner.alias("inner"))
+
+    def cells(arrived):
+        for batch in arrived:
+            for i in range(0, len(batch), ROWS):
+                part = batch.slice(i, ROWS)
+                row, level, ix, iy, inner = batches.covering(batches.from_arrow(part.column(1)), depth, FINEST)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(level, pa.int32()), pa.array(ix), pa.array(iy), pa.array(inner)], names=[id, "level", "ix", "iy", "inner"])
+
+    rows = polygons.filter("geom.xs is not null").select(F.col(id).alias(id), "geom")
+    return rows.mapInArrow(cells, f"`{id}` {rows.schema[id].dataType.simpleString()}, level int, ix long, iy long, inner boolean")
 
 
 def _levels(cells: DataFrame) -> list[int]:
@@ -97,7 +90,7 @@ def intersecting(a: DataFrame, b: DataFrame, a_id: str, b_id: str, depth: int =
     sure = F.col("inner") | (F.col("same") & F.col("low_inner"))
     met = [above(x, levels, least).join(y, keys).select("__a", "__b", sure.alias("sure")) for x, levels, least, y in ((ca, lb, 0, cb), (cb, la, 1, ca))]
     pairs = stored(met[0].unionByName(met[1]).groupBy("__a", "__b").agg(F.bool_or("sure").alias("sure")), "pairs")
-    edge = lambda df, i, p: df.select(F.col(i).alias(p), planar.edges("geom").alias(f"{p}_e"))
-    test = pairs.filter("not sure").join(edge(a, a_id, "__a"), "__a").join(edge(b, b_id, "__b"), "__b").filter(planar.shapes_meet("__a_e", "__b_e"))
+    shape = lambda df, i, p: df.select(F.col(i).alias(p), F.col("geom").alias(f"{p}_g"))
+    test = pairs.filter("not sure").join(shape(a, a_id, "__a"), "__a").join(shape(b, b_id, "__b"), "__b").filter(meet("__a_g", "__b_g"))
     out = pairs.filter("sure").select("__a", "__b", F.lit(False).alias("tested")).unionByName(test.select("__a", "__b", F.lit(True).alias("tested")))
     return out.select(F.col("__a").alias("a_id"), F.col("__b").alias("b_id"), "tested")

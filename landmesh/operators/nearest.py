@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landmesh.functions import planar
+from landmesh.functions.geometry import point_distance
 from landmesh.operators.matching import stored
 
 #: A shape's box takes at most this many cells a side, but for one more where it straddles.
@@ -122,7 +123,8 @@ def nearest(points: DataFrame, shapes: DataFrame, id: str) -> DataFrame:
         look = look.unionByName(more.select(*look.columns))
     pairs = look.join(placed, ["g", "cx", "cy"])
     box = planar.box_distance("x", "y", F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    exact = planar.shape_distance("geom", "x", "y") if "geom" in s.columns else box
+    # Dear, so that it is marked as not deterministic: it is never computed twice.
+    exact = point_distance.asNondeterministic()("geom", "x", "y") if "geom" in s.columns else box
     best = pairs.filter(box <= F.col("bound") * SLACK).select("__p", F.struct(exact.alias("distance"), F.col("__id").alias("id")).alias("b")).filter("b.distance is not null")
     best = best.groupBy("__p").agg(F.min("b").alias("b"))
     return rows.join(best, "__p", "left").select(*points.columns, F.col("b.id").alias(id), F.col("b.distance").alias("distance"))

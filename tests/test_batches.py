@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from landmesh.functions import batches, shapes
-from landmesh.functions.geometry import overlay_areas, ring_measures
+from landmesh.functions.geometry import boundary_distance, contains, overlay_areas, ring_measures
 
 TURN = np.array([[0.6, 0.8], [-0.8, 0.6]])
 
@@ -92,3 +92,21 @@ def test_strips_of_batches():
         found += bool(want)
         assert sum(map(shapes.signed_area, got.rings(i))) == pytest.approx(sum(map(shapes.signed_area, want)), abs=1e-6)
     assert 10 < found < 60
+
+
+def test_distances_of_batches():
+    rng = np.random.default_rng(6)
+    rows = [a for a, _ in cases()]
+    g = batches.stacked(rows)
+    x, y = (np.array([r[0][:, i].mean() if r else 0.0 for r in rows]) + rng.normal(0, 20, len(rows)) for i in (0, 1))
+    got = batches.distances(g, x, y)
+    inside = 0
+    for i, rings in enumerate(rows):
+        if not rings:
+            assert np.isnan(got[i])
+            continue
+        want = 0.0 if contains(rings, x[i], y[i]) else boundary_distance(rings, np.array([[x[i], y[i]]]))[0]
+        inside += want == 0
+        assert got[i] == pytest.approx(want, abs=1e-6)
+    assert 10 < inside < len(rows) - 20
+    assert batches.distances(batches.stacked([rows[0], rows[0]]), *np.full((2, 2), np.nan)).shape == (2,)
