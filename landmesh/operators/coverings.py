@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from landmesh.functions import batches, planar
 from landmesh.functions.geometry import meet
 from landmesh.operators.matching import stored
+from landmesh.operators.spatial import box_pairs
 
 DEPTH = 5
 #: Smallest level of a covering, for polygons without extent.
 FINEST = -20
 
 
+#: Vertices up to which two polygons are compared as they are.
+FEW = 16
 #: Polygons whose cells are made at once.
 ROWS = 2000
 
@@ -71,10 +74,34 @@ def assigned(points: DataFrame, polygons: DataFrame, id: str, depth: int = DEPTH
 def intersecting(a: DataFrame, b: DataFrame, a_id: str, b_id: str, depth: int = DEPTH) -> DataFrame:
     """Pairs of ids of polygons (id, geom) that have a point in common; `tested` as in `assigned`.
 
-    A pair is found where a cell of one is a cell of the other or lies in one. If the larger of the
-    two cells is inner, that settles it; edges are compared where no cell does.
+    Two polygons of few vertices are compared where their boxes meet, which takes less than their
+    cells would. A pair with one of more vertices is found where a cell of one is a cell of the
+    other or lies in one. If the larger of the two cells is inner, that settles it; edges are
+    compared where no cell does.
     """
-    ca, cb = (stored(covering(x.select(F.col(i).alias(p), "geom"), p, depth), "covering") for x, i, p in ((a, a_id, "__a"), (b, b_id, "__b")))
+    a, b = (x.filter("geom.xs is not null").select(F.col(i).alias(p), "geom") for x, i, p in ((a, a_id, "__a"), (b, b_id, "__b")))
+    many = F.size("geom.xs") > FEW
+    side = F.greatest(F.col("geom.xmax") - F.col("geom.xmin"), F.col("geom.ymax") - F.col("geom.ymin"))
+    fact = [x.agg(F.count_if(many).alias("many"), F.count_if(~many).alias("few"), F.avg(F.when(~many, side)).alias("side")).first() for x in (a, b)]
+    out = [a.select("__a").join(b.select("__b").limit(0)).withColumn("tested", F.lit(False)).limit(0)]
+    if all(f.few for f in fact):
+        boxes = [x.filter(~many).select("*", *(F.col(f"geom.{v}{m}").alias(f"{v}{i}") for v in "xy" for m, i in (("min", 0), ("max", 1)))) for x in (a, b)]
+        cell = max(*(f.side for f in fact), 2.0**FINEST) * 4
+        near = box_pairs(*boxes, [], cell).filter(meet("a_geom", "b_geom"))
+        out.append(near.select(F.col("a___a").alias("__a"), F.col("b___b").alias("__b"), F.lit(True).alias("tested")))
+    if fact[0].many:
+        out.append(_by_cells(a.filter(many), b, depth))
+    if fact[1].many:
+        out.append(_by_cells(a.filter(~many), b.filter(many), depth))
+    every = out[-1]
+    for more in out[1:-1]:
+        every = every.unionByName(more)
+    return every.select(F.col("__a").alias("a_id"), F.col("__b").alias("b_id"), "tested")
+
+
+def _by_cells(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
+    """Pairs (__a, __b) of polygons that meet, by their coverings."""
+    ca, cb = (stored(covering(x, p, depth), "covering") for x, p in ((a, "__a"), (b, "__b")))
 
     def above(cells: DataFrame, levels: list[int], least: int) -> DataFrame:
         """Cells with their ancestors at those levels, at least so many steps up."""
@@ -85,12 +112,11 @@ def intersecting(a: DataFrame, b: DataFrame, a_id: str, b_id: str, depth: int =
 
     la, lb = _levels(ca), _levels(cb)
     if not la or not lb:
-        return a.select(F.col(a_id).alias("a_id")).join(b.select(F.col(b_id).alias("b_id")).limit(0)).withColumn("tested", F.lit(False)).limit(0)
+        return a.select("__a").join(b.select("__b").limit(0)).withColumn("tested", F.lit(False)).limit(0)
     keys = ["level", "ix", "iy"]
     sure = F.col("inner") | (F.col("same") & F.col("low_inner"))
     met = [above(x, levels, least).join(y, keys).select("__a", "__b", sure.alias("sure")) for x, levels, least, y in ((ca, lb, 0, cb), (cb, la, 1, ca))]
     pairs = stored(met[0].unionByName(met[1]).groupBy("__a", "__b").agg(F.bool_or("sure").alias("sure")), "pairs")
-    shape = lambda df, i, p: df.select(F.col(i).alias(p), F.col("geom").alias(f"{p}_g"))
-    test = pairs.filter("not sure").join(shape(a, a_id, "__a"), "__a").join(shape(b, b_id, "__b"), "__b").filter(meet("__a_g", "__b_g"))
-    out = pairs.filter("sure").select("__a", "__b", F.lit(False).alias("tested")).unionByName(test.select("__a", "__b", F.lit(True).alias("tested")))
-    return out.select(F.col("__a").alias("a_id"), F.col("__b").alias("b_id"), "tested")
+    shape = lambda df, p: df.select(p, F.col("geom").alias(f"{p}_g"))
+    test = pairs.filter("not sure").join(shape(a, "__a"), "__a").join(shape(b, "__b"), "__b").filter(meet("__a_g", "__b_g"))
+    return pairs.filter("sure").select("__a", "__b", F.lit(False).alias("tested")).unionByName(test.select("__a", "__b", F.lit(True).alias("tested")))

@@ -163,6 +163,24 @@ def test_polygons_that_meet(spark, depth):
     assert coverings.intersecting(with_boxes(spark, a).limit(0), with_boxes(spark, b), "id", "id").count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 5, 16])
+def test_pairs_of_few_and_many_vertices(spark, few, monkeypatch):
+    from landmesh.functions.shapes import combined
+
+    monkeypatch.setattr(coverings, "FEW", few)
+    ring = lambda x, y, r, n: "POLYGON ((" + ", ".join(f"{x + r * math.cos(2 * math.pi * (i % n) / n)!r} {y + r * math.sin(2 * math.pi * (i % n) / n)!r}" for i in range(n + 1)) + "))"
+    a = [(str(i), ring(7.0 * i, 3.0 * (i % 4), 2 + i % 3 * 3, [3, 4, 40][i % 3])) for i in range(24)]
+    b = [(str(i), ring(6.53 * i, 2.017 * (i % 5), 1.01 + i % 2 * 2, [4, 30][i % 2])) for i in range(24)]
+    got = [(r.a_id, r.b_id) for r in coverings.intersecting(with_boxes(spark, a), with_boxes(spark, b), "id", "id", 3).collect()]
+    rings = lambda t: rings_of(from_wkt_text(t))
+    assert sorted(got) == sorted((i, j) for i, s in a for j, t in b if combined([rings(s)], [rings(t)], "intersection"))
+    made = []
+    monkeypatch.setattr(coverings, "stored", lambda df, name, f=coverings.stored: made.append(name) or f(df, name))
+    small = [r for i, r in enumerate(a) if i % 3 == 1]
+    coverings.intersecting(with_boxes(spark, small), with_boxes(spark, small), "id", "id")
+    assert bool(made) == (few < 5)
+
+
 STATUS = "property_id string, status string, updated_at timestamp"
 
 
