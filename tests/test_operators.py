@@ -169,3 +169,27 @@ def test_synthetic_pairs_follow_from_their_numbers(spark):
         assert 240 * least < len(of[t]) < 240
     for r in of["building_footprint"]:
         assert any(p.block == r.block and p.plot == r.plot and p.x0 <= r.x0 <= r.x1 <= p.x1 for p in of["cadastral"])
+
+
+def test_tables_between_rounds_are_dropped(spark):
+    from pathlib import Path
+
+    folder = Path(matching.shared_root(spark).removeprefix("file://"))
+    of = lambda name: {p.name for p in folder.glob(f"{name}-*")}
+    stars, pairs = of("stars"), of("pairs")
+    edges = spark.createDataFrame([(f"a{i}", f"b{j}", "s", "t", 50.0 + i * j % 7, False) for i in range(6) for j in range(i, i + 3)], "a_id string, b_id string, a_source string, b_source string, match_score double, locked boolean")
+    nodes = matching.components(edges)
+    assert nodes.select("cluster").distinct().count() == 1
+    assert len(of("stars") - stars) == 1
+    kept = matching.one_to_one(edges)
+    assert kept.columns == ["a_id", "b_id", "a_source", "b_source", "match_score", "locked"]
+    assert 0 < kept.count() <= 6
+    assert not of("pairs") - pairs
+
+
+def test_golden_records_without_attributes(spark):
+    f = spark.createDataFrame([(k, 1, t, True, 0.0, 0.0, 1.0, 1.0) for k, t in (("a", "cadastral"), ("b", "municipal_gis"))], "feature_id string, ward int, source_type string, is_polygon boolean, x0 double, y0 double, x1 double, y1 double")
+    m = spark.createDataFrame([("a", "b", 1, 0.8, 90.0)], "a_id string, b_id string, ward int, iou double, match_score double")
+    (g,) = matching.golden_records(m, f, spark.createDataFrame([("a", "b", "open")], "a_id string, b_id string, status string")).collect()
+    assert (g.cluster, g.n_members, g.confidence, g.conflict_count) == ("a", 2, 0.9, 1)
+    assert "attributes" not in g
