@@ -167,7 +167,7 @@ def k10_epoch(spark, sf_dir):
 @query(f"""{ctes('features')}, r AS (SELECT a_id, b_id, ward, (substr(a_id, 2) = substr(b_id, 2))::INT AS label, round(100 * coalesce(iou, greatest(0e0, 1 - d / 25)), 2) / 100 AS p FROM ({_PAIRS}) WHERE CASE WHEN iou IS NULL THEN d <= 25 ELSE iou >= 0.3e0 END)
   SELECT a_id, b_id, label, 'pack-' || ward AS "group", 1e0 AS weight, round(p, 9) AS baseline FROM r UNION ALL SELECT a_id, b_id, label, 'ward-' || ward, 3e0, null FROM r WHERE ward = 3""")
 def h3_training_rows(spark, sf_dir):
-    keyed = _labelled(spark, sf_dir)
+    keyed = _labelled(spark, sf_dir, keep=False)
     rows = model.training_rows(keyed=keyed, officer=keyed.filter("ward = 3"))
     return rows.select("a_id", "b_id", "label", "group", "weight", F.round("baseline", 9).alias("baseline"))
 

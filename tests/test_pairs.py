@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from landmesh.functions import geometry as geo
 from landmesh.functions import shapes
 from landmesh.operators import model, pixels, zones
+from landmesh.plans import parts
 from landmesh.plans import queries as land
 from landmesh.plans.fixtures import fixture, properties
 
@@ -209,3 +210,15 @@ def test_parts_are_written_as_parts():
     assert geo.to_wkt_text(geo.from_wkt_text("MULTIPOINT ((1 2), (3 4))")) == "MULTIPOINT ((1.0 2.0), (3.0 4.0))"
     assert geo.to_wkt_text(geo.from_wkt_text("POINT (1 2)")) == "POINT (1.0 2.0)"
     assert geo.to_wkt_text(None) is None and np.frombuffer(geo.to_wkb_bytes(geo.from_wkt_text("POINT (1 2)"))[5:]).tolist() == [1, 2]
+
+
+def test_training_rows_take_no_similarities(spark, monkeypatch):
+    """h3 asks for few columns: what is written for it are the pairs, and they only."""
+    names = []
+    for module in (land.matching, land.model):
+        monkeypatch.setattr(module, "stored", lambda df, name, f=module.stored: names.append((name, len(df.columns))) or f(df, name))
+    assert parts.h3_training_rows(spark, SF).count() > 0
+    assert [n for n, _ in names] == ["pairs"]
+    names.clear()
+    assert "a_properties" not in land._training_rows(spark, SF).columns
+    assert names[-1] == ("labelled", 7 + len(land.model.FEATURES))
